@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistra.llm import bpe, mixing, quality_rules, simhash, token_blocks
+from evistra.llm import bpe, lm, mixing, quality_rules, simhash, token_blocks
 from evistra.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op7_bpe, op8_token_blocks, op9_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op6_lm, op7_bpe, op8_token_blocks, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
