@@ -138,18 +138,18 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed rows: docs' columns plus shard and position key, one row each time a document is taken.
+    """(row, shard, position): the mixed rows with docs' columns in row, once each time a document is taken.
 
-    A document that a quota cuts keeps its first words, joined by single spaces; rows of a shard are dealt to one
-    task and ordered by a hash there. The text is unchanged otherwise.
+    A document that a quota cuts keeps its first words, joined by single spaces; position is the
+    place's hash for shuffling a shard locally. The text is unchanged otherwise.
     """
-    full = sized(docs)
+    full = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"))
     plan = block_plan(materialize(full.select("doc_id", "_size", "_source", "_block"), "sized"))
-    cols = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = taken(full, plan).select("*", F.posexplode("shards").alias("_time", "shard"))
     cut = (F.col("_time") == F.col("whole")) & (F.col("_part") < F.col("_size"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " ")
-    text = F.when(cut, first).otherwise(F.col("text"))
-    n_chars = [F.when(cut, F.length(first)).otherwise(F.col("n_chars")).cast("long").alias("n_chars")] if "n_chars" in docs.columns else []
+    row = F.col("row").withField("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(cut, F.length(first)).otherwise(F.col("row.n_chars")).cast("long"))
     order = F.xxhash64(F.lit(SEED + 4), "shard", "doc_id", "_time")
-    return rows.select(*cols, text.alias("text"), *n_chars, "shard", order.alias("position"))
+    return rows.select(row.alias("row"), "shard", order.alias("position"))

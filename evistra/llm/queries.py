@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistra.llm import bpe, lm, mixing, quality_rules, simhash, token_blocks
+from evistra.llm import bpe, embedding_dedup, lm, mixing, pii, quality_classifier, quality_rules, simhash, token_blocks, toxicity
 from evistra.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classifier_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_report(table(spark, sf_dir, "documents"))
 
@@ -36,5 +48,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op6_lm, op7_bpe, op8_token_blocks, op9_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_embedding_dedup, op4_pii, op5_quality_classifier, op6_lm, op7_bpe, op8_token_blocks, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
