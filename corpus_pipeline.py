@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistra.llm import simhash
+from evistra.llm import bpe, mixing, pii, quality_classifier, simhash
 from evistra.llm._common import materialize, table
 
 
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.mask(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or more."""
+    return mixing.mix(docs).select("row.*")
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests of every mixed document."""
+    return bpe.bpe_report(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("simhash_near_dedup", near_dedup),
+    ("pii", mask_personal_data),
+    ("mixing", mix_sources),
+    ("bpe", encode_tokens),
+]
 
 #: The stages can't be expressed in SQL (trained models, a tokenizer); tests hold them against brute force.
 ORACLE_SQL = None
