@@ -49,6 +49,13 @@ def batches_of(col: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return col.cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few texts, so that a worker holds little of what it makes of them at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Consecutive groups of a stream that is clustered and sorted by keys; holds one group and one batch at a time."""
     held: list[pa.Table] = []

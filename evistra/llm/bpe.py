@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from evistra.llm._common import materialize, text_column
+from evistra.llm._common import materialize, slices, text_column
 
 #: Keys that are broadcast, distinct words a worker counts or remembers before it starts anew.
-HEAD_KEYS, MEMO_WORDS = 400_000, 250_000
+HEAD_KEYS, MEMO_WORDS = 250_000, 120_000
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -82,7 +82,7 @@ def key_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.int64())], names=["key", "n"])
 
         seen: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 seen.update(words_of(text))
                 if len(seen) > MEMO_WORDS:
@@ -139,9 +139,22 @@ class _Memo(dict):
         return got
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+class Pieces:
+    """The id-to-piece table, fixed by the vocabulary file; joins the pieces of ids as the tokenizer does it."""
+
+    def __init__(self, path: str):
+        t = tokenizer(path)
+        self.piece = np.array([t.id_to_token(i) for i in range(max(t.get_vocab().values()) + 1)], dtype=object)
+
+    def text(self, ids: bytes) -> str:
+        return " ".join(self.piece[np.frombuffer(ids, dtype="<u4")].tolist())
+
+
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every whole text as unsigned 32-bit little-endian binary.
 
+    With decoded, the text that the ids stand for as well, made in the pass that puts the ids together.
+
     A null text is empty and gets no ids. Repeated rows and null doc_ids are encoded like any other; ids equal those
     of the tokenizer on the whole text without added special tokens.
     """
@@ -153,7 +166,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(head.value)
-        for b in batches:
+        for b in slices(batches):
             known, places, missing = [], [], []
             for text in b.column(2).to_pylist():
                 parts, at, holes, keys = [], 0, [], []
@@ -183,44 +196,43 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     found = rare.join(table.filter(F.col("n") < least).select("key", "ids"), "key").groupBy("id0", "mark").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, sizes = [], []
+        pieces = Pieces(path) if decoded else None
+        for b in slices(batches):
+            out = []
             for packed, places, got in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 known = np.frombuffer(packed[1:], dtype="<u" + packed[:1].decode()).astype("<u4")
-                if got:
-                    ids = {x["at"]: x["ids"] for x in got}  # rows that repeat give each place again
-                    parts, last = [], 0
-                    for i, place in enumerate(places):
-                        parts += [known[last:place].tobytes(), ids[i]]
-                        last = place
-                    done = b"".join([*parts, known[last:].tobytes()])
-                else:
-                    done = known.tobytes()
-                out.append(done)
-                sizes.append(len(done) >> 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                if not got:
+                    out.append(known.tobytes())
+                    continue
+                ids = {x["at"]: x["ids"] for x in got}  # rows that repeat give each place again
+                parts, last = [], 0
+                for i, place in enumerate(places):
+                    parts += [known[last:place].tobytes(), ids[i]]
+                    last = place
+                out.append(b"".join([*parts, known[last:].tobytes()]))
+            cols = {"doc_id": b.column(0), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
+            if pieces:
+                cols["decoded"] = pa.array(map(pieces.text, out), pa.string())
+            yield pa.RecordBatch.from_pydict(cols)
 
     whole = halves.drop("missing").join(found, ["id0", "mark"], "left").select("doc_id", "known", "places", "found")
-    return whole.mapInArrow(second, "doc_id long, n_tokens long, ids binary")
+    return whole.mapInArrow(second, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded with `decoded` for its `ids`: the pieces of all ids, looked up and joined as the tokenizer does it."""
+    """encoded with `decoded`, the text of its `ids`, by a lookup of every id in the id-to-piece table."""
     path = path or default_path()
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        size = max(t.get_vocab().values()) + 1
-        pieces = np.array([t.id_to_token(i) for i in range(size)], dtype=object)
-        for b in batches:
-            texts = [" ".join(pieces[np.frombuffer(x, dtype="<u4")].tolist()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+        pieces = Pieces(path)
+        for b in slices(batches):
+            yield b.append_column("decoded", pa.array(map(pieces.text, b.column("ids").to_pylist()), pa.string()))
 
     return encoded.mapInArrow(run, schema)
 
 
 def bpe_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of each document's ids and of the text they decode to."""
-    done = decode(encode(docs, path), path)
+    done = encode(docs, path, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
