@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistra.llm._common import text_column
+from evistra.llm._common import slices, text_column
 
 #: Kinds in the order of ties; those of the base patterns first.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -231,7 +231,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [find_spans(t, shared.value) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS]
             text = [pa.array([_joined(f[i]) for f in found], pa.string()) for i in (0, 1)]
@@ -263,7 +263,7 @@ def mask(docs: DataFrame) -> DataFrame:
         return "".join([*parts, text[last:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array([masked(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 

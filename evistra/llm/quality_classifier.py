@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evistra.llm._common import materialize
+from evistra.llm._common import materialize, slices
 from evistra.llm.learning import labelled_sample, logistic, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -70,7 +70,7 @@ def evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b in batches:
+        for b in slices(batches):
             x = np.array([surface(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, N_FEATURES)
             got = pa.array(sigmoid(w[0] + x @ w[1:]))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), got], names=[*(f.name for f in others), "evidence"])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistra.llm._common import batches_of, block_pairs, components, groups, materialize, merge_labels, text_column
+from evistra.llm._common import batches_of, block_pairs, components, groups, materialize, merge_labels, slices, text_column
 
 DISTANCE = 4
 SHINGLE = 4
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of all documents; fp holds the fingerprint's 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(x) for x in batches_of(b.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evistra.llm._common import materialize, shared_dir, text_column
+from evistra.llm._common import materialize, shared_dir, slices, text_column
 from evistra.llm.bpe import MEMO_WORDS, default_path, keys_of, tokenizer, words_of
 
 END_ID = 2
@@ -40,7 +40,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
         keys: dict[str, bytes] = {}
         memo: dict[str, bytes] = {}
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(1).to_pylist():
                 words = words_of(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistra.llm._common import text_column
+from evistra.llm._common import slices, text_column
 from evistra.llm.learning import labelled_sample, logistic, sigmoid
 
 #: Labelled rows that the lexicon and the weights are fitted on at most, and words of the lexicon.
@@ -139,7 +139,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, w = Grammar(shared.value), shared_weights.value
-        for b in batches:
+        for b in slices(batches):
             x = np.array([grammar.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 3)
             p = sigmoid(w[0] + x @ w[1:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
