@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from evistra.llm._common import materialize, slices, text_column
 
 #: Keys that are broadcast, distinct words a worker counts or remembers before it starts anew.
-HEAD_KEYS, MEMO_WORDS = 250_000, 120_000
+HEAD_KEYS, MEMO_WORDS = 700_000, 120_000
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -121,6 +121,21 @@ def frequent(counts: DataFrame, limit: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
+def _packed(ids: np.ndarray, small: bool) -> bytes:
+    """Ids for the shuffle: width, length, and their bytes by significance, compressed."""
+    width = 2 if small else 4
+    raw = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    width, size = packed[0], int.from_bytes(packed[1:9], "little")
+    if not size:
+        return np.empty(0, dtype="<u4")
+    raw = np.frombuffer(pa.decompress(packed[9:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(f"<u{width}").astype("<u4")
+
+
 class _Memo(dict):
     """word -> ids, or the word's keys where some are not in the head table."""
 
@@ -186,7 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
                 places.append(holes)
                 missing.append(keys)
             small = all(len(x) == 0 or x.max() < 1 << 16 for x in known)
-            packed = [(b"2" + x.astype("<u2").tobytes()) if small else (b"4" + x.tobytes()) for x in known]
+            packed = [_packed(x, small) for x in known]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(missing, pa.list_(pa.string()))], names=["doc_id", "mark", "known", "places", "missing"])
 
     text = text_column(docs)
@@ -200,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
         for b in slices(batches):
             out = []
             for packed, places, got in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                known = np.frombuffer(packed[1:], dtype="<u" + packed[:1].decode()).astype("<u4")
+                known = _unpacked(packed)
                 if not got:
                     out.append(known.tobytes())
                     continue
