@@ -143,13 +143,16 @@ def mix(docs: DataFrame) -> DataFrame:
     A document that a quota cuts keeps its first words, joined by single spaces; position is the
     place's hash for shuffling a shard locally. The text is unchanged otherwise.
     """
-    full = sized(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"))
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name of docs can clash with those used here
+    full = sized(docs.select(*(docs[f"`{c}`"].alias(o) for c, o in own.items()), "doc_id", "text", "source")).drop("text", "source")
     plan = block_plan(materialize(full.select("doc_id", "_size", "_source", "_block"), "sized"))
     rows = taken(full, plan).select("*", F.posexplode("shards").alias("_time", "shard"))
     cut = (F.col("_time") == F.col("whole")) & (F.col("_part") < F.col("_size"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " ")
-    row = F.col("row").withField("text", F.when(cut, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(cut, F.length(first)).otherwise(F.col("row.n_chars")).cast("long"))
+    text = F.col(own["text"])
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " ")
+    values = {c: F.col(o) for c, o in own.items()} | {"text": F.when(cut, first).otherwise(text)}
+    if "n_chars" in own:
+        values["n_chars"] = F.when(cut, F.length(first)).otherwise(F.col(own["n_chars"])).cast("long")
+    row = F.struct(*(v.alias(c) for c, v in values.items()))
     order = F.xxhash64(F.lit(SEED + 4), "shard", "doc_id", "_time")
     return rows.select(row.alias("row"), "shard", order.alias("position"))
