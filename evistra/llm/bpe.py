@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -206,15 +207,25 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
 
     text = text_column(docs)
     halves = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(first, "doc_id long, mark long, known binary, places array<int>, missing array<string>")
-    halves = halves.withColumn("id0", F.coalesce("doc_id", F.lit(0)))
-    rare = halves.select("id0", "mark", F.posexplode("missing").alias("at", "key"))
+    # both uses read all columns of one exchange, so the pass over the texts runs once
+    halves = halves.withColumn("id0", F.coalesce("doc_id", F.lit(0))).repartition("id0", "mark")
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("missing")
+            n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([b.column("id0").take(pa.array(row)), b.column("mark").take(pa.array(row)), pa.array(at.astype(np.int32)), lists.flatten()], names=["id0", "mark", "at", "key"])
+
+    rare = halves.mapInArrow(holes, "id0 long, mark long, at int, key string")
     found = rare.join(table.filter(F.col("n") < least).select("key", "ids"), "key").groupBy("id0", "mark").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path) if decoded else None
         for b in slices(batches):
             out = []
-            for packed, places, got in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            for packed, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
                 known = _unpacked(packed)
                 if not got:
                     out.append(known.tobytes())
@@ -225,12 +236,12 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
                     parts += [known[last:place].tobytes(), ids[i]]
                     last = place
                 out.append(b"".join([*parts, known[last:].tobytes()]))
-            cols = {"doc_id": b.column(0), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
+            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
             if pieces:
                 cols["decoded"] = pa.array(map(pieces.text, out), pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
-    whole = halves.drop("missing").join(found, ["id0", "mark"], "left").select("doc_id", "known", "places", "found")
+    whole = halves.join(found, ["id0", "mark"], "left")
     return whole.mapInArrow(second, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
