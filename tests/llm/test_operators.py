@@ -1,0 +1,495 @@
+"""Every corpus operator against a plain brute-force version, and on nulls, ties, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from evistra.llm import bpe, embedding_dedup, lm, mixing, pii, quality_classifier, quality_rules, queries, simhash, token_blocks, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, n long, _size long"
+ODD = [
+    (1, None, "en", "a", 0, "x", 1, 1),
+    (2, "", "en", None, 0, "x", 1, 1),
+    (3, " \n\t\x0b ", None, "b", 5, "x", 1, 1),
+    (4, "one two three four five six\n" * 900, "de", "a", 10, "x", 1, 1),
+    (4, "one two three four five six\n" * 900, "de", "a", 10, "x", 1, 1),
+    (5, "Ünïcode Straße ΣΑΣ İstanbul é   x y 你好 😀 \x1c z", "de", "b", 10, "x", 1, 1),
+    (None, "a row without an id of its own", "en", "b", 10, "x", 1, 1),
+    (6, "mail a.b@c-d.org.uk ip 10.0.0.255 card 4111 1111 1111 1111 phone +49 (30) 1234567", "en", "c", 10, "x", 1, 1),
+    (7, "the quick brown fox jumps over the lazy dog again and again, it's 42!", "en", "c", 10, "x", 1, 1),
+    (8, "the quick brown fox jumps over the lazy dog again and again, it's 42!", "fr", "c", 10, "x", 1, 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 0, 0), (4, 1, 0), (7, 1, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    return [(r.doc_id, r.text or "", r.source) for r in rows]
+
+
+def words(text):
+    return WORD.findall(text)
+
+
+# --- op1 -----------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    total, fixed = float(sum(sizes.values())), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: 3.0 * sizes[s] for s in over}
+
+
+def check_mix(rows, sources):
+    sizes, took, target = Counter(), Counter(), {}
+    for r in rows:
+        s = sources(r)
+        sizes[s] += r["size"]
+        took[s] += r["taken"]
+        target[s] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    want = brute_targets(sizes)
+    for s in sizes:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(took[s] - want[s]) <= 1
+
+
+def test_mixing_matches_targets(spark, sf, texts):
+    rows = queries.op1_mixing(spark, sf).collect()
+    by_id = {i: (t, s) for i, t, s in texts}
+    assert len(rows) == len(texts)
+    assert all(r["size"] == len(words(by_id[r["doc_id"]][0])) for r in rows)
+    check_mix(rows, lambda r: by_id[r["doc_id"]][1])
+    again = queries.op1_mixing(spark, sf).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_mixing_shards_are_balanced(spark, sf):
+    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+    n = [r["count"] for r in mixed.groupBy("shard").count().collect()]
+    assert len(n) <= 16 and max(n) < 4 * max(1, sum(n) / len(n))
+
+
+def test_hypergeometric_splits_exactly(spark):
+    quotas = spark.sql("select array(1000L, 0L, 7L, 333L) as quotas")
+    rows = mixing.splitting_tree(quotas).collect()
+    assert np.array([r.quotas for r in rows]).sum(axis=0).tolist() == [1000, 0, 7, 333]
+    assert all(80 <= sum(r.quotas) <= 87 for r in rows)
+
+
+def test_mixing_odd_rows(odd, empty):
+    rows = mixing.mix_report(odd).collect()
+    assert len(rows) == len(ODD)
+    assert mixing.mix_report(empty).collect() == []
+    assert mixing.mix(odd).select("row.*").columns == odd.columns
+    assert mixing.mix(empty).collect() == []
+
+
+# --- op2 -----------------------------------------------------------------------------------------------------------
+
+
+def brute_rules(text):
+    w = words(text or "")
+    text = text or ""
+    windows = defaultdict(list)
+    for i in range(len(w) - 4):
+        windows[tuple(w[i : i + 5])].append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+    lines = [x for x in text.split("\n") if words(x)]
+    failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality_rules(spark, sf, texts, odd, empty):
+    by_id = {i: t for i, t, _ in texts}
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    for r in queries.op2_quality_rules(spark, sf).collect():
+        assert tuple(r[c] for c in cols) == brute_rules(by_id[r.doc_id])
+        assert not (r.base_failed and r.kept)
+    found = {(r.doc_id, tuple(r[c] for c in cols)) for r in quality_rules.rules_report(odd).collect()}
+    assert found == {(x[0], brute_rules(x[1])) for x in ODD}
+    assert quality_rules.rules_report(empty).collect() == []
+
+
+def test_quality_rules_cut_lines(spark):
+    good = "a plain line of ordinary words that says something useful about the weather"
+    other = "here is another sentence with quite different words in it so nothing repeats"
+    text = "\n".join([good, "Home | News | About | Contact", "Click here to read more", other, "buy!! now!!"])
+    junk = "\n".join(["Home | News | About | Contact | Shop", "Copyright 2020 all rights reserved by nobody", "ok"])
+    rows = {r.doc_id: r for r in quality_rules.measured(spark.createDataFrame([(1, text), (2, junk)], "doc_id long, text string")).collect()}
+    assert rows[1].clean_text == "\n".join([good, other]) and rows[1].kept
+    assert not rows[2].kept
+
+
+# --- op3 -----------------------------------------------------------------------------------------------------------
+
+
+def brute_vectors(rows):
+    x, ids = [], []
+    out = {}
+    for i, v, label in rows:
+        out[i] = [0, i]
+        if label is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v):
+            a = np.array(v, dtype=np.float64)
+            x.append((i, label, a / np.sqrt(a @ a)))
+    parent = {i: i for i, _, _ in x}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, l, a) in enumerate(x):
+        for j, m, b in x[k + 1 :]:
+            if l == m and len(a) == len(b) and a @ b >= 0.93:
+                out[i][0] += 1
+                out[j][0] += 1
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    for i, _, _ in x:
+        out[i][1] = root(i)
+    return {i: tuple(v) for i, v in out.items()}
+
+
+def test_embedding_links(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    want = brute_vectors([tuple(r) for r in e.collect()])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op3_embedding_dedup(spark, sf).collect()}
+    assert got == want
+
+
+def test_embedding_cells_and_blocks(spark, monkeypatch):
+    """Small cells and blocks: pairs meet across cells and blocks, and none is counted twice."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 25)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 8))
+    v = np.concatenate([base[r.integers(0, 40, 400)] + 0.13 * r.normal(size=(400, 8)), np.repeat(base[:1], 30, axis=0)]).astype(np.float32)
+    rows = [(i, [float(c) for c in x], i % 2) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()} == brute_vectors(rows)
+
+
+def test_embedding_odd_rows(spark):
+    rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 0.0], None), (6, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (8, [1.0, 0.0], 2), (9, [], 1), (10, [1.0], 1), (11, [float("inf"), 1.0], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, dim string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == brute_vectors(rows) and got[6] == (1, 6)
+    assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
+
+
+# --- op4 -----------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
+    }
+    out = [(m.start(), k, kind, m.end()) for k, (kind, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text) if ok(m[0])]
+    return [(a, b, kind) for a, _, kind, b in sorted(out)]
+
+
+TRICKY = ["1.2.3.4.5.6.7.8", "999.1.1.1.1", "1.1.1.2561.1.1.1", "a@b a@b.c.d@e.f x@y..z u@@v.w", "+1 (23) 4567890123456789", "4111-1111-1111-1111 5", "00000000000000", "+1+2 3456789 01"]
+
+
+@pytest.mark.parametrize("text", [*TRICKY, *(x[1] or "" for x in ODD)])
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_pii(spark, sf, texts, odd, empty):
+    by_id = {i: t for i, t, _ in texts}
+    for r in queries.op4_pii(spark, sf).collect():
+        base = brute_spans(by_id[r.doc_id])
+        joined = [f"{k}:{a}:{b}" for a, b, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert set(joined) <= set(r.spans.split(",")) | ({""} if not joined else set())
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, _, k in base) for x in pii.BASE_KINDS]
+    assert pii.pii_report(odd).count() == len(ODD)
+    assert pii.pii_report(empty).collect() == []
+
+
+def test_pii_field_adds_spans_and_masks(spark):
+    text = "ssn 123-45-6789 of a man, api_key: 9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c and a@b.org; order 12345 of 17 rows"
+    df = spark.createDataFrame([(1, text, 3)], "doc_id long, text string, n_chars long")
+    spans = pii.pii_report(df).first().spans
+    assert "ssn:4:15" in spans and "secret:" in spans
+    masked = pii.mask(df).first()
+    assert "123-45" not in masked.text and "9f8a" not in masked.text and "12345 of 17" in masked.text
+    assert masked.n_chars == len(masked.text)
+
+
+# --- op5, op10 -----------------------------------------------------------------------------------------------------
+
+
+def test_quality_classifier(spark, sf):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = queries.op5_quality_classifier(spark, "/root/testdata/sf0.01").collect()
+    known = [(r.accepted, labels[r.doc_id]) for r in rows if labels.get(r.doc_id) is not None]
+    assert len(rows) == 1000 and sum(a == bool(q) for a, q in known) / len(known) >= 0.85
+
+
+def test_quality_classifier_odd_rows(odd, empty, labels):
+    rows = quality_classifier.classifier_report(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.probability <= 1 for r in rows)
+    assert quality_classifier.classifier_report(empty, labels).collect() == []
+    assert quality_classifier.classifier_report(odd, labels.limit(0)).filter("accepted").count() == len(ODD)
+    assert quality_classifier.accepted(odd, labels).columns == odd.columns
+
+
+def test_site_posteriors_shrink(spark):
+    rows = [("h", "big", 1.0)] * 200 + [("h", "small", 1.0)] + [("g", "big", 0.0)] * 200 + [("g", "small", 1.0)]
+    sites, all_ = quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    got = {(r.host, r.path): r.site for r in sites.collect()}
+    assert got["h", "big"] > got["g", "small"] > got["g", "big"] and got["g", "small"] < all_ + 0.3
+
+
+def test_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.op10_toxicity(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    known = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    assert sum(p == t for p, t in known) / len(known) >= 0.95
+    bad = [p for p, t in known if t == 1]
+    assert not bad or sum(bad) / len(bad) >= 0.8
+
+
+def test_toxicity_odd_rows(odd, empty, labels):
+    rows = toxicity.toxicity_report(odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity_report(empty, labels).collect() == []
+    assert toxicity.toxicity_report(odd, labels.limit(0)).count() == len(ODD)
+
+
+def test_clause_grammar():
+    score = lambda s: toxicity.clause_weight(s.split(), {"idiot": 2.0})
+    assert score("you are an idiot") > score("an idiot") > score("not an idiot") > 0
+    assert score("they said an idiot") < score("an idiot")
+    assert score("i will kill you") > 0 == score("kill the process")
+
+
+# --- op6 -----------------------------------------------------------------------------------------------------------
+
+
+def tokens_of(text):
+    return [*words(re.sub("[A-Z]", lambda m: m[0].lower(), text)), "\n"]
+
+
+def test_lm_base_and_model(spark, sf, texts):
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in texts}
+    counts = Counter(w for i, t, _ in texts if not out[i] for w in tokens_of(t))
+    n, v = sum(counts.values()), len(counts)
+    by_id = {i: tokens_of(t) for i, t, _ in texts}
+    rows = queries.op6_lm(spark, sf).collect()
+    model = base = 0.0
+    for r in rows:
+        ws = by_id[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
+        if r.held_out:
+            model, base = model + r.score, base + r.base_score
+    assert model > base  # less perplexed on held-out texts than the word model
+
+
+def test_lm_filter_reads_back_levels():
+    items = lm.mix(np.arange(5000, dtype=np.uint64))
+    n = np.random.default_rng(1).integers(1, 400, 5000)
+    bits = np.zeros(lm.SEGMENTS * 256, dtype=np.uint8)
+    for j in range(1, lm.level_of(n).max() + 1):
+        some = items[lm.level_of(n) >= j]
+        a, b = lm.halves(some, j)
+        for i in range(lm.HASHES):
+            at = lm.segment(some) * 2048 + lm.position(a, b, i, 2048)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    got = lm.BloomCounts(bits).level(items)
+    assert (got >= lm.level_of(n)).all() and (got == lm.level_of(n)).mean() > 0.99
+
+
+def test_lm_odd_rows(odd, empty):
+    assert lm.lm_report(odd).count() == len(ODD)
+    assert lm.lm_report(empty).collect() == []
+
+
+# --- op7, op8 ------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def plain():
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def check_bpe(rows, by_key, plain):
+    for r in rows:
+        ids = plain.encode(by_key[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe(spark, sf, texts, plain, odd, empty):
+    check_bpe(queries.op7_bpe(spark, sf).collect(), {i: t for i, t, _ in texts}, plain)
+    rows = bpe.bpe_report(odd).collect()
+    assert len(rows) == len(ODD)
+    check_bpe(rows, {x[0]: x[1] or "" for x in ODD}, plain)
+    assert bpe.bpe_report(empty).collect() == []
+
+
+def test_bpe_rare_words_are_joined(spark, sf, texts, plain, monkeypatch):
+    monkeypatch.setattr(bpe, "HEAD_KEYS", 50)
+    check_bpe(queries.op7_bpe(spark, sf).collect(), {i: t for i, t, _ in texts}, plain)
+
+
+def test_bpe_decode_of_encoded(odd, plain):
+    for r in bpe.decode(bpe.encode(odd)).collect():
+        assert r.decoded == plain.decode(np.frombuffer(r.ids, dtype="<u4").tolist(), skip_special_tokens=False)
+
+
+def check_blocks(rows, docs, plain):
+    start = 0
+    ids = {}
+    for i, t in docs:
+        ids[i] = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+    for r in sorted(rows, key=lambda r: r.start):
+        want = ids[r.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(struct.pack(f"<{len(want)}I", *want)))
+        start += len(want)
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(rows, key=lambda r: r.start)]
+    assert keys == sorted(keys) and len(rows) == len(docs)
+
+
+def test_token_blocks(spark, sf, texts, plain, odd, empty, monkeypatch):
+    monkeypatch.setattr(token_blocks, "BLOCK_SYMBOLS", 1 << 12)
+    monkeypatch.setattr(token_blocks, "SHARD_SYMBOLS", 1 << 15)
+    check_blocks(queries.op8_token_blocks(spark, sf).collect(), [(i, t) for i, t, _ in texts], plain)
+    check_blocks(token_blocks.blocks_report(odd).collect(), [(x[0], x[1]) for x in ODD], plain)
+    assert token_blocks.blocks_report(empty).collect() == []
+
+
+def test_rans_checkpoints_and_checksums():
+    r = np.random.default_rng(5)
+    symbols = r.zipf(1.3, 100_000).clip(1, 3000).astype(np.uint32)
+    n = np.bincount(symbols)
+    freq = np.where(n > 0, np.maximum(1, n * ((1 << token_blocks.BITS) - 3000) // n.sum()), 0)
+    freq[1] += (1 << token_blocks.BITS) - freq.sum()
+    freq = freq.astype(np.uint64)
+    cum, slots = token_blocks.tables(freq)
+    block = token_blocks.encode_block(symbols, [7, None], [60_000, 40_000], freq, cum)
+    ids, counts, got = token_blocks.decode_block(block, freq, cum, slots)
+    assert ids == [7, None] and counts.tolist() == [60_000, 40_000] and np.array_equal(got, symbols)
+    size = token_blocks.CHECKPOINT * token_blocks.LANES
+    assert np.array_equal(token_blocks.decode_block(block, freq, cum, slots, part=1)[2], symbols[size : 2 * size])
+    for at in (5, len(block) // 2, len(block) - 1):
+        with pytest.raises(ValueError):
+            token_blocks.decode_block(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :], freq, cum, slots)
+
+
+# --- op9 -----------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return [root(i) for i in range(len(fps))]
+
+
+def test_simhash(spark, sf, texts, odd, empty):
+    docs = sorted(texts)
+    fps = [brute_fingerprint(t) for _, t, _ in docs]
+    comp = brute_components(fps)
+    want = {d[0]: (f"{f:016x}", docs[c][0]) for d, f, c in zip(docs, fps, comp)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, sf).collect()} == want
+    got = simhash.simhash_components(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2, 3, 7, 8)} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert simhash.simhash_components(empty).collect() == []
+    kept = [r.doc_id for r in simhash.keep_one(odd).collect()]
+    assert kept.count(4) == 1 and 8 not in kept and None in kept
+
+
+@pytest.mark.parametrize("rows", [64, 1 << 20])
+def test_simhash_links_lose_nothing(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    x = base[r.integers(0, 300, 1500)]
+    for _ in range(4):
+        x = x ^ (np.uint64(1) << r.integers(0, 64, len(x)).astype(np.uint64)) * r.integers(0, 2, len(x)).astype(np.uint64)
+    fps = sorted({int(v) for v in x})
+    want = brute_components(fps)
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in fps], "fp long")
+    edges = simhash.links(df).collect()
+    index = {v - (1 << 64) if v >> 63 else v: i for i, v in enumerate(fps)}
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for e in edges:
+        p, q = root(index[e.a]), root(index[e.b])
+        parent[max(p, q)] = min(p, q)
+    assert [root(i) for i in range(len(fps))] == want
