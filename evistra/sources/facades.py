@@ -63,7 +63,7 @@ def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TURNS_SQL = """
-acts AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, value,
+acts AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, value,
   CASE event_type WHEN 'click' THEN 'get_profile' WHEN 'view' THEN 'search_policy' WHEN 'signup' THEN 'check_eligibility'
                   WHEN 'purchase' THEN 'execute_refund' WHEN 'error' THEN 'record_denial' ELSE 'handoff' END AS tool
   FROM events)"""
@@ -75,4 +75,4 @@ def acts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     tool = F.lit("handoff")
     for kind, name in TOOLS.items():
         tool = F.when(F.col("event_type") == kind, name).otherwise(tool)
-    return load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "value", tool.alias("tool"))
+    return load(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", "value", tool.alias("tool"))
