@@ -122,23 +122,22 @@ def frequent(counts: DataFrame, limit: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
-def _packed(ids: np.ndarray, small: bool) -> bytes:
-    """Ids for the shuffle: width, length, and their bytes by significance, compressed."""
-    width = 2 if small else 4
-    raw = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+def _packed(at: np.ndarray) -> bytes:
+    """Numbers for the shuffle: length, and their bytes by significance, compressed."""
+    raw = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    width, size = packed[0], int.from_bytes(packed[1:9], "little")
+    size = int.from_bytes(packed[:8], "little")
     if not size:
         return np.empty(0, dtype="<u4")
-    raw = np.frombuffer(pa.decompress(packed[9:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(f"<u{width}").astype("<u4")
+    raw = np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
 
 
 class _Memo(dict):
-    """word -> ids, or the word's keys where some are not in the head table."""
+    """word -> places in the head table, or the word's keys where some are not in it."""
 
     def __init__(self, head: dict[str, bytes]):
         self.head = head
@@ -177,8 +176,10 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     spark, path = docs.sparkSession, path or default_path()
     table = word_table(docs, path)
     least = frequent(table, HEAD_KEYS)
-    head_rows = table.filter(F.col("n") >= least).select("key", "ids").toArrow()
-    head = spark.sparkContext.broadcast(dict(zip(head_rows.column(0).to_pylist(), head_rows.column(1).to_pylist())))
+    # the most frequent first: small places, which compress well
+    head_rows = table.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").select("key", "ids").toArrow()
+    head = spark.sparkContext.broadcast({k: i.to_bytes(4, "little") for i, k in enumerate(head_rows.column(0).to_pylist())})
+    head_ids = spark.sparkContext.broadcast(head_rows.column(1).to_pylist())
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(head.value)
@@ -192,17 +193,16 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
                         at += len(got)
                         continue
                     for k in got:
-                        if (ids := memo.head.get(k)) is None:
+                        if (place := memo.head.get(k)) is None:
                             holes.append(at >> 2)
                             keys.append(k)
                         else:
-                            parts.append(ids)
-                            at += len(ids)
+                            parts.append(place)
+                            at += len(place)
                 known.append(np.frombuffer(b"".join(parts), dtype="<u4"))
                 places.append(holes)
                 missing.append(keys)
-            small = all(len(x) == 0 or x.max() < 1 << 16 for x in known)
-            packed = [_packed(x, small) for x in known]
+            packed = [_packed(x) for x in known]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(missing, pa.list_(pa.string()))], names=["doc_id", "mark", "known", "places", "missing"])
 
     text = text_column(docs)
@@ -223,19 +223,20 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path) if decoded else None
+        of_place = head_ids.value.__getitem__
         for b in slices(batches):
             out = []
             for packed, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
-                known = _unpacked(packed)
-                if not got:
-                    out.append(known.tobytes())
-                    continue
-                ids = {x["at"]: x["ids"] for x in got}  # rows that repeat give each place again
-                parts, last = [], 0
-                for i, place in enumerate(places):
-                    parts += [known[last:place].tobytes(), ids[i]]
-                    last = place
-                out.append(b"".join([*parts, known[last:].tobytes()]))
+                parts = list(map(of_place, _unpacked(packed).tolist()))
+                if got:
+                    ids = {x["at"]: x["ids"] for x in got}  # rows that repeat give each place again
+                    known, parts, last = parts, [], 0
+                    for i, place in enumerate(places):
+                        parts += known[last:place]
+                        parts.append(ids[i])
+                        last = place
+                    parts += known[last:]
+                out.append(b"".join(parts))
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
             if pieces:
                 cols["decoded"] = pa.array(map(pieces.text, out), pa.string())
