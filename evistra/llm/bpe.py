@@ -29,6 +29,7 @@ HEAD_KEYS, MEMO_WORDS = 700_000, 120_000
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_ONE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
 _TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
@@ -71,6 +72,30 @@ def keys_of(word: str) -> list[str]:
     return [word]
 
 
+def encode_keys(t: Tokenizer, ends: np.ndarray, keys: list[str], together: int = 256) -> dict[str, bytes]:
+    """The ids of each key as unsigned 32-bit little-endian; `ends` tells which ids end a piece.
+
+    Keys that are one piece go to the tokenizer in rows, cut again at the ids that end a piece; others on their own.
+    """
+    one = [k for k in keys if "<|" not in k and _ONE_PIECE.fullmatch(k)]
+    out: dict[str, bytes] = {}
+    for at in range(0, len(one), together):
+        row = one[at : at + together]
+        ids = np.array(t.encode(" ".join(row), add_special_tokens=False).ids, dtype="<u4")
+        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(cuts) == len(row):
+            raw = ids.tobytes()
+            out.update(zip(row, (raw[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
+    rest = [k for k in keys if k not in out]
+    out.update((k, np.array(e.ids, dtype="<u4").tobytes()) for k, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False)))
+    return out
+
+
+def piece_ends(t: Tokenizer) -> np.ndarray:
+    """Whether each id ends a piece of text."""
+    return np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(max(t.get_vocab().values()) + 1)])
+
+
 def key_counts(docs: DataFrame) -> DataFrame:
     """(key, n): the distinct keys of all texts, summed per worker before they are shuffled."""
 
