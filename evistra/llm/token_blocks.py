@@ -28,6 +28,8 @@ from evistra.llm.bpe import MEMO_WORDS, default_path, encode_keys, keys_of, piec
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK_SYMBOLS, SHARD_SYMBOLS, BITS = 512, 128, 1 << 18, 1 << 23, 20
+#: Shards whose offsets, 16 bytes each, are broadcast to the reader; beyond it they are joined.
+BROADCAST_SHARDS = 1 << 20
 _HEAD = struct.Struct("<4sIQIIQ")
 _LOW, _MASK, _WORD = np.uint64(1 << 31), np.uint64((1 << BITS) - 1), np.uint64(0xFFFFFFFF)
 
@@ -236,7 +238,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     docs = blocks.select("shard", "start", "payload").mapInArrow(run, "shard int, doc_id long, within long, n_tokens long, ids binary")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
+    # as long as shards are few their offsets go to the ids, not the ids to them
+    few = F.broadcast(before) if shards.count() <= BROADCAST_SHARDS else before
+    return docs.join(few, "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def blocks_report(docs: DataFrame, path: str | None = None) -> DataFrame:
