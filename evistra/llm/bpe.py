@@ -8,10 +8,13 @@ looks every id up in the id-to-piece table, whose size the vocabulary file fixes
 
 from __future__ import annotations
 
+import gc
 import re
+import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,8 @@ _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _ONE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
@@ -72,28 +77,43 @@ def keys_of(word: str) -> list[str]:
     return [word]
 
 
-def encode_keys(t: Tokenizer, ends: np.ndarray, keys: list[str], together: int = 256) -> dict[str, bytes]:
-    """The ids of each key as unsigned 32-bit little-endian; `ends` tells which ids end a piece.
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Millions of small objects come and go in such a pass, none of them in a cycle: don't search them for cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
-    Keys that are one piece go to the tokenizer in rows, cut again at the ids that end a piece; others on their own.
-    """
-    one = [k for k in keys if "<|" not in k and _ONE_PIECE.fullmatch(k)]
-    out: dict[str, bytes] = {}
-    for at in range(0, len(one), together):
-        row = one[at : at + together]
-        ids = np.array(t.encode(" ".join(row), add_special_tokens=False).ids, dtype="<u4")
-        cuts = (np.flatnonzero(ends[ids]) + 1) * 4
-        if len(cuts) == len(row):
-            raw = ids.tobytes()
-            out.update(zip(row, (raw[i:j] for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
-    rest = [k for k in keys if k not in out]
-    out.update((k, np.array(e.ids, dtype="<u4").tobytes()) for k, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False)))
-    return out
-
-
-def piece_ends(t: Tokenizer) -> np.ndarray:
-    """Whether each id ends a piece of text."""
-    return np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(max(t.get_vocab().values()) + 1)])
+
+class WordIds(dict):
+    """word -> its ids as unsigned 32-bit little-endian; starts anew when it holds too many words."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.keys = tokenizer(path), {}
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 2 * MEMO_WORDS:
+            self.clear()
+        if len(self.keys) > 2 * MEMO_WORDS:
+            self.keys.clear()
+        keys = [word] if word.isascii() and word.isalpha() else keys_of(word)
+        self[word] = got = self.of_key(keys[0]) if len(keys) == 1 else b"".join(map(self.of_key, keys))
+        return got
+
+    def of_key(self, key: str) -> bytes:
+        got = self.keys.get(key)
+        if got is None:
+            if "<|" in key or not _ONE_PIECE.fullmatch(key):
+                ids = self.tokenizer.encode(key, add_special_tokens=False).ids
+            else:  # one piece, which the model takes as it is, its bytes written as characters
+                ids = [x.id for x in self.model.tokenize(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
+            self.keys[key] = got = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
 
 def key_counts(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evistra.llm._common import materialize, shared_dir, slices, text_column
-from evistra.llm.bpe import MEMO_WORDS, default_path, encode_keys, keys_of, piece_ends, tokenizer, words_of
+from evistra.llm.bpe import WordIds, default_path, no_cycle_search, words_of
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK_SYMBOLS, SHARD_SYMBOLS, BITS = 512, 128, 1 << 18, 1 << 23, 20
@@ -34,42 +34,15 @@ _HEAD = struct.Struct("<4sIQIIQ")
 _LOW, _MASK, _WORD = np.uint64(1 << 31), np.uint64((1 << BITS) - 1), np.uint64(0xFFFFFFFF)
 
 
-def runs(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
-    """Consecutive texts of together about `size` characters, or one longer text."""
-    some, n = [], 0
-    for text in texts:
-        if some and n + len(text) > size:
-            yield some
-            some, n = [], 0
-        some.append(text)
-        n += len(text)
-    if some:
-        yield some
-
-
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of whole texts with END_ID after each; ids are unsigned 32-bit little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        ends = piece_ends(t)
-        keys: dict[str, bytes] = {}
-        memo: dict[str, bytes] = {}
+        of_word = WordIds(path).__getitem__
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in slices(batches):
-            out = []
-            for some in runs(b.column(1).to_pylist()):
-                split = [words_of(text) for text in some]
-                words = set().union(*split)
-                if len(memo) > 2 * MEMO_WORDS:
-                    memo = {}
-                parts = {w: [w] if w.isascii() and w.isalpha() else keys_of(w) for w in words.difference(memo)}
-                if len(keys) > 2 * MEMO_WORDS:
-                    keys = {}
-                keys |= encode_keys(t, ends, list({k for ks in parts.values() for k in ks}.difference(keys)))
-                for w, ks in parts.items():
-                    memo[w] = keys[ks[0]] if len(ks) == 1 else b"".join([keys[k] for k in ks])
-                out += [b"".join(map(memo.__getitem__, ws)) + end for ws in split]
+            with no_cycle_search():
+                out = [b"".join(map(of_word, words_of(text))) + end for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) >> 2 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
