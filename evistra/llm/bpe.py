@@ -167,17 +167,17 @@ def frequent(counts: DataFrame, limit: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
-def _packed(at: np.ndarray) -> bytes:
+def packed(at: np.ndarray) -> bytes:
     """Numbers for the shuffle: length, and their bytes by significance, compressed."""
     raw = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    size = int.from_bytes(packed[:8], "little")
+def unpacked(row: bytes) -> np.ndarray:
+    size = int.from_bytes(row[:8], "little")
     if not size:
         return np.empty(0, dtype="<u4")
-    raw = np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    raw = np.frombuffer(pa.decompress(row[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
 
 
@@ -247,8 +247,8 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
                 known.append(np.frombuffer(b"".join(parts), dtype="<u4"))
                 places.append(holes)
                 missing.append(keys)
-            packed = [_packed(x) for x in known]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(missing, pa.list_(pa.string()))], names=["doc_id", "mark", "known", "places", "missing"])
+            rows = [packed(x) for x in known]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(missing, pa.list_(pa.string()))], names=["doc_id", "mark", "known", "places", "missing"])
 
     text = text_column(docs)
     halves = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(first, "doc_id long, mark long, known binary, places array<int>, missing array<string>")
@@ -271,8 +271,8 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
         of_place = head_ids.value.__getitem__
         for b in slices(batches):
             out = []
-            for packed, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
-                parts = list(map(of_place, _unpacked(packed).tolist()))
+            for row, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
+                parts = list(map(of_place, unpacked(row).tolist()))
                 if got:
                     ids = {x["at"]: x["ids"] for x in got}  # rows that repeat give each place again
                     known, parts, last = parts, [], 0

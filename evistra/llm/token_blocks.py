@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evistra.llm._common import materialize, shared_dir, slices, text_column
-from evistra.llm.bpe import WordIds, default_path, no_cycle_search, words_of
+from evistra.llm.bpe import WordIds, default_path, no_cycle_search, packed, unpacked, words_of
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK_SYMBOLS, SHARD_SYMBOLS, BITS = 512, 128, 1 << 18, 1 << 23, 20
@@ -35,7 +35,7 @@ _LOW, _MASK, _WORD = np.uint64(1 << 31), np.uint64((1 << BITS) - 1), np.uint64(0
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of whole texts with END_ID after each; ids are unsigned 32-bit little-endian."""
+    """(doc_id, n_tokens, ids) of whole texts with END_ID after each; ids are packed for the disk and the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_word = WordIds(path).__getitem__
@@ -43,7 +43,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches):
             with no_cycle_search():
                 out = [b"".join(map(of_word, words_of(text))) + end for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) >> 2 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) >> 2 for x in out], pa.int64()), pa.array([packed(np.frombuffer(x, dtype="<u4")) for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -54,7 +54,7 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for b in slices(batches):
-            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="<u4"))
+            n = np.bincount(np.concatenate([unpacked(x) for x in b.column(0).to_pylist()]))
             if len(n) > len(total):
                 total = np.pad(total, (0, len(n) - len(total)))
             total[: len(n)] += n
@@ -175,7 +175,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
-                parts.append(np.frombuffer(x, dtype="<u4"))
+                parts.append(unpacked(x))
                 counts.append(len(parts[-1]))
                 if sum(counts[-1:]) >= BLOCK_SYMBOLS or len(counts) % 16 == 0 and sum(counts) >= BLOCK_SYMBOLS:
                     yield block()
@@ -219,7 +219,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def blocks_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """What the files hold of each document.
 
-    A null text is empty and holds the end id alone; rows with equal doc_ids follow one another, ordered by their ids;
+    A null text is empty and holds the end id alone; rows with equal doc_ids follow one another, ordered by their packed ids;
     rows with a null doc_id come first.
     """
     folder = f"{shared_dir(docs.sparkSession)}/evistra/{docs.sparkSession.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}"
