@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 RRF_K, CAP, MIN_SCORE, TOP_K = 20, 20, 0.30, 4
 K1, B = 1.2, 0.75
+#: Queries broadcast, or held by a task, at most; rows of a slice that meet a block of queries in one task.
+QUERY_BLOCK, ROW_SLICE = 1024, 65536
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -26,9 +28,23 @@ def top_k(scored: DataFrame, keys: list[str], k: Column | int, ties: str) -> Dat
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def held_against(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str) -> DataFrame:
+    """Every row with every query of a stated set. Up to QUERY_BLOCK queries are broadcast; more meet the rows in a grid
+    of query blocks and row slices, so that no task holds more than a block and a slice."""
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return rows.crossJoin(F.broadcast(queries))
+    blocks, slices = -(-n // QUERY_BLOCK), -(-max(1, rows.count()) // ROW_SLICE)
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = queries.withColumn("_block", part(query_id, blocks)).withColumn("_slice", all_of(slices))
+    r = rows.withColumn("_slice", part(row_id, slices)).withColumn("_block", all_of(blocks))
+    return r.join(q, ["_block", "_slice"]).drop("_block", "_slice")
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, layer, chunk_id, score, rank) per query and layer. queries (a stated set) are held against all chunks."""
-    pairs = chunks.join(F.broadcast(queries.select("query_id", "qvec")), F.size("vec") == F.size("qvec"))
+    pairs = held_against(chunks, queries.select("query_id", "qvec"), "chunk_id", "query_id").filter(F.size("vec") == F.size("qvec"))
     return top_k(pairs.select("query_id", "layer", "chunk_id", F.round(dot("vec", "qvec"), 6).alias("score")), ["query_id", "layer"], k, "chunk_id")
 
 
@@ -47,7 +63,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     d = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     tf = (
-        d.select("doc_id", "dl", F.explode("t").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
+        d.select("doc_id", "dl", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term")
         .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -41,7 +41,7 @@ def asof_policy_filter(spark, sf_dir):
 
 _DENSE_SQL = f"""WITH {CHUNKS_SQL},
 dense_scored AS (SELECT q.vec_id AS query_id, layer, chunk_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS score
-  FROM live JOIN embeddings e ON chunk_id = e.vec_id, embeddings q WHERE q.vec_id < 20),
+  FROM live JOIN embeddings e ON chunk_id = e.vec_id, embeddings q WHERE q.vec_id % 20 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, chunk_id) AS rank FROM dense_scored QUALIFY rank <= 12)
 """
 
@@ -50,7 +50,7 @@ dense AS (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY sco
 def dense_topk(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     chunks = live_chunks(spark, sf_dir).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")), "chunk_id")
-    return R.dense_topk(e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), chunks.select("chunk_id", "layer", "vec"), 12)
+    return R.dense_topk(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), chunks.select("chunk_id", "layer", "vec"), 12)
 
 
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -75,10 +75,10 @@ def bm25_topk(spark, sf_dir):
 
 _RANKED_SQL = f"""WITH {CHUNKS_SQL}, {_BM25_SQL},
 dense_scored AS (SELECT q.vec_id AS query_id, layer, chunk_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS score
-  FROM live JOIN embeddings e ON chunk_id = e.vec_id, embeddings q WHERE q.vec_id < 20),
+  FROM live JOIN embeddings e ON chunk_id = e.vec_id, embeddings q WHERE q.vec_id % 20 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, chunk_id) AS rank FROM dense_scored QUALIFY rank <= 12),
 sparse AS (SELECT query_id, layer, chunk_id, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, chunk_id) AS rank
-  FROM bm JOIN live ON doc_id = chunk_id WHERE query_id < 20 QUALIFY rank <= 12),
+  FROM bm JOIN live ON doc_id = chunk_id QUALIFY rank <= 12),
 ranked AS (SELECT query_id, 's' || (query_id % 2 + 1) AS sub_id, layer, 'bm25' AS path, chunk_id, rank FROM sparse
   UNION ALL SELECT query_id, 's1', layer, 'dense', chunk_id, rank FROM dense),
 fused AS (SELECT query_id, chunk_id, sum(1.0 / (20 + rank)) AS rrf, count(*) AS n_hits, count(DISTINCT sub_id) AS n_subs, min(sub_id || '|' || layer || '|' || path || '|' || lpad(CAST(rank AS VARCHAR), 4, '0')) AS first_seen
@@ -89,7 +89,7 @@ fused AS (SELECT query_id, chunk_id, sum(1.0 / (20 + rank)) AS rrf, count(*) AS
 def _ranked(spark, sf_dir):
     """Ranked lists of two paths; the text path of odd queries is a second sub-query."""
     dense = dense_topk(spark, sf_dir).select("query_id", F.lit("s1").alias("sub_id"), "layer", F.lit("dense").alias("path"), "chunk_id", "rank")
-    bm = R.bm25_scores(_texts(spark, sf_dir).filter("query_id < 20"), load(spark, sf_dir, "documents"))
+    bm = R.bm25_scores(_texts(spark, sf_dir), load(spark, sf_dir, "documents"))
     bm = bm.join(live_chunks(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "layer"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     sparse = R.top_k(bm, ["query_id", "layer"], 12, "chunk_id")
     return sparse.select("query_id", F.concat(F.lit("s"), (F.col("query_id") % 2 + 1).cast("string")).alias("sub_id"), "layer", F.lit("bm25").alias("path"), "chunk_id", "rank").union(dense)
@@ -176,7 +176,7 @@ def search_policy_batch(spark, sf_dir):
     e = _evidence(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence_ids"))
     s = assemble_sections(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("section", "doc", "score", "n_tokens", "text"))).alias("sections"))
     status = F.when(F.col("candidate_ids").isNull(), "no_candidates").when(F.col("evidence_ids").isNull(), "no_evidence").otherwise("ok")
-    q = load(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"))
+    q = load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id")).union(_texts(spark, sf_dir).select("query_id")).distinct()
     return q.join(c, "query_id", "left").join(e, "query_id", "left").join(s, "query_id", "left").withColumn("status", status)
 
 
@@ -188,6 +188,6 @@ def term_overlap(spark, sf_dir):
     terms = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}|[0-9]+"), F.lit(0)))
     t = load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source", terms("text").alias("terms"))
     q = load(spark, sf_dir, "benchmark").select("item_id", terms("text").alias("want"))
-    pairs = t.crossJoin(F.broadcast(q)).select("item_id", "source", F.size(F.array_intersect("want", "terms")).cast("long").alias("overlap"), "doc_id")
+    pairs = R.held_against(t, q, "doc_id", "item_id").select("item_id", "source", F.size(F.array_intersect("want", "terms")).cast("long").alias("overlap"), "doc_id")
     best = pairs.groupBy("item_id", "source").agg(F.max(F.struct("overlap", "doc_id")).alias("m"))
     return best.select("item_id", "source", "m.overlap", "m.doc_id")
