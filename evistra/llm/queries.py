@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistra.llm import bpe, embedding_dedup, lm, mixing, pii, quality_classifier, quality_rules, simhash, token_blocks, toxicity
+from evistra.llm import bpe, embedding_dedup, lm, mixing, pii, quality_classifier, quality_rules, simhash, sql, token_blocks, toxicity
 from evistra.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,4 +53,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_embedding_dedup, op4_pii, op5_quality_classifier, op6_lm, op7_bpe, op8_token_blocks, op9_simhash, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
