@@ -2,10 +2,10 @@
 
 Counts of words, of bigrams, and of each word's distinct followers are quantised on a logarithmic scale; a count of
 level q puts (n-gram, 1) to (n-gram, q) into one Bloom filter, and a reader probes levels until one is missing. The
-filter is cut into segments by the n-gram's hash, built where the counts lie, and broadcast: its size is bounded by
-MAX_BITS. When the bigrams outgrow that, those of the lowest levels leave the filter (the usual count cutoff) and
-their mass goes to the word model. Probabilities are interpolated absolute discounting, the discount estimated from
-the corpus' counts of counts, over the same additive word model as the base score.
+filter is cut into segments of bounded size by the n-gram's hash, built where the counts lie, and stays in rows: its
+size follows the entries, and no n-gram leaves it. Runs of texts send their different n-grams to the segments and get
+the levels back. Probabilities are interpolated absolute discounting, the discount estimated from the corpus' counts
+of counts, over the same additive word model as the base score.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistra.llm._common import batches_of, materialize, slices, text_column
+from evistra.llm._common import batches_of, groups, materialize, slices, text_column
 from evistra.llm.bpe import frequent
 
-#: Bits of the filter at most, hashes per entry, base of the levels, segments.
-MAX_BITS, HASHES, BASE, SEGMENTS = 1 << 29, 4, 1.25, 4096
+#: Bits of a segment at most, hashes per entry, base of the levels, segments at least.
+SEGMENT_BITS, HASHES, BASE, SEGMENTS = 1 << 22, 4, 1.25, 4096
+#: Bytes of texts that ask the filter together.
+RUN_BYTES = 6 << 20
 HEAD_WORDS, MEMO_WORDS, CHUNK_WORDS = 100_000, 80_000, 100_000
 #: The end of a text as a token, and the place before the first word; neither can be a word.
 END, START = b"\n", b""
@@ -50,8 +53,30 @@ def position(a: np.ndarray, b: np.ndarray, i: int, segment_bits: int) -> np.ndar
     return ((a + np.uint64(i) * b) % np.uint64(segment_bits)).astype(np.int64)
 
 
-def segment(item: np.ndarray) -> np.ndarray:
-    return (item >> np.uint64(52)).astype(np.int64)
+def segment(item: np.ndarray, cut: int = 0) -> np.ndarray:
+    """The item's segment, of SEGMENTS << cut."""
+    return (item >> np.uint64(52 - cut)).astype(np.int64)
+
+
+def item_of(key: np.ndarray, kind: np.uint64) -> np.ndarray:
+    """The key's item: 44 bits of hash, whose clashes are far rarer than what the filter itself finds by mistake."""
+    return mix(key ^ kind) & ~np.uint64(0xFFFFF)
+
+
+def probe(bits: np.ndarray, base: np.ndarray, segment_bits: int, item: np.ndarray) -> np.ndarray:
+    """The highest level up to which all are present, probed one by one; base is where the item's segment begins."""
+    found = np.zeros(len(item), dtype=np.int64)
+    live = np.arange(len(item))
+    for j in range(1, len(_LEVELS) + 1):
+        a, b = halves(item[live], j)
+        for i in range(HASHES):
+            at = base[live] + position(a, b, i, segment_bits)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            live, a, b = live[hit], a[hit], b[hit]
+        if not len(live):
+            break
+        found[live] = j
+    return found
 
 
 class BloomCounts:
@@ -61,20 +86,7 @@ class BloomCounts:
         self.bits, self.segment_bits = bits, len(bits) * 8 // SEGMENTS
 
     def level(self, item: np.ndarray) -> np.ndarray:
-        """The highest level up to which all are present, probed one by one."""
-        found = np.zeros(len(item), dtype=np.int64)
-        live = np.arange(len(item))
-        base = segment(item) * self.segment_bits
-        for j in range(1, len(_LEVELS) + 1):
-            a, b = halves(item[live], j)
-            for i in range(HASHES):
-                at = base[live] + position(a, b, i, self.segment_bits)
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                live, a, b = live[hit], a[hit], b[hit]
-            if not len(live):
-                break
-            found[live] = j
-        return found
+        return probe(self.bits, segment(item) * self.segment_bits, self.segment_bits, item)
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -201,11 +213,11 @@ def entries(df: DataFrame) -> np.ndarray:
     return out
 
 
-def bloom(parts: list[tuple[DataFrame, bool]], segment_bits: int) -> np.ndarray:
-    """The filter's bytes from frames of (seg, item, n), each dealt by seg or, where the flag is unset, not yet."""
+def bloom(parts: list[tuple[DataFrame, bool]], segment_bits: int, cut: int) -> DataFrame:
+    """The filter's (seg, bits) from frames of (seg, item, n), each dealt by seg or, where the flag is unset, not yet."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(SEGMENTS, -1, dtype=np.int64)
+        slot = np.full(SEGMENTS << cut, -1, dtype=np.int64)
         bits = np.zeros((0, segment_bits // 8), dtype=np.uint8)
         for b in batches:
             seg, item, n = (b.column(i).to_numpy() for i in range(3))
@@ -231,15 +243,10 @@ def bloom(parts: list[tuple[DataFrame, bool]], segment_bits: int) -> np.ndarray:
     for df, dealt in parts:
         one = (df if dealt else df.repartition("seg")).mapInArrow(fill, "seg int, bits binary")
         made = one if made is None else made.union(one)
-    out = np.zeros(SEGMENTS * segment_bits // 8, dtype=np.uint8)
-    rows = made.groupBy("seg").applyInArrow(unite, "seg int, bits binary").toArrow()
-    for seg, bits in zip(rows.column(0), rows.column(1)):
-        at = seg.as_py() * segment_bits // 8
-        out[at : at + segment_bits // 8] = np.frombuffer(bits.as_py(), dtype=np.uint8)
-    return out
+    return materialize(made.groupBy("seg").applyInArrow(unite, "seg int, bits binary"), "lm-filter")
 
 
-def with_items(df: DataFrame, kind: np.uint64) -> DataFrame:
+def with_items(df: DataFrame, kind: np.uint64, cut: int) -> DataFrame:
     """(seg, item, n) from (key, n), with a long key or a word."""
     salt = int(kind)
 
@@ -247,20 +254,32 @@ def with_items(df: DataFrame, kind: np.uint64) -> DataFrame:
         for b in batches:
             key = b.column(0)
             key = hashes(key.to_pylist()) if pa.types.is_binary(key.type) or pa.types.is_large_binary(key.type) else key.to_numpy().view(np.uint64)
-            item = mix(key ^ np.uint64(salt))
-            yield pa.RecordBatch.from_arrays([pa.array(segment(item).astype(np.int32)), pa.array(item.view(np.int64)), b.column(1)], names=["seg", "item", "n"])
+            item = item_of(key, np.uint64(salt))
+            yield pa.RecordBatch.from_arrays([pa.array(segment(item, cut).astype(np.int32)), pa.array(item.view(np.int64)), b.column(1)], names=["seg", "item", "n"])
 
     return df.select("key", "n").mapInArrow(run, "seg int, item long, n long")
 
 
 class Model:
-    """What is broadcast: the filter, three corpus totals, and the exact counts of the most frequent words."""
+    """What is broadcast: three corpus totals, and the exact counts of the most frequent words."""
+
+    def __init__(self, tokens: int, types: int, discount: float, head: dict[bytes, int]):
+        self.tokens, self.types, self.discount, self.head = tokens, types, discount, head
+
+    @property
+    def start(self) -> float:
+        """How often a text begins: as often as one ends."""
+        return float(self.head.get(END, 0))
+
+
+class Filter:
+    """The filter's segments as rows (seg, bits), with their size and how often SEGMENTS was doubled."""
 
-    def __init__(self, bits: np.ndarray, tokens: int, types: int, discount: float, head: dict[bytes, int]):
-        self.bits, self.tokens, self.types, self.discount, self.head = bits, tokens, types, discount, head
+    def __init__(self, rows: DataFrame, segment_bits: int, cut: int):
+        self.rows, self.segment_bits, self.cut = rows, segment_bits, cut
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
+def train(docs: DataFrame) -> tuple[Model, Filter, DataFrame, int]:
     """The model of all documents, their word counts, and the least count of a word in the model's head."""
     words = materialize(word_counts(docs), "lm-words")
     total = words.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -269,92 +288,152 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
     by_word, by_follow, by_pair = entries(words), entries(followers), entries(pairs)
     once, twice = int(by_pair[1]), int(by_pair[2])  # the two lowest levels hold one count each
     discount = once / (once + 2 * twice) if once else 0.5
-    levels = np.arange(len(by_pair))
-    always = int((levels * by_word).sum() + (levels * by_follow).sum())
-    cutoff = 1
-    while cutoff < len(_LEVELS) and (always + (levels * by_pair)[cutoff:].sum()) * HASHES / np.log(2) > MAX_BITS:
-        cutoff += 1
-    count = always + int((levels * by_pair)[cutoff:].sum())
-    segment_bits = max(64, -(-int(count * HASHES / np.log(2)) // SEGMENTS // 64) * 64)
-
-    bits = bloom(
+    bits = int((np.arange(len(by_pair)) * (by_word + by_follow + by_pair)).sum() * HASHES / np.log(2))
+    cut = 0
+    while bits > SEGMENT_BITS * (SEGMENTS << cut) and cut < 18:
+        cut += 1
+    segment_bits = max(64, -(-bits // (SEGMENTS << cut) // 64) * 64)
+
+    rows = bloom(
         [
-            (with_items(words, _WORDS), False),
-            (with_items(followers, _FOLLOWERS), False),
-            (with_items(pairs.filter(F.col("n") >= int(_LEVELS[cutoff - 1])), _BIGRAMS), True),  # read as it was dealt
+            (with_items(words, _WORDS, cut), False),
+            (with_items(followers, _FOLLOWERS, cut), False),
+            (with_items(pairs, _BIGRAMS, cut), True),  # read as it was dealt
         ],
-        segment_bits,
+        segment_bits, cut,
     )
     least = frequent(words, HEAD_WORDS)
-    rows = words.filter(F.col("n") >= least).toArrow()
-    head = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-    return Model(bits, total[0] or 0, total[1], discount, head), words, least
+    top = words.filter(F.col("n") >= least).toArrow()
+    head = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
+    return Model(total[0] or 0, total[1], discount, head), Filter(rows, segment_bits, cut), words, least
+
+
+class Run:
+    """The tokens of some texts, and the different items that their scores ask for, in order."""
+
+    def __init__(self, texts: list[bytes]):
+        vocabulary = Vocabulary()
+        self.lens: list[int] = []
+        parts = []
+        for lens, at in chunks(texts, vocabulary):
+            self.lens += lens
+            parts.append(at)
+        vocabulary.extend()
+        at = np.concatenate(parts)
+        pair = at[1:] != 0
+        self.words, self.before, self.word = vocabulary.words, at[:-1][pair], at[1:][pair]
+        h = vocabulary.hash
+        self.asks = np.concatenate((item_of(h, _WORDS), item_of(h >> np.uint64(32), _FOLLOWERS), item_of(bigram(h, self.before, self.word), _BIGRAMS)))
+
+    def score(self, levels: np.ndarray, model: Model) -> Iterator[tuple[int, int, float, float, Counter]]:
+        """(tokens, known, base, score, rest) of each text; rest counts the words whose exact count isn't at hand."""
+        items, where = np.unique(self.asks, return_inverse=True)
+        if len(items) != len(levels):
+            raise RuntimeError(f"a run of texts asks for {len(items)} items and got {len(levels)} levels: it was read twice and differed")
+        mean, k = _MEAN[levels][where], len(self.words)
+        count, follow, n = mean[:k], mean[k : 2 * k], mean[2 * k :]
+        rest = model.tokens + 0.5 * (model.types + 1)
+        word = (count + 0.5) / rest
+        # a history's count is at least its number of different followers
+        seen = np.maximum(np.where(follow > 0, count, 0.0), follow)
+        seen[0] = max(model.start, follow[0])
+        open_ = np.where(seen > 0, np.clip(model.discount * follow / np.maximum(seen, 1e-9), 1e-3, 1.0), 1.0)  # share of the word model
+        exact = np.array([model.head.get(w, np.nan) for w in self.words], dtype=np.float64)
+        a, b = self.before, self.word
+        p = np.maximum(np.minimum(n, seen[a]) - model.discount, 0.0) / np.maximum(seen[a], 1e-9)
+        p = np.log10(np.minimum(p + open_[a] * word[b], 1.0))
+        base = np.log10((exact + 0.5) / rest)[b]
+        unknown = np.isnan(base)
+        ends = np.cumsum(self.lens)
+        begins = ends - self.lens
+        scores = np.add.reduceat(p, begins)
+        bases = np.add.reduceat(np.where(unknown, 0.0, base), begins)
+        missing = np.add.reduceat(unknown.astype(np.int64), begins)
+        for m, (i, j) in enumerate(zip(begins, ends)):
+            late = Counter(self.words[x] for x in b[i:j][unknown[i:j]]) if missing[m] else Counter()
+            yield self.lens[m], self.lens[m] - int(missing[m]), float(bases[m]), float(scores[m]), late
+
+
+def parted(own: DataFrame) -> DataFrame:
+    """own with its partition's number, which, unlike the task's, stays the same within a union."""
+    return own.withColumn("part", F.spark_partition_id())
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of a partition's consecutive rows, RUN_BYTES of text together; its `part` sets the numbers apart."""
+    number, held, size = None, [], 0
+    for b in slices(batches):
+        number = b.column("part")[0].as_py() << 32 if number is None else number
+        held.append(b)
+        size += b.column("text").nbytes
+        if size > RUN_BYTES:
+            yield number, pa.Table.from_batches(held)
+            number, held, size = number + 1, [], 0
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes, one after another in data."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def requests(own: DataFrame, cut: int) -> DataFrame:
+    """(seg, run, data): for each run and segment its different items in order, without the bits that name the segment."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in runs(batches):
+            items = np.unique(Run(batches_of(rows.column("text"))).asks)
+            seg, first = np.unique(segment(items, cut), return_index=True)
+            ends = np.append(first[1:], len(items)) * 4
+            low = (items >> np.uint64(20)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(seg.astype(np.int32)), pa.array(np.full(len(seg), number)), binaries(low, ends)], names=["seg", "run", "data"])
 
-class Scorer:
-    """Scores runs of texts with the model; keeps what it has read of each word."""
+    return parted(own).mapInArrow(run, "seg int, run long, data binary")
 
-    def __init__(self, model: Model):
-        self.model, self.filter, self.vocabulary = model, BloomCounts(model.bits), Vocabulary()
-        self.reset()
 
-    def reset(self) -> None:
-        self.vocabulary.reset()
-        self.word = np.empty(0)  # probability by the word model
-        self.seen = np.empty(0)  # count as a history
-        self.open = np.empty(0)  # share of the word model after it
-        self.base = np.empty(0)  # log10 of the base, nan where the exact count isn't at hand
-
-    def extend(self) -> None:
-        old = self.vocabulary.extend()
-        new = self.vocabulary.words[old:]
-        if not new:
-            return
-        h, m = self.vocabulary.hash[old:], self.model
-        rest = m.tokens + 0.5 * (m.types + 1)
-        count = _MEAN[self.filter.level(mix(h ^ _WORDS))]
-        self.word = np.concatenate((self.word, (count + 0.5) / rest))
-        follow = _MEAN[self.filter.level(mix((h >> np.uint64(32)) ^ _FOLLOWERS))]
-        # a history's count is at least its number of different followers
-        seen = np.maximum(np.where(follow > 0, count, 0.0), follow)
-        if old == 0:
-            seen[0] = max(self.start, follow[0])
-        self.seen = np.concatenate((self.seen, seen))
-        self.open = np.concatenate((self.open, np.where(seen > 0, np.clip(m.discount * follow / np.maximum(seen, 1e-9), 1e-3, 1.0), 1.0)))
-        exact = np.array([m.head.get(w, np.nan) for w in new], dtype=np.float64)
-        self.base = np.concatenate((self.base, np.log10((exact + 0.5) / rest)))
+def answers(own: DataFrame, found: Filter) -> DataFrame:
+    """(run, seg, data): the levels, a byte each, of the items that each run asks each segment for."""
+    segment_bits, cut = found.segment_bits, found.cut
 
-    @property
-    def start(self) -> float:
-        """How often a text begins: as often as one ends."""
-        return float(self.model.head.get(END, 0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = -1, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seg, number, data = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
+            raw = np.frombuffer(data.buffers()[2], dtype=np.uint8) if data.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
+            starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+            got = []
+            for i, j in zip(starts, np.append(starts[1:], len(seg))):
+                if number[i] < 0:  # the segment stands before what is asked of it
+                    held, bits = seg[i], raw[offsets[i] : offsets[i + 1]].copy()
+                    i += 1
+                low = np.frombuffer(raw[offsets[i] : offsets[j]].tobytes(), dtype="<u4")
+                if held != seg[j - 1]:
+                    got.append(np.zeros(len(low), dtype=np.uint8))  # no n-gram of the corpus lies there
+                else:
+                    item = (np.uint64(int(seg[j - 1]) >> cut) << np.uint64(52)) | (low.astype(np.uint64) << np.uint64(20))
+                    got.append(probe(bits, np.zeros(len(low), dtype=np.int64), segment_bits, item).astype(np.uint8))
+            asks = np.flatnonzero(number >= 0)
+            ends = np.cumsum((offsets[asks + 1] - offsets[asks]) // 4)
+            yield pa.RecordBatch.from_arrays([pa.array(number[asks]), pa.array(seg[asks]), binaries(np.concatenate(got), ends)], names=["run", "seg", "data"])
+
+    bits = found.rows.select("seg", F.lit(-1).cast("long").alias("run"), F.col("bits").alias("data"))
+    both = bits.union(requests(own, cut)).repartition("seg").sortWithinPartitions("seg", "run")
+    return both.mapInArrow(run, "run long, seg int, data binary")
+
+
+def numbered(own: DataFrame) -> DataFrame:
+    """own with the number of each row's run."""
 
-    def score(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float, Counter]]:
-        """(tokens, known, base, score, rest) of each text; rest counts the words whose exact count isn't at hand."""
-        for lens, at in chunks(texts, self.vocabulary):
-            self.extend()
-            pair = at[1:] != 0
-            a, b = at[:-1][pair], at[1:][pair]
-            item = mix(bigram(self.vocabulary.hash, a, b) ^ _BIGRAMS)
-            level = np.zeros(len(a), dtype=np.int64)
-            ask = np.flatnonzero(self.seen[a] > 0)
-            different, where = np.unique(item[ask], return_inverse=True)
-            level[ask] = self.filter.level(different)[where]
-            n = np.minimum(_MEAN[level], self.seen[a])
-            p = np.maximum(n - self.model.discount, 0.0) / np.maximum(self.seen[a], 1e-9)
-            p = np.log10(np.minimum(p + self.open[a] * self.word[b], 1.0))
-            base, unknown = self.base[b], np.isnan(self.base[b])
-            ends = np.cumsum(lens)
-            begins = ends - lens
-            scores = np.add.reduceat(p, begins)
-            bases = np.add.reduceat(np.where(unknown, 0.0, base), begins)
-            missing = np.add.reduceat(unknown.astype(np.int64), begins)
-            words = self.vocabulary.words
-            for k, (i, j) in enumerate(zip(begins, ends)):
-                rest = Counter(words[x] for x in b[i:j][unknown[i:j]]) if missing[k] else Counter()
-                yield lens[k], lens[k] - int(missing[k]), float(bases[k]), float(scores[k]), rest
-            if len(words) > MEMO_WORDS:
-                self.reset()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in runs(batches):
+            yield from rows.drop_columns("part").append_column("run", pa.array(np.full(rows.num_rows, number))).to_batches()
+
+    return parted(own).mapInArrow(run, "doc_id long, held_out boolean, text string, run long")
 
 
 def lm_report(docs: DataFrame) -> DataFrame:
@@ -365,18 +444,24 @@ def lm_report(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), held_out(docs["doc_id"]).alias("held_out"), text_column(docs).alias("text"))
-    model, words, least = train(own.filter(~F.col("held_out")))
+    model, found, words, least = train(own.filter(~F.col("held_out")))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in slices(batches):
-            got = list(scorer.score(batches_of(b.column(2))))
-            rest = pa.array([list(g[4].items()) for g in got], pa.map_(pa.binary(), pa.int64()))
-            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, rest], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    scored = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest map<binary,bigint>")
+        for _, rows in groups(batches, ["run"]):
+            texts = rows.filter(pa.compute.is_valid(rows.column("text")))
+            levels = np.frombuffer(b"".join(rows.column("data").drop_null().to_pylist()), dtype=np.uint8)  # by segment
+            got = list(Run(batches_of(texts.column("text"))).score(levels, shared.value))
+            for at in range(0, len(got), 1024):
+                some, part = got[at : at + 1024], texts.slice(at, 1024).combine_chunks()
+                rest = pa.array([list(g[4].items()) for g in some], pa.map_(pa.binary(), pa.int64()))
+                cols = [pa.array([g[i] for g in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                own_cols = [part.column(c).chunk(0) for c in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*own_cols, *cols, rest], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
+
+    both = answers(own, found).unionByName(numbered(own), allowMissingColumns=True)
+    both = both.repartition("run").sortWithinPartitions("run", F.asc_nulls_last("seg"))
+    scored = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest map<binary,bigint>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     whole = model.tokens + 0.5 * (model.types + 1)
     rare = scored.select("row", F.explode("rest").alias("key", "times"))

@@ -348,6 +348,21 @@ def test_lm_filter_reads_back_levels():
     assert (got >= lm.level_of(n)).all() and (got == lm.level_of(n)).mean() > 0.99
 
 
+def test_lm_keeps_every_bigram_in_small_segments(spark, sf, monkeypatch):
+    def scores():
+        return {r.doc_id: r.score for r in queries.op6_lm(spark, sf).collect()}
+
+    want = scores()
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 18, raising=False)  # the whole filter's budget, when it had one
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 8, raising=False)
+    monkeypatch.setattr(lm, "RUN_BYTES", 1 << 14, raising=False)
+    got = scores()
+    assert want.keys() == got.keys()
+    # other segments, other false positives of the filter
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.01)
+    assert all(got[i] == pytest.approx(want[i], rel=0.1) for i in want)
+
+
 def test_lm_odd_rows(odd, empty):
     assert lm.lm_report(odd).count() == len(ODD)
     assert lm.lm_report(empty).collect() == []
