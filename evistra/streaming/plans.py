@@ -12,20 +12,29 @@ from evistra.registry import query
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream; their NTZ times become timestamps, which watermarks need."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    s = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    """Events as a stream; their NTZ times become timestamps, which watermarks need.
+
+    A stream takes a folder or a pattern, so the table is named by a pattern: it may be one file or a folder of files.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows a stream gives for all that is there, kept as Parquet in the shared checkpoint folder."""
+    """The rows a stream gives for all that is there, kept as Parquet in the shared checkpoint folder.
+
+    Append mode never gives windows still open at the end; complete mode does, and its last batch holds all rows.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evistra-")
     folder = f"{base}/evistra/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    out = df.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+    else:
+        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows")  # for a stream without a batch
+        out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
@@ -33,7 +42,7 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
 def stream_hourly_alerts(spark, sf_dir):
     e = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
     w = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("event_type") == "error").cast("double")).alias("error_ratio"))
-    return drained(w.select(F.col("w.start").alias("hour"), "n", "error_ratio")).filter("error_ratio > 0.02")
+    return drained(w.select(F.col("w.start").alias("hour"), "n", "error_ratio"), "complete").filter("error_ratio > 0.02")
 
 
 @query("ST3")
@@ -46,4 +55,4 @@ def stream_dedup(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     e = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
     s = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return drained(s.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n"))
+    return drained(s.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n"), "complete")
