@@ -108,6 +108,31 @@ def quota_merge(ranked: DataFrame, cap: int = CAP, rounds: int = 3) -> DataFrame
     return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).select("query_id", "chunk_id", "score", "rank")
 
 
+def routed_candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
+    """A query's fused rows, at most cap: each of its routes (sub_id, before the / of a hit) in turn gives cap // routes
+    rows not yet taken, by its own fusion; the others follow in the order of candidates(). A task holds one query's rows."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank").reset_index(drop=True)
+        local: dict[str, dict[int, list]] = {}
+        for i, hits in enumerate(rows.hits):
+            for hit in hits:
+                sub, layer, found = hit.split("/", 2)
+                path, at = found.rsplit("#", 1)
+                own = local.setdefault(sub, {}).setdefault(i, [0.0, (layer, path, int(at))])
+                own[0], own[1] = own[0] + 1.0 / (RRF_K + int(at)), min(own[1], (layer, path, int(at)))
+        quota, order = max(1, cap // len(local)), {}
+        for sub in sorted(local):
+            best = sorted(local[sub], key=lambda i: (-round(local[sub][i][0], 9), local[sub][i][1], rows.chunk_id[i]))
+            order |= dict.fromkeys([i for i in best if i not in order][:quota])
+        order |= dict.fromkeys(rows.index)
+        out = rows.loc[list(order)[:cap]]
+        return out.assign(rank=range(1, len(out) + 1))
+
+    every = candidates(fused, (1 << 31) - 1).select("query_id", "chunk_id", "rrf", "hits", "n_subs", "rank")
+    return every.groupBy("query_id").applyInPandas(merged, every.schema)
+
+
 def rerank(cands: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """cands (rrf, layer, core, law_weight) scored 0.8 relevance + 0.2 prior; those below min_score go first."""
     top = F.max("rrf").over(Window.partitionBy("query_id"))
@@ -125,6 +150,24 @@ def route_guarantee(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(lead, "place")))
 
 
+def routed_evidence(evidence: DataFrame) -> DataFrame:
+    """evidence with each route's (the part of a hit before the /) best row that is not yet in front put in front, in
+    the routes' order; the others keep theirs. A task holds one query's rows."""
+
+    def led(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place").reset_index(drop=True)
+        routes = [{hit.split("/", 1)[0] for hit in hits} for hits in rows.hits]
+        first: list[int] = []
+        for sub in sorted(set().union(*routes)):
+            first += [i for i in rows.index if i not in first and sub in routes[i]][:1]
+        if len(set().union(*routes)) < 2:
+            first = []
+        out = rows.loc[list(dict.fromkeys([*first, *rows.index]))]
+        return out.assign(place=range(1, len(out) + 1))
+
+    return evidence.groupBy("query_id").applyInPandas(led, evidence.schema)
+
+
 def hit_window(parents: DataFrame) -> DataFrame:
     """Children of a parent that are hit, or next to a hit; the first child where none is."""
     w = Window.partitionBy("query_id", "parent_id").orderBy("chunk_index")

@@ -107,7 +107,7 @@ cands AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf
 
 @query("L4 F3 F4 F5 K5", _CANDS_SQL + "SELECT query_id, chunk_id, round(rrf, 6) AS rrf, rank FROM cands")
 def recall_candidates(spark, sf_dir):
-    return R.candidates(R.fuse(_ranked(spark, sf_dir))).select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), "rank")
+    return R.routed_candidates(R.fuse(_ranked(spark, sf_dir))).select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), "rank")
 
 
 _EVIDENCE_SQL = _CANDS_SQL.rstrip() + """,
@@ -119,9 +119,9 @@ evidence AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY q
 
 
 def _evidence(spark, sf_dir):
-    c = R.candidates(R.fuse(_ranked(spark, sf_dir))).join(chunks_view(spark, sf_dir).select("chunk_id", "layer", "doc", "parent_id", "chunk_index"), "chunk_id")
+    c = R.routed_candidates(R.fuse(_ranked(spark, sf_dir))).join(chunks_view(spark, sf_dir).select("chunk_id", "layer", "doc", "parent_id", "chunk_index"), "chunk_id")
     c = c.withColumn("law_weight", F.when(F.col("query_id") % 3 == 0, 1.0).otherwise(0.5)).withColumn("core", F.col("chunk_id") % 5 == 0)
-    return R.rerank(c)
+    return R.routed_evidence(R.rerank(c).select("query_id", "chunk_id", "hits", "doc", "parent_id", "chunk_index", "score", "place"))
 
 
 @query("L5 E5 E6 B5 F6 D-4 D-5 C15", _EVIDENCE_SQL + "SELECT * FROM evidence")
@@ -131,7 +131,7 @@ def rerank_scores(spark, sf_dir):
 
 @query("C7 D11", _EVIDENCE_SQL + "SELECT query_id, chunk_id FROM cands EXCEPT SELECT query_id, chunk_id FROM evidence WHERE place <= 4")
 def dropped_candidates(spark, sf_dir):
-    c = R.candidates(R.fuse(_ranked(spark, sf_dir))).select("query_id", "chunk_id")
+    c = R.routed_candidates(R.fuse(_ranked(spark, sf_dir))).select("query_id", "chunk_id")
     return c.join(_evidence(spark, sf_dir).filter("place <= 4").select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
 
 
@@ -171,7 +171,7 @@ def assemble_sections(spark, sf_dir):
 @query("L7 L3 K8 N15 D10 I22")
 def search_policy_batch(spark, sf_dir):
     """All queries through the chain: their sections, what was found and dropped, and a status in place of errors."""
-    cands = R.candidates(R.fuse(_ranked(spark, sf_dir)))
+    cands = R.routed_candidates(R.fuse(_ranked(spark, sf_dir)))
     c = cands.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("candidate_ids"))
     e = _evidence(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence_ids"))
     s = assemble_sections(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("section", "doc", "score", "n_tokens", "text"))).alias("sections"))

@@ -49,3 +49,18 @@ def test_json_sources_and_sink(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"key": "C1"}\n{"key": \n')
     with pytest.raises(Exception):
         readers.json_lines(spark, str(tmp_path / "bad.json"), StructType.fromDDL("key string")).collect()
+
+
+def test_each_route_keeps_its_share_of_the_candidates(spark):
+    """The first route's 30 chunks are found by two paths, the second's 12 by one: all of the first would rank before."""
+    rows = [(1, "s1", "law", p, c, c) for p in ("bm25", "dense") for c in range(1, 31)] + [(1, "s2", "law", "bm25", 100 + c, 60 + c) for c in range(1, 13)]
+    ranked = spark.createDataFrame(rows, "query_id long, sub_id string, layer string, path string, chunk_id long, rank int")
+    got = [r.chunk_id for r in R.routed_candidates(R.fuse(ranked)).orderBy("rank").collect()]
+    assert got == [*range(1, 11), *range(101, 111)]
+
+
+def test_each_route_leads_the_evidence(spark):
+    rows = [(1, 7, ["s1/law/bm25#1"], 1), (1, 8, ["s1/law/bm25#2", "s2/law/bm25#9"], 2), (1, 9, ["s3/law/dense#4"], 3), (1, 6, ["s1/law/bm25#3"], 0), (2, 5, ["s1/law/bm25#1"], 1)]
+    e = spark.createDataFrame(rows, "query_id long, chunk_id long, hits array<string>, place int")
+    got = [(r.query_id, r.chunk_id) for r in R.routed_evidence(e).orderBy("query_id", "place").collect()]
+    assert got == [(1, 6), (1, 8), (1, 9), (1, 7), (2, 5)]
