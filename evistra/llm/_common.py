@@ -20,22 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, which a session on a cluster has to name.
+
+    A local session, whose executor is the driver, gets a folder of its own where it is unset.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evistra-"))
         base = sc.getCheckpointDir()
-        if base is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="evistra-"))
-            base = sc.getCheckpointDir()
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    With `by`, a folder for each value of that column, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evistra/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +62,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def packed(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers for the shuffle and the disk: length, and their bytes by significance, compressed."""
+    raw = x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(row: bytes, kind: str = "<u4") -> np.ndarray:
+    size = int.from_bytes(row[:8], "little")
+    if not size:
+        return np.empty(0, dtype=kind)
+    raw = np.frombuffer(pa.decompress(row[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Consecutive groups of a stream that is clustered and sorted by keys; holds one group and one batch at a time."""
     held: list[pa.Table] = []

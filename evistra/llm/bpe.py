@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from evistra.llm._common import materialize, slices, text_column
+from evistra.llm._common import materialize, packed, slices, text_column, unpacked
 
-#: Keys that are broadcast, distinct words a worker counts or remembers before it starts anew.
-HEAD_KEYS, MEMO_WORDS = 700_000, 120_000
+#: Keys that are broadcast, distinct words a task counts or remembers before it starts anew, words in one generation of
+#: a worker's memo of ids.
+HEAD_KEYS, MEMO_WORDS, MEMO_IDS = 700_000, 120_000, 300_000
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -90,31 +91,52 @@ def no_cycle_search() -> Iterator[None]:
 
 
 class WordIds(dict):
-    """word -> its ids as unsigned 32-bit little-endian; starts anew when it holds too many words."""
+    """word -> its ids as unsigned 32-bit little-endian.
+
+    Holds up to MEMO_IDS words of the present and as many of the generation before, so that frequent words stay.
+    """
 
     def __init__(self, path: str):
         self.tokenizer, self.keys = tokenizer(path), {}
         self.model = self.tokenizer.model
+        self.old: dict[str, bytes] = {}
+        self.old_keys: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 2 * MEMO_WORDS:
+        got = self.old.get(word)
+        if got is None:
+            keys = [word] if word.isascii() and word.isalpha() else keys_of(word)
+            got = self.of_key(keys[0]) if len(keys) == 1 else b"".join(map(self.of_key, keys))
+        if len(self) >= MEMO_IDS:
+            self.old = dict(self)
             self.clear()
-        if len(self.keys) > 2 * MEMO_WORDS:
-            self.keys.clear()
-        keys = [word] if word.isascii() and word.isalpha() else keys_of(word)
-        self[word] = got = self.of_key(keys[0]) if len(keys) == 1 else b"".join(map(self.of_key, keys))
+        self[word] = got
         return got
 
     def of_key(self, key: str) -> bytes:
         got = self.keys.get(key)
         if got is None:
-            if "<|" in key or not _ONE_PIECE.fullmatch(key):
-                ids = self.tokenizer.encode(key, add_special_tokens=False).ids
-            else:  # one piece, which the model takes as it is, its bytes written as characters
-                ids = [x.id for x in self.model.tokenize(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
-            self.keys[key] = got = struct.pack(f"<{len(ids)}I", *ids)
+            got = self.old_keys.get(key)
+            if got is None:
+                got = self.encoded(key)
+            if len(self.keys) >= MEMO_IDS:
+                self.old_keys, self.keys = self.keys, {}
+            self.keys[key] = got
         return got
 
+    def encoded(self, key: str) -> bytes:
+        if "<|" in key or not _ONE_PIECE.fullmatch(key):
+            ids = self.tokenizer.encode(key, add_special_tokens=False).ids
+        else:  # one piece, which the model takes as it is, its bytes written as characters
+            ids = [x.id for x in self.model.tokenize(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One memo for all tasks of a worker."""
+    return WordIds(path)
+
 
 def key_counts(docs: DataFrame) -> DataFrame:
     """(key, n): the distinct keys of all texts, summed per worker before they are shuffled."""
@@ -167,20 +189,6 @@ def frequent(counts: DataFrame, limit: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
-def packed(at: np.ndarray) -> bytes:
-    """Numbers for the shuffle: length, and their bytes by significance, compressed."""
-    raw = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
-
-
-def unpacked(row: bytes) -> np.ndarray:
-    size = int.from_bytes(row[:8], "little")
-    if not size:
-        return np.empty(0, dtype="<u4")
-    raw = np.frombuffer(pa.decompress(row[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4")
-
-
 class _Memo(dict):
     """word -> places in the head table, or the word's keys where some are not in it."""
 

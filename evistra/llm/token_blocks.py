@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evistra.llm._common import materialize, shared_dir, slices, text_column
-from evistra.llm.bpe import WordIds, default_path, no_cycle_search, packed, unpacked, words_of
+from evistra.llm._common import materialize, packed, shared_dir, slices, text_column, unpacked
+from evistra.llm.bpe import default_path, no_cycle_search, word_ids, words_of
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK_SYMBOLS, SHARD_SYMBOLS, BITS = 512, 128, 1 << 18, 1 << 23, 20
@@ -38,7 +38,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of whole texts with END_ID after each; ids are packed for the disk and the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = WordIds(path).__getitem__
+        of_word = word_ids(path).__getitem__
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in slices(batches):
             with no_cycle_search():
