@@ -1,147 +1,141 @@
 """N-gram language model in a log-frequency Bloom filter.
 
-Counts of words, of bigrams, and of each word's distinct followers are quantised on a logarithmic scale; a count of
-level q puts (n-gram, 1) to (n-gram, q) into one Bloom filter, and a reader probes levels until one is missing. The
-filter is cut into segments of bounded size by the n-gram's hash, built where the counts lie, and stays in rows: its
-size follows the entries, and no n-gram leaves it. Runs of texts send their different n-grams to the segments and get
+One pass turns the texts into runs: a few megabytes of consecutive texts as numbers, with the hashes of the run's
+different words. Counts of words, of bigrams, and of each word's distinct followers are made from the runs, dealt by
+hash to buckets and merged there. They are quantised on a logarithmic scale, and a count of level q puts (n-gram, 1)
+to (n-gram, q) into the bucket's Bloom filter; a reader probes levels until one is missing. A bucket's filter is as
+large as its entries need and the number of buckets follows the corpus, so no n-gram is left out at any size. The
+filter stays in rows: instead of a broadcast of all of it, runs send their different n-grams to the buckets and get
 the levels back. Probabilities are interpolated absolute discounting, the discount estimated from the corpus' counts
-of counts, over the same additive word model as the base score.
+of counts, over the same additive word model as the base score, whose exact word counts come with the answers.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistra.llm._common import batches_of, groups, materialize, slices, text_column
-from evistra.llm.bpe import frequent
+from evistra.llm._common import batches_of, groups, materialize, packed, slices, text_column, unpacked
 
-#: Bits of a segment at most, hashes per entry, base of the levels, segments at least.
-SEGMENT_BITS, HASHES, BASE, SEGMENTS = 1 << 22, 4, 1.25, 4096
-#: Bytes of texts that ask the filter together.
-RUN_BYTES = 6 << 20
-HEAD_WORDS, MEMO_WORDS, CHUNK_WORDS = 100_000, 80_000, 100_000
+#: Bytes of texts in a run, tokens for which a bucket is meant, the least number of buckets as a power of 2.
+RUN_BYTES, BUCKET_TOKENS, LEAST_BITS = 6 << 20, 1 << 19, 8
+#: Bigrams that a task counts before it passes them on.
+HELD_PAIRS = 4 << 20
+#: Hashes per entry, base of the levels.
+HASHES, BASE = 4, 1.25
 #: The end of a text as a token, and the place before the first word; neither can be a word.
 END, START = b"\n", b""
-_WORDS, _FOLLOWERS, _BIGRAMS = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+WORDS, FOLLOWERS, BIGRAMS = 0, 1, 2
+_SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_A, _B, _LOW = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFFFFFFFF)
 _LEVELS = np.unique(np.ceil(BASE ** np.arange(220)).astype(np.float64))[:150]  # least count of each level
 _MEAN = np.concatenate(([0.0], (_LEVELS[:-1] + np.maximum(_LEVELS[:-1], _LEVELS[1:] - 1)) / 2, _LEVELS[-1:]))  # count read back
 
 
+# --- n-grams as numbers ----------------------------------------------------------------------------------------------
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    """A 64-bit finaliser; every number comes from exactly one."""
+    x = (x ^ (x >> np.uint64(30))) * _A
+    x = (x ^ (x >> np.uint64(27))) * _B
     return x ^ (x >> np.uint64(31))
 
 
-def halves(item: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of (item, level), combined for every further one."""
-    g = mix(item + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, dtype=np.uint64))
-    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What mix made x from."""
+    a, b = (np.uint64(pow(int(m), -1, 1 << 64)) for m in (_A, _B))
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * b
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * a
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def position(a: np.ndarray, b: np.ndarray, i: int, segment_bits: int) -> np.ndarray:
-    """Bit of the i-th hash within the item's segment."""
-    return ((a + np.uint64(i) * b) % np.uint64(segment_bits)).astype(np.int64)
+def item_of(key: np.ndarray, kind: int) -> np.ndarray:
+    """The n-gram's item, one to one: its first bits name the bucket, the next 32 the entry in the bucket's filter."""
+    return mix(key ^ _SALT[kind])
 
 
-def segment(item: np.ndarray, cut: int = 0) -> np.ndarray:
-    """The item's segment, of SEGMENTS << cut."""
-    return (item >> np.uint64(52 - cut)).astype(np.int64)
+def bigram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """32 bits of either word's hash."""
+    return (before & ~_LOW) | (word >> np.uint64(32))
 
 
-def item_of(key: np.ndarray, kind: np.uint64) -> np.ndarray:
-    """The key's item: 44 bits of hash, whose clashes are far rarer than what the filter itself finds by mistake."""
-    return mix(key ^ kind) & ~np.uint64(0xFFFFF)
+def low_of(item: np.ndarray, bits: int) -> np.ndarray:
+    return ((item << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
 
 
-def probe(bits: np.ndarray, base: np.ndarray, segment_bits: int, item: np.ndarray) -> np.ndarray:
-    """The highest level up to which all are present, probed one by one; base is where the item's segment begins."""
-    found = np.zeros(len(item), dtype=np.int64)
-    live = np.arange(len(item))
-    for j in range(1, len(_LEVELS) + 1):
-        a, b = halves(item[live], j)
-        for i in range(HASHES):
-            at = base[live] + position(a, b, i, segment_bits)
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live, a, b = live[hit], a[hit], b[hit]
-        if not len(live):
-            break
-        found[live] = j
-    return found
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their n."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n[order], first)
 
 
-class BloomCounts:
-    """Reader of the filter: bytes of SEGMENTS segments, one after another."""
+def by_bucket(items: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, where) of sorted items."""
+    bucket = (items >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(items) else np.empty(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(items))):
+        yield int(bucket[a]), slice(a, b)
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.segment_bits = bits, len(bits) * 8 // SEGMENTS
 
-    def level(self, item: np.ndarray) -> np.ndarray:
-        return probe(self.bits, segment(item) * self.segment_bits, self.segment_bits, item)
+# --- the filter ------------------------------------------------------------------------------------------------------
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(_LEVELS, n, side="right")
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+def halves(low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of (entry, level), combined for every further one."""
+    g = (low + np.uint64(level << 32)) * _A
+    g ^= g >> np.uint64(29)
+    g *= _B
+    return g >> np.uint64(32), (g & _LOW) | np.uint64(1)
 
 
-class Vocabulary(dict):
-    """word -> index for the words this worker has met, with their hashes; starts anew when it grows too large."""
+def position(a: np.ndarray, b: np.ndarray, i: int, size: int) -> np.ndarray:
+    """Bit of the i-th hash among size bits."""
+    return (((((a + np.uint64(i) * b) & _LOW) * np.uint64(size)) >> np.uint64(32))).astype(np.int64)
 
-    def __init__(self) -> None:
-        self.reset()
 
-    def reset(self) -> None:
-        self.clear()
-        self.words: list[bytes] = []
-        self.hash = np.empty(0, dtype=np.uint64)
-        _ = self[START], self[END]
+def filled(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bytes of a filter in which the entries have the levels of their counts; half of its bits are set."""
+    level, low = level_of(n), low.astype(np.uint64)
+    size = max(64, -(-int(level.sum() * HASHES / np.log(2)) // 8) * 8)
+    on = np.zeros(size, dtype=bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        a, b = halves(low[level >= j], j)
+        for i in range(HASHES):
+            on[position(a, b, i, size)] = True
+    return np.packbits(on, bitorder="little")
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self.words)
-        self.words.append(word)
-        return i
 
-    def extend(self) -> int:
-        """Hash the words met since; returns where they begin."""
-        old = len(self.hash)
-        if old < len(self.words):
-            self.hash = np.concatenate((self.hash, hashes(self.words[old:])))
-        return old
+def probe(bits: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The highest level up to which all are present, probed one by one."""
+    found, low, size = np.zeros(len(low), dtype=np.uint8), low.astype(np.uint64), 8 * len(bits)
+    live = np.arange(len(low))
+    for j in range(1, len(_LEVELS) + 1):
+        a, b = halves(low[live], j)
+        for i in range(HASHES):
+            at = position(a, b, i, size)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            live, a, b = live[hit], a[hit], b[hit]
+        if not len(live):
+            break
+        found[live] = j
+    return found
 
 
-def bigram(h: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """32 bits of either word's hash."""
-    return (h[before] & np.uint64(0xFFFFFFFF00000000)) | (h[word] >> np.uint64(32))
-
-
-def chunks(texts: list[bytes], vocabulary: Vocabulary) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Token indices of runs of whole texts: (lengths with the end, indices); START stands before each text."""
-    seq: list[bytes] = []
-    lens: list[int] = []
-    for t in texts:
-        words = t.lower().split()  # of bytes: A-Z and ASCII white space only
-        seq.append(START)
-        seq += words
-        seq.append(END)
-        lens.append(len(words) + 1)
-        if len(seq) > CHUNK_WORDS:
-            yield lens, np.fromiter(map(vocabulary.__getitem__, seq), dtype=np.int64, count=len(seq))
-            seq, lens = [], []
-    if seq:
-        yield lens, np.fromiter(map(vocabulary.__getitem__, seq), dtype=np.int64, count=len(seq))
+# --- texts to runs ---------------------------------------------------------------------------------------------------
 
 
 def held_out(doc_id: Column) -> Column:
@@ -149,327 +143,293 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, n) of all tokens, words as UTF-8."""
+class Vocabulary(dict):
+    """word -> index, in the order in which words are met."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        return i
+
+
+def in_runs(docs: DataFrame) -> DataFrame:
+    """One row for each run of RUN_BYTES of texts (a longer text is a run of its own).
 
-        seen: Counter = Counter()
+    (run, doc_id, held, lens, docs, tokens, hash, at): by document its id, whether it is held out, and its tokens with
+    the end; how many documents and tokens train; hashes of the different words, the end first; all tokens as indices.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), held_out(docs["doc_id"]).alias("held"), text_column(docs).alias("text"))
+    own = own.withColumn("part", F.spark_partition_id())
+
+    def row(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        index = Vocabulary({END: 0})
+        lens, parts = [], []
+        for text in batches_of(rows.column("text")):
+            words = text.lower().split()  # of bytes: A-Z and ASCII white space only
+            words.append(END)
+            lens.append(len(words))
+            parts.append(np.fromiter(map(index.__getitem__, words), dtype="<u4", count=len(words)))
+        out = rows.column("held").to_numpy()
+        n = np.array(lens)
+        digest = np.array([xxhash.xxh64_intdigest(w) for w in index], dtype="<u8")
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), x) for x in (rows.column("doc_id").chunk(0), rows.column("held").chunk(0), pa.array(n, pa.int64()))]
+        train = int((~out).sum()), int(n[~out].sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), *lists, *(pa.array([x]) for x in train), pa.array([digest.tobytes()]), pa.array([packed(np.concatenate(parts))])],
+            names=["run", "doc_id", "held", "lens", "docs", "tokens", "hash", "at"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = None, [], 0
         for b in slices(batches):
-            for t in batches_of(b.column(0)):
-                seen.update(t.lower().split())
-                seen[END] += 1
-                if len(seen) > MEMO_WORDS:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+            if not b.num_rows:
+                continue
+            number = b.column("part")[0].as_py() << 32 if number is None else number
+            held.append(b)
+            size += b.column("text").nbytes
+            if size > RUN_BYTES:
+                yield row(number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield row(number, held)
 
-    return docs.select(text_column(docs).alias("text")).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return own.mapInArrow(run, "run long, doc_id array<long>, held array<boolean>, lens array<long>, docs long, tokens long, hash binary, at binary")
 
 
-def bigram_counts(docs: DataFrame) -> DataFrame:
-    """(seg, key, n) of all bigrams by their hashes, dealt by the filter's segment."""
+class Run:
+    """The tokens of a run; `before` is 0 (the end's index) where a text begins."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = Vocabulary(), [], 0
+    def __init__(self, b: pa.RecordBatch | pa.Table, i: int):
+        self.lens = np.array(b.column("lens")[i].as_py(), dtype=np.int64)
+        self.hash = np.frombuffer(b.column("hash")[i].as_py(), dtype="<u8")
+        self.at = unpacked(b.column("at")[i].as_py()).astype(np.int64)
+        self.begins = np.cumsum(self.lens) - self.lens
+        self.before = np.concatenate(([0], self.at[:-1]))  # every text ends with the end
 
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            seg = segment(mix(key ^ _BIGRAMS)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(seg), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["seg", "key", "n"])
+    def pairs(self) -> np.ndarray:
+        """Item of each token with the one before; a text begins after START, whose hash is 0."""
+        h = self.hash.copy()
+        h[0] = 0
+        return item_of(bigram(h[self.before], self.hash[self.at]), BIGRAMS)
 
-        for b in slices(batches):
-            for _, at in chunks(batches_of(b.column(0)), vocabulary):
-                vocabulary.extend()
-                pair = at[1:] != 0
-                held.append(bigram(vocabulary.hash, at[:-1][pair], at[1:][pair]))
-                size += len(held[-1])
-                if size > 10 * CHUNK_WORDS:
-                    yield flush()
-                    held, size = [], 0
-                if len(vocabulary.words) > MEMO_WORDS:
-                    vocabulary.reset()
-        if held:
-            yield flush()
+    def words(self) -> np.ndarray:
+        return item_of(self.hash, WORDS)
 
-    parts = docs.select(text_column(docs).alias("text")).mapInArrow(run, "seg int, key long, n long")
-    return parts.repartition("seg").groupBy("seg", "key").agg(F.sum("n").alias("n"))
+    def histories(self) -> np.ndarray:
+        """Items by which the words' followers are found; the end stands for START."""
+        h = self.hash.copy()
+        h[0] = 0
+        return item_of(h >> np.uint64(32), FOLLOWERS)
 
 
-def entries(df: DataFrame) -> np.ndarray:
-    """How many rows have each level of their count `n`; adds over all rows."""
+# --- training --------------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(level_of(b.column(0).to_numpy())), b.column(1)], names=["level", "rows"])
 
-    out = np.zeros(len(_LEVELS) + 1, dtype=np.int64)
-    same = df.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))  # few counts differ
-    for r in same.mapInArrow(run, "level long, rows long").groupBy("level").agg(F.sum("rows").alias("rows")).collect():
-        out[r.level] = r.rows
-    return out
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
 
 
-def bloom(parts: list[tuple[DataFrame, bool]], segment_bits: int, cut: int) -> DataFrame:
-    """The filter's (seg, bits) from frames of (seg, item, n), each dealt by seg or, where the flag is unset, not yet."""
+def counted(runs: DataFrame, bits: int) -> DataFrame:
+    """(kind, bucket, keys, n): the training texts' words and bigrams as items with their counts, a task's together."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(SEGMENTS << cut, -1, dtype=np.int64)
-        bits = np.zeros((0, segment_bits // 8), dtype=np.uint8)
-        for b in batches:
-            seg, item, n = (b.column(i).to_numpy() for i in range(3))
-            new = np.unique(seg[slot[seg] < 0])
-            slot[new] = np.arange(len(bits), len(bits) + len(new))
-            bits = np.concatenate((bits, np.zeros((len(new), segment_bits // 8), dtype=np.uint8)))
-            flat, base = bits.reshape(-1), slot[seg] * segment_bits
-            level, item = level_of(n), item.view(np.uint64)
-            for j in range(1, int(level.max(initial=0)) + 1):
-                some = np.flatnonzero(level >= j)
-                x, y = halves(item[some], j)
-                for i in range(HASHES):
-                    at = base[some] + position(x, y, i, segment_bits)
-                    np.bitwise_or.at(flat, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        for k in np.flatnonzero(slot >= 0):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits[slot[k]].tobytes()], pa.binary())], names=["seg", "bits"])
-
-    def unite(group: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), dtype=np.uint8) for x in group.column("bits")])
-        return pa.table({"seg": pa.array([group.column("seg")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    made = None
-    for df, dealt in parts:
-        one = (df if dealt else df.repartition("seg")).mapInArrow(fill, "seg int, bits binary")
-        made = one if made is None else made.union(one)
-    return materialize(made.groupBy("seg").applyInArrow(unite, "seg int, bits binary"), "lm-filter")
-
-
-def with_items(df: DataFrame, kind: np.uint64, cut: int) -> DataFrame:
-    """(seg, item, n) from (key, n), with a long key or a word."""
-    salt = int(kind)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORDS: [], BIGRAMS: []}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, some in held.items():
+                keys, n = summed(*(np.concatenate(x) for x in zip(*some))) if some else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                some.clear()
+                for bucket, at in by_bucket(keys, bits):
+                    cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), _binary(keys[at].astype("<u8")), pa.array([packed(n[at], "<i8")], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "keys", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0)
-            key = hashes(key.to_pylist()) if pa.types.is_binary(key.type) or pa.types.is_large_binary(key.type) else key.to_numpy().view(np.uint64)
-            item = item_of(key, np.uint64(salt))
-            yield pa.RecordBatch.from_arrays([pa.array(segment(item, cut).astype(np.int32)), pa.array(item.view(np.int64)), b.column(1)], names=["seg", "item", "n"])
+            for i in range(b.num_rows):
+                r = Run(b, i)
+                train = np.repeat(~np.array(b.column("held")[i].as_py(), dtype=bool), r.lens)
+                pairs = r.pairs()[train]
+                held[BIGRAMS].append(summed(pairs, np.ones(len(pairs), dtype=np.int64)))
+                n = np.bincount(r.at[train], minlength=len(r.hash)).astype(np.int64)
+                held[WORDS].append((r.words()[n > 0], n[n > 0]))
+                size += len(held[BIGRAMS][-1][0])
+                if size > HELD_PAIRS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return runs.select("held", "lens", "hash", "at").mapInArrow(count, "kind int, bucket int, keys binary, n binary")
+
+
+def merged(counts: DataFrame, bits: int) -> DataFrame:
+    """(what, kind, bucket, keys, n, types, once, twice) of each bucket, its counts added up.
+
+    what: `filter`, the bucket's bits in keys and in types, once and twice how many n-grams it holds, how many with a
+    count of 1 and of 2; `exact`, the words' items and counts; `follow`, histories' items and how many bigrams of the
+    bucket begin with them, dealt by the buckets of these items.
+    """
+    names = ["what", "kind", "bucket", "keys", "n", "types", "once", "twice"]
+
+    def row(what: str, kind: int, bucket: int, keys: np.ndarray, n: np.ndarray | None, *stats: int) -> pa.RecordBatch:
+        cols = [pa.array([what]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), _binary(keys), pa.array([None if n is None else packed(n, "<i8")], pa.binary())]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.int64()) for x in (stats or (None,) * 3))], names=names)
 
-    return df.select("key", "n").mapInArrow(run, "seg int, item long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, bucket), g in groups(batches, ["kind", "bucket"]):
+            keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), dtype="<u8")
+            keys, n = summed(keys, np.concatenate([unpacked(x, "<i8") for x in g.column("n").to_pylist()]))
+            yield row("filter", kind, bucket, filled(low_of(keys, bits), n), None, len(keys), int((n == 1).sum()), int((n == 2).sum()))
+            if kind == WORDS:
+                yield row("exact", kind, bucket, keys.astype("<u8"), n)
+            elif kind == BIGRAMS:
+                history, follow = np.unique((unmix(keys) ^ _SALT[BIGRAMS]) >> np.uint64(32), return_counts=True)
+                item, follow = summed(item_of(history, FOLLOWERS), follow.astype(np.int64))
+                for to, at in by_bucket(item, bits):
+                    yield row("follow", FOLLOWERS, to, item[at].astype("<u8"), follow[at])
+
+    dealt = counts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return dealt.mapInArrow(run, "what string, kind int, bucket int, keys binary, n binary, types long, once long, twice long")
 
 
 class Model:
-    """What is broadcast: three corpus totals, and the exact counts of the most frequent words."""
-
-    def __init__(self, tokens: int, types: int, discount: float, head: dict[bytes, int]):
-        self.tokens, self.types, self.discount, self.head = tokens, types, discount, head
+    """What every worker gets: totals of the corpus, the discount, and the number of buckets as a power of 2."""
 
-    @property
-    def start(self) -> float:
-        """How often a text begins: as often as one ends."""
-        return float(self.head.get(END, 0))
+    def __init__(self, texts: int, tokens: int, types: int, discount: float, bits: int):
+        self.texts, self.tokens, self.types, self.discount, self.bits = texts, tokens, types, discount, bits
 
 
 class Filter:
-    """The filter's segments as rows (seg, bits), with their size and how often SEGMENTS was doubled."""
+    """The buckets in rows: (kind, bucket, bits) of the filter, and (bucket, keys, n) of the exact word counts."""
 
-    def __init__(self, rows: DataFrame, segment_bits: int, cut: int):
-        self.rows, self.segment_bits, self.cut = rows, segment_bits, cut
+    def __init__(self, bits: DataFrame, exact: DataFrame):
+        self.bits, self.exact = bits, exact
 
 
-def train(docs: DataFrame) -> tuple[Model, Filter, DataFrame, int]:
-    """The model of all documents, their word counts, and the least count of a word in the model's head."""
-    words = materialize(word_counts(docs), "lm-words")
-    total = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    pairs = materialize(bigram_counts(docs), "lm-bigrams")
-    followers = materialize(pairs.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.count(F.lit(1)).alias("n")), "lm-followers")
-    by_word, by_follow, by_pair = entries(words), entries(followers), entries(pairs)
-    once, twice = int(by_pair[1]), int(by_pair[2])  # the two lowest levels hold one count each
+def train(runs: DataFrame) -> tuple[Model, Filter]:
+    """The model of the runs' training texts."""
+    total = runs.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    bits = max(LEAST_BITS, (max(1, total["tokens"] // BUCKET_TOKENS) - 1).bit_length())
+    rows = materialize(merged(counted(runs, bits), bits), "lm-counts", by="what")
+    size = {r["kind"]: r for r in rows.filter("what = 'filter'").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()}
+    once, twice = (size[BIGRAMS]["once"], size[BIGRAMS]["twice"]) if BIGRAMS in size else (0, 0)
     discount = once / (once + 2 * twice) if once else 0.5
-    bits = int((np.arange(len(by_pair)) * (by_word + by_follow + by_pair)).sum() * HASHES / np.log(2))
-    cut = 0
-    while bits > SEGMENT_BITS * (SEGMENTS << cut) and cut < 18:
-        cut += 1
-    segment_bits = max(64, -(-bits // (SEGMENTS << cut) // 64) * 64)
-
-    rows = bloom(
-        [
-            (with_items(words, _WORDS, cut), False),
-            (with_items(followers, _FOLLOWERS, cut), False),
-            (with_items(pairs, _BIGRAMS, cut), True),  # read as it was dealt
-        ],
-        segment_bits, cut,
-    )
-    least = frequent(words, HEAD_WORDS)
-    top = words.filter(F.col("n") >= least).toArrow()
-    head = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
-    return Model(total[0] or 0, total[1], discount, head), Filter(rows, segment_bits, cut), words, least
 
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), g in groups(batches, ["bucket"]):
+            keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), dtype="<u8")
+            keys, n = summed(keys, np.concatenate([unpacked(x, "<i8") for x in g.column("n").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([pa.array([FOLLOWERS], pa.int32()), pa.array([bucket], pa.int32()), _binary(filled(low_of(keys, bits), n))], names=["kind", "bucket", "keys"])
 
-class Run:
-    """The tokens of some texts, and the different items that their scores ask for, in order."""
-
-    def __init__(self, texts: list[bytes]):
-        vocabulary = Vocabulary()
-        self.lens: list[int] = []
-        parts = []
-        for lens, at in chunks(texts, vocabulary):
-            self.lens += lens
-            parts.append(at)
-        vocabulary.extend()
-        at = np.concatenate(parts)
-        pair = at[1:] != 0
-        self.words, self.before, self.word = vocabulary.words, at[:-1][pair], at[1:][pair]
-        h = vocabulary.hash
-        self.asks = np.concatenate((item_of(h, _WORDS), item_of(h >> np.uint64(32), _FOLLOWERS), item_of(bigram(h, self.before, self.word), _BIGRAMS)))
-
-    def score(self, levels: np.ndarray, model: Model) -> Iterator[tuple[int, int, float, float, Counter]]:
-        """(tokens, known, base, score, rest) of each text; rest counts the words whose exact count isn't at hand."""
-        items, where = np.unique(self.asks, return_inverse=True)
-        if len(items) != len(levels):
-            raise RuntimeError(f"a run of texts asks for {len(items)} items and got {len(levels)} levels: it was read twice and differed")
-        mean, k = _MEAN[levels][where], len(self.words)
-        count, follow, n = mean[:k], mean[k : 2 * k], mean[2 * k :]
-        rest = model.tokens + 0.5 * (model.types + 1)
-        word = (count + 0.5) / rest
-        # a history's count is at least its number of different followers
-        seen = np.maximum(np.where(follow > 0, count, 0.0), follow)
-        seen[0] = max(model.start, follow[0])
-        open_ = np.where(seen > 0, np.clip(model.discount * follow / np.maximum(seen, 1e-9), 1e-3, 1.0), 1.0)  # share of the word model
-        exact = np.array([model.head.get(w, np.nan) for w in self.words], dtype=np.float64)
-        a, b = self.before, self.word
-        p = np.maximum(np.minimum(n, seen[a]) - model.discount, 0.0) / np.maximum(seen[a], 1e-9)
-        p = np.log10(np.minimum(p + open_[a] * word[b], 1.0))
-        base = np.log10((exact + 0.5) / rest)[b]
-        unknown = np.isnan(base)
-        ends = np.cumsum(self.lens)
-        begins = ends - self.lens
-        scores = np.add.reduceat(p, begins)
-        bases = np.add.reduceat(np.where(unknown, 0.0, base), begins)
-        missing = np.add.reduceat(unknown.astype(np.int64), begins)
-        for m, (i, j) in enumerate(zip(begins, ends)):
-            late = Counter(self.words[x] for x in b[i:j][unknown[i:j]]) if missing[m] else Counter()
-            yield self.lens[m], self.lens[m] - int(missing[m]), float(bases[m]), float(scores[m]), late
-
-
-def parted(own: DataFrame) -> DataFrame:
-    """own with its partition's number, which, unlike the task's, stays the same within a union."""
-    return own.withColumn("part", F.spark_partition_id())
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(number, rows) of a partition's consecutive rows, RUN_BYTES of text together; its `part` sets the numbers apart."""
-    number, held, size = None, [], 0
-    for b in slices(batches):
-        number = b.column("part")[0].as_py() << 32 if number is None else number
-        held.append(b)
-        size += b.column("text").nbytes
-        if size > RUN_BYTES:
-            yield number, pa.Table.from_batches(held)
-            number, held, size = number + 1, [], 0
-    if held:
-        yield number, pa.Table.from_batches(held)
-
-
-def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Rows of bytes, one after another in data."""
-    offsets = np.concatenate(([0], ends)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def requests(own: DataFrame, cut: int) -> DataFrame:
-    """(seg, run, data): for each run and segment its different items in order, without the bits that name the segment."""
+    followers = rows.filter("what = 'follow'").select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(follow, "kind int, bucket int, keys binary")
+    found = rows.filter("what = 'filter'").select("kind", "bucket", "keys").union(followers)
+    model = Model(total["docs"], total["tokens"], size[WORDS]["types"] if WORDS in size else 0, discount, bits)
+    return model, Filter(found, rows.filter("what = 'exact'").select("bucket", "keys", "n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in runs(batches):
-            items = np.unique(Run(batches_of(rows.column("text"))).asks)
-            seg, first = np.unique(segment(items, cut), return_index=True)
-            ends = np.append(first[1:], len(items)) * 4
-            low = (items >> np.uint64(20)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(seg.astype(np.int32)), pa.array(np.full(len(seg), number)), binaries(low, ends)], names=["seg", "run", "data"])
 
-    return parted(own).mapInArrow(run, "seg int, run long, data binary")
+# --- scoring ---------------------------------------------------------------------------------------------------------
+
 
+def asked(r: Run) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, items, where): a run's different items in order, and where each word's or token's is among them."""
+    return [(kind, *np.unique(x, return_inverse=True)) for kind, x in ((WORDS, r.words()), (FOLLOWERS, r.histories()), (BIGRAMS, r.pairs()))]
 
-def answers(own: DataFrame, found: Filter) -> DataFrame:
-    """(run, seg, data): the levels, a byte each, of the items that each run asks each segment for."""
-    segment_bits, cut = found.segment_bits, found.cut
+
+def requests(runs: DataFrame, bits: int) -> DataFrame:
+    """(kind, bucket, run, data): what a run asks each bucket for; words by their whole items, others by their entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = -1, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            seg, number, data = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.large_binary())
-            offsets = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
-            raw = np.frombuffer(data.buffers()[2], dtype=np.uint8) if data.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
-            starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-            got = []
-            for i, j in zip(starts, np.append(starts[1:], len(seg))):
-                if number[i] < 0:  # the segment stands before what is asked of it
-                    held, bits = seg[i], raw[offsets[i] : offsets[i + 1]].copy()
-                    i += 1
-                low = np.frombuffer(raw[offsets[i] : offsets[j]].tobytes(), dtype="<u4")
-                if held != seg[j - 1]:
-                    got.append(np.zeros(len(low), dtype=np.uint8))  # no n-gram of the corpus lies there
-                else:
-                    item = (np.uint64(int(seg[j - 1]) >> cut) << np.uint64(52)) | (low.astype(np.uint64) << np.uint64(20))
-                    got.append(probe(bits, np.zeros(len(low), dtype=np.int64), segment_bits, item).astype(np.uint8))
-            asks = np.flatnonzero(number >= 0)
-            ends = np.cumsum((offsets[asks + 1] - offsets[asks]) // 4)
-            yield pa.RecordBatch.from_arrays([pa.array(number[asks]), pa.array(seg[asks]), binaries(np.concatenate(got), ends)], names=["run", "seg", "data"])
+            for i in range(b.num_rows):
+                number = b.column("run")[i].as_py()
+                for kind, items, _ in asked(Run(b, i)):
+                    got = [(bucket, (items[at].astype("<u8") if kind == WORDS else low_of(items[at], bits)).tobytes()) for bucket, at in by_bucket(items, bits)]
+                    cols = [pa.array([kind] * len(got), pa.int32()), pa.array([x[0] for x in got], pa.int32()), pa.array([number] * len(got), pa.int64()), pa.array([x[1] for x in got], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "run", "data"])
 
-    bits = found.rows.select("seg", F.lit(-1).cast("long").alias("run"), F.col("bits").alias("data"))
-    both = bits.union(requests(own, cut)).repartition("seg").sortWithinPartitions("seg", "run")
-    return both.mapInArrow(run, "run long, seg int, data binary")
+    return runs.select("run", "lens", "hash", "at").mapInArrow(run, "kind int, bucket int, run long, data binary")
 
 
-def numbered(own: DataFrame) -> DataFrame:
-    """own with the number of each row's run."""
+def answers(runs: DataFrame, found: Filter, bits: int) -> DataFrame:
+    """(run, kind, bucket, levels, exact): the levels, a byte each, of what each run asks each bucket for, and words' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in runs(batches):
-            yield from rows.drop_columns("part").append_column("run", pa.array(np.full(rows.num_rows, number))).to_batches()
-
-    return parted(own).mapInArrow(run, "doc_id long, held_out boolean, text string, run long")
+        at, filter_, keys, n = None, None, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        for b in batches:
+            out: list[tuple] = []
+            for kind, bucket, number, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "run", "data", "n"))):
+                if at != (kind, bucket):  # the bucket's own rows stand before what is asked of it
+                    at, filter_, keys, n = (kind, bucket), None, keys[:0], n[:0]
+                if number == -2:
+                    filter_ = np.frombuffer(data, dtype=np.uint8)
+                elif number == -1:
+                    keys, n = np.frombuffer(data, dtype="<u8"), unpacked(extra, "<i8")
+                else:
+                    items = np.frombuffer(data, dtype="<u8" if kind == WORDS else "<u4")
+                    low = low_of(items, bits) if kind == WORDS else items
+                    levels = np.zeros(len(low), np.uint8) if filter_ is None else probe(filter_, low)
+                    exact = None
+                    if kind == WORDS:
+                        where = np.searchsorted(keys, items)
+                        there = where < len(keys)
+                        there[there] = keys[where[there]] == items[there]
+                        count = np.zeros(len(items), dtype="<i8")
+                        count[there] = n[where[there]]
+                        exact = packed(count, "<i8")
+                    out.append((number, kind, bucket, levels.tobytes(), exact))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["run", "kind", "bucket", "levels", "exact"])
+
+    nothing = F.lit(None).cast("binary").alias("n")
+    own = found.bits.select("kind", "bucket", F.lit(-2).cast("long").alias("run"), F.col("keys").alias("data"), nothing)
+    exact = found.exact.select(F.lit(WORDS).alias("kind"), "bucket", F.lit(-1).cast("long").alias("run"), F.col("keys").alias("data"), "n")
+    every = own.union(exact).union(requests(runs, bits).select("*", nothing))
+    every = every.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "run")
+    return every.mapInArrow(run, "run long, kind int, bucket int, levels binary, exact binary")
+
+
+def scores(r: Run, levels: list[np.ndarray], exact: np.ndarray, model: Model) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of the run's texts, from the levels of its words, histories and bigrams."""
+    count, follow, n = (_MEAN[x] for x in levels)
+    rest = model.tokens + 0.5 * (model.types + 1)
+    word = (count + 0.5) / rest
+    count = count.copy()
+    count[0] = model.texts  # a text begins as often as one ends
+    # a history's count is at least its number of different followers
+    seen = np.maximum(np.where(follow > 0, count, 0.0), follow)
+    share = np.where(seen > 0, np.clip(model.discount * follow / np.maximum(seen, 1e-9), 1e-3, 1.0), 1.0)  # of the word model
+    a, b = r.before, r.at
+    p = np.maximum(np.minimum(n, seen[a]) - model.discount, 0.0) / np.maximum(seen[a], 1e-9)
+    p = np.log10(np.minimum(p + share[a] * word[b], 1.0))
+    base = np.log10((exact + 0.5) / rest)[b]
+    return [r.lens, np.add.reduceat((exact > 0).astype(np.int64)[b], r.begins), np.add.reduceat(base, r.begins), np.add.reduceat(p, r.begins)]
 
 
 def lm_report(docs: DataFrame) -> DataFrame:
     """Base and model scores of every document.
 
     A null text is empty: its only token is the end. Repeated rows count again in training and are scored alike.
-    An empty table, or one whose rows are all held out, trains an empty model.
+    An empty table gives no rows; where all rows are held out, the model is empty and every word unknown. Rows
+    without a doc_id train and are scored. A text of any length is a run, or part of one, as a whole.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long"), held_out(docs["doc_id"]).alias("held_out"), text_column(docs).alias("text"))
-    model, found, words, least = train(own.filter(~F.col("held_out")))
+    runs = materialize(in_runs(docs), "lm-runs")
+    model, found = train(runs)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["run"]):
-            texts = rows.filter(pa.compute.is_valid(rows.column("text")))
-            levels = np.frombuffer(b"".join(rows.column("data").drop_null().to_pylist()), dtype=np.uint8)  # by segment
-            got = list(Run(batches_of(texts.column("text"))).score(levels, shared.value))
-            for at in range(0, len(got), 1024):
-                some, part = got[at : at + 1024], texts.slice(at, 1024).combine_chunks()
-                rest = pa.array([list(g[4].items()) for g in some], pa.map_(pa.binary(), pa.int64()))
-                cols = [pa.array([g[i] for g in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                own_cols = [part.column(c).chunk(0) for c in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*own_cols, *cols, rest], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    both = answers(own, found).unionByName(numbered(own), allowMissingColumns=True)
-    both = both.repartition("run").sortWithinPartitions("run", F.asc_nulls_last("seg"))
-    scored = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest map<binary,bigint>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    whole = model.tokens + 0.5 * (model.types + 1)
-    rare = scored.select("row", F.explode("rest").alias("key", "times"))
-    c = F.coalesce("n", F.lit(0))
-    late = rare.join(words.filter(F.col("n") < least), "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(whole))).alias("late"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found")
-    )
-    return scored.drop("rest").join(late, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("late", F.lit(0.0))).alias("base_score"), "score",
-    )
+            own, got = rows.slice(rows.num_rows - 1), rows.slice(0, rows.num_rows - 1)  # by kind and bucket, the run itself last
+            r = Run(own, 0)
+            levels, kinds = got.column("levels").to_pylist(), got.column("kind").to_numpy()
+            by_kind = [np.frombuffer(b"".join(levels[i] for i in np.flatnonzero(kinds == k)), dtype=np.uint8) for k in (WORDS, FOLLOWERS, BIGRAMS)]
+            exact = np.concatenate([unpacked(x, "<i8") for x in got.column("exact").drop_null().to_pylist()])
+            where = [x[2] for x in asked(r)]
+            cols = scores(r, [x[i] for x, i in zip(by_kind, where)], exact[where[WORDS]], shared.value)
+            ids = [own.column(c).combine_chunks().flatten() for c in ("doc_id", "held")]
+            out = pa.table([*ids, *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            yield from out.to_batches(max_chunksize=4096)
+
+    both = answers(runs, found, model.bits).unionByName(runs.select("run", "doc_id", "held", "lens", "hash", "at"), allowMissingColumns=True)
+    both = both.repartition("run").sortWithinPartitions("run", F.asc_nulls_last("kind"), "bucket")
+    scored = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
