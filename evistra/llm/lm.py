@@ -13,9 +13,11 @@ of counts, over the same additive word model as the base score, whose exact word
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +26,15 @@ from evistra.llm._common import batches_of, groups, materialize, packed, slices,
 
 #: Bytes of texts in a run, tokens for which a bucket is meant, the least number of buckets as a power of 2.
 RUN_BYTES, BUCKET_TOKENS, LEAST_BITS = 6 << 20, 1 << 19, 8
-#: Bigrams that a task counts before it passes them on.
-HELD_PAIRS = 4 << 20
+#: Bigrams that a task counts before it passes them on; tokens for each task after a shuffle.
+HELD_PAIRS, TASK_TOKENS = 4 << 20, 2 << 20
 #: Hashes per entry, base of the levels.
 HASHES, BASE = 4, 1.25
 #: The end of a text as a token, and the place before the first word; neither can be a word.
 END, START = b"\n", b""
 WORDS, FOLLOWERS, BIGRAMS = 0, 1, 2
+#: Stand in a run's place: a bucket's own rows.
+_COUNTS, _FOLLOW, _EXACT = -3, -2, -1
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _A, _B, _LOW = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFFFFFFFF)
 _LEVELS = np.unique(np.ceil(BASE ** np.arange(220)).astype(np.float64))[:150]  # least count of each level
@@ -60,6 +64,22 @@ def item_of(key: np.ndarray, kind: int) -> np.ndarray:
     return mix(key ^ _SALT[kind])
 
 
+def history(h: np.ndarray) -> np.ndarray:
+    """The item by which a word's followers are found; the word itself lies in the same bucket."""
+    return item_of(h >> np.uint64(32), FOLLOWERS)
+
+
+def word_low(h: np.ndarray) -> np.ndarray:
+    return (item_of(h, WORDS) >> np.uint64(32)).astype("<u4")
+
+
+def word_order(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words by bucket and hash, and their buckets in that order."""
+    bucket = (history(h) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((h, bucket))
+    return order, bucket[order]
+
+
 def bigram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """32 bits of either word's hash."""
     return (before & ~_LOW) | (word >> np.uint64(32))
@@ -79,12 +99,26 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first)
 
 
+def cuts_of(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, where) of sorted buckets."""
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, np.int64)
+    for a, b in zip(first, np.append(first[1:], len(bucket))):
+        yield int(bucket[a]), slice(a, b)
+
+
 def by_bucket(items: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """(bucket, where) of sorted items."""
-    bucket = (items >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(items) else np.empty(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(items))):
-        yield int(bucket[a]), slice(a, b)
+    return cuts_of((items >> np.uint64(64 - bits)).astype(np.int64))
+
+
+def rising(x: np.ndarray, kind: str = "<u8") -> bytes:
+    """Sorted numbers for the shuffle, by their differences."""
+    x = x.astype(kind)
+    return packed(np.concatenate((x[:1], x[1:] - x[:-1])), kind)
+
+
+def risen(row: bytes, kind: str = "<u8") -> np.ndarray:
+    return np.cumsum(unpacked(row, kind), dtype=kind)
 
 
 # --- the filter ------------------------------------------------------------------------------------------------------
@@ -155,14 +189,15 @@ def in_runs(docs: DataFrame) -> DataFrame:
     """One row for each run of RUN_BYTES of texts (a longer text is a run of its own).
 
     (run, doc_id, held, lens, docs, tokens, hash, at): by document its id, whether it is held out, and its tokens with
-    the end; how many documents and tokens train; hashes of the different words, the end first; all tokens as indices.
+    the end; how many documents and tokens train; hashes of the different words, the end first and START (0) second;
+    all tokens as indices.
     """
     own = docs.select(F.col("doc_id").cast("long"), held_out(docs["doc_id"]).alias("held"), text_column(docs).alias("text"))
     own = own.withColumn("part", F.spark_partition_id())
 
     def row(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        index = Vocabulary({END: 0})
+        index = Vocabulary({END: 0, START: 1})
         lens, parts = [], []
         for text in batches_of(rows.column("text")):
             words = text.lower().split()  # of bytes: A-Z and ASCII white space only
@@ -172,6 +207,7 @@ def in_runs(docs: DataFrame) -> DataFrame:
         out = rows.column("held").to_numpy()
         n = np.array(lens)
         digest = np.array([xxhash.xxh64_intdigest(w) for w in index], dtype="<u8")
+        digest[1] = 0
         lists = [pa.ListArray.from_arrays(pa.array([0, len(lens)], pa.int32()), x) for x in (rows.column("doc_id").chunk(0), rows.column("held").chunk(0), pa.array(n, pa.int64()))]
         train = int((~out).sum()), int(n[~out].sum())
         return pa.RecordBatch.from_arrays(
@@ -197,40 +233,26 @@ def in_runs(docs: DataFrame) -> DataFrame:
 
 
 class Run:
-    """The tokens of a run; `before` is 0 (the end's index) where a text begins."""
+    """The tokens of a run and of each the token before it, START where a text begins."""
 
     def __init__(self, b: pa.RecordBatch | pa.Table, i: int):
         self.lens = np.array(b.column("lens")[i].as_py(), dtype=np.int64)
         self.hash = np.frombuffer(b.column("hash")[i].as_py(), dtype="<u8")
         self.at = unpacked(b.column("at")[i].as_py()).astype(np.int64)
         self.begins = np.cumsum(self.lens) - self.lens
-        self.before = np.concatenate(([0], self.at[:-1]))  # every text ends with the end
+        self.before = np.concatenate(([1], self.at[:-1]))
+        self.before[self.begins] = 1
 
     def pairs(self) -> np.ndarray:
-        """Item of each token with the one before; a text begins after START, whose hash is 0."""
-        h = self.hash.copy()
-        h[0] = 0
-        return item_of(bigram(h[self.before], self.hash[self.at]), BIGRAMS)
-
-    def words(self) -> np.ndarray:
-        return item_of(self.hash, WORDS)
-
-    def histories(self) -> np.ndarray:
-        """Items by which the words' followers are found; the end stands for START."""
-        h = self.hash.copy()
-        h[0] = 0
-        return item_of(h >> np.uint64(32), FOLLOWERS)
+        """Item of each token with the one before."""
+        return item_of(bigram(self.hash[self.before], self.hash[self.at]), BIGRAMS)
 
 
 # --- training --------------------------------------------------------------------------------------------------------
 
 
-def _binary(x: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
-
-
 def counted(runs: DataFrame, bits: int) -> DataFrame:
-    """(kind, bucket, keys, n): the training texts' words and bigrams as items with their counts, a task's together."""
+    """(kind, bucket, keys, n): the training texts' words (by hash) and bigrams (by item) with their counts, a task's together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORDS: [], BIGRAMS: []}
@@ -240,8 +262,13 @@ def counted(runs: DataFrame, bits: int) -> DataFrame:
             for kind, some in held.items():
                 keys, n = summed(*(np.concatenate(x) for x in zip(*some))) if some else (np.empty(0, np.uint64), np.empty(0, np.int64))
                 some.clear()
-                for bucket, at in by_bucket(keys, bits):
-                    cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), _binary(keys[at].astype("<u8")), pa.array([packed(n[at], "<i8")], pa.binary())]
+                if kind == WORDS:
+                    order, bucket = word_order(keys, bits)
+                    keys, n, parts = keys[order], n[order], cuts_of(bucket)
+                else:
+                    parts = by_bucket(keys, bits)
+                for bucket, at in parts:
+                    cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([rising(keys[at])], pa.binary()), pa.array([packed(n[at], "<i8")], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "keys", "n"])
 
         for b in batches:
@@ -251,7 +278,7 @@ def counted(runs: DataFrame, bits: int) -> DataFrame:
                 pairs = r.pairs()[train]
                 held[BIGRAMS].append(summed(pairs, np.ones(len(pairs), dtype=np.int64)))
                 n = np.bincount(r.at[train], minlength=len(r.hash)).astype(np.int64)
-                held[WORDS].append((r.words()[n > 0], n[n > 0]))
+                held[WORDS].append((r.hash[n > 0], n[n > 0]))
                 size += len(held[BIGRAMS][-1][0])
                 if size > HELD_PAIRS:
                     yield from flush()
@@ -261,41 +288,42 @@ def counted(runs: DataFrame, bits: int) -> DataFrame:
     return runs.select("held", "lens", "hash", "at").mapInArrow(count, "kind int, bucket int, keys binary, n binary")
 
 
-def merged(counts: DataFrame, bits: int) -> DataFrame:
+def merged(counts: DataFrame, bits: int, parts: int) -> DataFrame:
     """(what, kind, bucket, keys, n, types, once, twice) of each bucket, its counts added up.
 
     what: `filter`, the bucket's bits in keys and in types, once and twice how many n-grams it holds, how many with a
-    count of 1 and of 2; `exact`, the words' items and counts; `follow`, histories' items and how many bigrams of the
-    bucket begin with them, dealt by the buckets of these items.
+    count of 1 and of 2; `exact`, the words' hashes and counts; `follow`, entries of histories and how many bigrams of
+    the bucket begin with them, dealt by the histories' buckets.
     """
     names = ["what", "kind", "bucket", "keys", "n", "types", "once", "twice"]
 
-    def row(what: str, kind: int, bucket: int, keys: np.ndarray, n: np.ndarray | None, *stats: int) -> pa.RecordBatch:
-        cols = [pa.array([what]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), _binary(keys), pa.array([None if n is None else packed(n, "<i8")], pa.binary())]
+    def row(what: str, kind: int, bucket: int, keys: bytes, n: np.ndarray | None, *stats: int) -> pa.RecordBatch:
+        cols = [pa.array([what]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([None if n is None else packed(n, "<i8")], pa.binary())]
         return pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.int64()) for x in (stats or (None,) * 3))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, bucket), g in groups(batches, ["kind", "bucket"]):
-            keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), dtype="<u8")
+            keys = np.concatenate([risen(x) for x in g.column("keys").to_pylist()])
             keys, n = summed(keys, np.concatenate([unpacked(x, "<i8") for x in g.column("n").to_pylist()]))
-            yield row("filter", kind, bucket, filled(low_of(keys, bits), n), None, len(keys), int((n == 1).sum()), int((n == 2).sum()))
+            low = word_low(keys) if kind == WORDS else low_of(keys, bits)
+            yield row("filter", kind, bucket, filled(low, n).tobytes(), None, len(keys), int((n == 1).sum()), int((n == 2).sum()))
             if kind == WORDS:
-                yield row("exact", kind, bucket, keys.astype("<u8"), n)
-            elif kind == BIGRAMS:
-                history, follow = np.unique((unmix(keys) ^ _SALT[BIGRAMS]) >> np.uint64(32), return_counts=True)
-                item, follow = summed(item_of(history, FOLLOWERS), follow.astype(np.int64))
+                yield row("exact", kind, bucket, rising(keys), n)
+            else:
+                before, follow = np.unique((unmix(keys) ^ _SALT[BIGRAMS]) >> np.uint64(32), return_counts=True)
+                item, follow = summed(item_of(before, FOLLOWERS), follow.astype(np.int64))
                 for to, at in by_bucket(item, bits):
-                    yield row("follow", FOLLOWERS, to, item[at].astype("<u8"), follow[at])
+                    yield row("follow", FOLLOWERS, to, rising(low_of(item[at], bits), "<u4"), follow[at])
 
-    dealt = counts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    dealt = counts.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     return dealt.mapInArrow(run, "what string, kind int, bucket int, keys binary, n binary, types long, once long, twice long")
 
 
 class Model:
-    """What every worker gets: totals of the corpus, the discount, and the number of buckets as a power of 2."""
+    """What every worker gets: totals of the corpus, the discount, the number of buckets as a power of 2 and of tasks."""
 
-    def __init__(self, texts: int, tokens: int, types: int, discount: float, bits: int):
-        self.texts, self.tokens, self.types, self.discount, self.bits = texts, tokens, types, discount, bits
+    def __init__(self, texts: int, tokens: int, types: int, discount: float, bits: int, parts: int):
+        self.texts, self.tokens, self.types, self.discount, self.bits, self.parts = texts, tokens, types, discount, bits, parts
 
 
 class Filter:
@@ -309,81 +337,93 @@ def train(runs: DataFrame) -> tuple[Model, Filter]:
     """The model of the runs' training texts."""
     total = runs.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     bits = max(LEAST_BITS, (max(1, total["tokens"] // BUCKET_TOKENS) - 1).bit_length())
-    rows = materialize(merged(counted(runs, bits), bits), "lm-counts", by="what")
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total["tokens"] // TASK_TOKENS)
+    rows = materialize(merged(counted(runs, bits), bits, parts), "lm-counts", by="what")
     size = {r["kind"]: r for r in rows.filter("what = 'filter'").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()}
     once, twice = (size[BIGRAMS]["once"], size[BIGRAMS]["twice"]) if BIGRAMS in size else (0, 0)
     discount = once / (once + 2 * twice) if once else 0.5
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), g in groups(batches, ["bucket"]):
-            keys = np.frombuffer(b"".join(g.column("keys").to_pylist()), dtype="<u8")
-            keys, n = summed(keys, np.concatenate([unpacked(x, "<i8") for x in g.column("n").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([pa.array([FOLLOWERS], pa.int32()), pa.array([bucket], pa.int32()), _binary(filled(low_of(keys, bits), n))], names=["kind", "bucket", "keys"])
+            low = np.concatenate([risen(x, "<u4") for x in g.column("keys").to_pylist()])
+            low, n = summed(low, np.concatenate([unpacked(x, "<i8") for x in g.column("n").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([pa.array([FOLLOWERS], pa.int32()), pa.array([bucket], pa.int32()), pa.array([filled(low, n).tobytes()], pa.binary())], names=["kind", "bucket", "keys"])
 
-    followers = rows.filter("what = 'follow'").select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(follow, "kind int, bucket int, keys binary")
+    followers = rows.filter("what = 'follow'").select("bucket", "keys", "n").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(follow, "kind int, bucket int, keys binary")
     found = rows.filter("what = 'filter'").select("kind", "bucket", "keys").union(followers)
-    model = Model(total["docs"], total["tokens"], size[WORDS]["types"] if WORDS in size else 0, discount, bits)
+    model = Model(total["docs"], total["tokens"], size[WORDS]["types"] if WORDS in size else 0, discount, bits, parts)
     return model, Filter(found, rows.filter("what = 'exact'").select("bucket", "keys", "n"))
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 
-def asked(r: Run) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, items, where): a run's different items in order, and where each word's or token's is among them."""
-    return [(kind, *np.unique(x, return_inverse=True)) for kind, x in ((WORDS, r.words()), (FOLLOWERS, r.histories()), (BIGRAMS, r.pairs()))]
+def asked(r: Run, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a run asks: its words' order, its different bigrams' items in order, and where each token's bigram is among them."""
+    return word_order(r.hash, bits)[0], *np.unique(r.pairs(), return_inverse=True)
 
 
 def requests(runs: DataFrame, bits: int) -> DataFrame:
-    """(kind, bucket, run, data): what a run asks each bucket for; words by their whole items, others by their entries."""
+    """(kind, bucket, run, data): the words, by hash, and the bigrams, by entry, that a run asks each bucket for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                number = b.column("run")[i].as_py()
-                for kind, items, _ in asked(Run(b, i)):
-                    got = [(bucket, (items[at].astype("<u8") if kind == WORDS else low_of(items[at], bits)).tobytes()) for bucket, at in by_bucket(items, bits)]
-                    cols = [pa.array([kind] * len(got), pa.int32()), pa.array([x[0] for x in got], pa.int32()), pa.array([number] * len(got), pa.int64()), pa.array([x[1] for x in got], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "run", "data"])
+                r, number = Run(b, i), b.column("run")[i].as_py()
+                order, bucket = word_order(r.hash, bits)
+                items = np.unique(r.pairs())
+                got = [(WORDS, k, rising(r.hash[order[at]])) for k, at in cuts_of(bucket)] + [(BIGRAMS, k, rising(low_of(items[at], bits), "<u4")) for k, at in by_bucket(items, bits)]
+                cols = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*cols[:2], pa.array([number] * len(got), pa.int64()), cols[2]], names=["kind", "bucket", "run", "data"])
 
     return runs.select("run", "lens", "hash", "at").mapInArrow(run, "kind int, bucket int, run long, data binary")
 
 
-def answers(runs: DataFrame, found: Filter, bits: int) -> DataFrame:
-    """(run, kind, bucket, levels, exact): the levels, a byte each, of what each run asks each bucket for, and words' counts."""
+def answers(runs: DataFrame, found: Filter, bits: int, parts: int) -> DataFrame:
+    """(run, kind, bucket, levels, exact): the levels of what each run asks each bucket for; of words the levels of their
+    counts, then of their followers, and the exact counts. What is asked of a bucket together is probed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, filter_, keys, n = None, None, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        at, own = None, {}
         for b in batches:
             out: list[tuple] = []
-            for kind, bucket, number, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "run", "data", "n"))):
+            rows = zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "run", "data", "n")))
+            for (kind, bucket), some in groupby(rows, key=lambda x: x[:2]):
                 if at != (kind, bucket):  # the bucket's own rows stand before what is asked of it
-                    at, filter_, keys, n = (kind, bucket), None, keys[:0], n[:0]
-                if number == -2:
-                    filter_ = np.frombuffer(data, dtype=np.uint8)
-                elif number == -1:
-                    keys, n = np.frombuffer(data, dtype="<u8"), unpacked(extra, "<i8")
+                    at, own = (kind, bucket), {}
+                asks = []
+                for _, _, number, data, extra in some:
+                    if number >= 0:
+                        asks.append((number, risen(data, "<u8" if kind == WORDS else "<u4")))
+                    else:
+                        own[number] = (risen(data), unpacked(extra, "<i8")) if number == _EXACT else np.frombuffer(data, dtype=np.uint8)
+                if not asks:
+                    continue
+                keys, ends = np.concatenate([x for _, x in asks]), np.cumsum([len(x) for _, x in asks])
+                level = lambda low, which: probe(own[which], low) if which in own else np.zeros(len(low), np.uint8)
+                if kind == WORDS:
+                    count, follow, exact = level(word_low(keys), _COUNTS), level(low_of(history(keys), bits), _FOLLOW), np.zeros(len(keys), dtype="<i8")
+                    known, n = own.get(_EXACT, (keys[:0], exact[:0]))
+                    where = np.searchsorted(known, keys)
+                    there = where < len(known)
+                    there[there] = known[where[there]] == keys[there]
+                    exact[there] = n[where[there]]
                 else:
-                    items = np.frombuffer(data, dtype="<u8" if kind == WORDS else "<u4")
-                    low = low_of(items, bits) if kind == WORDS else items
-                    levels = np.zeros(len(low), np.uint8) if filter_ is None else probe(filter_, low)
-                    exact = None
-                    if kind == WORDS:
-                        where = np.searchsorted(keys, items)
-                        there = where < len(keys)
-                        there[there] = keys[where[there]] == items[there]
-                        count = np.zeros(len(items), dtype="<i8")
-                        count[there] = n[where[there]]
-                        exact = packed(count, "<i8")
-                    out.append((number, kind, bucket, levels.tobytes(), exact))
+                    count = level(keys, _COUNTS)
+                for (number, x), end in zip(asks, ends):
+                    cut = slice(end - len(x), end)
+                    levels = np.concatenate((count[cut], follow[cut])) if kind == WORDS else count[cut]
+                    out.append((number, kind, bucket, packed(levels, "u1"), packed(exact[cut], "<i8") if kind == WORDS else None))
             types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["run", "kind", "bucket", "levels", "exact"])
 
     nothing = F.lit(None).cast("binary").alias("n")
-    own = found.bits.select("kind", "bucket", F.lit(-2).cast("long").alias("run"), F.col("keys").alias("data"), nothing)
-    exact = found.exact.select(F.lit(WORDS).alias("kind"), "bucket", F.lit(-1).cast("long").alias("run"), F.col("keys").alias("data"), "n")
+    kind = F.when(F.col("kind") == FOLLOWERS, WORDS).otherwise(F.col("kind")).alias("kind")
+    number = F.when(F.col("kind") == FOLLOWERS, _FOLLOW).otherwise(_COUNTS).cast("long").alias("run")
+    own = found.bits.select(kind, "bucket", number, F.col("keys").alias("data"), nothing)
+    exact = found.exact.select(F.lit(WORDS).alias("kind"), "bucket", F.lit(_EXACT).cast("long").alias("run"), F.col("keys").alias("data"), "n")
     every = own.union(exact).union(requests(runs, bits).select("*", nothing))
-    every = every.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "run")
+    every = every.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "run")
     return every.mapInArrow(run, "run long, kind int, bucket int, levels binary, exact binary")
 
 
@@ -393,7 +433,7 @@ def scores(r: Run, levels: list[np.ndarray], exact: np.ndarray, model: Model) ->
     rest = model.tokens + 0.5 * (model.types + 1)
     word = (count + 0.5) / rest
     count = count.copy()
-    count[0] = model.texts  # a text begins as often as one ends
+    count[1] = model.texts  # START: a text begins as often as one ends
     # a history's count is at least its number of different followers
     seen = np.maximum(np.where(follow > 0, count, 0.0), follow)
     share = np.where(seen > 0, np.clip(model.discount * follow / np.maximum(seen, 1e-9), 1e-3, 1.0), 1.0)  # of the word model
@@ -414,22 +454,25 @@ def lm_report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     runs = materialize(in_runs(docs), "lm-runs")
     model, found = train(runs)
-    shared = spark.sparkContext.broadcast(model)
+    shared, bits = spark.sparkContext.broadcast(model), model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["run"]):
             own, got = rows.slice(rows.num_rows - 1), rows.slice(0, rows.num_rows - 1)  # by kind and bucket, the run itself last
             r = Run(own, 0)
-            levels, kinds = got.column("levels").to_pylist(), got.column("kind").to_numpy()
-            by_kind = [np.frombuffer(b"".join(levels[i] for i in np.flatnonzero(kinds == k)), dtype=np.uint8) for k in (WORDS, FOLLOWERS, BIGRAMS)]
-            exact = np.concatenate([unpacked(x, "<i8") for x in got.column("exact").drop_null().to_pylist()])
-            where = [x[2] for x in asked(r)]
-            cols = scores(r, [x[i] for x, i in zip(by_kind, where)], exact[where[WORDS]], shared.value)
+            order, _, where = asked(r, bits)
+            words, pairs = (got.filter(pa.compute.equal(got.column("kind"), k)) for k in (WORDS, BIGRAMS))
+            both = [unpacked(x, "u1").reshape(2, -1) for x in words.column("levels").to_pylist()]
+            count, follow, exact = (np.empty(len(order), dtype=np.int64) for _ in range(3))
+            count[order], follow[order] = np.concatenate(both, axis=1)
+            exact[order] = np.concatenate([unpacked(x, "<i8") for x in words.column("exact").to_pylist()])
+            level = np.concatenate([unpacked(x, "u1") for x in pairs.column("levels").to_pylist()])
+            cols = scores(r, [count, follow, level[where]], exact, shared.value)
             ids = [own.column(c).combine_chunks().flatten() for c in ("doc_id", "held")]
             out = pa.table([*ids, *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
             yield from out.to_batches(max_chunksize=4096)
 
-    both = answers(runs, found, model.bits).unionByName(runs.select("run", "doc_id", "held", "lens", "hash", "at"), allowMissingColumns=True)
-    both = both.repartition("run").sortWithinPartitions("run", F.asc_nulls_last("kind"), "bucket")
+    both = answers(runs, found, bits, model.parts).unionByName(runs.select("run", "doc_id", "held", "lens", "hash", "at"), allowMissingColumns=True)
+    both = both.repartition(model.parts, "run").sortWithinPartitions("run", F.asc_nulls_last("kind"), "bucket")
     scored = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
