@@ -28,8 +28,9 @@ from evistra.llm.learning import labelled_sample, logistic, sigmoid
 
 #: Labelled rows that the lexicon and the weights are fitted on at most, and entries of the lexicon.
 SAMPLE_ROWS, LEXICON = 20_000, 1000
-#: An entry is learnt with this log odds and so many standard errors of it, seen in so many toxic texts.
-MIN_ODDS, MIN_SIGMA, MIN_TEXTS = 2.0, 4.0, 5
+#: An entry is learnt with this log odds and so many standard errors of it (more for a pair, of which there are many),
+#: seen in so many toxic texts; a stem needs so many different words with it there, none of them in over half its texts.
+MIN_ODDS, MIN_SIGMA, PAIR_SIGMA, MIN_TEXTS, MIN_FORMS = 2.0, 4.0, 5.0, 5, 5
 #: Letters of a stem; candidates that are given to every worker, beyond which they are joined.
 STEM, BROADCAST_CANDIDATES = range(3, 11), 200_000
 #: Words of the transducers in English, German, French and Spanish.
@@ -243,15 +244,22 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     texts = distinct_texts(sample)
     size = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     good, bad = size.get(0, 0), size.get(1, 0)
-    some = materialize(text_counts(texts.filter("label = 1")).filter(F.col("n") >= MIN_TEXTS).withColumnRenamed("n", "a"), "toxic-entries")
+    bad_counts = materialize(text_counts(texts.filter("label = 1")), "toxic-counts")
+    frequent = bad_counts.filter(F.col("n") >= MIN_TEXTS).withColumnRenamed("n", "a")
+    words = bad_counts.filter(~F.col("entry").contains(" ") & ~F.col("entry").endswith("*") & (F.length("entry") > STEM[0]))
+    starts = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length("entry") - 1, F.lit(STEM[-1]))), lambda k: F.concat(F.left("entry", k), F.lit("*")))
+    forms = words.select(F.explode(starts).alias("entry"), "n").groupBy("entry").agg(F.count(F.lit(1)).alias("forms"), F.max("n").alias("top"))
+    sound = ~F.col("entry").endswith("*") | ((F.col("forms") >= MIN_FORMS) & (2 * F.col("top") <= F.col("a")))
+    some = materialize(frequent.join(forms, "entry", "left").filter(sound).select("entry", "a"), "toxic-entries")
     few = some.count() <= BROADCAST_CANDIDATES
     others = text_counts(texts.filter("label = 0"), {r.entry for r in some.select("entry").collect()} if few else None)
     both = some.join(others, "entry", "left").withColumn("b", F.coalesce("n", F.lit(0)))
     odds = F.log((F.col("a") + 0.5) / (bad + 1.0)) - F.log((F.col("b") + 0.5) / (good + 1.0))
     sigma = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    both = both.withColumn("odds", odds).withColumn("z", F.col("odds") / sigma).filter((F.col("odds") >= MIN_ODDS) & (F.col("z") >= MIN_SIGMA))
+    both = both.withColumn("odds", odds).withColumn("z", F.col("odds") / sigma)
+    both = both.filter((F.col("odds") >= MIN_ODDS) & (F.col("z") >= F.when(F.col("entry").contains(" "), PAIR_SIGMA).otherwise(MIN_SIGMA)))
     found = {r.entry: float(r.odds) for r in both.orderBy(F.desc("z"), "entry").limit(2 * LEXICON).collect()}
-    # a pair adds nothing where one of its words is an entry itself, nor a word or stem where a shorter stem is as sure
+    # a pair adds nothing where one of its words is an entry itself, nor a word or stem where a shorter stem weighs as much
     plain = Grammar({e: w for e, w in found.items() if " " not in e})
     held = {}
     for e, w in found.items():
