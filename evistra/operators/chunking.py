@@ -1,13 +1,17 @@
 """Markdown into ordered parent and child chunks.
 
-The heading stack, block splitting and packing are small state machines over one document; they run as one function
-per document inside Spark's tasks. Parents are islands of sections with one top heading, numbered declaratively.
+A document's lines get their state in one pass: an open fence (``` or ~~~, closed only by its own mark) hides headings,
+and of each level the last heading counts unless a higher one has come since. Runs of lines under one heading are
+sections, runs of lines of one kind are blocks. Which chunk a block falls into is a fold over the blocks' sizes. That
+much is per document, inside Spark's tasks; parents, islands of sections with one top heading, are numbered by windows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 TARGET, MOST = 320, 512
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
 _RULE = re.compile(r"\s*([-*_])(\s*\1){2,}\s*$")
+_FENCE = re.compile(r"\s*(```|~~~)")
+_UNIT = re.compile(r"[一-鿿]\s*|[^\s一-鿿]+\s*")
 
 
 def count_tokens(text: str) -> int:
@@ -23,98 +29,86 @@ def count_tokens(text: str) -> int:
     return len(re.findall(r"[一-鿿]|[^\s一-鿿]+", text))
 
 
+def fences(lines: list[str]) -> list[tuple[str, bool]]:
+    """For each line the mark of the fence it belongs to (its own lines included, else empty), and whether it opens one."""
+
+    def step(state: tuple[str, bool, str], line: str) -> tuple[str, bool, str]:
+        _, _, inside = state  # the mark that is open before this line
+        m = _FENCE.match(line)
+        mark = m[1] if m else ""
+        if not inside:
+            return mark, bool(mark), mark
+        return inside, False, "" if mark == inside else inside
+
+    return [(mark, opens) for mark, opens, _ in accumulate(lines, step, initial=("", False, ""))][1:]
+
+
 def sections(body: str) -> list[tuple[list[str], str]]:
     """(heading path, text) in order. First-level titles never enter a path; empty sections are dropped; headings
     inside code fences are text."""
-    stack: list[tuple[int, str]] = []
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    fenced = False
-    for line in body.split("\n"):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-        m = None if fenced else _HEADING.match(line)
-        if not m:
-            out[-1][1].append(line)
-            continue
-        level = len(m[1])
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        if level > 1:
-            stack.append((level, m[2]))
-        out.append(([t for _, t in stack], []))
-    cleaned = [(path, "\n".join(x for x in lines if not _RULE.match(x)).strip()) for path, lines in out]
-    return [(p, t) for p, t in cleaned if t]
+    lines = body.split("\n")
+    found = [None if mark else _HEADING.match(x) for x, (mark, _) in zip(lines, fences(lines))]
+    at = list(accumulate(int(m is not None) for m in found))  # the section of each line
+    heads = [(len(m[1]), m[2]) for m in found if m]
+    paths: list[list[str]] = [[]]
+    last: dict[int, str] = {}  # of each level the last heading that no higher or equal one has followed
+    for level, title in heads:
+        last = {k: t for k, t in last.items() if k < level} | {level: title}
+        paths.append([t for k, t in sorted(last.items()) if k > 1])
+    texts = {n: "\n".join(x for x, m, _ in part if not m and not _RULE.match(x)).strip() for n, part in groupby(zip(lines, found, at), key=lambda x: x[2])}
+    return [(path, texts[n]) for n, path in enumerate(paths) if texts.get(n)]
 
 
 def blocks(text: str) -> list[tuple[str, str]]:
     """(kind, text): fenced code and tables whole, paragraphs between blank lines."""
-    out: list[tuple[str, list[str]]] = []
-    kind, fresh = "", True
-    fenced = False
-    for line in text.split("\n"):
-        fence = line.lstrip().startswith("```")
-        now = "code" if fenced or fence else "table" if line.lstrip().startswith("|") else "text"
-        if not line.strip() and not fenced:
-            fresh = True
-            continue
-        if fresh or now != kind or (fence and not fenced):
-            out.append((now, []))
-        out[-1][1].append(line)
-        kind, fresh = now, False
-        if fence:
-            fenced = not fenced
-            fresh = not fenced
-    return [(k, "\n".join(x)) for k, x in out]
+    lines = text.split("\n")
+    state = fences(lines)
+    kinds = ["code" if mark else "" if not x.strip() else "table" if x.lstrip().startswith("|") else "text" for x, (mark, _) in zip(lines, state)]
+    after_end = [i > 0 and bool(state[i - 1][0]) and (not state[i][0] or state[i][1]) for i in range(len(lines))]
+    number = accumulate(int(i == 0 or kinds[i] != kinds[i - 1] or state[i][1] or after_end[i]) for i in range(len(lines)))
+    runs = groupby(zip(number, kinds, lines), key=lambda x: x[:2])
+    return [(kind, "\n".join(x[2] for x in run)) for (_, kind), run in runs if kind]
 
 
 def split_long(text: str, target: int = TARGET) -> list[str]:
-    """Text over the limit, cut after sentences; a sentence over the target is cut by words."""
-    out, cur = [], ""
+    """Text over the limit, cut after sentences; a sentence over the target is cut at its tokens."""
+    parts: list[tuple[str, int, bool]] = []  # text, tokens, alone
     for s in filter(None, re.split(r"(?<=[。！？；!?;.])\s*|\n", text)):
-        if count_tokens(s) > target:
-            if cur:
-                out.append(cur)
-                cur = ""
-            units = re.findall(r"[一-鿿]\s*|[^\s一-鿿]+\s*", s)
-            out += ["".join(units[i : i + target]).strip() for i in range(0, len(units), target)]
-        elif cur and count_tokens(cur) + count_tokens(s) > target:
-            out.append(cur)
-            cur = s
+        n = count_tokens(s)
+        if n <= target:
+            parts.append((s, n, False))
         else:
-            cur = f"{cur} {s}".strip()
-    return out + [cur] * bool(cur)
+            units = _UNIT.findall(s)
+            parts += [("".join(units[i : i + target]).strip(), target, True) for i in range(0, len(units), target)]
+    number = [x.chunk for x in accumulate(parts, lambda at, p: at.after(p[1], target, p[2]), initial=Place())][1:]
+    return [" ".join(p[0] for _, p in run) for _, run in groupby(zip(number, parts), key=lambda x: x[0])]
+
+
+class Place(NamedTuple):
+    """Where the fold over blocks stands: the chunk's number, its tokens, whether it takes nothing more."""
+
+    chunk: int = 0
+    size: int = 0
+    closed: bool = False
+
+    def after(self, n: int, limit: int, alone: bool = False, full: float = float("inf")) -> Place:
+        """The place of a block of n tokens: in the same chunk unless that is closed or would pass the limit; a chunk
+        is closed by a block that stands alone, and once it holds `full` tokens."""
+        fresh = self.closed or (self.size > 0 and (alone or self.size + n > limit))
+        size = n if fresh else self.size + n
+        return Place(self.chunk + fresh, size, alone or size >= full)
 
 
 def pack(items: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Blocks into chunks: text closes a chunk beyond TARGET, whole tables and code only beyond MOST."""
-    out: list[tuple[str, str]] = []
-    cur: list[str] = []
-    kind, size = "text", 0
-
-    def flush() -> None:
-        nonlocal cur, kind, size
-        if cur:
-            out.append((kind, "\n\n".join(cur)))
-        cur, kind, size = [], "text", 0
-
-    for k, t in items:
-        n = count_tokens(t)
-        if k != "text":
-            if size + n > MOST:
-                flush()
-            cur.append(t)
-            kind, size = k, size + n
-            if size >= TARGET:
-                flush()
-        elif n > MOST:
-            flush()
-            out += [("text", p) for p in split_long(t)]
-        else:
-            if size + n > TARGET:
-                flush()
-            cur.append(t)
-            size += n
-    flush()
+    """(kind, text) of chunks: text fits up to TARGET, whole tables and code up to MOST and close a chunk from TARGET on;
+    text over MOST is split into chunks of its own. A chunk is of the kind of its first table or code, else text."""
+    whole = [(kind, text, count_tokens(text)) for kind, text in items]
+    parts = [x for kind, text, n in whole for x in ([(kind, p, n, True) for p in split_long(text)] if kind == "text" and n > MOST else [(kind, text, n, False)])]
+    places = accumulate(parts, lambda at, b: at.after(b[2], *((TARGET, b[3]) if b[0] == "text" else (MOST, False, TARGET))), initial=Place())
+    out = []
+    for _, run in groupby(zip([x.chunk for x in places][1:], parts), key=lambda x: x[0]):
+        chunk = [b for _, b in run]
+        out.append((next((b[0] for b in chunk if b[0] != "text"), "text"), "\n\n".join(b[1] for b in chunk)))
     return out
 
 

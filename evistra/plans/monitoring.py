@@ -22,7 +22,7 @@ def turns(spark, sf_dir):
     return t.withColumn("n", F.size("tools").cast("long")).withColumn("n_ledger", terminal.cast("long"))
 
 
-@query("L8 D18 H8 H9", _TURN_SQL + "SELECT user_id, day, array_to_string(tools, '>') AS tools, n, n_ledger, list_last(list_filter(tools, lambda x: x IN ('execute_refund', 'record_denial'))) AS last_action FROM turns")
+@query("L8", _TURN_SQL + "SELECT user_id, day, array_to_string(tools, '>') AS tools, n, n_ledger, list_last(list_filter(tools, lambda x: x IN ('execute_refund', 'record_denial'))) AS last_action FROM turns")
 def turn_observe(spark, sf_dir):
     last = F.try_element_at(F.filter("tools", lambda x: x.isin("execute_refund", "record_denial")), F.lit(-1))
     return turns(spark, sf_dir).select("user_id", "day", F.array_join("tools", ">").alias("tools"), "n", "n_ledger", last.alias("last_action"))
@@ -37,13 +37,13 @@ def turn_outcome(spark, sf_dir):
     return turns(spark, sf_dir).select("user_id", "day", o.when(F.col("n") == 0, "ask_order_id").otherwise("clarify").alias("outcome"))
 
 
-@query("ST1 L8 L9", _TURN_SQL + """SELECT user_id, day, CASE WHEN n_ledger <= 1 THEN 1 ELSE 0 END AS log_structure,
+@query("L8", _TURN_SQL + """SELECT user_id, day, CASE WHEN n_ledger <= 1 THEN 1 ELSE 0 END AS log_structure,
   CASE WHEN n_ledger = 0 OR list_contains(tools, 'check_eligibility') THEN 1 ELSE 0 END AS rule_consistency FROM turns""")
 def online_scores(spark, sf_dir):
     return turns(spark, sf_dir).select("user_id", "day", (F.col("n_ledger") <= 1).cast("int").alias("log_structure"), ((F.col("n_ledger") == 0) | F.array_contains("tools", "check_eligibility")).cast("int").alias("rule_consistency"))
 
 
-@query("H12 L9 I20", _TURN_SQL + """SELECT user_id, day, regexp_matches(array_to_string(tools, '>'), 'get_profile.*search_policy') AS in_order,
+@query("H12 I20", _TURN_SQL + """SELECT user_id, day, regexp_matches(array_to_string(tools, '>'), 'get_profile.*search_policy') AS in_order,
   len(list_filter(tools, lambda x: x = 'search_policy')) <= 2 AS economical FROM turns""")
 def tool_subsequence(spark, sf_dir):
     want = F.array(F.lit("get_profile"), F.lit("search_policy"))
@@ -51,7 +51,7 @@ def tool_subsequence(spark, sf_dir):
     return turns(spark, sf_dir).select("user_id", "day", (at == 2).alias("in_order"), (F.size(F.filter("tools", lambda x: x == "search_policy")) <= 2).alias("economical"))
 
 
-@query("L9 C11 B12", _TURN_SQL + """, actual AS (SELECT user_id, n, row_number() OVER (PARTITION BY user_id ORDER BY day) AS pos FROM turns),
+@query("C11", _TURN_SQL + """, actual AS (SELECT user_id, n, row_number() OVER (PARTITION BY user_id ORDER BY day) AS pos FROM turns),
 expected AS (SELECT c_custkey AS user_id, unnest(range(1, 4)) AS pos FROM customer)
 SELECT a.user_id, a.pos, n <= 3 + a.pos AS economical FROM actual a JOIN expected e ON a.user_id = e.user_id AND a.pos = e.pos""")
 def turn_scores(spark, sf_dir):
@@ -74,12 +74,30 @@ def history_growth(spark, sf_dir):
     return h.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn"))).filter("k = 1").select("conv_id", "turn", "history_chars")
 
 
-@query("I8", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([1-9][0-9]{5})[0-9]{8}([0-9]{3}[0-9Xx])', '\1********\2', 'g'),
-  '[0-9]{16,19}', '[card]', 'g'), '(1[3-9][0-9])[0-9]{4}([0-9]{4})', '\1****\2', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[email]', 'g')) AS masked FROM documents""")
+@query("I8", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]', '<id-card>', 'g'),
+  '\\b[0-9]{16,19}\\b', '<bank-card>', 'g'), '1[3-9][0-9]{9}', '<phone>', 'g'), '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+\\.[\\p{L}\\p{N}_.-]+', '<email>', 'g')) AS masked FROM documents""")
 def pii_mask(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.mask(F.col("text"))).alias("masked"))
 
 
+@query("I8", """SELECT c_custkey, 'id <id-card>, tel <phone>.' AS head, 'pay <bank-card> now' AS item, CASE WHEN c_custkey % 13 = 12 THEN 'no <bank-card>' ELSE 'no <id-card>' END AS checked,
+  '<email>' AS value, '4111111111111111' AS key FROM customer""")
+def pii_mask_nested(spark, sf_dir):
+    """Masking within structs, arrays and map values, keys left alone; a number without a birth date inside is a card's."""
+    k = F.col("c_custkey")
+    digits = lambda n: F.lpad((k % 10**n).cast("string"), n, "0")
+    month = F.lpad((k % 13 + 1).cast("string"), 2, "0")  # 13 is no month
+    number = F.concat(F.lit("1101051977"), month, F.lit("05"), digits(4))
+    bad = F.concat(F.lit("110105197713"), digits(6))
+    data = F.struct(
+        F.concat(F.lit("id 110105199003071"), digits(3), F.lit(", tel 138"), digits(8), F.lit(".")).alias("head"), F.array(F.concat(F.lit("pay 62220210"), digits(11), F.lit(" now"))).alias("items"),
+        F.concat(F.lit("no "), F.when(k % 13 == 12, bad).otherwise(number)).alias("checked"), F.create_map(F.lit("4111111111111111"), F.concat(F.lit("c"), k.cast("string"), F.lit("@shop.example.org"))).alias("more"),
+    )
+    d = load(spark, sf_dir, "customer").select("c_custkey", data.alias("d"))
+    m = d.select("c_custkey", text.mask_within(F.col("d"), d.schema["d"].dataType).alias("m"))
+    return m.select("c_custkey", "m.head", F.col("m.items")[0].alias("item"), "m.checked", F.map_values("m.more")[0].alias("value"), F.map_keys("m.more")[0].alias("key"))
+
+
 @query("ST6 ST7 D-8", """WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events)
 SELECT event_type, max(value) FILTER (n = least(CAST(floor(total * 0.5) AS BIGINT), total - 1) + 1) AS p50, max(value) FILTER (n = least(CAST(floor(total * 0.9) AS BIGINT), total - 1) + 1) AS p90 FROM x GROUP BY 1""")
 def latency_p50_p90(spark, sf_dir):

@@ -30,5 +30,5 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from evistra.plans import decisions, evaluation, functions, monitoring, retrieval, texts, validation  # noqa: E402, F401
+from evistra.plans import decisions, evaluation, functions, monitoring, retrieval, scoring, texts, validation  # noqa: E402, F401
 from evistra.streaming import plans as _streaming  # noqa: E402, F401
