@@ -139,11 +139,27 @@ def block_pairs(df: DataFrame, keys: list[str], spread: Column, limit: int) -> D
     )
 
 
+#: A key with more than this share of all rows is hot; there can't be more than 1 / HOT of them.
+HOT = 1 / 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, spread: Column) -> DataFrame:
+    """rows with the columns of their key's row in table (one row a key, with `_n`, the rows that have the key), if any.
+
+    Hot keys' rows of the table, whose number HOT bounds, are broadcast; the rows that have them are dealt by `spread`.
+    """
+    cols = [c for c in table.columns if c not in (key, "_n")]
+    hot = table.filter(F.col("_n") > int(total * HOT)).select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in cols))
+    out = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
+    out = out.join(table.select(key, F.lit(0).cast("long").alias("_deal"), *cols), [key, "_deal"], "left")
+    return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in cols))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per linked node, component its smallest node.
 
-    Alternating large-star and small-star rounds; each is grouped minima and joins, so a hub is never gathered in
-    one task. Every round is checkpointed in the shared folder.
+    Alternating large-star and small-star rounds of grouped minima and joins, hubs' edges dealt among the tasks. Every
+    round is checkpointed in the shared folder.
     """
     shared_dir(edges.sparkSession)
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
@@ -151,10 +167,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = print_of(now)
     while seen[0]:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
+        large = join_hot(both.filter("v > u"), low, "u", 2 * seen[0], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = join_hot(large, low, "u", seen[0], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         now = small.union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
         was, seen = seen, print_of(now)
         if was == seen:

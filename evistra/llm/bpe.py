@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
             yield pa.RecordBatch.from_arrays([b.column("id0").take(pa.array(row)), b.column("mark").take(pa.array(row)), pa.array(at.astype(np.int32)), lists.flatten()], names=["id0", "mark", "at", "key"])
 
     rare = halves.mapInArrow(holes, "id0 long, mark long, at int, key string")
-    found = rare.join(table.filter(F.col("n") < least).select("key", "ids"), "key").groupBy("id0", "mark").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    found = rare.join(table.filter(F.col("n") < least).select("key", "ids"), "key").groupBy("id0", "mark").agg(F.collect_set(F.struct("at", "ids")).alias("found"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path) if decoded else None
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
             for row, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
                 parts = list(map(of_place, unpacked(row).tolist()))
                 if got:
-                    ids = {x["at"]: x["ids"] for x in got}  # rows that repeat give each place again
+                    ids = {x["at"]: x["ids"] for x in got}  # a set: rows that repeat give each place again
                     known, parts, last = parts, [], 0
                     for i, place in enumerate(places):
                         parts += known[last:place]

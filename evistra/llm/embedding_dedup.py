@@ -5,6 +5,8 @@ around a pivot; a class also visits every cell that could hold a partner by the
 cells are split into pairs of blocks, so that every pair of classes within reach meets in exactly one task. In a
 task a cover tree (nested levels, radii halving) is built over each block, and pairs of nodes are visited together:
 dropped when their covering radii prove them apart, taken whole when the radii prove them linked, opened otherwise.
+Distances come from products and are uncertain by about the root of the double precision near zero, so the radii only
+decide beyond a margin far above that, and what lies within it is decided by the product itself.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from evistra.llm._common import block_pairs, components, groups, materialize, merge_labels
 
 THRESHOLD = 0.93
 #: Classes of a cell aimed at and held by a task at most (a pair of blocks), pivots of all labels, points of a leaf.
 CELL, BLOCK, PIVOTS, LEAF, CHILDREN = 2048, 2048, 4096, 32, 64
-_SLACK = 1e-9
+#: Margin of distances sqrt(2 - 2 cos): an error of 1e-16 in a product near 1 makes one of 1.5e-8 in the distance.
+_SLACK = 1e-6
 
 
 @dataclass
@@ -127,13 +131,13 @@ def in_cells(classes: DataFrame, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     big = classes.groupBy("label", "dim").count().filter(F.col("count") > CELL)
     sizes = {(r["label"], r["dim"]): r["count"] for r in big.orderBy(F.desc("count"), "label", "dim").limit(PIVOTS // 2).collect()}
-    pivots: dict[tuple[int, int], np.ndarray] = {}
+    pivots: dict[tuple[str, int], np.ndarray] = {}
     total = sum(sizes.values())
     if sizes:
         # about 2 pivots for each CELL classes, PIVOTS in all: a hash's share of each large label
         share = min(1.0, 2 / CELL, PIVOTS / total)
         some = classes.filter(F.pmod(F.xxhash64(F.lit("pivot"), "h1", "h2"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        some = some.join(F.broadcast(spark.createDataFrame(list(sizes), "label int, dim int")), ["label", "dim"])
+        some = some.join(F.broadcast(spark.createDataFrame(list(sizes), "label string, dim int")), ["label", "dim"])
         for r in some.orderBy("label", "dim", "h1", "h2").limit(2 * PIVOTS).select("label", "dim", "embedding").collect():
             pivots.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
         pivots = {k: unit(np.array(v)) for k, v in pivots.items()}
@@ -143,7 +147,7 @@ def in_cells(classes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label, dim = b.column(0).to_numpy(), b.column(1).to_numpy()
+            label, dim = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
             at, cell = [np.arange(b.num_rows)], [np.zeros(b.num_rows, dtype=np.int64)]
             home = [np.ones(b.num_rows, dtype=bool)]
             for (l, k), p in shared.value.items():
@@ -163,7 +167,7 @@ def in_cells(classes: DataFrame, threshold: float) -> DataFrame:
             out = b.take(pa.array(np.concatenate(at)))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(home))], names=[*cols, "cell", "home"])
 
-    kinds = "label int, dim int, h1 long, h2 int, embedding array<float>, id long, times long, cell int, home boolean"
+    kinds = f"label string, dim int, h1 long, h2 int, embedding {classes.schema['embedding'].dataType.simpleString()}, id long, times long, cell int, home boolean"
     return classes.select(*cols).mapInArrow(run, kinds)
 
 
@@ -201,10 +205,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Rows with a null label or vec_id, and vectors that are null, empty, zero or hold null or non-finite components,
     link with nothing; neither do vectors of different lengths. Equal vectors link with one another. Rows that share
-    a vec_id are separate vectors of one component.
+    a vec_id are separate vectors of one component. Components of any numeric type are taken as they are, labels are
+    equal where their values are. An empty table gives no rows.
     """
-    e = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("int"))
-    big = F.lit(3.5e38)
+    kind = embeddings.schema["embedding"].dataType
+    own = "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"
+    e = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast(own), F.col("label").cast("string"))
+    big = F.lit(float("inf"))
     sound = (
         F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.coalesce(F.size("embedding"), F.lit(0)) > 0)
         & F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < big)), F.lit(False))

@@ -3,7 +3,9 @@
 Every source's documents fall into hashed blocks. A source is taken whole as often as its target allows, and the
 rest of its target is drawn as a prefix of its permuted blocks, the last one cut to the word. The blocks taken are
 exact quotas, which a multivariate-hypergeometric splitting tree halves again and again among the output shards;
-each shard then gets its own run of every source's permuted blocks and orders its rows by a hash.
+each shard then gets its own run of every source's permuted blocks, and its rows are put in the order of a hash. The
+number of shards follows the corpus. Sources are ranked in one task and their quotas are one row: there may be some
+hundred thousand of them, while documents and blocks are never gathered.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ from pyspark.sql import functions as F
 
 from evistra.llm._common import WORD, materialize
 
-#: Blocks of a source, levels of the splitting tree (2 ** LEVELS output shards), seed of all draws.
-BLOCKS, LEVELS, SEED = 4096, 4, 20
+#: Blocks of a source, seed of all draws.
+BLOCKS, SEED = 4096, 20
+#: Levels of the splitting tree at least and at most (2 ** levels output shards), words of a shard aimed at.
+LEVELS, MOST_LEVELS, SHARD_WORDS = 4, 12, 1 << 26
+#: Pieces of a shard, by position, that are sorted by tasks of their own.
+PIECES_BITS = 4
 WEIGHTS, CAP = (1, 2, 3), 3
 
 
@@ -23,11 +29,12 @@ def n_words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with _size (words), _source (a key that is never null) and _block."""
+    """docs with _size (words), _source (a key that is never null), _mark (the text's hash) and _block."""
     return (
         docs.withColumn("_size", n_words(docs["text"]))
         .withColumn("_source", F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("null")))
-        .withColumn("_block", F.pmod(F.xxhash64(F.lit(SEED), docs["doc_id"]), F.lit(BLOCKS)).cast("int"))
+        .withColumn("_mark", F.xxhash64(docs["text"]))
+        .withColumn("_block", F.pmod(F.xxhash64(F.lit(SEED), docs["doc_id"], F.col("_mark")), F.lit(BLOCKS)).cast("int"))
     )
 
 
@@ -101,7 +108,9 @@ def block_plan(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     b = b.withColumn("passes", F.col("whole") + (F.col("left") > 0).cast("int"))
     b = materialize(b.drop("before", "rest", "want"), "blocks")
     quotas = b.groupBy("_source").agg(F.sum("passes").alias("q")).agg(F.array_sort(F.collect_list(F.struct("_source", "q"))).alias("s"))
-    tree = splitting_tree(quotas.select(F.transform("s", lambda x: x["q"]).alias("quotas")))
+    total = b.agg(F.sum(F.col("whole") * F.col("words") + F.col("left")).alias("n")).first()["n"] or 0
+    levels = min(MOST_LEVELS, max(LEVELS, (total // SHARD_WORDS).bit_length()))
+    tree = splitting_tree(quotas.select(F.transform("s", lambda x: x["q"]).alias("quotas")), levels)
     per_shard = tree.select("shard", F.posexplode("quotas").alias("i", "n")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("by"))
     ends = quotas.select(F.posexplode("s").alias("i", "s")).join(per_shard, "i").select(
         F.col("s._source").alias("_source"),
@@ -117,7 +126,7 @@ def block_plan(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 def taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs (as sized() gives them) with source_size, target, taken and shards, an entry for each time it is taken."""
     # the order within a block must not depend on which columns docs has
-    rank = Window.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit(SEED + 3), "doc_id"), "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    rank = Window.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit(SEED + 3), "doc_id", "_mark"), "doc_id", "_size", "_mark").rowsBetween(Window.unboundedPreceding, -1)
     d = docs.join(plan, ["_source", "_block"]).withColumn("_before", F.coalesce(F.sum("_size").over(rank), F.lit(0)))
     d = d.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("left") - F.col("_before"))))
     d = d.withColumn("taken", F.col("whole") * F.col("_size") + F.col("_part"))
@@ -132,7 +141,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     rows are separate documents. An empty table gives an empty result. Every source's taken words add up to its
     target rounded to a word.
     """
-    narrow = materialize(sized(docs.select("doc_id", "text", "source")).select("doc_id", "_size", "_source", "_block"), "sized")
+    narrow = materialize(sized(docs.select("doc_id", "text", "source")).select("doc_id", "_size", "_source", "_mark", "_block"), "sized")
     out = taken(narrow, block_plan(narrow))
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"), "shards")
 
@@ -140,12 +149,13 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """(row, shard, position): the mixed rows with docs' columns in row, once each time a document is taken.
 
-    A document that a quota cuts keeps its first words, joined by single spaces; position is the
-    place's hash for shuffling a shard locally. The text is unchanged otherwise.
+    A document that a quota cuts keeps its first words, joined by single spaces. The text is unchanged otherwise.
+    position is a hash of the document and of which time it is taken; a task holds a shard's rows, or a range of their
+    positions, in the order of positions, so what is written is shuffled. Null texts have no words and are not taken.
     """
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name of docs can clash with those used here
     full = sized(docs.select(*(docs[f"`{c}`"].alias(o) for c, o in own.items()), "doc_id", "text", "source")).drop("text", "source")
-    plan = block_plan(materialize(full.select("doc_id", "_size", "_source", "_block"), "sized"))
+    plan = block_plan(materialize(full.select("doc_id", "_size", "_source", "_mark", "_block"), "sized"))
     rows = taken(full, plan).select("*", F.posexplode("shards").alias("_time", "shard"))
     cut = (F.col("_time") == F.col("whole")) & (F.col("_part") < F.col("_size"))
     text = F.col(own["text"])
@@ -154,5 +164,6 @@ def mix(docs: DataFrame) -> DataFrame:
     if "n_chars" in own:
         values["n_chars"] = F.when(cut, F.length(first)).otherwise(F.col(own["n_chars"])).cast("long")
     row = F.struct(*(v.alias(c) for c, v in values.items()))
-    order = F.xxhash64(F.lit(SEED + 4), "shard", "doc_id", "_time")
-    return rows.select(row.alias("row"), "shard", order.alias("position"))
+    order = F.xxhash64(F.lit(SEED + 4), "shard", "doc_id", "_mark", "_time")
+    placed = rows.select(row.alias("row"), "shard", order.alias("position"))
+    return placed.repartition("shard", F.shiftright("position", 64 - PIECES_BITS)).sortWithinPartitions("shard", "position")

@@ -1,9 +1,12 @@
 """Quality by hierarchical empirical Bayes.
 
 A logistic regression on a text's surface (fitted on a bounded sample of labelled rows) gives each document's own
-evidence. Grouped sums of that evidence over all documents give each host and each path under it a posterior: a path
-is shrunk towards its host and a host towards the whole corpus, by strengths estimated from how much sites differ. A
-document's final probability shifts its own log odds by how far its path's stand from the corpus'.
+evidence, once, kept beside the rows. Grouped sums of that evidence over all documents give each host and each path under
+it a posterior: a path is shrunk towards its host and a host towards the whole corpus, by strengths estimated from how
+much sites differ. A document's final probability shifts its own log odds by how far its path's stand from the corpus',
+where the sums of its path and host are taken without itself, so that no evidence counts twice.
+
+Documents carry no address; their source stands for the host and their language for the path.
 """
 
 from __future__ import annotations
@@ -97,42 +100,61 @@ def _strength(sites: DataFrame, prior: Column) -> float:
     return float(np.clip(within / between - 1, 5.0, 1e6))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, site): each path's posterior share of good documents; and the corpus' own share."""
+def site_sums(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(host, path, n, s, host_n, host_s): documents and evidence of each path and of its host; and the corpus' own share
+    `all`, with how many documents it is worth for a host (`host`) and a host for its paths (`path`)."""
     paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("s")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    all_ = hosts.agg((F.sum("s") / F.sum("n")).alias("m")).first()["m"] or 0.5
-    k = _strength(hosts, F.lit(all_))
-    host = hosts.select("host", ((F.col("s") + k * all_) / (F.col("n") + k)).alias("of_host"))
-    both = paths.join(host, "host")
-    k = _strength(both, F.col("of_host"))
-    return both.select("host", "path", ((F.col("s") + k * F.col("of_host")) / (F.col("n") + k)).alias("site")), float(all_)
+    all_ = float(hosts.agg((F.sum("s") / F.sum("n")).alias("m")).first()["m"] or 0.5)
+    both = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "host")
+    known = {"all": all_, "host": _strength(hosts, F.lit(all_))}
+    return both, known | {"path": _strength(both, shrunk(F.col("host_s"), F.col("host_n"), F.lit(all_), known["host"]))}
+
 
+def shrunk(s: Column, n: Column, prior: Column, strength: float) -> Column:
+    return (s + strength * prior) / (n + strength)
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(row, evidence, site, probability, accepted); row is the document with all its columns.
+
+def posterior(known: dict[str, float], own: Column | None = None) -> Column:
+    """A path's posterior share of good documents from its row of site_sums; with own, without that document's evidence."""
+    less, one = (F.lit(0.0), 0) if own is None else (own, 1)
+    host = shrunk(F.col("host_s") - less, F.col("host_n") - one, F.lit(known["all"]), known["host"])
+    return shrunk(F.col("s") - less, F.col("n") - one, host, known["path"])
+
+
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
+    """(host, path, site): each path's posterior share of good documents; and the corpus' own share."""
+    sums, known = site_sums(scored)
+    return sums.select("host", "path", posterior(known).alias("site")), known["all"]
+
+
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(row, evidence, site, probability, accepted); row is the document with all its columns, or those named.
 
     Documents have a source for their host and a language for their path; null is a site of its own. A null text is
     empty. Without labels every document's evidence is a half and all are accepted. Repeated rows count as documents
-    of their site and are judged alike.
+    of their site and are judged alike. An empty table gives no rows.
     """
     known = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("null"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", known("source").alias("host"), known("lang").alias("path"))
-    weights = fit(docs, labels)
-    sites, all_ = site_posteriors(evidence(rows.select("text", "host", "path"), weights))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in columns or docs.columns)).alias("row"), "text", known("source").alias("host"), known("lang").alias("path"))
+    scored = materialize(evidence(rows, fit(docs, labels)), "evidence")
+    sites, known_sites = site_sums(scored.select("host", "path", "evidence"))
     if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    z = _logit(F.col("evidence")) + _logit(F.col("site")) - _logit(F.lit(all_))
-    out = evidence(rows, weights).join(sites, ["host", "path"]).withColumn("probability", 1 / (1 + F.exp(-z)))
+    out = scored.join(sites, ["host", "path"]).withColumn("site", posterior(known_sites, F.col("evidence")))
+    z = _logit(F.col("evidence")) + _logit(F.col("site")) - _logit(F.lit(known_sites["all"]))
+    out = out.withColumn("probability", 1 / (1 + F.exp(-z)))
     return out.select("row", "evidence", "site", "probability", (F.col("probability") >= 0.5).alias("accepted"))
 
 
 def classifier_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, evidence, site, probability, accepted) of every document."""
-    narrow = docs.select("doc_id", "text", "source", "lang")
-    return classify(narrow, labels).select("row.doc_id", "evidence", "site", "probability", "accepted")
+    return classify(docs, labels, ["doc_id"]).select("row.doc_id", "evidence", "site", "probability", "accepted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with their columns."""
+    """The documents that aren't rejected, with their columns; null and empty texts are judged as texts without words.
+
+    Repeated rows stay or go together; without labels all stay.
+    """
     return classify(docs, labels).filter("accepted").select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistra.llm._common import batches_of, block_pairs, components, groups, materialize, merge_labels, slices, text_column
+from evistra.llm._common import batches_of, block_pairs, components, groups, join_hot, materialize, merge_labels, slices, text_column
 
 DISTANCE = 4
 SHINGLE = 4
@@ -168,15 +168,14 @@ def simhash_components(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     doc_id take part but never name a component (a component of only such rows gets null); repeated rows stay.
     """
     fps = materialize(fingerprints(docs), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).checkpoint()
     comp = components(links(nodes.select("fp"), distance))
-    named = (
-        nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("component", F.coalesce("component", "fp"))
-    )
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(lowest, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = nodes.join(comp.withColumnRenamed("node", "fp"), "fp")
+    lowest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    of_linked = join_hot(linked.select("fp", "component"), lowest, "component", nodes.count(), F.col("fp")).select("fp", "component_id")
+    by_fp = nodes.join(of_linked.withColumn("there", F.lit(True)), "fp", "left").select("fp", "_n", F.when(F.col("there"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
+    named = join_hot(fps, by_fp, "fp", fps.count(), F.col("doc_id"))
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

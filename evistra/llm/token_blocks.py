@@ -182,8 +182,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         if ids:
             yield block()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(max(1, -(-total // SHARD_SYMBOLS)), "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, "shard int, block long, start long, first_doc long, n_tokens long, payload binary").write.parquet(f"{folder}/blocks")
+    own = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("mark"))  # a doc_id that repeats may fill more than a shard
+    ordered = own.repartitionByRange(max(1, -(-total // SHARD_SYMBOLS)), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "ids")
+    ordered.select("doc_id", "ids").mapInArrow(run, "shard int, block long, start long, first_doc long, n_tokens long, payload binary").write.parquet(f"{folder}/blocks")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,7 +220,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 def blocks_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """What the files hold of each document.
 
-    A null text is empty and holds the end id alone; rows with equal doc_ids follow one another, ordered by their packed ids;
+    A null text is empty and holds the end id alone; rows with equal doc_ids follow one another, ordered by a hash of their ids;
     rows with a null doc_id come first.
     """
     folder = f"{shared_dir(docs.sparkSession)}/evistra/{docs.sparkSession.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}"

@@ -205,6 +205,31 @@ def test_embedding_cells_and_blocks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()} == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("spread", [3e-9, 6e-8, 1e-4])
+def test_embedding_tight_clusters_at_the_threshold(spread):
+    """Clusters whose distances are all rounding: what the radii can't tell, the product decides."""
+    r = np.random.default_rng(int(1 / spread) % 1000)
+    for _ in range(40):
+        a = r.normal(size=24)
+        a /= np.linalg.norm(a)
+        b = r.normal(size=24)
+        b -= (b @ a) * a
+        b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+        x = embedding_dedup.unit(np.concatenate([a + spread * r.normal(size=(40, 24)) / 5, b + spread * r.normal(size=(40, 24)) / 5]))
+        want = (x @ x.T >= 0.93).sum(axis=1) - 1
+        count, labels = np.zeros(80, dtype=np.int64), np.arange(80)
+        tree = embedding_dedup.cover_tree(x)
+        embedding_dedup.linked(x, tree, tree, np.ones(80, dtype=np.int64), count, labels, 0.93)
+        assert np.abs(count - want).sum() <= 2 * (np.abs(x @ x.T - 0.93) < 3e-16).sum()  # products differ in their last bit by shape
+
+
+def test_embedding_doubles_and_labels_stay_apart(spark):
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 1e-12], 1.2), (3, [1.0, 0.0], 1.7), (4, [1e300, 1e300], 1.7), (5, [2e300, 2e300], 1.7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
 def test_embedding_odd_rows(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 0.0], None), (6, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (8, [1.0, 0.0], 2), (9, [], 1), (10, [1.0], 1), (11, [float("inf"), 1.0], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, dim string")
@@ -335,6 +360,25 @@ def test_quality_classifier(spark, sf):
     assert len(rows) == 1000 and sum(a == bool(q) for a, q in known) / len(known) >= 0.85
 
 
+def test_quality_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = quality_classifier.classifier_report(docs, labels.filter(~out)).join(labels.filter(out), "doc_id").select("accepted", "quality").collect()
+    known = [(r.accepted, bool(r.quality)) for r in rows if r.quality is not None]
+    assert len(known) > 500 and sum(a == q for a, q in known) / len(known) >= 0.97
+
+
+def test_quality_leaves_out_a_documents_own_evidence(spark):
+    """A document alone in its site moves by its host and the corpus only."""
+    rows = [("h", "a", 0.9)] * 50 + [("h", "b", 0.1), ("g", "c", 0.2)]
+    sums, known = quality_classifier.site_sums(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    got = {r.path: (r.site, r.host_s, r.host_n) for r in sums.select("path", "host_s", "host_n", quality_classifier.posterior(known, F.lit(0.1)).alias("site")).collect()}
+    host = lambda s, n: (s + known["host"] * known["all"]) / (n + known["host"])
+    assert got["b"][0] == pytest.approx(host(got["b"][1] - 0.1, got["b"][2] - 1))
+    assert got["c"][0] == pytest.approx((0.1 + known["path"] * host(0.1, 0)) / known["path"])
+
+
 def test_quality_classifier_odd_rows(odd, empty, labels):
     rows = quality_classifier.classifier_report(odd, labels).collect()
     assert len(rows) == len(ODD) and all(0 <= r.probability <= 1 for r in rows)
