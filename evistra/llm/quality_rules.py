@@ -15,20 +15,30 @@ from evistra.llm._common import WORD
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Opening phrases of boilerplate lines, lower case.
+#: Opening phrases of boilerplate lines in English, German, French and Spanish, lower case.
 BOILERPLATE = (
     "all rights reserved", "copyright", "licensed under", "this work is licensed", "terms of use", "privacy policy",
     "cookie policy", "subscribe to", "sign up for", "click here", "read more", "share this",
+    "alle rechte vorbehalten", "impressum", "datenschutz", "nutzungsbedingungen", "cookie-richtlinie", "jetzt abonnieren",
+    "jetzt anmelden", "hier klicken", "weiterlesen", "mehr lesen", "artikel teilen",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "politique de cookies", "abonnez-vous",
+    "inscrivez-vous", "cliquez ici", "lire la suite", "partager cet article",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "términos de uso", "política de cookies",
+    "suscríbete", "regístrate", "haz clic", "haga clic", "leer más", "compartir este artículo",
 )
+#: Words that only separate the entries of a navigation line, and what may end a sentence.
+SEPARATORS, TERMINAL = "|>›»·•/", ".!?…:;\"'”’»)。！？"
 #: A line fails with more symbols than words times this, with this share of its words ending in a run of ! or ?,
-#: with this share of bare separators among its words. A document is rejected below this share of words kept.
-MAX_SYMBOLS, MAX_SHOUTED, MAX_BARS, MIN_KEPT = 0.5, 0.5, 0.2, 0.3
+#: with this share of separators among its words, or with so many words and no end of a sentence. A document is rejected
+#: below this share of its characters kept.
+MAX_SYMBOLS, MAX_SHOUTED, MAX_BARS, MIN_SENTENCE, MIN_KEPT = 0.5, 0.5, 0.2, 5, 0.3
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the base measures, base_failed, kept and clean_text.
 
-    A null text is empty: no words, base_failed. Empty lines never fail a rule. Repeated rows are judged alike.
+    A null text is empty: no words, base_failed. Empty lines never fail a rule. Repeated rows are judged alike; whole
+    texts are read, however long. An empty table gives no rows.
     """
     w = "regexp_extract_all(_text, '" + WORD.replace("\\", "\\\\") + "', 0)"
     d = docs.withColumn("_text", F.coalesce("text", F.lit("")))
@@ -57,14 +67,15 @@ def measured(docs: DataFrame) -> DataFrame:
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     size = lambda x: F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
     count = lambda x, p: F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0)))
-    opening = "^(?i:" + "|".join(BOILERPLATE) + ")"
+    opening = "^(?iu:" + "|".join(BOILERPLATE) + ")"
 
     def good(x):
         n = size(x)
         symbols = F.length(x) - F.length(F.translate(x, SYMBOLS, ""))
         shouted = count(x, r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")
-        bars = F.when(x.contains("|"), count(x, r"(?<![^\x20\x09-\x0D])[|>](?![^\x20\x09-\x0D])")).otherwise(0)
-        punctuation = (symbols > n * F.lit(MAX_SYMBOLS)) | (shouted > n * F.lit(MAX_SHOUTED))
+        bars = F.when(x.rlike(f"[{SEPARATORS}]"), count(x, rf"(?<![^\x20\x09-\x0D])[{SEPARATORS}](?![^\x20\x09-\x0D])")).otherwise(0)
+        ended = F.instr(F.lit(TERMINAL), F.right(F.rtrim(F.translate(x, SPACES, " " * len(SPACES))), F.lit(1))) > 0
+        punctuation = (symbols > n * F.lit(MAX_SYMBOLS)) | (shouted > n * F.lit(MAX_SHOUTED)) | ((n >= MIN_SENTENCE) & ~ended)
         return (n == 0) | ~(punctuation | (bars > n * F.lit(MAX_BARS)) | F.ltrim(x).rlike(opening))
 
     d = d.withColumn("clean_text", F.array_join(F.filter("_lines", good), "\n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evistra.llm.embedding_dedup import THRESHOLD
-from evistra.llm.quality_rules import BOILERPLATE, MAX_BARS, MAX_SHOUTED, MAX_SYMBOLS, MIN_KEPT, WINDOW
+from evistra.llm.quality_rules import BOILERPLATE, MAX_BARS, MAX_SHOUTED, MAX_SYMBOLS, MIN_KEPT, MIN_SENTENCE, SEPARATORS, TERMINAL, WINDOW
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -17,7 +17,8 @@ def _count(pattern: str, text: str) -> str:
 def quality_rules(window: int = WINDOW) -> str:
     """Line rules by lists of lines and words; repeated windows by grouping a table of all windows."""
     window_words = " || chr(0) || ".join(f"words[p + {i}]" for i in range(window))
-    opening = "^(?i:" + "|".join(BOILERPLATE) + ")"
+    opening, terminal = "^(?i:" + "|".join(BOILERPLATE) + ")", TERMINAL.replace("'", "''")
+    bars = ", ".join(f"'{c}'" for c in SEPARATORS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS words, string_split(t, chr(10)) AS lines FROM d),
@@ -25,11 +26,12 @@ windows AS (SELECT r, p, hash({window_words}) AS h FROM (SELECT r, words, unnest
 twice AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
 repeated AS (SELECT r, count(DISTINCT p + k) AS n FROM twice, range({window}) AS s(k) GROUP BY 1),
 parts AS (SELECT r, line, len(ws) AS n, {_count(_OTHER, 'line')} AS symbols, {_count(_SPACE, 'line')} AS chars,
-    len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) AS shouted, len(list_filter(ws, lambda x: x IN ('|', '>'))) AS bars
+    len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) AS shouted, len(list_filter(ws, lambda x: x IN ({bars}))) AS bars,
+    contains('{terminal}', right(rtrim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), 1)) AS ended
   FROM (SELECT r, line, regexp_extract_all(line, '{_WORD}') AS ws FROM (SELECT r, unnest(lines) AS line FROM w))),
 good AS (SELECT r, sum(chars) AS chars FROM parts
   WHERE n = 0 OR NOT (symbols > n * CAST({MAX_SYMBOLS} AS DOUBLE) OR shouted > n * CAST({MAX_SHOUTED} AS DOUBLE)
-    OR (contains(line, '|') AND bars > n * CAST({MAX_BARS} AS DOUBLE)) OR regexp_matches(ltrim(line, ' '), '{opening}')) GROUP BY 1),
+    OR n >= {MIN_SENTENCE} AND NOT ended OR bars > n * CAST({MAX_BARS} AS DOUBLE) OR regexp_matches(ltrim(line, ' '), '{opening}')) GROUP BY 1),
 base AS (SELECT w.r, doc_id, len(words) AS n_words, {_count(_SPACE, 't')} AS word_chars, {_count(_OTHER, 't')} AS n_symbols,
     len(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words

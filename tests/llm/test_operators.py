@@ -147,9 +147,10 @@ def test_quality_rules(spark, sf, texts, odd, empty):
 
 
 def test_quality_rules_cut_lines(spark):
-    good = "a plain line of ordinary words that says something useful about the weather"
-    other = "here is another sentence with quite different words in it so nothing repeats"
-    text = "\n".join([good, "Home | News | About | Contact", "Click here to read more", other, "buy!! now!!"])
+    good = "a plain line of ordinary words that says something useful about the weather."
+    other = "here is another sentence with quite different words in it so nothing repeats!"
+    bad = ["Home > News > About", "Lire la suite", "Alle Rechte vorbehalten.", "a line of words that never comes to its end"]
+    text = "\n".join([good, "Home | News | About | Contact", "Click here to read more", other, "buy!! now!!", *bad])
     junk = "\n".join(["Home | News | About | Contact | Shop", "Copyright 2020 all rights reserved by nobody", "ok"])
     rows = {r.doc_id: r for r in quality_rules.measured(spark.createDataFrame([(1, text), (2, junk)], "doc_id long, text string")).collect()}
     assert rows[1].clean_text == "\n".join([good, other]) and rows[1].kept
