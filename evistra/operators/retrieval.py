@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistra.sources.shared import kept
+
 RRF_K, CAP, MIN_SCORE, TOP_K = 20, 20, 0.30, 4
+DEFAULT_PRIOR = 0.9
 K1, B = 1.2, 0.75
-#: Queries broadcast, or held by a task, at most; rows of a slice that meet a block of queries in one task.
-QUERY_BLOCK, ROW_SLICE = 1024, 65536
+#: Intents that put the law first, and how many rows each layer gives then and otherwise.
+LAW_INTENTS, LAYERS = ("validity", "dispute"), ("platform", "law")
+LAW_FIRST_K, PLAIN_K = {"platform": 12, "law": 12}, {"platform": 18, "law": 5}
+#: Queries broadcast, or held by a task, at most; rows of a slice that meet a block of queries in one task; rows of the
+#: queries' terms that are broadcast at most.
+QUERY_BLOCK, ROW_SLICE, TERM_ROWS = 1024, 65536, 500_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -18,34 +30,83 @@ def valid_on(day: str) -> Column:
     return (F.col("effective_date") <= day) & (F.col("expire_date") > day)
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
-
-
 def top_k(scored: DataFrame, keys: list[str], k: Column | int, ties: str) -> DataFrame:
     """The best k of each key by score, ties by the smaller id; rank added. Filters belong below this."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), ties))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def held_against(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str) -> DataFrame:
-    """Every row with every query of a stated set. Up to QUERY_BLOCK queries are broadcast; more meet the rows in a grid
-    of query blocks and row slices, so that no task holds more than a block and a slice."""
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        return rows.crossJoin(F.broadcast(queries))
-    blocks, slices = -(-n // QUERY_BLOCK), -(-max(1, rows.count()) // ROW_SLICE)
-    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    q = queries.withColumn("_block", part(query_id, blocks)).withColumn("_slice", all_of(slices))
-    r = rows.withColumn("_slice", part(row_id, slices)).withColumn("_block", all_of(blocks))
-    return r.join(q, ["_block", "_slice"]).drop("_block", "_slice")
-
+def routes(plans: DataFrame) -> DataFrame:
+    """plans (query_id, needs_law, sub_queries: array of struct id, intent, text, vec) into a row for each sub-query:
+    query_id, sub_id, text, qvec, k_platform, k_law, law_weight, n_routes.
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, layer, chunk_id, score, rank) per query and layer. queries (a stated set) are held against all chunks."""
-    pairs = held_against(chunks, queries.select("query_id", "qvec"), "chunk_id", "query_id").filter(F.size("vec") == F.size("qvec"))
-    return top_k(pairs.select("query_id", "layer", "chunk_id", F.round(dot("vec", "qvec"), 6).alias("score")), ["query_id", "layer"], k, "chunk_id")
+    The law comes first where the plan or the sub-query's intent asks for it: both layers then give as many rows.
+    """
+    sub = plans.select("query_id", "needs_law", F.size("sub_queries").alias("n_routes"), F.explode("sub_queries").alias("s"))
+    first = F.col("needs_law") | F.col("s.intent").isin(*LAW_INTENTS)
+    k = lambda layer: F.when(first, LAW_FIRST_K[layer]).otherwise(PLAIN_K[layer]).alias(f"k_{layer}")
+    return sub.select("query_id", F.col("s.id").alias("sub_id"), F.col("s.text").alias("text"), F.col("s.vec").alias("qvec"), k("platform"), k("law"), F.when(first, 1.0).otherwise(0.5).alias("law_weight"), "n_routes")
+
+
+def plans_of(queries: DataFrame, cache: DataFrame) -> DataFrame:
+    """queries (query_id, text, vec) with their plan: as cached (query_id, needs_law, sub_queries); else passed through as
+    one sub-query of no special intent. `rewritten` tells which."""
+    alone = F.array(F.struct(F.lit("q1").alias("id"), F.lit("other").alias("intent"), "text", "vec"))
+    p = queries.join(cache.select("query_id", "needs_law", "sub_queries"), "query_id", "left")
+    known = F.coalesce(F.size("sub_queries") > 0, F.lit(False))
+    return p.select("query_id", F.when(known, F.col("needs_law")).otherwise(False).alias("needs_law"), F.when(known, F.col("sub_queries")).otherwise(alone).alias("sub_queries"), known.alias("rewritten"))
+
+
+def _nearest(chunks: pa.Table, subs: pa.Table) -> pa.RecordBatch:
+    """The chunks that may be among the best of each sub-query and layer: products by blocks, ties kept."""
+    q = np.array(subs.column("qvec").to_pylist(), dtype=np.float64)
+    vecs = chunks.column("vec").combine_chunks()
+    own = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vecs), q.shape[1]), False).to_numpy(zero_copy_only=False)) if len(q) else np.empty(0, np.int64)
+    ids, layers = chunks.column("chunk_id").to_numpy()[own], np.array(chunks.column("layer").to_pylist(), dtype=object)[own]
+    x = vecs.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)
+    scores = np.round(x @ q.T, 6) if len(own) else np.empty((0, len(q)))
+    found = []
+    for layer in LAYERS:
+        rows, k = np.flatnonzero(layers == layer), subs.column(f"k_{layer}").to_numpy()
+        if not len(rows):
+            continue
+        own_scores = scores[rows]
+        best = -np.sort(-own_scores, axis=0)[: max(1, int(k.max()))]
+        least = best[np.minimum(k, len(best)) - 1, np.arange(len(k))]
+        i, j = np.nonzero((own_scores >= least) & (k > 0))
+        found.append((j, np.full(len(i), layer, dtype=object), ids[rows[i]], own_scores[i, j]))
+    j, layer, chunk, score = (np.concatenate([f[c] for f in found]) if found else np.empty(0, dtype=t) for c, t in enumerate((np.int64, object, np.int64, np.float64)))
+    key = [subs.column(c).take(pa.array(j)).combine_chunks() for c in ("query_id", "sub_id")]
+    return pa.RecordBatch.from_arrays([*key, pa.array(layer.tolist(), pa.string()), pa.array(chunk, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "sub_id", "layer", "chunk_id", "score"])
+
+
+def dense_topk(subs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, sub_id, layer, chunk_id, score, rank): of each layer the k_<layer> chunks nearest to each sub-query.
+
+    Exact: the sub-queries, a stated set, are held against all chunks (chunk_id, layer, vec). Up to QUERY_BLOCK are
+    broadcast; more meet the chunks in a grid of blocks and slices. A task passes on only what may be among the best.
+    """
+    q = subs.select("query_id", "sub_id", "qvec", "k_platform", "k_law").filter("qvec is not null")
+    c, n, kinds = chunks.select("chunk_id", "layer", "vec"), q.count(), "query_id long, sub_id string, layer string, chunk_id long, score double"
+    if n <= QUERY_BLOCK:
+        shared = chunks.sparkSession.sparkContext.broadcast(q.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield _nearest(pa.Table.from_batches([b]), shared.value)
+
+        near = c.mapInArrow(run, kinds)
+    else:
+        blocks, slices = -(-n // QUERY_BLOCK), -(-max(1, c.count()) // ROW_SLICE)
+        part = lambda k, *cols: F.pmod(F.xxhash64(*cols), F.lit(k)).cast("int")
+        all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = q.withColumn("_block", part(blocks, "query_id", "sub_id")).withColumn("_slice", all_of(slices))
+        right = c.withColumn("_slice", part(slices, "chunk_id")).withColumn("_block", all_of(blocks))
+        meet = lambda a, b: pa.Table.from_batches([_nearest(b, a)])
+        near = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInArrow(meet, kinds)
+    own = near.join(F.broadcast(q.select("query_id", "sub_id", "k_platform", "k_law")) if n <= QUERY_BLOCK else q.select("query_id", "sub_id", "k_platform", "k_law"), ["query_id", "sub_id"])
+    k = F.when(F.col("layer") == "law", F.col("k_law")).otherwise(F.col("k_platform"))
+    return top_k(own, ["query_id", "sub_id", "layer"], k, "chunk_id").drop("k_platform", "k_law")
 
 
 def tokens(text: Column) -> Column:
@@ -57,28 +118,42 @@ def bm25_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of documents sharing a term. Statistics are the whole collection's; only the terms
-    of the queries (a stated set) are taken out of the documents before anything is grouped."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+def bm25_scores(queries: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(*keys, doc_id, score) of documents sharing a term with a query (keys, text; a stated set).
+
+    Statistics are the whole collection's. Terms of documents are kept only where a query has them and counted once; up
+    to TERM_ROWS of the queries' terms go to the documents, so that no term's documents are gathered; more are joined.
+    """
+    terms = kept(queries.select(*keys, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "bm25-terms")
+    wanted = terms.select("term").distinct()
+    few = terms.count() <= TERM_ROWS
+    small = lambda df: F.broadcast(df) if few else df
     d = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    tf = (
-        d.select("doc_id", "dl", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term")
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    tf = d.select("doc_id", "dl", F.explode("t").alias("term")).join(small(wanted), "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = kept(tf, "bm25-counts")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    post = terms.join(df, "term").join(tf, "term").crossJoin(F.broadcast(bm25_stats(docs)))
+    post = tf.join(small(terms.join(df, "term")), "term").crossJoin(F.broadcast(bm25_stats(docs)))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.withColumn("part", part).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return post.withColumn("part", part).groupBy(*keys, "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def _order() -> Column:
+    """How a hit is ordered: sub-query, layer, path, rank, each in the order in which they are searched."""
+    return F.struct("sub_id", F.when(F.col("layer") == "platform", 0).otherwise(1).alias("l"), F.when(F.col("path") == "dense", 0).otherwise(1).alias("p"), "rank")
+
+
+def _tag(h: Column) -> Column:
+    layer, path = F.when(h["l"] == 0, "platform").otherwise("law"), F.when(h["p"] == 0, "dense").otherwise("bm25")
+    return F.concat(h["sub_id"], F.lit("/"), layer, F.lit("/"), path, F.lit("#"), h["rank"].cast("string"))
 
 
 def fuse(ranked: DataFrame) -> DataFrame:
-    """Reciprocal-rank fusion of (query_id, sub_id, layer, path, chunk_id, rank): rrf, hits with provenance, routes."""
-    tag = F.concat_ws("/", "sub_id", "layer", F.concat_ws("#", "path", F.col("rank").cast("string")))
+    """Reciprocal-rank fusion of (query_id, sub_id, layer, path, chunk_id, score, rank): rrf, hits with provenance in order,
+    sub-queries that found the row, and the score with which it was first seen."""
     return ranked.groupBy("query_id", "chunk_id").agg(
-        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_list(tag)).alias("hits"),
-        F.count_distinct("sub_id").alias("n_subs"), F.min(F.struct("sub_id", "layer", "path", "rank")).alias("first_seen"),
+        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.transform(F.array_sort(F.collect_list(_order())), _tag).alias("hits"),
+        F.count_distinct("sub_id").alias("n_subs"), F.min(_order()).alias("first_seen"), F.min_by("score", _order()).alias("first_score"),
     )
 
 
@@ -89,28 +164,11 @@ def candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
 
 
-def quota_merge(ranked: DataFrame, cap: int = CAP, rounds: int = 3) -> DataFrame:
-    """Rows (query_id, route 1.., chunk_id, score) merged so that every route in turn gives up to cap // routes rows
-    not yet taken; then the best of all fill up to cap. Routes beyond `rounds` are taken by score alone."""
-    n = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.max("route").over(Window.partitionBy("query_id"))))
-    rows = ranked.withColumn("quota", n)
-    order = Window.partitionBy("query_id", "route").orderBy(F.desc("score"), "chunk_id")
-    taken = None
-    for r in range(1, rounds + 1):
-        mine = rows.filter(F.col("route") == r)
-        if taken is not None:
-            mine = mine.join(taken.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        mine = mine.withColumn("n", F.row_number().over(order)).filter("n <= quota").select("query_id", "chunk_id", F.lit(r).alias("turn"), F.col("n").alias("place"))
-        taken = mine if taken is None else taken.union(mine)
-    best = rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    merged = best.join(taken, ["query_id", "chunk_id"], "left")
-    w = Window.partitionBy("query_id").orderBy(F.coalesce("turn", F.lit(99)), F.coalesce("place", F.lit(0)), F.desc("score"), "chunk_id")
-    return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).select("query_id", "chunk_id", "score", "rank")
-
-
-def routed_candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
-    """A query's fused rows, at most cap: each of its routes (sub_id, before the / of a hit) in turn gives cap // routes
-    rows not yet taken, by its own fusion; the others follow in the order of candidates(). A task holds one query's rows."""
+def routed_candidates(fused: DataFrame, plans: DataFrame, cap: int = CAP) -> DataFrame:
+    """A query's fused rows, at most cap: each sub-query that found any, in turn, gives up to cap // n rows not yet taken, by
+    its own fusion, n being the plan's sub-queries (plans: query_id, n_routes); the others follow in the order of
+    candidates(). `turn` is the sub-query that gave the row. A task holds one query's rows, a few from each list.
+    """
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank").reset_index(drop=True)
@@ -119,49 +177,51 @@ def routed_candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
             for hit in hits:
                 sub, layer, found = hit.split("/", 2)
                 path, at = found.rsplit("#", 1)
-                own = local.setdefault(sub, {}).setdefault(i, [0.0, (layer, path, int(at))])
-                own[0], own[1] = own[0] + 1.0 / (RRF_K + int(at)), min(own[1], (layer, path, int(at)))
-        quota, order = max(1, cap // len(local)), {}
+                seen = (layer == "law", path == "bm25", int(at))
+                own = local.setdefault(sub, {}).setdefault(i, [0.0, seen])
+                own[0], own[1] = own[0] + 1.0 / (RRF_K + int(at)), min(own[1], seen)
+        quota, turn = max(1, cap // int(rows.n_routes.max())), {}
         for sub in sorted(local):
             best = sorted(local[sub], key=lambda i: (-round(local[sub][i][0], 9), local[sub][i][1], rows.chunk_id[i]))
-            order |= dict.fromkeys([i for i in best if i not in order][:quota])
-        order |= dict.fromkeys(rows.index)
-        out = rows.loc[list(order)[:cap]]
-        return out.assign(rank=range(1, len(out) + 1))
+            turn |= dict.fromkeys([i for i in best if i not in turn][:quota], sub)
+        order = list(dict.fromkeys([*turn, *rows.index]))[:cap]
+        return rows.loc[order].assign(rank=range(1, len(order) + 1), turn=[turn.get(i) for i in order])
 
-    every = candidates(fused, (1 << 31) - 1).select("query_id", "chunk_id", "rrf", "hits", "n_subs", "rank")
+    every = candidates(fused, (1 << 31) - 1).select("query_id", "chunk_id", "rrf", "hits", "n_subs", "rank", F.lit(None).cast("string").alias("turn"))
+    every = every.join(plans.select("query_id", "n_routes").distinct(), "query_id")
     return every.groupBy("query_id").applyInPandas(merged, every.schema)
 
 
-def rerank(cands: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """cands (rrf, layer, core, law_weight) scored 0.8 relevance + 0.2 prior; those below min_score go first."""
+def rerank(cands: DataFrame, priors: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """cands (rrf, layer, doc, law_weight, hits) scored 0.8 relevance + 0.2 prior; those below min_score go first.
+
+    The prior is the layer's (law_weight for the law, else 1) times the document's (priors: doc, doc_prior; a list of
+    documents that a person wrote, so it is broadcast), DEFAULT_PRIOR where it has none.
+    """
     top = F.max("rrf").over(Window.partitionBy("query_id"))
-    rel = F.col("rrf") / F.when(top > 0, top).otherwise(1.0)
-    prior = F.when(F.col("layer") == "law", F.col("law_weight")).otherwise(1.0) * F.when(F.col("core"), 1.0).otherwise(0.9)
-    scored = cands.withColumn("score", F.round(0.8 * rel + 0.2 * prior, 6)).filter(F.col("score") >= min_score)
+    c = cands.join(F.broadcast(priors), "doc", "left").withColumn("relevance", F.col("rrf") / F.when(top > 0, top).otherwise(1.0))
+    c = c.withColumn("prior", F.when(F.col("layer") == "platform", 1.0).otherwise(F.col("law_weight")) * F.coalesce("doc_prior", F.lit(DEFAULT_PRIOR)))
+    scored = c.withColumn("score", F.round(0.8 * F.col("relevance") + 0.2 * F.col("prior"), 6)).filter(F.col("score") >= min_score)
+    scored = scored.withColumn("why", why(F.col("relevance"), F.col("prior"), F.col("score"), F.col("hits")))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank", "chunk_id")))
 
 
-def route_guarantee(evidence: DataFrame) -> DataFrame:
-    """Puts the best row of each route (sub_id) in front where a query has two routes or more; the rest by score."""
-    n = F.size(F.collect_set("sub_id").over(Window.partitionBy("query_id")))
-    first = F.row_number().over(Window.partitionBy("query_id", "sub_id").orderBy("place")) == 1
-    lead = F.when(first & (n > 1), 0).otherwise(1)
-    return evidence.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(lead, "place")))
+def why(relevance: Column, prior: Column, score: Column, hits: Column) -> Column:
+    """Why a row is evidence, for people: its scores and where it was found."""
+    return F.concat(F.format_string("相关性 %.3f × 先验 %.2f → %.3f；命中 ", relevance, prior, score), F.array_join(hits, ", "))
 
 
 def routed_evidence(evidence: DataFrame) -> DataFrame:
-    """evidence with each route's (the part of a hit before the /) best row that is not yet in front put in front, in
-    the routes' order; the others keep theirs. A task holds one query's rows."""
+    """evidence (with hits and n_routes, the plan's sub-queries) with each sub-query's best row that is not yet in front put
+    in front, in the sub-queries' order, where the plan has two or more; the others keep theirs. A task holds one
+    query's rows, at most CAP."""
 
     def led(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place").reset_index(drop=True)
-        routes = [{hit.split("/", 1)[0] for hit in hits} for hits in rows.hits]
+        found = [{hit.split("/", 1)[0] for hit in hits} for hits in rows.hits]
         first: list[int] = []
-        for sub in sorted(set().union(*routes)):
-            first += [i for i in rows.index if i not in first and sub in routes[i]][:1]
-        if len(set().union(*routes)) < 2:
-            first = []
+        for sub in sorted(set().union(*found)) if rows.n_routes.max() > 1 else ():
+            first += [i for i in rows.index if i not in first and sub in found[i]][:1]
         out = rows.loc[list(dict.fromkeys([*first, *rows.index]))]
         return out.assign(place=range(1, len(out) + 1))
 
@@ -182,36 +242,52 @@ def parent_text(children: DataFrame) -> DataFrame:
     return children.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_children"), F.array_join(F.transform(kids, lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def _label(seqs: list[int], path_of: dict[int, str]) -> str:
+    """A section's range: the first path and, where there are more, the last."""
+    paths = [path_of[s] for s in seqs if path_of.get(s)]
+    return paths[0] if len(paths) == 1 else f"{paths[0]} … {paths[-1]}" if paths else ""
+
+
 def assemble(evidence: DataFrame, children: DataFrame, top_k: int = TOP_K, budget: int = 3000, widest: int = 3) -> DataFrame:
     """Sections of each query: evidence grouped by parent, adjacent parents merged, within a token budget.
 
-    evidence: query_id, place, score, doc, parent_seq, chunk_index. Taken in order, a hit on a parent already in a
-    group joins it; one next to a group of the same document (of fewer than `widest` parents) extends it; others open
+    evidence: query_id, place, score, doc, parent_seq, chunk_index, path, why. Taken in order, a hit on a parent already in
+    a group joins it; one next to a group of the same document (of fewer than `widest` parents) extends it; others open
     a group while there are fewer than top_k, else are skipped without a trace, so a later hit may still join. A group
     over the remaining budget is cut to its hits and their neighbours; if that is over, too, assembly ends.
-    children: doc, parent_seq, chunk_index, n_tokens, text.
+    children: doc, parent_seq, chunk_index, n_tokens, text. A section has its first hit's score and reason; `repeated`
+    tells that a paragraph occurs in it twice, which a caller may take for an error.
     """
 
     def grouped(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
+        members: dict[tuple[str, int], int] = {}  # parent -> its group
+        sizes: list[int] = []
+        heads: list = []
+        hits: dict[tuple[str, int], list[int]] = {}
+        path_of: dict[int, dict[int, str]] = {}
         for r in rows.sort_values("place").itertuples():
-            own = next((g for g in groups if g["doc"] == r.doc and r.parent_seq in g["seqs"]), None)
-            own = own or next((g for g in groups if g["doc"] == r.doc and len(g["seqs"]) < widest and any(abs(r.parent_seq - s) == 1 for s in g["seqs"])), None)
-            if own is None:
-                if len(groups) >= top_k:
+            parent = (r.doc, r.parent_seq)
+            beside = [g for s in (-1, 1) if (g := members.get((r.doc, r.parent_seq + s))) is not None and sizes[g] < widest]
+            group = members.get(parent, min(beside, default=len(sizes)))
+            if group == len(sizes):
+                if group >= top_k:
                     continue
-                own = {"doc": r.doc, "seqs": set(), "hits": [], "score": r.score}
-                groups.append(own)
-            own["seqs"].add(r.parent_seq)
-            own["hits"].append((r.parent_seq, r.chunk_index))
-        out = [(rows.query_id.iloc[0], i, g["doc"], s, g["score"], [c for p, c in g["hits"] if p == s]) for i, g in enumerate(groups) for s in sorted(g["seqs"])]
-        return pd.DataFrame(out, columns=["query_id", "section", "doc", "parent_seq", "score", "hits"])
-
-    g = evidence.groupBy("query_id").applyInPandas(grouped, "query_id long, section int, doc string, parent_seq long, score double, hits array<int>")
+                sizes.append(0)
+                heads.append(r)
+            if parent not in members:
+                members[parent] = group
+                sizes[group] += 1
+                path_of.setdefault(group, {})[r.parent_seq] = r.path
+            hits.setdefault(parent, []).append(r.chunk_index)
+        label = {g: _label(sorted(p), p) for g, p in path_of.items()}
+        out = [(heads[g].query_id, g, doc, seq, heads[g].score, label[g], heads[g].why, hits[doc, seq]) for (doc, seq), g in members.items()]
+        return pd.DataFrame(out, columns=["query_id", "section", "doc", "parent_seq", "score", "label", "why", "hits"])
+
+    g = evidence.groupBy("query_id").applyInPandas(grouped, "query_id long, section int, doc string, parent_seq long, score double, label string, why string, hits array<int>")
     kids = g.join(children, ["doc", "parent_seq"])
     near = F.exists("hits", lambda h: F.abs(h - F.col("chunk_index")) <= 1)
     line = F.array_sort(F.collect_list(F.struct("parent_seq", "chunk_index", "text", "n_tokens", near.alias("near"))))
-    sections = kids.groupBy("query_id", "section", "doc", "score").agg(line.alias("lines"))
+    sections = kids.groupBy("query_id", "section", "doc", "score", "label", "why").agg(line.alias("lines"))
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         left, out = budget, []
@@ -223,7 +299,8 @@ def assemble(evidence: DataFrame, children: DataFrame, top_k: int = TOP_K, budge
             if n > left:
                 break
             left -= n
-            out.append((r.query_id, r.section, r.doc, r.score, int(n), "\n\n".join(dict.fromkeys(x["text"] for x in lines))))
-        return pd.DataFrame(out, columns=["query_id", "section", "doc", "score", "n_tokens", "text"])
+            texts = [x["text"] for x in lines]
+            out.append((r.query_id, r.section, r.doc, r.score, r.label, r.why, int(n), len(set(texts)) < len(texts), "\n\n".join(texts)))
+        return pd.DataFrame(out, columns=["query_id", "section", "doc", "score", "label", "why", "n_tokens", "repeated", "text"])
 
-    return sections.groupBy("query_id").applyInPandas(fitted, "query_id long, section int, doc string, score double, n_tokens long, text string")
+    return sections.groupBy("query_id").applyInPandas(fitted, "query_id long, section int, doc string, score double, label string, why string, n_tokens long, repeated boolean, text string")
