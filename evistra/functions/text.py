@@ -23,10 +23,14 @@ def contains_loosely(a: Column, b: Column) -> Column:
     return F.contains(bare(a), bare(b))
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def sentences(c: Column, terminators: str = "。！？；", newline: bool = False) -> Column:
     """Parts that end in a terminator, trimmed and not empty; a newline ends one, too, if asked."""
     cut = f"(?<=[{terminators}])" + (r"|\n" if newline else "")
-    return F.filter(F.transform(F.split(c, cut), squeeze), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, cut), strip), lambda x: x != "")
 
 
 def numbers(c: Column) -> Column:
@@ -79,9 +83,16 @@ def token_count(c: Column) -> Column:
     return ideographs + words
 
 
+#: Characters without a meaning of their own; a pair of two of them is no term.
+FUNCTION_CHARS = "的了着过吗呢吧啊呀么是不在有和与或及对为以之其这那些我你他她它们个就都还也很要会能可把被给让从到"
+
+
 def terms(c: Column) -> Column:
-    """Distinct terms: Latin words of two letters or more, numbers, and pairs of neighbouring ideographs."""
-    latin = F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}|[0-9]+"), F.lit(0))
-    runs = F.regexp_extract_all(c, F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(latin, pairs))
+    """Distinct terms: Latin words and numbers whole, of ideographs each pair of neighbours, alone where one stands alone."""
+    plain = lambda x: F.instr(F.lit(FUNCTION_CHARS), x) > 0
+    at = lambda t, i: F.substring(t, i, F.lit(1))
+    pair = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.when(~(plain(at(t, i)) & plain(at(t, i + 1))), F.substring(t, i, F.lit(2))))
+    one = lambda t: F.array(F.when(~plain(t), t))
+    of = lambda t: F.when(t.rlike("^[0-9a-z]"), F.array(t)).when(F.length(t) == 1, one(t)).otherwise(pair(t))
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+(?:\.[0-9]+)?|[a-z]+|[\x{4e00}-\x{9fff}]+"), F.lit(0))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(found, of))))

@@ -13,13 +13,13 @@ _LEADS = "CASE verdict WHEN '通过' THEN 'approved' WHEN '不通过' THEN 'deni
 _BARE = "regexp_replace(answer, '\\s+', '', 'g')"
 _CONSISTENT = f"CAST(coalesce(CASE WHEN verdict IS NULL THEN outcome = 'ask_order_id' ELSE outcome = {_LEADS} END, false) AS DOUBLE)"
 _STRAY = f"NOT regexp_matches({_BARE}, '(^|[^A-Za-z0-9_])[RD][0-9]{{4,}}($|[^A-Za-z0-9_])')"
-_ONLINE_SQL = f"""WITH {EVAL_SQL}
+ONLINE_SQL = f"""WITH {EVAL_SQL}
 SELECT u AS case_id, pos, outcome, {_CONSISTENT} AS rule_consistency,
   CAST(CASE WHEN n_log > 0 THEN contains({_BARE}, receipt) ELSE {_STRAY} END AS DOUBLE) AS receipt_in_answer,
   CAST(len(list_filter(tools, lambda t: t IN ('execute_refund', 'record_refund_denial'))) = n_log AND n_log <= 1 AS DOUBLE) AS log_structure FROM e_turns"""
 
 
-@query("L8 ST1 K6 H8 I7", _ONLINE_SQL)
+@query("L8 ST1 K6 H8 I7", ONLINE_SQL)
 def online_turn_scores(spark, sf_dir):
     return S.online_scores(turns_of(spark, sf_dir)).select("case_id", "pos", "outcome", "rule_consistency", "receipt_in_answer", "log_structure")
 

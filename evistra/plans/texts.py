@@ -9,16 +9,17 @@ from evistra.functions import text as X
 from evistra.operators import chunking
 from evistra.registry import query
 from evistra.sources.facades import load
+from evistra.sources.shared import kept
 
 
-@query("I3 I4", """WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+@query("I3", """WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
 SELECT doc_id, count(*) AS n, max(length(s)) AS longest FROM s WHERE trim(s, ' ' || chr(10)) <> '' GROUP BY 1""")
 def sentence_split(spark, sf_dir):
     s = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"(?<=[.!?;])")).alias("s"))
     return s.filter(F.trim(F.translate("s", "\n", " ")) != "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
-@query("D-8 D-9 L2 N13 E7", """WITH l AS (SELECT len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents), o AS (SELECT n, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS total FROM l)
+@query("D-8 D-9 E7", """WITH l AS (SELECT len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents), o AS (SELECT n, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS total FROM l)
 SELECT max(n) FILTER (k = least(CAST(floor(total * 0.5) AS BIGINT), total - 1) + 1) AS p50, max(n) FILTER (k = least(CAST(floor(total * 0.99) AS BIGINT), total - 1) + 1) AS p99, max(n) AS longest, count_if(n > 1024) AS truncated FROM o""")
 def token_length_report(spark, sf_dir):
     """Nearest-rank percentiles by index from counts of each length: the window sees lengths, not documents."""
@@ -29,12 +30,12 @@ def token_length_report(spark, sf_dir):
     return c.agg(at(0.5).alias("p50"), at(0.99).alias("p99"), F.max("n").alias("longest"), F.coalesce(F.sum(F.when(F.col("n") > 1024, F.col("k"))), F.lit(0)).alias("truncated"))
 
 
-@query("L1 H2 H3 H4 H5 H6 I1 I2 I5 A9")
+@query("L1 H2 H3 H4 H5 I1 I2 I5")
 def chunk_documents(spark, sf_dir):
     return chunking.chunk_documents(load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body")))
 
 
-@query("H5 L2")
+@query("H5")
 def greedy_pack(spark, sf_dir):
     c = chunk_documents(spark, sf_dir)
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(X.token_count(F.col("body"))).alias("longest"))
@@ -59,24 +60,86 @@ def fence_state(spark, sf_dir):
     return l.select("doc_id", F.col("line").cast("long").alias("line"), (n % 2 == 1).alias("fenced"))
 
 
-@query("L13 B4 D-10")
-def stratified_seeds(spark, sf_dir):
-    """Two usable documents a source (three where twenty are usable) and one short one, the same at every run."""
-    d = load(spark, sf_dir, "documents").filter(F.length(F.trim("text")) >= 30)
-    w = Window.partitionBy("source")
-    d = d.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("cut", F.expr("percentile_approx(n_chars, 0.333, 1000)").over(w))
-    d = d.withColumn("stratum", F.when(F.col("n_chars") <= F.col("cut"), "short").otherwise("rest"))
-    k = F.row_number().over(Window.partitionBy("source", "stratum").orderBy(F.xxhash64(F.lit(20260817), "doc_id"), "doc_id"))
-    return d.withColumn("k", k).filter(F.col("k") <= F.when(F.col("stratum") == "short", 1).when(F.col("n") >= 20, 3).otherwise(2)).select("source", "stratum", "doc_id")
+_POOL_SQL = """WITH chunks AS (SELECT doc_id, source, CASE WHEN contains(text, ' | ') THEN 'table' ELSE 'text' END AS kind, CASE WHEN doc_id % 23 = 0 THEN substr(text, 1, 60) || '：' ELSE text END AS body,
+    CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN '相关文件 > x' ELSE source || ' > ' || lang END AS path, md5('20260817:' || doc_id) AS draw FROM documents),
+pool AS (SELECT *, length(body) AS n FROM chunks WHERE length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) >= 30 AND NOT (length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) < 80 AND ends_with(trim(body, ' ' || chr(9) || chr(10) || chr(13)), '：')) AND trim(path) <> '' AND NOT starts_with(path, '相关文件')),
+line AS (SELECT n AS short_line FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS total FROM pool) WHERE i = total // 3),
+quota AS (SELECT source, 2 + CASE WHEN count(*) >= 20 THEN 1 ELSE 0 END AS quota FROM pool GROUP BY 1),
+tables AS (SELECT doc_id, source FROM pool WHERE kind = 'table' QUALIFY row_number() OVER (PARTITION BY source ORDER BY draw) = 1),
+shorts AS (SELECT doc_id, source FROM pool, line WHERE n <= short_line AND doc_id NOT IN (SELECT doc_id FROM tables) QUALIFY row_number() OVER (PARTITION BY source ORDER BY draw) = 1),
+first AS (SELECT *, 'table' AS stratum FROM tables UNION ALL SELECT *, 'short' FROM shorts), n_first AS (SELECT source, count(*) AS k FROM first GROUP BY 1),
+rest AS (SELECT doc_id, pool.source, row_number() OVER (PARTITION BY pool.source ORDER BY draw) + coalesce(k, 0) AS place FROM pool LEFT JOIN n_first ON pool.source = n_first.source WHERE doc_id NOT IN (SELECT doc_id FROM first)),
+seeds AS (SELECT source, doc_id, stratum FROM first UNION ALL SELECT rest.source, doc_id, 'rest' FROM rest JOIN quota ON rest.source = quota.source WHERE place <= quota)
+"""
 
 
-@query("ST8 B6")
+@query("L13 B4 D-10", _POOL_SQL + "SELECT source, stratum, doc_id FROM seeds")
+def stratified_seeds(spark, sf_dir):
+    """Two usable chunks a source (three where twenty are usable), a table and a short one among them where there are any,
+    the same at every run. Only the few least draws of each source and kind are ranked together."""
+    d = load(spark, sf_dir, "documents")
+    c = d.select(
+        "doc_id", "source", F.when(F.contains("text", F.lit(" | ")), "table").otherwise("text").alias("kind"), F.when(F.col("doc_id") % 23 == 0, F.concat(F.substring("text", 1, 60), F.lit("："))).otherwise(F.col("text")).alias("body"),
+        F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 19 == 0, "相关文件 > x").otherwise(F.concat_ws(" > ", "source", "lang")).alias("path"), F.md5(F.concat(F.lit("20260817:"), F.col("doc_id").cast("string"))).alias("draw"),
+    )
+    pool = kept(c.filter(usable(F.col("body"), F.col("path"))).select("doc_id", "source", "kind", "draw", F.length("body").alias("n")), "seed-pool")
+    lengths = pool.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("n"))).withColumn("total", F.sum("k").over(Window.partitionBy(F.lit(1))))
+    line = lengths.agg(F.min(F.when(F.col("upto") > F.floor(F.col("total") / 3), F.col("n"))).alias("line"))
+    quota = pool.groupBy("source").agg((2 + (F.count(F.lit(1)) >= 20).cast("int")).alias("quota"))
+    p = pool.crossJoin(F.broadcast(line)).withColumn("short", F.col("n") <= F.col("line"))
+    least = lambda rows, k: rows.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("draw"))).filter(F.col("i") <= k).drop("i")
+    few = least(p.filter("kind = 'table'"), 1).union(least(p.filter("short"), 2)).union(least(p, 5)).distinct()  # at most 8 a source
+    by = Window.partitionBy("source")
+    few = few.withColumn("t", (F.col("kind") == "table") & (F.col("draw") == F.min(F.when(F.col("kind") == "table", F.col("draw"))).over(by)))
+    few = few.withColumn("s", F.coalesce(F.col("short") & ~F.col("t") & (F.col("draw") == F.min(F.when(F.col("short") & ~F.col("t"), F.col("draw"))).over(by)), F.lit(False)))
+    stratum = F.when(F.col("t"), "table").when(F.col("s"), "short").otherwise("rest")
+    placed = few.withColumn("stratum", stratum).withColumn("place", F.row_number().over(by.orderBy(F.when(F.col("t"), 0).when(F.col("s"), 1).otherwise(2), "draw")))
+    return placed.join(quota, "source").filter("place <= quota").select("source", "stratum", "doc_id")
+
+
+def usable(body, path):
+    """Whether a case can be made of a chunk: long enough, not a short lead to what follows, not an introduction or a list of links."""
+    b = X.strip(body)
+    return (F.length(b) >= 30) & ~((F.length(b) < 80) & b.endswith("：")) & (F.trim(path) != "") & ~path.startswith("相关文件")
+
+
+@query("L14", _POOL_SQL + """, two AS (SELECT source, doc_id, unnest(['formal', 'colloquial']) AS style FROM seeds)
+SELECT 'R1-' || lpad(CAST(row_number() OVER (ORDER BY source, doc_id, style DESC) AS VARCHAR), 3, '0') AS case_id, style || ' question on ' || doc_id AS question, doc_id FROM two""")
+def seed_cases(spark, sf_dir):
+    """Two cases a seed, asked formally and colloquially, numbered in the order of the seeds; a model would word them."""
+    two = stratified_seeds(spark, sf_dir).select("source", "doc_id", F.explode(F.array(F.lit("formal"), F.lit("colloquial"))).alias("style"))
+    n = F.row_number().over(Window.orderBy("source", "doc_id", F.desc("style")))  # a few seeds a source
+    return two.select(F.concat(F.lit("R1-"), F.lpad(n.cast("string"), 3, "0")).alias("case_id"), F.concat("style", F.lit(" question on "), F.col("doc_id").cast("string")).alias("question"), "doc_id")
+
+
+@query("I3 I4", """WITH t AS (SELECT conv_id, turn, replace(replace(text, '. ', '。 '), ', ', '；') AS t FROM conversations),
+a AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(replace(t, chr(10), chr(1)), '([。！？；!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM t),
+b AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(t, '([。！？；])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS s FROM t)
+SELECT a.conv_id, a.turn, md5(array_to_string(a.s, '|')) AS split, md5(array_to_string(b.s, '|')) AS judged FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn""")
+def cjk_sentences(spark, sf_dir):
+    """Sentences for splitting, which end at a newline and at ASCII marks too, and for judging, which don't."""
+    t = F.replace(F.replace("text", F.lit(". "), F.lit("。 ")), F.lit(", "), F.lit("；"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
+    digest = lambda x: F.md5(F.array_join(x, "|"))
+    return c.select("conv_id", "turn", digest(X.sentences(F.col("t"), "。！？；!?;", newline=True)).alias("split"), digest(X.sentences(F.col("t"))).alias("judged"))
+
+
+@query("E8", """WITH k AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN '无理由退货' WHEN 1 THEN '的是退款' WHEN 2 THEN '了' WHEN 3 THEN '款 7.5 Days' ELSE '商品的了' END AS t FROM part)
+SELECT k, CASE k % 5 WHEN 0 THEN '无理|理由|由退|退货' WHEN 1 THEN '是退|退款' WHEN 2 THEN '' WHEN 3 THEN '7.5|days|款' ELSE '品的|商品' END AS terms FROM k""")
+def term_sets(spark, sf_dir):
+    k = F.col("p_partkey")
+    t = F.when(k % 5 == 0, "无理由退货").when(k % 5 == 1, "的是退款").when(k % 5 == 2, "了").when(k % 5 == 3, "款 7.5 Days").otherwise("商品的了")
+    return load(spark, sf_dir, "part").select(k.alias("k"), F.array_join(F.array_sort(X.terms(t)), "|").alias("terms"))
+
+
+@query("ST8", "SELECT user_id, count(*) AS n FROM events WHERE CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 6) AS INTEGER) % 100 < 20 GROUP BY 1")
 def trace_sample(spark, sf_dir):
     """A fifth of the users' events, chosen by the user's hash."""
-    return load(spark, sf_dir, "events").filter(F.pmod(F.xxhash64("user_id"), F.lit(100)) < 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    share = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 6), 16, 10).cast("int") % 100
+    return load(spark, sf_dir, "events").filter(share < 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C18 F13 L14", """WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents), best AS (SELECT source, max(n * 1000000000 + doc_id) % 1000000000 AS doc_id FROM d GROUP BY 1)
+@query("C18 F13", """WITH d AS (SELECT doc_id, source, length(text) AS n FROM documents), best AS (SELECT source, max(n * 1000000000 + doc_id) % 1000000000 AS doc_id FROM d GROUP BY 1)
 SELECT a.source AS left_source, b.source AS right_source, a.doc_id AS left_id, b.doc_id AS right_id FROM best a JOIN best b ON CAST(substr(a.source, 4) AS INTEGER) + 1 = CAST(substr(b.source, 4) AS INTEGER)""")
 def pair_picking(spark, sf_dir):
     best = load(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.struct(F.length("text").alias("n"), "doc_id"))["doc_id"].alias("doc_id"))

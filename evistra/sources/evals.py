@@ -30,9 +30,6 @@ e_expected AS (SELECT k AS ek, CASE WHEN k % 4 = 0 THEN 'denied' ELSE CASE k % 7
 e_cases AS (SELECT c_custkey AS case_id, CASE WHEN c_custkey % 4 = 0 THEN 'P0' ELSE 'P1' END AS priority, CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS run_error,
   CASE WHEN c_custkey % 9 = 0 THEN 1 + c_custkey % 2 END AS replay_rows, CASE WHEN c_custkey % 5 = 0 THEN ['R1', 'R2'] ELSE ['R1', 'R1'] END AS replay_receipts, CASE WHEN c_custkey % 9 = 0 THEN 1 END AS expected_rows FROM customer)"""
 
-_K = F.col("k")
-
-
 def _texts(*names: str):
     return F.array(*map(F.lit, names)).cast("array<string>")
 
@@ -52,38 +49,43 @@ def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was done: case_id, pos, k, tools, verdicts, policy, log, answer."""
-    o, n, none = orders_of(spark, sf_dir), _K % 7, _texts()
+    return turns_from(orders_of(spark, sf_dir))
+
+
+def turns_from(o: DataFrame) -> DataFrame:
+    """The turns of orders (k, price and more), batch or stream."""
+    n, none = F.col("k") % 7, _texts()
     tools = _by(n, {
         0: none, 1: _texts("get_customer_info", "search_refund_policy"), 2: _texts("get_customer_info", "search_refund_policy", "check_refund_eligibility", "execute_refund"),
         3: _texts("get_customer_info", "check_refund_eligibility", "record_refund_denial"), 4: _texts("check_refund_eligibility", "handoff_to_human"),
         5: _texts("search_refund_policy", "search_refund_policy", "search_refund_policy", "check_refund_eligibility"),
     }, _texts("check_refund_eligibility", "execute_refund", "execute_refund"))
-    said = _by(_K % 5, {0: _texts("通过：可退"), 1: _texts("参数错误：x", "不通过：超期"), 2: _texts("通过：a", "参数错误：b"), 3: _texts("需补充：缺")}, _texts("参数错误：y"))
-    letter, order = F.when(n == 3, "D").otherwise("R"), F.concat(F.lit("O"), (_K + F.when(_K % 13 == 0, 1).otherwise(0)).cast("string"))
-    amount = F.when(n == 3, 0.0).otherwise(F.col("price") + F.when(_K % 11 == 0, 1.0).otherwise(0.0))
-    row = lambda add: F.struct(F.when(n == 3, "拒绝").otherwise("批准").alias("decision"), F.concat(letter, (_K + 9000 + add).cast("string")).alias("receipt"), order.alias("order_id"), amount.alias("amount"))
+    said = _by(F.col("k") % 5, {0: _texts("通过：可退"), 1: _texts("参数错误：x", "不通过：超期"), 2: _texts("通过：a", "参数错误：b"), 3: _texts("需补充：缺")}, _texts("参数错误：y"))
+    letter, order = F.when(n == 3, "D").otherwise("R"), F.concat(F.lit("O"), (F.col("k") + F.when(F.col("k") % 13 == 0, 1).otherwise(0)).cast("string"))
+    amount = F.when(n == 3, 0.0).otherwise(F.col("price") + F.when(F.col("k") % 11 == 0, 1.0).otherwise(0.0))
+    row = lambda add: F.struct(F.when(n == 3, "拒绝").otherwise("批准").alias("decision"), F.concat(letter, (F.col("k") + 9000 + add).cast("string")).alias("receipt"), order.alias("order_id"), amount.alias("amount"))
     log = F.when(n.isin(2, 3), F.array(row(0))).when(n == 6, F.array(row(0), row(1))).otherwise(F.array().cast("array<struct<decision:string,receipt:string,order_id:string,amount:double>>"))
-    policy = F.when(n.isin(1, 2, 5), F.when(_K % 4 == 1, _texts("[E1] P02 text", "P 07 more")).otherwise(_texts("[E1] P02 text"))).otherwise(none)
-    t = o.select("case_id", "pos", "k", "price", tools.alias("tools"), F.when(n < 2, none).otherwise(said).alias("verdicts"), policy.alias("policy"), log.alias("log"))
+    policy = F.when(n.isin(1, 2, 5), F.when(F.col("k") % 4 == 1, _texts("[E1] P02 text", "P 07 more")).otherwise(_texts("[E1] P02 text"))).otherwise(none)
+    t = o.select("*", tools.alias("tools"), F.when(n < 2, none).otherwise(said).alias("verdicts"), policy.alias("policy"), log.alias("log"))
     last = F.try_element_at("log", F.lit(-1))["receipt"]
     spaced = F.concat(F.lit("the receipt "), F.substring(last, 1, 3), F.lit(" "), F.substring(last, 4, 40))
-    answer = F.when(_K % 3 == 0, "no number here").when(_K % 3 == 2, "see D9999, refund within 7days").when(F.size("log") > 0, spaced).otherwise("wait 7 days")
+    answer = F.when(F.col("k") % 3 == 0, "no number here").when(F.col("k") % 3 == 2, "see D9999, refund within 7days").when(F.size("log") > 0, spaced).otherwise("wait 7 days")
     return t.withColumn("answer", answer)
 
 
 def expectations_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was expected of the first three turns of each case."""
-    o, n, none = orders_of(spark, sf_dir).filter("pos <= 3"), _K % 7, _texts()
+    o, n, none = orders_of(spark, sf_dir).filter("pos <= 3"), F.col("k") % 7, _texts()
     natural = _by(n, {0: F.lit("ask_order_id"), 2: F.lit("approved"), 3: F.lit("denied"), 4: F.lit("handoff"), 6: F.lit("approved")}, F.lit("clarify"))
-    want = F.struct(F.when(n == 2, "批准").otherwise("拒绝").alias("decision"), F.concat(F.lit("O"), _K.cast("string")).alias("order_id"), F.when(n == 2, F.col("price")).otherwise(0.0).alias("amount"))
+    want = F.struct(F.when(n == 2, "批准").otherwise("拒绝").alias("decision"), F.concat(F.lit("O"), F.col("k").cast("string")).alias("order_id"), F.when(n == 2, F.col("price")).otherwise(0.0).alias("amount"))
     return o.select(
-        "case_id", "pos", F.when(_K % 4 == 0, "denied").otherwise(natural).alias("expected_outcome"),
-        F.when(n == 2, _texts("execute_refund")).when(n == 3, _texts("record_refund_denial")).when(_K % 2 == 0, _texts("search_refund_policy")).otherwise(none).alias("must_call"),
-        F.when(_K % 5 == 0, _texts("handoff_to_human", "execute_refund")).otherwise(none).alias("must_not_call"),
-        F.when(_K % 6 == 0, _texts("get_customer_info", "check_refund_eligibility")).otherwise(none).alias("call_order"),
-        F.when(_K % 2 == 0, 2).alias("max_searches"), n.isin(2, 3).alias("must_include_receipt"), F.when(n.isin(2, 3), want).alias("expected_log"),
-        F.when(_K % 3 == 0, none).otherwise(_texts("7 days", "receipt")).alias("mention"), F.when(_K % 10 == 0, _texts("no number")).otherwise(none).alias("not_mention"),
-        F.when(_K % 2 == 1, _texts("P02", "P07")).otherwise(none).alias("prefer_docs"),
+        "case_id", "pos", F.when(F.col("k") % 4 == 0, "denied").otherwise(natural).alias("expected_outcome"),
+        F.when(n == 2, _texts("execute_refund")).when(n == 3, _texts("record_refund_denial")).when(F.col("k") % 2 == 0, _texts("search_refund_policy")).otherwise(none).alias("must_call"),
+        F.when(F.col("k") % 5 == 0, _texts("handoff_to_human", "execute_refund")).otherwise(none).alias("must_not_call"),
+        F.when(F.col("k") % 6 == 0, _texts("get_customer_info", "check_refund_eligibility")).otherwise(none).alias("call_order"),
+        F.when(F.col("k") % 2 == 0, 2).alias("max_searches"), n.isin(2, 3).alias("must_include_receipt"), F.when(n.isin(2, 3), want).alias("expected_log"),
+        F.when(F.col("k") % 3 == 0, none).otherwise(_texts("7 days", "receipt")).alias("mention"), F.when(F.col("k") % 10 == 0, _texts("no number")).otherwise(none).alias("not_mention"),
+        F.when(F.col("k") % 2 == 1, _texts("P02", "P07")).otherwise(none).alias("prefer_docs"),
     )
 
 

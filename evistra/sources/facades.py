@@ -70,9 +70,14 @@ acts AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, value,
 TOOLS = {"click": "get_profile", "view": "search_policy", "signup": "check_eligibility", "purchase": "execute_refund", "error": "record_denial"}
 
 
-def acts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls: user_id, day, ts, event_id, value, tool; a turn is a user's day."""
+def with_tool(events: DataFrame) -> DataFrame:
+    """events with the tool that each stands for."""
     tool = F.lit("handoff")
     for kind, name in TOOLS.items():
         tool = F.when(F.col("event_type") == kind, name).otherwise(tool)
-    return load(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", "value", tool.alias("tool"))
+    return events.withColumn("tool", tool)
+
+
+def acts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls: user_id, day, ts, event_id, value, tool; a turn is a user's day."""
+    return with_tool(load(spark, sf_dir, "events")).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", "value", "tool")

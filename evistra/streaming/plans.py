@@ -1,58 +1,129 @@
-"""Structured Streaming forms of the monitoring queries, run to the end of what there is (available-now)."""
+"""Structured Streaming forms of the monitoring queries, run to the end of what there is (available-now).
+
+Windows and sessions that are still open at the end come out, too, so that each stream gives what the same query gives
+over the whole table; the SQL of the batch query is its oracle.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evistra.operators import scoring
+from evistra.plans.scoring import ONLINE_SQL
 from evistra.registry import query
+from evistra.sources.evals import turns_from
+from evistra.sources.facades import TURNS_SQL, with_tool
+from evistra.sources.shared import folder
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream; their NTZ times become timestamps, which watermarks need.
-
-    A stream takes a folder or a pattern, so the table is named by a pattern: it may be one file or a folder of files.
-    """
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. A stream takes a folder or a pattern, so the table is named by a pattern: it may be one file
+    or a folder of files. NTZ times become timestamps, which watermarks need."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows a stream gives for all that is there, kept as Parquet in the shared checkpoint folder.
+    """The rows a stream gives for all that is there, kept as Parquet in the shared folder.
 
     Append mode never gives windows still open at the end; complete mode does, and its last batch holds all rows.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evistra-")
-    folder = f"{base}/evistra/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    out = df.writeStream.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True)
+    spark, where = df.sparkSession, folder(df.sparkSession, "stream")
+    out = df.writeStream.option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        out.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        out.format("parquet").option("path", f"{where}/rows").start().awaitTermination()
     else:
-        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows")  # for a stream without a batch
-        out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+        spark.createDataFrame([], df.schema).write.parquet(f"{where}/rows")  # for a stream without a batch
+        out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{where}/rows")).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{where}/rows")
+
+
+def _text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("ST6 ST7 ST5 A19")
+@query("ST6 ST5", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS error_ratio FROM events GROUP BY 1
+  HAVING avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) > 0.02""")
 def stream_hourly_alerts(spark, sf_dir):
-    e = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 hour")
     w = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("event_type") == "error").cast("double")).alias("error_ratio"))
-    return drained(w.select(F.col("w.start").alias("hour"), "n", "error_ratio"), "complete").filter("error_ratio > 0.02")
+    return drained(w.select(F.col("w.start").alias("hour"), "n", "error_ratio"), "complete").filter("error_ratio > 0.02").select(_text("hour").alias("hour"), "n", F.round("error_ratio", 6).alias("error_ratio"))
+
+
+#: The alert rules, by window: name, what it watches, and when it fires.
+_RULES = {"hour": {"consistency below 1": "good < 1.0", "error ratio": "bad > 0.02"}, "day": {"consistency below 0.90": "good < 0.9", "structure below 0.85": "structure < 0.85", "slow": "p90 > 90"}}
+_WATCH_SQL = """SELECT ts, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END AS bad, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1 END AS good, CASE WHEN event_type IN ('error', 'signup') THEN 0.0 ELSE 1 END AS structure, value FROM events"""
+
+
+@query("ST6", f"""WITH w AS ({_WATCH_SQL}),
+h AS (SELECT date_trunc('hour', ts) AS t, avg(bad) AS bad, avg(good) AS good FROM w GROUP BY 1), d AS (SELECT date_trunc('day', ts) AS t, avg(good) AS good, avg(structure) AS structure, quantile_disc(value, 0.9) AS p90 FROM w GROUP BY 1)
+SELECT strftime(t, '%Y-%m-%d %H') AS at, 'hour' AS size, unnest(list_filter([CASE WHEN good < 1.0 THEN 'consistency below 1' END, CASE WHEN bad > 0.02 THEN 'error ratio' END], lambda x: x IS NOT NULL)) AS rule FROM h
+UNION ALL SELECT strftime(t, '%Y-%m-%d %H'), 'day', unnest(list_filter([CASE WHEN good < 0.9 THEN 'consistency below 0.90' END, CASE WHEN structure < 0.85 THEN 'structure below 0.85' END, CASE WHEN p90 > 90 THEN 'slow' END], lambda x: x IS NOT NULL)) FROM d""")
+def stream_alert_rules(spark, sf_dir):
+    """All alert rules, hourly and daily, as streams: which fire, and when. The percentile is one of the values, exact up to
+    a million of them in a window."""
+    e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 hour")
+    bad = (F.col("event_type") == "error").cast("double")
+    measures = (F.avg(bad).alias("bad"), F.avg(1 - bad).alias("good"), F.avg((~F.col("event_type").isin("error", "signup")).cast("double")).alias("structure"), F.percentile_approx("value", 0.9, 1_000_000).alias("p90"))
+    parts = []
+    for size, rules in _RULES.items():
+        w = drained(e.groupBy(F.window("ts", f"1 {size}").alias("w")).agg(*measures).select(F.col("w.start").alias("t"), "bad", "good", "structure", "p90"), "complete")
+        fired = F.array_compact(F.array(*(F.when(F.expr(when), F.lit(name)) for name, when in rules.items())))
+        parts.append(w.select(F.date_format("t", "yyyy-MM-dd HH").alias("at"), F.lit(size).alias("size"), F.explode(fired).alias("rule")))
+    return parts[0].union(parts[1])
 
 
-@query("ST3")
+@query("ST3", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, sf_dir):
-    e = event_stream(spark, sf_dir).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    return drained(e.select("event_id", "user_id", "ts", "event_type"))
+    e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    return drained(e.select("event_id", "user_id", _text("ts").alias("ts"), "event_type"))
 
 
-@query("ST2 ST4 A25")
+@query("ST2", """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, before) AS n FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM s GROUP BY user_id, s.n""")
 def stream_sessions(spark, sf_dir):
-    e = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 hour")
     s = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return drained(s.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n"), "complete")
+    return drained(s.select("user_id", _text("w.start").alias("started"), _text("w.end").alias("ended"), "n"), "complete")
+
+
+@query("ST1", ONLINE_SQL.replace("u AS case_id, pos, outcome", "k, u AS case_id, outcome"))
+def stream_turn_scores(spark, sf_dir):
+    """Every turn's outcome and online scores as it comes in: no state, so each is given once and at once."""
+    o = stream_of(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("case_id"), F.col("o_totalprice").cast("double").alias("price"))
+    return drained(scoring.online_scores(turns_from(o)).select("k", "case_id", "outcome", "rule_consistency", "receipt_in_answer", "log_structure"))
+
+
+@query("ST4 ST3 K4", f"""WITH {TURNS_SQL},
+a AS (SELECT user_id AS session, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'k' || (event_id % 11) END AS key, CASE WHEN tool = 'execute_refund' THEN 'R' ELSE 'D' END AS letter FROM acts WHERE tool IN ('execute_refund', 'record_denial')),
+f AS (SELECT *, min(seq) OVER (PARTITION BY session, CASE WHEN key = '' THEN 'seq' || seq ELSE key END) AS first FROM a),
+n AS (SELECT session, seq AS first, letter || (8999 + row_number() OVER (PARTITION BY session ORDER BY seq)) AS receipt FROM f WHERE first = seq)
+SELECT f.session, f.seq, f.first <> f.seq AS replayed, receipt FROM f JOIN n ON f.session = n.session AND f.first = n.first""")
+def stream_ledger(spark, sf_dir):
+    """A ledger a session, kept as the session's state over the batches: its next number and the receipts by key."""
+    e = with_tool(stream_of(spark, sf_dir, "events")).filter(F.col("tool").isin("execute_refund", "record_denial"))
+    key = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("k"), (F.col("event_id") % 11).cast("string")))
+    a = e.select(F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("seq"), key.alias("key"), F.when(F.col("tool") == "execute_refund", "R").otherwise("D").alias("letter"))
+
+    def step(session: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, keys, receipts = state.get if state.exists else (9000, [], [])
+        known, out = dict(zip(keys, receipts)), []
+        for r in pd.concat(frames).sort_values("seq").itertuples():
+            receipt = known.get(r.key) if r.key else None
+            out.append((session[0], r.seq, receipt is not None, receipt or f"{r.letter}{n}"))
+            if receipt is None:
+                n += 1
+                if r.key:
+                    known[r.key] = out[-1][3]
+        state.update((n, list(known), list(known.values())))
+        yield pd.DataFrame(out, columns=["session", "seq", "replayed", "receipt"])
+
+    done = a.groupBy("session").applyInPandasWithState(step, "session long, seq long, replayed boolean, receipt string", "n int, keys array<string>, receipts array<string>", "append", GroupStateTimeout.NoTimeout)
+    return drained(done)
