@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evistra.sources.shared import folder as shared_folder  # noqa: F401
+from evistra.sources.shared import kept as materialize, shared_dir
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,32 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, which a session on a cluster has to name.
-
-    A local session, whose executor is the driver, gets a folder of its own where it is unset.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evistra-"))
-        base = sc.getCheckpointDir()
-    return base
-
-
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    With `by`, a folder for each value of that column, so that a filter on it reads no others.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evistra/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_column(docs: DataFrame) -> Column:
     """The text with null as the empty text."""
     return F.coalesce(docs["text"], F.lit(""))
@@ -151,7 +126,8 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, spread: Co
     cols = [c for c in table.columns if c not in (key, "_n")]
     hot = table.filter(F.col("_n") > int(total * HOT)).select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in cols))
     out = rows.join(F.broadcast(hot), key, "left").withColumn("_deal", F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
-    out = out.join(table.select(key, F.lit(0).cast("long").alias("_deal"), *cols), [key, "_deal"], "left")
+    zero = F.pmod(F.col("_n"), F.lit(1)).cast("long").alias("_deal")  # not a literal, which the planner would take out of the keys
+    out = out.join(table.select(key, zero, *cols), [key, "_deal"], "left")
     return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in cols))
 
 

@@ -13,7 +13,6 @@ states (u64 x lanes); the words (u32); last a u32 crc of all before it.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evistra.llm._common import materialize, packed, shared_dir, slices, text_column, unpacked
+from evistra.llm._common import materialize, packed, shared_folder, slices, text_column, unpacked
 from evistra.llm.bpe import default_path, no_cycle_search, word_ids, words_of
 
 END_ID = 2
@@ -223,7 +222,7 @@ def blocks_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     A null text is empty and holds the end id alone; rows with equal doc_ids follow one another, ordered by a hash of their ids;
     rows with a null doc_id come first.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/evistra/{docs.sparkSession.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}"
+    folder = shared_folder(docs.sparkSession, "blocks")
     write_tokens(docs, folder, path)
     found = read_tokens(docs.sparkSession, folder)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
