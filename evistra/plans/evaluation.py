@@ -9,6 +9,7 @@ from evistra.plans.retrieval import _BM25_SQL, _texts
 from evistra.operators import retrieval as R
 from evistra.registry import query
 from evistra.sources.facades import load
+from evistra.sources.shared import kept
 
 
 def rank_metrics(cases):
@@ -34,24 +35,33 @@ metrics AS (SELECT case_id, CASE WHEN n_source > 0 THEN CASE WHEN deep <= 18 THE
 
 
 def _metrics(spark, sf_dir):
+    return rank_metrics(_cases(spark, sf_dir))
+
+
+def _cases(spark, sf_dir):
     top = R.top_k(R.bm25_scores(_texts(spark, sf_dir), load(spark, sf_dir, "documents")), ["query_id"], 18, "doc_id")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
     c = top.groupBy(F.col("query_id").alias("case_id")).agg(ids.alias("candidates"))
     source = F.filter("candidates", lambda d: d % 5 == F.col("case_id") % 5)
     missing = F.when(F.col("case_id") % 4 == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return rank_metrics(c.select("case_id", F.concat(source, missing).alias("source"), "candidates", F.slice("candidates", 1, 8).alias("evidence")))
+    return kept(c.select("case_id", F.concat(source, missing).alias("source"), "candidates", F.slice("candidates", 1, 8).alias("evidence")), "cases")
 
 
-@query("L11 F11 L12 N15", _CASES_SQL + "SELECT * FROM metrics")
+@query("L11 F11", _CASES_SQL + "SELECT * FROM metrics")
 def retrieval_rank_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-@query("D-11 D-12 I15 F10", _CASES_SQL + "SELECT CASE WHEN case_id % 2 = 0 THEN 'a+b' ELSE 'a' END AS doc, count(*) AS n, count(mrr) AS counted, round(avg(hit4), 6) AS hit4, round(avg(mrr), 6) AS mrr FROM metrics GROUP BY 1")
+@query("D-11 D-12 I15", _CASES_SQL + """, keyed AS (SELECT t.query_id AS case_id, coalesce(string_agg(DISTINCT CASE WHEN s.doc_id < 0 THEN 'gone' ELSE 'D' || (s.doc_id // 40) END, '+' ORDER BY CASE WHEN s.doc_id < 0 THEN 'gone' ELSE 'D' || (s.doc_id // 40) END), '-') AS doc
+  FROM (SELECT DISTINCT query_id FROM top) t LEFT JOIN src s ON t.query_id = s.query_id GROUP BY 1)
+SELECT doc, count(*) AS n, count(mrr) AS counted, round(avg(hit4), 6) AS hit4, round(avg(mrr), 6) AS mrr FROM metrics JOIN keyed ON metrics.case_id = keyed.case_id GROUP BY 1""")
 def metric_breakdown(spark, sf_dir):
-    key = F.when(F.col("case_id") % 2 == 0, F.array(F.lit("b#1"), F.lit("a#2"))).otherwise(F.array(F.lit("a#7"), F.lit("a#9")))
-    doc = F.array_join(F.array_sort(F.array_distinct(F.transform(key, lambda s: F.substring_index(s, "#", 1)))), "+")
-    return _metrics(spark, sf_dir).groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n"), F.count("mrr").alias("counted"), F.round(F.avg("hit4"), 6).alias("hit4"), F.round(F.avg("mrr"), 6).alias("mrr"))
+    """Means by the documents that a case's sources belong to, those of several joined in order; cases without are -."""
+    ids = F.transform("source", lambda s: F.when(s < 0, "gone#0").otherwise(F.format_string("D%d#%d", F.floor(s / 40).cast("long"), s)))
+    doc = F.array_join(F.array_sort(F.array_distinct(F.transform(ids, lambda s: F.substring_index(s, "#", 1)))), "+")
+    c = _cases(spark, sf_dir)
+    m = rank_metrics(c).join(c.select("case_id", F.when(F.size("source") == 0, "-").otherwise(doc).alias("doc")), "case_id")
+    return m.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count("mrr").alias("counted"), F.round(F.avg("hit4"), 6).alias("hit4"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
 @query("B11 I23", _CASES_SQL + "SELECT case_id, CASE WHEN candidate_hit IS NULL THEN 'no source' WHEN candidate_hit = 0 THEN 'not recalled' WHEN hit4 = 0 THEN 'stuck' ELSE 'found' END AS diagnosis FROM metrics")
@@ -90,11 +100,31 @@ def average_precision(spark, sf_dir):
     return run.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("p") / F.nullif(F.sum("quality"), F.lit(0)), F.lit(0.0)), 6).alias("ap"))
 
 
-@query("D-21 C10", _VERDICTS_SQL + "SELECT case_id, round(avg(quality), 6) AS recall FROM pos GROUP BY 1")
+@query("D-21", _VERDICTS_SQL + "SELECT case_id, round(avg(quality), 6) AS recall FROM pos GROUP BY 1")
 def support_recall(spark, sf_dir):
     return _verdicts(spark, sf_dir).groupBy("case_id").agg(F.round(F.avg("quality"), 6).alias("recall"))
 
 
+@query("C10 D-21", _VERDICTS_SQL + """, said AS (SELECT case_id, pos, second AS hit, pos % 3 AS late FROM pos WHERE pos % 4 <> 0 UNION ALL SELECT case_id, pos, quality, 9 FROM pos WHERE pos % 5 = 1),
+last AS (SELECT case_id, pos, hit FROM said QUALIFY row_number() OVER (PARTITION BY case_id, pos ORDER BY late DESC) = 1)
+SELECT pos.case_id, count(*) AS n, round(avg(coalesce(hit, 0)), 6) AS recall FROM pos LEFT JOIN last ON pos.case_id = last.case_id AND pos.pos = last.pos GROUP BY 1""")
+def judged_support(spark, sf_dir):
+    """A judge's verdicts matched to the units by number: the last of several counts, a missing one is a miss."""
+    units = _verdicts(spark, sf_dir)
+    said = units.filter("pos % 4 <> 0").select("case_id", "pos", F.col("second").alias("hit"), (F.col("pos") % 3).alias("at")).union(units.filter("pos % 5 = 1").select("case_id", "pos", "quality", F.lit(9)))
+    last = said.groupBy("case_id", "pos").agg(F.max_by("hit", "at").alias("hit"))
+    return units.join(last, ["case_id", "pos"], "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
+@query("L12", _CASES_SQL + """, run AS (SELECT *, case_id % 11 = 0 AS failed, case_id % 6 = 0 AS empty FROM metrics)
+SELECT count(*) AS n, count_if(failed) AS failures, count_if(empty AND NOT failed) AS retrieval_errors, round(avg(CASE WHEN empty THEN CASE WHEN mrr IS NOT NULL THEN 0 END ELSE mrr END) FILTER (NOT failed), 6) AS mrr FROM run""")
+def run_accounting(spark, sf_dir):
+    """A case whose search failed counts with zeros; one whose run failed has no scores and is counted apart."""
+    r = _metrics(spark, sf_dir).withColumn("failed", F.col("case_id") % 11 == 0).withColumn("empty", F.col("case_id") % 6 == 0)
+    mrr = F.when(~F.col("failed"), F.when(F.col("empty") & F.col("mrr").isNotNull(), 0.0).otherwise(F.col("mrr")))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"), F.count_if(F.col("empty") & ~F.col("failed")).alias("retrieval_errors"), F.round(F.avg(mrr), 6).alias("mrr"))
+
+
 @query("D-18 C19", _VERDICTS_SQL + "SELECT count(*) AS positions, count_if(quality <> second) AS flipped, round(count_if(quality <> second) * 1.0 / count(*), 6) AS flip_rate FROM pos")
 def judge_flip_rate(spark, sf_dir):
     rounds = _rounds(spark, sf_dir).groupBy("case_id", "pos").agg(F.count_distinct("hit").alias("k"))
@@ -128,7 +158,7 @@ def version_compare(spark, sf_dir):
     return both.withColumn("regressed", F.coalesce(F.col("pass_a") & ~F.col("pass_b"), F.lit(False)))
 
 
-@query("L10 D-14 D-15 B14", _ROUNDS_SQL + "SELECT case_id, bool_and(hit = 1) AS hard, round(avg(hit), 6) AS soft, len(list(pos ORDER BY pos) FILTER (hit = 0)[1:3]) AS shown FROM r GROUP BY 1")
+@query("D-14", _ROUNDS_SQL + "SELECT case_id, bool_and(hit = 1) AS hard, round(avg(hit), 6) AS soft, len(list(pos ORDER BY pos) FILTER (hit = 0)[1:3]) AS shown FROM r GROUP BY 1")
 def case_scores(spark, sf_dir):
     failed = F.slice(F.array_sort(F.collect_list(F.when(F.col("hit") == 0, F.col("pos")))), 1, 3)
     out = _rounds(spark, sf_dir).groupBy("case_id").agg(F.bool_and(F.col("hit") == 1).alias("hard"), F.round(F.avg("hit"), 6).alias("soft"), failed.alias("f"))

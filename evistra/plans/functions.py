@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evistra.functions import text as X
+from evistra.operators.semantic import semantic_chunks
 from evistra.registry import query
 from evistra.sources import readers
 from evistra.sources.facades import load
+from evistra.sources.shared import kept
 
 
-@query("I6", """WITH d AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t, regexp_replace(text[1:200], '\\s+', '', 'g') AS probe FROM documents)
-SELECT doc_id, contains(t, probe) AS found, contains(probe, t) AS whole FROM d""")
+@query("I6", """WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations)
+SELECT a.conv_id, a.turn, count(*) AS phrases, count_if(contains(a.t, substr(b.t, 1, 4))) AS found, count_if(contains(a.t, b.t)) AS whole
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'assistant' AND b.role <> 'assistant' GROUP BY 1, 2""")
 def loose_containment(spark, sf_dir):
-    """Whether texts contain one another, white space aside: a text and its first 200 characters, both ways."""
-    head = F.substring("text", 1, 200)
-    return load(spark, sf_dir, "documents").select("doc_id", X.contains_loosely(F.col("text"), head).alias("found"), X.contains_loosely(head, F.col("text")).alias("whole"))
+    """How many of the other turns of a conversation, and of their beginnings, an answer holds, white space aside."""
+    c = load(spark, sf_dir, "conversations")
+    bare = F.regexp_replace("text", r"(?U)\s+", "")
+    a = c.filter("role = 'assistant'").select("conv_id", "turn", "text")
+    b = c.filter("role <> 'assistant'").select("conv_id", F.col("text").alias("phrase"), F.substring(bare, 1, 4).alias("start"))
+    both, text = a.join(b, "conv_id"), F.col("text")
+    return both.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("phrases"), F.count_if(X.contains_loosely(text, F.col("start"))).alias("found"), F.count_if(X.contains_loosely(text, F.col("phrase"))).alias("whole"))
 
 
 @query("I7", """SELECT o_orderkey, array_to_string(regexp_extract_all('(' || CASE WHEN o_orderstatus = 'F' THEN 'R' ELSE 'D' END || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '),X' || o_custkey || ',R12', '\\b[RD][0-9]{4,}\\b'), ',') AS receipts FROM orders""")
@@ -90,3 +97,33 @@ def run_items(spark, sf_dir):
     items = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source", (F.col("doc_id") % 7).alias("trace"))
     s = load(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("item")).agg((F.count("quality") + F.count("toxic")).alias("n_scores"), F.sum(F.col("quality") + F.col("toxic")).alias("total"))
     return items.join(s, "item", "left").withColumn("n_scores", F.coalesce("n_scores", F.lit(0)))
+
+
+@query("B13 I11", """WITH o AS (SELECT o_custkey, string_agg('  - O' || o_orderkey || '：' || o_orderpriority || '，实付 ¥' || printf('%.2f', CAST(o_totalprice AS DOUBLE)) || CASE WHEN o_orderstatus = 'F' THEN '，已退款' ELSE '' END, chr(10) ORDER BY o_orderkey) AS lines FROM orders GROUP BY 1)
+SELECT c_custkey, md5('客户 C' || c_custkey || '（' || c_name || '）' || chr(10) || '会员等级：' || c_mktsegment || chr(10) || '名下订单：' || chr(10) || coalesce(lines, '  （无）')) AS profile FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
+def profile_texts(spark, sf_dir):
+    """Profiles as an agent reads them: who, level, and the orders in their order, or that there are none."""
+    line = F.concat(F.lit("  - O"), F.col("o_orderkey").cast("string"), F.lit("："), "o_orderpriority", F.format_string("，实付 ¥%.2f", F.col("o_totalprice").cast("double")), F.when(F.col("o_orderstatus") == "F", "，已退款").otherwise(""))
+    o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    c = load(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    head = F.concat(F.lit("客户 C"), F.col("c_custkey").cast("string"), F.lit("（"), "c_name", F.lit("）\n会员等级："), "c_mktsegment", F.lit("\n名下订单：\n"))
+    return c.select("c_custkey", F.md5(F.concat(head, F.coalesce("lines", F.lit("  （无）")))).alias("profile"))
+
+
+@query("A9 A8", """SELECT doc_id AS chunk_id, doc_id % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id, len(embedding) AS dim FROM documents JOIN embeddings ON doc_id % (SELECT max(vec_id) + 1 FROM embeddings) = vec_id""")
+def chunk_vectors(spark, sf_dir):
+    """Chunks with their vectors, one to one, written as a table with a fixed schema and read from it."""
+    e = load(spark, sf_dir, "embeddings")
+    n = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+    c = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % n).alias("vec_id"), "text").join(e.select("vec_id", "embedding"), "vec_id")
+    return kept(c.select("chunk_id", "vec_id", "text", "embedding"), "chunk-vectors").select("chunk_id", "vec_id", F.size("embedding").alias("dim"))
+
+
+@query("H6")
+def semantic_split(spark, sf_dir):
+    """Sentences of documents, with the vectors that stand in for a model's, in chunks that end where the topic changes."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+    s = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("paragraph"), F.posexplode(X.sentences(F.col("text"), "。！？；!?;.", newline=True)).alias("pos", "s"))
+    s = s.withColumn("n_tokens", X.token_count(F.col("s"))).withColumn("vec_id", (F.col("paragraph") * 31 + F.col("pos")) % n).join(e, "vec_id")
+    return semantic_chunks(s.select("paragraph", "pos", "n_tokens", "vec"), 320, 512)

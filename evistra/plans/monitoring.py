@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evistra.functions import text
+from evistra.operators.stats import nearest_rank
 from evistra.registry import query
 from evistra.sources.facades import TURNS_SQL, acts_view, load
 
@@ -101,12 +102,8 @@ def pii_mask_nested(spark, sf_dir):
 @query("ST6 ST7 D-8", """WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events)
 SELECT event_type, max(value) FILTER (n = least(CAST(floor(total * 0.5) AS BIGINT), total - 1) + 1) AS p50, max(value) FILTER (n = least(CAST(floor(total * 0.9) AS BIGINT), total - 1) + 1) AS p90 FROM x GROUP BY 1""")
 def latency_p50_p90(spark, sf_dir):
-    """Nearest-rank percentiles by index, from counts of each value: no group is gathered."""
-    counts = load(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("event_type").orderBy("value")
-    c = counts.withColumn("upto", F.sum("k").over(w)).withColumn("total", F.sum("k").over(Window.partitionBy("event_type")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * p), F.col("total") - 1), F.col("value")))
-    return c.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    """Nearest-rank percentiles by index of each event type's values."""
+    return nearest_rank(load(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p90": 0.9})
 
 
 @query("D-23", "SELECT user_id, date_diff('second', min(ts), max(ts)) AS seconds FROM events GROUP BY 1")

@@ -45,10 +45,10 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def _text(c):
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-@query("ST6 ST5", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS error_ratio FROM events GROUP BY 1
+@query("ST6 ST5", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS hour, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END), 6) AS error_ratio FROM events GROUP BY 1
   HAVING avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0 END) > 0.02""")
 def stream_hourly_alerts(spark, sf_dir):
     e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 hour")
@@ -79,7 +79,7 @@ def stream_alert_rules(spark, sf_dir):
     return parts[0].union(parts[1])
 
 
-@query("ST3", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
+@query("ST3", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, sf_dir):
     e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     return drained(e.select("event_id", "user_id", _text("ts").alias("ts"), "event_type"))
@@ -87,7 +87,7 @@ def stream_dedup(spark, sf_dir):
 
 @query("ST2", """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, before) AS n FROM e)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM s GROUP BY user_id, s.n""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS n FROM s GROUP BY user_id, s.n""")
 def stream_sessions(spark, sf_dir):
     e = stream_of(spark, sf_dir, "events").withWatermark("ts", "1 hour")
     s = e.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -22,7 +22,7 @@ def test_stream_hourly_alerts_gives_the_rows_of_its_sql(spark, sf, events):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{sf}/events.parquet'")
     want = con.execute(f"SELECT strftime(hour, '%Y-%m-%d %H'), n, error_ratio FROM ({registry.ORACLE_SQL['hourly_alerts']})").fetchall()
-    got = registry.QUERIES["stream_hourly_alerts"](spark, events).selectExpr("date_format(hour, 'yyyy-MM-dd HH')", "n", "round(error_ratio, 6)").collect()
+    got = registry.QUERIES["stream_hourly_alerts"](spark, events).selectExpr("substring(hour, 1, 13)", "n", "error_ratio").collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
