@@ -666,3 +666,37 @@ def test_simhash_links_lose_nothing(spark, monkeypatch, rows):
         p, q = root(index[e.a]), root(index[e.b])
         parent[max(p, q)] = min(p, q)
     assert [root(i) for i in range(len(fps))] == want
+
+
+# --- all ten -------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def every(labels):
+    """Each operator's report over documents; vectors have tests of their own."""
+    return {
+        1: mixing.mix_report, 2: quality_rules.rules_report, 4: pii.pii_report, 5: lambda d: quality_classifier.classifier_report(d, labels), 6: lm.lm_report, 7: bpe.bpe_report,
+        8: token_blocks.blocks_report, 9: simhash.simhash_components, 10: lambda d: toxicity.toxicity_report(d, labels),
+    }
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7, 8, 9, 10])
+def test_null_texts_only_and_very_long_texts(spark, every, n):
+    """Rows of null texts, with and without an id; and a text of 120,000 words beside a short one."""
+    nulls = spark.createDataFrame([(i, None, None, None, None, None, None, None) for i in (1, 1, 2, None)], DOCS)
+    assert every[n](nulls).count() == 4
+    r = np.random.default_rng(0)
+    text = " ".join(f"w{x}" + ("." if x % 9 == 0 else "") for x in r.integers(0, 5000, 120_000))
+    long = spark.createDataFrame([(1, text, "en", "a", 0, "x", 1, 1), (2, "a short text", "en", "b", 0, "x", 1, 1)], DOCS)
+    rows = {x.doc_id: x for x in every[n](long).collect()}
+    assert rows.keys() == {1, 2}
+    if n in (1, 2, 6):
+        assert rows[1]["size" if n == 1 else "n_words" if n == 2 else "n_tokens"] == 120_000 + (n == 6)
+
+
+def test_mixing_targets_with_ties(spark):
+    """Sources of equal size and caps that meet at one level."""
+    rows = [(i, "w " * 12, None, s, 0, "x", 1, 1) for i, s in enumerate("aabbccdd")] + [(90, "w", None, None, 0, "x", 1, 1)]
+    got = mixing.mix_report(spark.createDataFrame(rows, DOCS)).collect()
+    by_id = {x[0]: x[3] for x in rows}
+    check_mix(got, lambda r: by_id[r["doc_id"]])
