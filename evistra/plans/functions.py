@@ -9,7 +9,7 @@ from evistra.operators.semantic import semantic_chunks
 from evistra.registry import query
 from evistra.sources import readers
 from evistra.sources.facades import load
-from evistra.sources.shared import kept
+from evistra.sources.shared import folder, kept
 
 
 @query("I6", """WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations)
@@ -127,3 +127,29 @@ def semantic_split(spark, sf_dir):
     s = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("paragraph"), F.posexplode(X.sentences(F.col("text"), "。！？；!?;.", newline=True)).alias("pos", "s"))
     s = s.withColumn("n_tokens", X.token_count(F.col("s"))).withColumn("vec_id", (F.col("paragraph") * 31 + F.col("pos")) % n).join(e, "vec_id")
     return semantic_chunks(s.select("paragraph", "pos", "n_tokens", "vec"), 320, 512)
+
+
+@query("A6 N12", "SELECT c_custkey AS customer_id, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def seeded_store(spark, sf_dir):
+    """A store seeded twice, the second time over the first: its tables hold the rows once, their rules checked."""
+    where, c, o = folder(spark, "store"), load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    rules = {"orders": {"price": F.col("o_totalprice") > 0, "status": F.col("o_orderstatus").isin("F", "O", "P")}, "customers": {"id": F.col("c_custkey").isNotNull()}}
+    for _ in range(2):
+        readers.seed({"customers": c, "orders": o}, where, rules)
+    n = spark.read.schema(o.schema).parquet(f"{where}/orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    own = spark.read.schema(c.schema).parquet(f"{where}/customers")
+    return own.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("customer_id"), F.coalesce("n", F.lit(0)).alias("orders"))
+
+
+@query("A19 I8", """SELECT 't' || user_id AS trace_id, count(*) AS spans, count_if(event_type = 'purchase') AS masked FROM events GROUP BY 1""")
+def span_sink(spark, sf_dir):
+    """Events as spans, appended in two batches with their texts masked, and read again."""
+    where, e = folder(spark, "spans"), load(spark, sf_dir, "events")
+    said = F.when(F.col("event_type") == "purchase", "call 13812345678").otherwise("nothing")
+    s = e.select(
+        F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.col("event_type").alias("name"),
+        F.lit("tool").alias("kind"), F.col("ts").alias("started"), F.col("ts").alias("ended"), said.alias("input"), F.lit("").alias("output"), (F.col("event_id") % 2).alias("half"),
+    )
+    for half in (0, 1):
+        readers.append_spans(s.filter(F.col("half") == half), where)
+    return spark.read.schema(readers.SPANS).parquet(where).groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("input") == "call <phone>").alias("masked"))

@@ -237,7 +237,7 @@ def route_evidence(spark, sf_dir):
     return front.join(named, "query_id").select("query_id", "chunk_id", F.substring(F.element_at("order", F.col("place").cast("int")), 2, 1).cast("int").alias("turn"), "place")
 
 
-@query("C8 A11 D-6 D5", f"WITH {CHUNKS_SQL} SELECT parent_id, count(*) AS n_children, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS digest FROM v_chunks GROUP BY 1")
+@query("C8 A11 D-6", f"WITH {CHUNKS_SQL} SELECT parent_id, count(*) AS n_children, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS digest FROM v_chunks GROUP BY 1")
 def parent_backfill(spark, sf_dir):
     return R.parent_text(chunks_view(spark, sf_dir)).select("parent_id", "n_children", F.md5("text").alias("digest"))
 

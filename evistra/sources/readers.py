@@ -1,11 +1,13 @@
-"""Readers and sinks: Markdown with frontmatter, JSON objects of objects, JSON lines, keyed upserts."""
+"""Readers and sinks: Markdown with frontmatter, JSON objects of objects, JSON lines, keyed upserts, stores and spans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructType
 
+from evistra.functions.text import mask
+
 FRONTMATTER_KEYS = ("doc_id", "title", "layer", "effective_date", "expire_date")
 
 
@@ -54,3 +56,25 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("version"))
     last = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def seed(tables: dict[str, DataFrame], folder: str, rules: dict[str, dict[str, Column]] | None = None) -> None:
+    """Reset a store: write each table anew under folder, whatever was there, after its rules held for all of its rows.
+
+    A broken rule stops the seeding of that table before anything of it is written.
+    """
+    for name, df in tables.items():
+        checked = df
+        for rule, ok in (rules or {}).get(name, {}).items():
+            checked = checked.filter(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit(f"{name} breaks {rule}")).isNull())
+        checked.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+SPANS = "trace_id string, span_id string, parent_id string, name string, kind string, started timestamp, ended timestamp, input string, output string"
+
+
+def append_spans(spans: DataFrame, folder: str) -> None:
+    """Append spans (SPANS, times as they are) to a table, a batch or a stream's batch at a time; their texts are masked first."""
+    fields = StructType.fromDDL(SPANS).fields
+    masked = spans.withColumns({c: mask(F.col(c)) for c in ("input", "output")})
+    masked.select(*(F.col(f.name).cast(f.dataType) for f in fields)).write.mode("append").parquet(folder)
