@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a dual traversal of cover trees.
 
 Equal vectors of a label become one class with a count. The classes of a large label are dealt to cells, each
-around a pivot; a class also visits every cell that could hold a partner by the triangle inequality, and oversized
-cells are split into pairs of blocks, so that every pair of classes within reach meets in exactly one task. In a
+around a pivot, two pivots for CELL classes up to PIVOTS in all; a class also visits every cell that could hold a partner
+by the triangle inequality, and oversized cells are split into pairs of blocks, so that every pair of classes within
+reach meets in exactly one task, whatever the number of pivots. In a
 task a cover tree (nested levels, radii halving) is built over each block, and pairs of nodes are visited together:
 dropped when their covering radii prove them apart, taken whole when the radii prove them linked, opened otherwise.
 Distances come from products and are uncertain by about the root of the double precision near zero, so the radii only
@@ -24,7 +25,9 @@ from evistra.llm._common import block_pairs, components, groups, materialize, me
 
 THRESHOLD = 0.93
 #: Classes of a cell aimed at and held by a task at most (a pair of blocks), pivots of all labels, points of a leaf.
-CELL, BLOCK, PIVOTS, LEAF, CHILDREN = 2048, 2048, 4096, 32, 64
+CELL, BLOCK, PIVOTS, LEAF, CHILDREN = 2048, 2048, 1 << 16, 32, 64
+#: Distances to pivots that a task holds at a time.
+HELD = 1 << 22
 #: Margin of distances sqrt(2 - 2 cos): an error of 1e-16 in a product near 1 makes one of 1.5e-8 in the distance.
 _SLACK = 1e-6
 
@@ -154,16 +157,18 @@ def in_cells(classes: DataFrame, threshold: float) -> DataFrame:
                 own = np.flatnonzero((label == l) & (dim == k))
                 if not len(own):
                     continue
-                x = unit(vectors(b.column(4).take(pa.array(own))))
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
-                best = d.argmin(axis=1)
-                cell[0][own] = best
-                # a point of cell j is no farther from pivot j than from any other, so no nearer to x than half the gap
-                gap = (d - d[np.arange(len(own)), best][:, None]) / 2
-                i, j = np.nonzero((gap <= reach + _SLACK) & (np.arange(len(p))[None] > best[:, None]))
-                at.append(own[i])
-                cell.append(j)
-                home.append(np.zeros(len(i), dtype=bool))
+                step = max(1, HELD // len(p))
+                for own in (own[k : k + step] for k in range(0, len(own), step)):
+                    x = unit(vectors(b.column(4).take(pa.array(own))))
+                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
+                    best = d.argmin(axis=1)
+                    cell[0][own] = best
+                    # a point of cell j is no farther from pivot j than from any other, so no nearer to x than half the gap
+                    gap = (d - d[np.arange(len(own)), best][:, None]) / 2
+                    i, j = np.nonzero((gap <= reach + _SLACK) & (np.arange(len(p))[None] > best[:, None]))
+                    at.append(own[i])
+                    cell.append(j)
+                    home.append(np.zeros(len(i), dtype=bool))
             out = b.take(pa.array(np.concatenate(at)))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(home))], names=[*cols, "cell", "home"])
 
