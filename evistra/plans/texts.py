@@ -147,3 +147,25 @@ def pair_picking(spark, sf_dir):
     a = best.select(F.col("source").alias("left_source"), F.col("doc_id").alias("left_id"), (k("source") + 1).alias("k"))
     b = best.select(F.col("source").alias("right_source"), F.col("doc_id").alias("right_id"), k("source").alias("k"))
     return a.join(b, "k").drop("k")
+
+
+@query("H2 H3 H4", """WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
+h AS (SELECT doc_id, line, 1 + (doc_id + line // 2) % 3 AS level, 't' || (doc_id + line // 4) % 5 AS title FROM l WHERE line % 2 = 0),
+s AS (SELECT h.doc_id, h.line, (SELECT list(x.title ORDER BY x.level) FROM h x WHERE x.doc_id = h.doc_id AND x.line <= h.line AND x.level > 1 AND NOT EXISTS (SELECT 1 FROM h y WHERE y.doc_id = h.doc_id AND y.line > x.line AND y.line <= h.line AND y.level <= x.level)) AS path FROM h),
+n AS (SELECT *, path[1] AS top, lag(path[1]) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM s),
+p AS (SELECT *, sum(CASE WHEN top = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS parent_seq FROM n)
+SELECT doc_id, line, coalesce(array_to_string(path, ' > '), '') AS path, parent_seq, row_number() OVER (PARTITION BY doc_id, parent_seq ORDER BY line) - 1 AS idx FROM p""")
+def heading_islands(spark, sf_dir):
+    """Headings (here every second line) with their path: of each level the last one that no higher or equal one followed;
+    runs of one top heading as parents, those without one alone, and the rows numbered inside."""
+    k, order = F.col("doc_id") + F.floor(F.col("line") / 2), Window.partitionBy("doc_id").orderBy("line")
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).filter("line % 2 = 0")
+    h = lines.select("doc_id", "line", (1 + k % 3).alias("level"), F.concat(F.lit("t"), ((F.col("doc_id") + F.floor(F.col("line") / 4)) % 5).cast("string")).alias("title"))
+    last = lambda n: F.max(F.when(F.col("level") == n, F.struct("line", "title"))).over(order)
+    h = h.select("*", *(last(n).alias(f"l{n}") for n in (1, 2, 3)))
+    at = lambda n: F.coalesce(F.col(f"l{n}.line"), F.lit(-1))
+    path = F.array_compact(F.array(F.when(at(2) > at(1), F.col("l2.title")), F.when(at(3) > F.greatest(at(1), at(2)), F.col("l3.title"))))
+    s = h.select("doc_id", "line", path.alias("path")).withColumn("top", F.get("path", F.lit(0)))
+    same = F.coalesce(F.col("top") == F.lag("top").over(order), F.lit(False))
+    p = s.withColumn("same", same).withColumn("parent_seq", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order) - 1)
+    return p.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("path", " > ").alias("path"), "parent_seq", (F.row_number().over(Window.partitionBy("doc_id", "parent_seq").orderBy("line")) - 1).cast("long").alias("idx"))
