@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistra.llm import bpe, embedding_dedup, lm, mixing, pii, quality_classifier, quality_rules, simhash, sql, token_blocks, toxicity
+from evistra.llm import bpe, embedding_dedup, lm, mixing, periodic_runs, pii, quality_classifier, quality_rules, simhash, spelling_variants, sql, token_blocks, token_counts, toxicity
 from evistra.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +52,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_embedding_dedup, op4_pii, op5_quality_classifier, op6_lm, op7_bpe, op8_token_blocks, op9_simhash, op10_toxicity)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants_report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts_report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_quality_rules, op3_embedding_dedup, op4_pii, op5_quality_classifier, op6_lm, op7_bpe, op8_token_blocks, op9_simhash,
+        op10_toxicity, op11_spelling_variants, op12_token_counts, op13_periodic_runs,
+    )
+}
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
