@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistra.functions.numbers import fixed
 from evistra.sources.shared import kept
 
 RRF_K, CAP, MIN_SCORE, TOP_K = 20, 20, 0.30, 4
@@ -19,6 +20,7 @@ K1, B = 1.2, 0.75
 #: Intents that put the law first, and how many rows each layer gives then and otherwise.
 LAW_INTENTS, LAYERS = ("validity", "dispute"), ("platform", "law")
 LAW_FIRST_K, PLAIN_K = {"platform": 12, "law": 12}, {"platform": 18, "law": 5}
+MOST_K = max(*LAW_FIRST_K.values(), *PLAIN_K.values())
 #: Queries broadcast, or held by a task, at most; rows of a slice that meet a block of queries in one task; rows of the
 #: queries' terms that are broadcast at most.
 QUERY_BLOCK, ROW_SLICE, TERM_ROWS = 1024, 65536, 500_000
@@ -30,10 +32,15 @@ def valid_on(day: str) -> Column:
     return (F.col("effective_date") <= day) & (F.col("expire_date") > day)
 
 
-def top_k(scored: DataFrame, keys: list[str], k: Column | int, ties: str) -> DataFrame:
-    """The best k of each key by score, ties by the smaller id; rank added. Filters belong below this."""
+def top_k(scored: DataFrame, keys: list[str], k: Column | int, ties: str, most: int | None = None) -> DataFrame:
+    """The best k of each key by score, ties by the smaller id; rank added. Filters belong below this.
+
+    Where k is a column, `most` is its greatest value: a limit the planner knows lets every task pass on that many rows
+    of a key only, before the shuffle.
+    """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), ties))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", rank)
+    return (ranked if most is None else ranked.filter(F.col("rank") <= most)).filter(F.col("rank") <= k)
 
 
 def routes(plans: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def dense_topk(subs: DataFrame, chunks: DataFrame) -> DataFrame:
         near = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInArrow(meet, kinds)
     own = near.join(F.broadcast(q.select("query_id", "sub_id", "k_platform", "k_law")) if n <= QUERY_BLOCK else q.select("query_id", "sub_id", "k_platform", "k_law"), ["query_id", "sub_id"])
     k = F.when(F.col("layer") == "law", F.col("k_law")).otherwise(F.col("k_platform"))
-    return top_k(own, ["query_id", "sub_id", "layer"], k, "chunk_id").drop("k_platform", "k_law")
+    return top_k(own, ["query_id", "sub_id", "layer"], k, "chunk_id", MOST_K).drop("k_platform", "k_law")
 
 
 def tokens(text: Column) -> Column:
@@ -150,11 +157,13 @@ def _tag(h: Column) -> Column:
 
 def fuse(ranked: DataFrame) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, sub_id, layer, path, chunk_id, score, rank): rrf, hits with provenance in order,
-    sub-queries that found the row, and the score with which it was first seen."""
-    return ranked.groupBy("query_id", "chunk_id").agg(
-        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.transform(F.array_sort(F.collect_list(_order())), _tag).alias("hits"),
-        F.count_distinct("sub_id").alias("n_subs"), F.min(_order()).alias("first_seen"), F.min_by("score", _order()).alias("first_score"),
-    )
+    sub-queries that found the row, and the score with which it was first seen. A row's parts, one a ranked list, are
+    added in the order of its hits, so that its rrf doesn't depend on how tasks are dealt."""
+    found = ranked.groupBy("query_id", "chunk_id").agg(
+        F.array_sort(F.collect_list(_order())).alias("hits"), F.count_distinct("sub_id").alias("n_subs"), F.min(_order()).alias("first_seen"), F.min_by("score", _order()).alias("first_score")
+    )
+    rrf = F.aggregate("hits", F.lit(0.0), lambda total, h: total + 1.0 / (RRF_K + h["rank"]))
+    return found.select("query_id", "chunk_id", rrf.alias("rrf"), F.transform("hits", _tag).alias("hits"), "n_subs", "first_seen", "first_score")
 
 
 def candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
@@ -201,14 +210,16 @@ def rerank(cands: DataFrame, priors: DataFrame, min_score: float = MIN_SCORE) ->
     top = F.max("rrf").over(Window.partitionBy("query_id"))
     c = cands.join(F.broadcast(priors), "doc", "left").withColumn("relevance", F.col("rrf") / F.when(top > 0, top).otherwise(1.0))
     c = c.withColumn("prior", F.when(F.col("layer") == "platform", 1.0).otherwise(F.col("law_weight")) * F.coalesce("doc_prior", F.lit(DEFAULT_PRIOR)))
-    scored = c.withColumn("score", F.round(0.8 * F.col("relevance") + 0.2 * F.col("prior"), 6)).filter(F.col("score") >= min_score)
-    scored = scored.withColumn("why", why(F.col("relevance"), F.col("prior"), F.col("score"), F.col("hits")))
+    raw = 0.8 * F.col("relevance") + 0.2 * F.col("prior")
+    scored = c.withColumn("why", why(F.col("relevance"), F.col("prior"), raw, F.col("hits"))).withColumn("score", F.round(raw, 6)).filter(F.col("score") >= min_score)
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank", "chunk_id")))
 
 
 def why(relevance: Column, prior: Column, score: Column, hits: Column) -> Column:
-    """Why a row is evidence, for people: its scores and where it was found."""
-    return F.concat(F.format_string("相关性 %.3f × 先验 %.2f → %.3f；命中 ", relevance, prior, score), F.array_join(hits, ", "))
+    """Why a row is evidence, for people: its scores, not yet rounded otherwise, and where it was found.
+
+    Fixed values: the words and the digits of each score."""
+    return F.concat(F.lit("相关性 "), fixed(relevance, 3), F.lit(" × 先验 "), fixed(prior, 2), F.lit(" → "), fixed(score, 3), F.lit("；命中 "), F.array_join(hits, ", "))
 
 
 def routed_evidence(evidence: DataFrame) -> DataFrame:

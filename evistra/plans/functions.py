@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evistra.functions import text as X
+from evistra.functions.numbers import fixed
 from evistra.operators.semantic import semantic_chunks
 from evistra.registry import query
 from evistra.sources import readers
@@ -103,7 +104,7 @@ def run_items(spark, sf_dir):
 SELECT c_custkey, md5('客户 C' || c_custkey || '（' || c_name || '）' || chr(10) || '会员等级：' || c_mktsegment || chr(10) || '名下订单：' || chr(10) || coalesce(lines, '  （无）')) AS profile FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def profile_texts(spark, sf_dir):
     """Profiles as an agent reads them: who, level, and the orders in their order, or that there are none."""
-    line = F.concat(F.lit("  - O"), F.col("o_orderkey").cast("string"), F.lit("："), "o_orderpriority", F.format_string("，实付 ¥%.2f", F.col("o_totalprice").cast("double")), F.when(F.col("o_orderstatus") == "F", "，已退款").otherwise(""))
+    line = F.concat(F.lit("  - O"), F.col("o_orderkey").cast("string"), F.lit("："), "o_orderpriority", F.lit("，实付 ¥"), fixed(F.col("o_totalprice"), 2), F.when(F.col("o_orderstatus") == "F", "，已退款").otherwise(""))
     o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     c = load(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     head = F.concat(F.lit("客户 C"), F.col("c_custkey").cast("string"), F.lit("（"), "c_name", F.lit("）\n会员等级："), "c_mktsegment", F.lit("\n名下订单：\n"))

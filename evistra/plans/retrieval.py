@@ -128,7 +128,7 @@ sparse AS (SELECT query_id, sub_id, layer, chunk_id, score, row_number() OVER (P
   FROM bm JOIN live ON doc_id = chunk_id QUALIFY rank <= CASE layer WHEN 'law' THEN k_law ELSE k_platform END),
 ranked AS (SELECT query_id, sub_id, layer, 1 AS p, 'bm25' AS path, chunk_id, score, rank FROM sparse UNION ALL SELECT query_id, sub_id, layer, 0, 'dense', chunk_id, score, rank FROM dense),
 hits AS (SELECT *, CASE layer WHEN 'platform' THEN 0 ELSE 1 END AS l, sub_id || '/' || layer || '/' || path || '#' || rank AS tag, sub_id || '|' || CASE layer WHEN 'platform' THEN 0 ELSE 1 END || '|' || p || '|' || lpad(CAST(rank AS VARCHAR), 4, '0') AS ord FROM ranked),
-fused AS (SELECT query_id, chunk_id, sum(1.0 / (20 + rank)) AS rrf, string_agg(tag, ', ' ORDER BY ord) AS hits, count(DISTINCT sub_id) AS n_subs, min(ord) AS first_seen, arg_min(score, ord) AS first_score FROM hits GROUP BY 1, 2)
+fused AS (SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (20 + rank) ORDER BY ord) AS rrf, string_agg(tag, ', ' ORDER BY ord) AS hits, count(DISTINCT sub_id) AS n_subs, min(ord) AS first_seen, arg_min(score, ord) AS first_score FROM hits GROUP BY 1, 2)
 """
 
 
@@ -138,7 +138,7 @@ def _ranked(spark, sf_dir, routes):
     bm = bm.join(live_chunks(spark, sf_dir).select("chunk_id", "layer"), "chunk_id").join(routes.select("query_id", "sub_id", "k_platform", "k_law"), ["query_id", "sub_id"])
     k = F.when(F.col("layer") == "law", F.col("k_law")).otherwise(F.col("k_platform"))
     cols = ("query_id", "sub_id", "layer", "path", "chunk_id", "score", "rank")
-    sparse = R.top_k(bm, ["query_id", "sub_id", "layer"], k, "chunk_id").withColumn("path", F.lit("bm25"))
+    sparse = R.top_k(bm, ["query_id", "sub_id", "layer"], k, "chunk_id", R.MOST_K).withColumn("path", F.lit("bm25"))
     return sparse.select(*cols).union(_dense(spark, sf_dir, routes).withColumn("path", F.lit("dense")).select(*cols))
 
 
@@ -184,16 +184,16 @@ def route_quota_merge(spark, sf_dir):
 
 _EVIDENCE_SQL = _CANDS_SQL.rstrip() + """,
 rated AS (SELECT c.query_id, c.chunk_id, c.rank, c.hits, n_routes, v.doc, rrf / max(rrf) OVER (PARTITION BY c.query_id) AS relevance,
-    (CASE WHEN layer = 'law' THEN law_weight ELSE 1.0 END) * (CASE v.doc WHEN 'D1' THEN 1.0 WHEN 'D2' THEN 0.95 ELSE 0.9 END) AS prior
+    CAST(CASE WHEN layer = 'law' THEN law_weight ELSE 1.0 END AS DOUBLE) * CAST(CASE v.doc WHEN 'D1' THEN 1.0 WHEN 'D2' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS prior
   FROM cands c JOIN v_chunks v ON c.chunk_id = v.chunk_id JOIN quota USING (query_id)),
-scored AS (SELECT *, round(0.8 * relevance + 0.2 * prior, 6) AS score FROM rated),
+scored AS (SELECT *, round(raw, 6) AS score FROM (SELECT *, CAST(0.8 AS DOUBLE) * relevance + CAST(0.2 AS DOUBLE) * prior AS raw FROM rated)),
 by_score AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id) AS p FROM scored WHERE score >= 0.3),
 lead1 AS (SELECT query_id, chunk_id, 1 AS turn FROM by_score WHERE n_routes > 1 AND contains(', ' || hits, ', q1/') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) = 1),
 lead2 AS (SELECT query_id, chunk_id, 2 AS turn FROM by_score ANTI JOIN lead1 USING (query_id, chunk_id) WHERE n_routes > 1 AND contains(', ' || hits, ', q2/') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) = 1),
 lead12 AS (SELECT * FROM lead1 UNION ALL SELECT * FROM lead2),
 lead3 AS (SELECT query_id, chunk_id, 3 AS turn FROM by_score ANTI JOIN lead12 USING (query_id, chunk_id) WHERE n_routes > 1 AND contains(', ' || hits, ', q3/') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) = 1),
 leads AS (SELECT * FROM lead12 UNION ALL SELECT * FROM lead3),
-evidence AS (SELECT b.query_id, b.chunk_id, b.score, b.relevance, b.prior, b.hits, b.doc, row_number() OVER (PARTITION BY b.query_id ORDER BY coalesce(l.turn, 9), p) AS place FROM by_score b LEFT JOIN leads l ON b.query_id = l.query_id AND b.chunk_id = l.chunk_id)
+evidence AS (SELECT b.query_id, b.chunk_id, b.score, b.raw, b.relevance, b.prior, b.hits, b.doc, row_number() OVER (PARTITION BY b.query_id ORDER BY coalesce(l.turn, 9), p) AS place FROM by_score b LEFT JOIN leads l ON b.query_id = l.query_id AND b.chunk_id = l.chunk_id)
 """
 
 
@@ -212,7 +212,7 @@ def rerank_scores(spark, sf_dir):
     return _evidence(spark, sf_dir)[2].select("query_id", "chunk_id", "score", F.round("relevance", 6).alias("relevance"), F.round("prior", 6).alias("prior"), "place")
 
 
-@query("I22", _EVIDENCE_SQL + "SELECT query_id, chunk_id, printf('相关性 %.3f × 先验 %.2f → %.3f；命中 ', relevance, prior, score) || hits AS why FROM evidence")
+@query("I22", _EVIDENCE_SQL + "SELECT query_id, chunk_id, printf('相关性 %.3f × 先验 %.2f → %.3f；命中 ', relevance, prior, raw) || hits AS why FROM evidence")
 def evidence_reasons(spark, sf_dir):
     return _evidence(spark, sf_dir)[2].select("query_id", "chunk_id", "why")
 
