@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evistra.operators import analysis as A
+from evistra.operators import index as I
 from evistra.operators import retrieval as R
 from evistra.registry import query
 from evistra.sources.facades import load
@@ -42,6 +44,18 @@ def live_chunks(spark, sf_dir):
     return chunks_view(spark, sf_dir).filter(R.valid_on(DAY))
 
 
+_INDEXES: dict[tuple, I.Index] = {}
+
+
+def _index(spark, sf_dir):
+    """The index of all chunks, by layer, built once for the tables an application reads."""
+    c = chunks_view(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(c.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = I.build(c.select(F.col("chunk_id").alias("doc_id"), "layer", "effective_date", "expire_date", "text"), group="layer")
+    return _INDEXES[key]
+
+
 def _texts(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -121,6 +135,82 @@ def bm25_topk(spark, sf_dir):
     return R.top_k(R.bm25_scores(_texts(spark, sf_dir), load(spark, sf_dir, "documents")), ["query_id"], 18, "doc_id")
 
 
+_INDEXED_SQL = f"""WITH {_BM25_SQL}, law AS (SELECT doc_id, CASE WHEN doc_id // 40 % 3 = 0 THEN 'law' ELSE 'platform' END AS layer FROM documents)"""
+
+
+@query("A13 F2 E2", _INDEXED_SQL + """ SELECT query_id, layer, doc_id, score, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, doc_id) AS rank FROM bm JOIN law USING (doc_id) QUALIFY rank <= 18""")
+def indexed_topk(spark, sf_dir):
+    """The best chunks of each layer for each benchmark text, from the index: what a full scan of the texts gives."""
+    found = I.search(_index(spark, sf_dir), _texts(spark, sf_dir), R.MOST_K).rows
+    return found.withColumnRenamed("grp", "layer")
+
+
+@query("A13", _INDEXED_SQL + f""",
+parts AS (SELECT query_id, layer, doc_id // {I.SEGMENT} AS segment, term, max(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS best
+  FROM terms JOIN df USING (term) JOIN tf USING (term) JOIN law USING (doc_id), stats GROUP BY 1, 2, 3, 4),
+heads AS (SELECT query_id, layer, segment, count(*) AS n, round(sum(best), 6) AS bound FROM parts GROUP BY 1, 2, 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY bound DESC, segment) <= {I.FIRST} AS front FROM heads),
+first AS (SELECT query_id, layer, score, row_number() OVER (PARTITION BY query_id, layer ORDER BY score DESC, doc_id) AS rank FROM bm JOIN law USING (doc_id) JOIN placed USING (query_id, layer) WHERE front AND segment = doc_id // {I.SEGMENT})
+SELECT query_id, layer, CAST(sum(n) AS BIGINT) AS blocks, CAST(sum(n) FILTER (front OR score IS NULL OR bound >= score - {I.SLACK}) AS BIGINT) AS blocks_read
+FROM placed LEFT JOIN (SELECT query_id, layer, score FROM first WHERE rank = 18) USING (query_id, layer) GROUP BY 1, 2""")
+def index_blocks_read(spark, sf_dir):
+    """How many blocks hold terms of a text, by layer, and how many of them its search reads; the others can't enter."""
+    heads = I.search(_index(spark, sf_dir), _texts(spark, sf_dir), R.MOST_K).heads
+    return heads.groupBy("query_id", F.col("grp").alias("layer")).agg(F.sum("n_blocks").alias("blocks"), F.sum(F.when(F.col("read"), F.col("n_blocks")).otherwise(0)).alias("blocks_read"))
+
+
+#: Letters as ideographs, one for each, so that texts without spaces can be made of the given ones.
+_LATIN = "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïñóôöùûüÿßíáú"
+_HAN = "".join(chr(0x4E00 + 97 * i) for i in range(len(_LATIN)))
+_HAN_SQL = f"translate(lower(text), '{_LATIN}', '{_HAN}')"
+_RUNS_SQL = rf"""
+said AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, translate(regexp_replace({_HAN_SQL}, '\s+', '', 'g'), '.,', '。，') AS t FROM conversations),
+counted AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_HAN_SQL}, '[\x{{4e00}}-\x{{9fff}}]+')) AS word FROM documents) WHERE length(word) <= {A.LONGEST} GROUP BY 1 ORDER BY n DESC, word LIMIT {A.LEXICON_WORDS}),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM counted),
+lex AS (SELECT word, CAST(round(1000 * ln(n / total)) AS BIGINT) AS w FROM counted, total),
+least AS (SELECT CAST(round(1000 * ln(1.0 / total)) AS BIGINT) AS least FROM total),
+runs AS (SELECT DISTINCT unnest(regexp_extract_all(t, '[\x{{4e00}}-\x{{9fff}}]+')) AS run FROM said),
+spans AS (SELECT run, i, k, substr(run, i, k) AS word FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs), range(1, {A.LONGEST + 1}) r(k) WHERE i + k <= length(run) + 1),
+edges AS (SELECT run, i, k, coalesce(w, least) AS w FROM spans LEFT JOIN lex USING (word), least WHERE w IS NOT NULL OR k = 1),
+best AS (SELECT run, length(run) + 1 AS i, [struct_pack(s := CAST(0 AS BIGINT), k := CAST(0 AS BIGINT))] AS b FROM runs
+  UNION ALL SELECT best.run, best.i - 1, list_prepend(max(struct_pack(s := e.w + best.b[e.k].s, k := CAST(e.k AS BIGINT))), best.b) FROM best JOIN edges e ON e.run = best.run AND e.i = best.i - 1 GROUP BY best.run, best.i, best.b),
+walk AS (SELECT run, b, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS word FROM best WHERE i = 1
+  UNION ALL SELECT run, b, i + b[i].k, n + 1, substr(run, i, b[i].k) FROM walk WHERE i <= length(run)),
+cut AS (SELECT run, list(word ORDER BY n) AS words FROM walk WHERE n > 0 GROUP BY 1)"""
+_SAID_SQL = rf"""WITH RECURSIVE {_RUNS_SQL},
+parts AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\x{{4e00}}-\x{{9fff}}]+|[^\x{{4e00}}-\x{{9fff}}\P{{L}}]+|\p{{N}}+')) AS part, generate_subscripts(regexp_extract_all(t, '[\x{{4e00}}-\x{{9fff}}]+|[^\x{{4e00}}-\x{{9fff}}\P{{L}}]+|\p{{N}}+'), 1) AS p FROM said),
+toks AS (SELECT said.doc_id, coalesce(own, []) AS t FROM said LEFT JOIN (SELECT doc_id, flatten(list(coalesce(words, [part]) ORDER BY p)) AS own FROM parts LEFT JOIN cut ON part = run GROUP BY 1) USING (doc_id))"""
+
+
+def _said(spark, sf_dir):
+    """Turns of conversations as texts without spaces, and the analyzer of a lexicon of all documents' words."""
+    han = lambda c: F.translate(F.lower(c), _LATIN, _HAN)
+    c = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", F.translate(F.regexp_replace(han(F.col("text")), r"\s+", ""), ".,", "。，").alias("text"))
+    words = A.word_counts(load(spark, sf_dir, "documents").select(han(F.col("text")).alias("text")), A.IDEOGRAPHS + "+")
+    return c, A.analyzer(A.lexicon(words))
+
+
+@query("E2", _SAID_SQL + " SELECT doc_id, len(t) AS n, md5(array_to_string(t, '/')) AS digest FROM toks")
+def chinese_terms(spark, sf_dir):
+    """Texts without spaces in words: how many, and a digest of them all in order."""
+    c, analyze = _said(spark, sf_dir)
+    t = c.select("doc_id", analyze(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "/")).alias("digest"))
+
+
+@query("E2 A13 F2", _SAID_SQL + f""", stats AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM toks),
+tf AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+terms AS (SELECT doc_id AS query_id, unnest(list_distinct(t)) AS term FROM toks WHERE doc_id // 1000 % 20 = 0 AND doc_id % 1000 = 0),
+bm AS (SELECT query_id, doc_id, {_PART} AS score FROM terms JOIN df USING (term) JOIN tf USING (term), stats GROUP BY 1, 2)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 18""")
+def chinese_topk(spark, sf_dir):
+    """The turns nearest by BM25 to the first turn of every twentieth conversation, by the words inside their sentences."""
+    c, analyze = _said(spark, sf_dir)
+    index = I.build(c.select("doc_id", "text"), analyze)
+    queries = c.filter("conv_id % 20 = 0 and turn = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return I.search(index, queries, R.MOST_K, analyze=analyze).rows.drop("grp")
+
+
 _RANKED_SQL = f"""WITH {CHUNKS_SQL}, {PLANS_SQL}, {_DENSE}, {_COUNTS},
 terms AS (SELECT query_id, sub_id, any_value(k_platform) AS k_platform, any_value(k_law) AS k_law, unnest(list_distinct({_TOK})) AS term FROM routes JOIN benchmark ON routes.item_id = benchmark.item_id GROUP BY query_id, sub_id, text),
 bm AS (SELECT query_id, sub_id, k_platform, k_law, doc_id, {_PART} AS score FROM terms JOIN df USING (term) JOIN tf USING (term), stats GROUP BY 1, 2, 3, 4, 5),
@@ -134,11 +224,10 @@ fused AS (SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (20 + rank) ORDER B
 
 def _ranked(spark, sf_dir, routes):
     """Ranked lists of both paths for each sub-query and layer; dated chunks only."""
-    bm = R.bm25_scores(routes.select("query_id", "sub_id", "text"), load(spark, sf_dir, "documents"), ("query_id", "sub_id")).withColumnRenamed("doc_id", "chunk_id")
-    bm = bm.join(live_chunks(spark, sf_dir).select("chunk_id", "layer"), "chunk_id").join(routes.select("query_id", "sub_id", "k_platform", "k_law"), ["query_id", "sub_id"])
-    k = F.when(F.col("layer") == "law", F.col("k_law")).otherwise(F.col("k_platform"))
+    k = F.when(F.col("grp") == "law", F.col("k_law")).otherwise(F.col("k_platform"))
     cols = ("query_id", "sub_id", "layer", "path", "chunk_id", "score", "rank")
-    sparse = R.top_k(bm, ["query_id", "sub_id", "layer"], k, "chunk_id", R.MOST_K).withColumn("path", F.lit("bm25"))
+    found = I.search(_index(spark, sf_dir), routes.select("query_id", "sub_id", "text", "k_platform", "k_law"), k, ("query_id", "sub_id"), R.valid_on(DAY), R.MOST_K).rows
+    sparse = found.withColumnsRenamed({"grp": "layer", "doc_id": "chunk_id"}).withColumn("path", F.lit("bm25"))
     return sparse.select(*cols).union(_dense(spark, sf_dir, routes).withColumn("path", F.lit("dense")).select(*cols))
 
 
