@@ -30,9 +30,30 @@ def token_length_report(spark, sf_dir):
     return c.agg(at(0.5).alias("p50"), at(0.99).alias("p99"), F.max("n").alias("longest"), F.coalesce(F.sum(F.when(F.col("n") > 1024, F.col("k"))), F.lit(0)).alias("truncated"))
 
 
-@query("L1 H2 H3 H4 H5 I1 I2 I5")
+def _sentence_vectors(spark, sf_dir):
+    """Gives sentences the vectors that stand in for a model's; a sentence without one ends no topic."""
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec"))
+    n = (e.agg(F.max("v")).first()[0] or 0) + 1
+    return lambda said: said.withColumn("v", F.pmod(F.crc32(F.col("paragraph").cast("binary")) * 31 + F.col("pos"), F.lit(n))).join(e, "v", "left").drop("v")
+
+
+@query("L1 H2 H3 H4 H5 H6 I1 I2 I5")
 def chunk_documents(spark, sf_dir):
-    return chunking.chunk_documents(load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body")))
+    """Documents in chunks; a paragraph over the limit ends where its topic changes. Full stops end sentences, too."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body"))
+    return chunking.chunk_documents(docs, _sentence_vectors(spark, sf_dir), chunking.TERMINATORS + ".")
+
+
+@query("L1 I1 I5", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+t AS (SELECT doc_id, regexp_replace(string_agg(line, '' ORDER BY n), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g') AS t
+  FROM l WHERE NOT regexp_matches(line, '^(#{1,6}\s+.*|\s*(-{3,}|\*{3,}|_{3,})\s*)$') GROUP BY 1)
+SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM t WHERE t <> ''""")
+def chunk_text_kept(spark, sf_dir):
+    """What the chunks of each document hold, white space aside: all of it but headings and rules, in order."""
+    c = chunk_documents(spark, sf_dir)
+    line = F.array_sort(F.collect_list(F.struct("parent_seq", "chunk_index", "body")))
+    t = c.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.regexp_replace(F.array_join(F.transform(line, lambda x: x["body"]), ""), r"(?U)[\s\x1c-\x1f]+", "").alias("t"))
+    return t.select("doc_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
 
 
 @query("H5")

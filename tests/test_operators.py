@@ -153,18 +153,75 @@ def test_ledger_keeps_to_its_sessions_order(spark):
     ]
 
 
-def test_chunks_of_markdown():
+def plain_chunks(body, far, terminators):
+    """(path, kind, text) of a body's chunks, one section and block after the other; far(i) is the i-th distance of a
+    long paragraph's sentences."""
+    size = chunking.count_tokens
+    for path, text in chunking.sections(body):
+        held, n = [], 0
+        for kind, block in [*chunking.blocks(text), (None, "")]:
+            m = size(block)
+            long = kind == "text" and m > 512
+            if held and (kind is None or long or (kind == "text" and n + m > 320) or (kind != "text" and n + m > 512)):
+                yield (path, *chunking.merged(held))
+                held, n = [], 0
+            if long:
+                said = chunking.sentences(block, terminators)
+                d = [far(i) for i in range(len(said) - 1)]
+                line = sorted(d)[min(int(len(d) * 0.85), len(d) - 1)] if len(said) >= 3 else 9.0
+                parts, run = [], ""
+                for i, s in enumerate(said):
+                    if run and (size(run) + size(s) > 512 or (d[i - 1] >= line and size(run) >= 160)):
+                        parts.append(run)
+                        run = ""
+                    run += s
+                for part in [*parts, run]:
+                    yield from ((path, "text", t) for t in chunking.hard_split(part))
+            elif kind:
+                held.append((kind, block))
+                n += m
+                if kind != "text" and n >= 320:
+                    yield (path, *chunking.merged(held))
+                    held, n = [], 0
+
+
+def chunk_rows(spark, bodies, vec=None):
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id string, body string")
+    got = chunking.chunk_documents(docs, vec).orderBy("doc_id", "parent_seq", "chunk_index").collect()
+    return [[r for r in got if r.doc_id == str(i)] for i in range(len(bodies))]
+
+
+def test_chunks_of_markdown(spark):
     text = "intro\n\n# Title\n## A\none\n\n~~~\n# not a heading\n```\n~~~\n---\n### B\n| t | u |\n| 1 | 2 |\n\ntwo\n## C\n\n"
     got = chunking.sections(text)
     assert [p for p, _ in got] == [[], ["A"], ["A", "B"]] and got[1][1] == "one\n\n~~~\n# not a heading\n```\n~~~"
     assert chunking.blocks(got[1][1]) == [("text", "one"), ("code", "~~~\n# not a heading\n```\n~~~")]
-    assert chunking.pack(chunking.blocks(got[2][1])) == [("table", "| t | u |\n| 1 | 2 |\n\ntwo")]
-    assert [k for k, _ in chunking.pack([("text", "a"), ("code", "b"), ("table", "c")])] == ["code"]
+    assert chunking.sections("a\n- - -\nb\n***") == [([], "a\n- - -\nb")]
     words = lambda n: " ".join(["w"] * n)
-    sizes = lambda items: [(k, len(t.split())) for k, t in chunking.pack(items)]
-    assert sizes([("text", words(200)), ("text", words(100)), ("text", words(50))]) == [("text", 300), ("text", 50)]
-    assert sizes([("text", words(200)), ("table", words(300)), ("text", words(10))]) == [("table", 500), ("text", 10)]
-    assert sizes([("text", words(10)), ("text", words(700)), ("text", words(10))]) == [("text", 10), ("text", 320), ("text", 320), ("text", 60), ("text", 10)]
+    table = lambda n: "| " + " ".join(["w"] * (n - 1))
+    bodies = [text, f"{words(200)}\n\n{words(100)}\n\n{words(50)}", f"{words(200)}\n\n{table(300)}\n\n{words(10)}", f"{words(10)}\n\n{words(700)}\n\n{words(10)}", "a\n\n```\nb\n```\n| c", "", None]
+    got = [[(r.kind, r.section_path, chunking.count_tokens(r.body)) for r in rows] for rows in chunk_rows(spark, bodies)]
+    assert got[0] == [("text", "", 1), ("code", "A", 8), ("table", "A > B", 11)]
+    assert [[(k, n) for k, _, n in x] for x in got[1:]] == [[("text", 300), ("text", 50)], [("table", 500), ("text", 10)], [("text", 10), ("text", 512), ("text", 188), ("text", 10)], [("code", 6)], [], []]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_long_paragraphs_end_where_the_topic_changes(spark, seed):
+    """Chunks of random bodies against a plain fold; the pieces of a paragraph are the paragraph to the character."""
+    r = np.random.default_rng(seed)
+    sentence = lambda: "".join(r.choice(list("退货商品 \u3000abc"), int(r.integers(1, 120)))) + r.choice(["。", "！ ", "\n", "?  "])
+    paragraph = lambda n: "".join(sentence() for _ in range(n)).strip() or "x"
+    bodies = ["\n\n".join([paragraph(30), "## H", paragraph(2), "| a | b |", paragraph(1), paragraph(25), "退" * 1100, "a b。 " + "货" * 600, paragraph(3)]) for _ in range(4)]
+    angle = lambda i: float((i * 37) % 11)
+    vec = lambda said: said.withColumn("vec", F.array(F.cos((F.col("pos") * 37 % 11).cast("double")), F.sin((F.col("pos") * 37 % 11).cast("double"))))
+    far = lambda i: round(1 - (np.cos(angle(i)) * np.cos(angle(i + 1)) + np.sin(angle(i)) * np.sin(angle(i + 1))), 9)
+    for body, rows in zip(bodies, chunk_rows(spark, bodies, vec)):
+        want = list(plain_chunks(body, far, chunking.TERMINATORS))
+        assert [(x.section_path, x.kind, x.body) for x in rows] == [(" > ".join(p), k, t) for p, k, t in want]
+        whole = "".join(x.body for x in rows)
+        for _, text in chunking.sections(body):
+            for kind, block in chunking.blocks(text):
+                assert kind != "text" or chunking.count_tokens(block) <= 512 or block in whole
 
 
 @pytest.mark.parametrize("seed", range(3))
