@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evistra.functions import text
+from evistra.operators import spans as S
 from evistra.operators.stats import nearest_rank
 from evistra.registry import query
 from evistra.sources.facades import TURNS_SQL, acts_view, load
+from evistra.sources.shared import kept
 
 _TURN_SQL = f"""WITH {TURNS_SQL},
 turns AS (SELECT user_id, day, list(tool ORDER BY ts, event_id) AS tools, count(*) AS n, count_if(tool IN ('execute_refund', 'record_denial')) AS n_ledger FROM acts GROUP BY 1, 2)
@@ -125,3 +127,77 @@ def hourly_alerts(spark, sf_dir):
 @query("ST7", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def daily_dashboard(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+#: Spans: a user's events of a day in order, each called by one before it, so that trees are several levels deep; some
+#: begin before the one before has ended.
+SPANS_SQL = """
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events),
+spans AS (SELECT a.event_id AS span_id, b.event_id AS parent_id, CASE a.event_type WHEN 'view' THEN 'AGENT' WHEN 'click' THEN 'TOOL' ELSE 'GENERATION' END AS kind,
+    CASE WHEN a.user_id % 10 = 0 THEN 'test' ELSE 'production' END AS environment, a.event_type AS outcome, epoch_us(a.ts) // 1000000 AS started, epoch_us(a.ts) // 1000000 + CAST(floor(a.value * 60) AS BIGINT) AS ended,
+    CAST(floor(a.value) AS BIGINT) AS tokens, a.user_id % 3 AS version, strftime(a.ts, '%Y-%m-%d') AS day
+  FROM numbered a LEFT JOIN numbered b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE) AND b.i = CASE WHEN a.i % 4 = 1 THEN 0 ELSE a.i - 1 END),
+tree AS (SELECT span_id, span_id AS root_id, 0 AS depth FROM spans WHERE parent_id IS NULL UNION ALL SELECT s.span_id, t.root_id, t.depth + 1 FROM spans s JOIN tree t ON s.parent_id = t.span_id),
+rooted AS (SELECT * FROM spans JOIN tree USING (span_id))"""
+
+
+def spans_view(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    order = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    i, before = F.row_number().over(order), F.lag("event_id").over(order)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return e.select(
+        F.col("event_id").alias("span_id"), F.when(i % 4 != 1, before).alias("parent_id"), F.when(F.col("event_type") == "view", "AGENT").when(F.col("event_type") == "click", "TOOL").otherwise("GENERATION").alias("kind"),
+        F.when(F.col("user_id") % 10 == 0, "test").otherwise("production").alias("environment"), F.col("event_type").alias("outcome"), second.alias("started"), (second + F.floor(F.col("value") * 60)).alias("ended"),
+        F.floor("value").alias("tokens"), (F.col("user_id") % 3).alias("version"), "day",
+    )
+
+
+def _rooted(spark, sf_dir):
+    return S.with_roots(kept(spans_view(spark, sf_dir), "spans"))
+
+
+@query("A19 D-22 D-23", f"""WITH RECURSIVE {SPANS_SQL},
+marked AS (SELECT root_id, started, ended, CASE WHEN started > max(ended) OVER w OR max(ended) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM rooted WINDOW w AS (PARTITION BY root_id ORDER BY started, ended ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+islands AS (SELECT root_id, started, ended, sum(fresh) OVER (PARTITION BY root_id ORDER BY started, ended ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+times AS (SELECT root_id, sum(s) AS seconds FROM (SELECT root_id, max(ended) - min(started) AS s FROM islands GROUP BY root_id, island) GROUP BY 1)
+SELECT root_id, count(*) AS spans, max(depth) AS deepest, sum(tokens) FILTER (kind = 'GENERATION') AS tokens, any_value(seconds) AS seconds FROM rooted JOIN times USING (root_id) GROUP BY 1""")
+def span_trees(spark, sf_dir):
+    """Each trace's spans, depth, generated tokens (null without a generation), and time with overlaps counted once."""
+    r = kept(_rooted(spark, sf_dir), "rooted")
+    t = r.groupBy("root_id").agg(F.count(F.lit(1)).alias("spans"), F.max("depth").alias("deepest"), F.sum(F.when(F.col("kind") == "GENERATION", F.col("tokens"))).alias("tokens"))
+    return t.join(S.covered(r, ["root_id"]), "root_id")
+
+
+_SHARE_SQL = "CAST('0x' || substr(md5(CAST(span_id AS VARCHAR)), 1, 6) AS INTEGER) % 100"
+
+
+@query("ST8", f"""WITH RECURSIVE {SPANS_SQL},
+roots AS (SELECT span_id, {_SHARE_SQL} < 20 AS correctness, {_SHARE_SQL} < 10 AS faithfulness FROM spans WHERE parent_id IS NULL AND kind = 'AGENT' AND environment = 'production' AND outcome IN ('view', 'purchase'))
+SELECT root_id, count(*) AS spans, correctness, faithfulness FROM rooted JOIN roots ON root_id = roots.span_id WHERE correctness GROUP BY root_id, correctness, faithfulness""")
+def sampled_traces(spark, sf_dir):
+    """Traces an evaluator reads, a fifth of them, and which of these another one reads, a tenth: chosen by their root
+    observation, which alone is asked for its kind, environment and outcome."""
+    r = _rooted(spark, sf_dir)
+    root = r.filter((F.col("span_id") == F.col("root_id")) & (F.col("kind") == "AGENT") & (F.col("environment") == "production") & F.col("outcome").isin("view", "purchase"))
+    root = root.select("root_id", S.chosen(F.col("root_id"), 20).alias("correctness"), S.chosen(F.col("root_id"), 10).alias("faithfulness")).filter("correctness")
+    return r.join(root, "root_id").groupBy("root_id", "correctness", "faithfulness").agg(F.count(F.lit(1)).alias("spans"))
+
+
+@query("ST7", f"""WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 3 AS version, event_type AS outcome, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1 END AS good, value,
+    least(CAST(floor(value / 20) AS BIGINT), 9) AS bucket FROM events)
+SELECT CASE WHEN GROUPING(day) = 0 AND GROUPING(outcome) = 1 THEN 'trend' WHEN GROUPING(version) = 0 AND GROUPING(outcome) = 1 THEN 'by version' WHEN GROUPING(outcome) = 0 AND GROUPING(day) = 0 THEN 'outcome stack' WHEN GROUPING(bucket) = 0 THEN 'histogram' ELSE 'outcomes by version' END AS view,
+  coalesce(day, '') AS day, coalesce(version, -1) AS version, coalesce(outcome, '') AS outcome, coalesce(bucket, -1) AS bucket, count(*) AS n, round(avg(good), 6) AS consistency, round(sum(value), 4) AS cost
+FROM s GROUP BY GROUPING SETS ((day), (version), (day, outcome), (bucket), (version, outcome))""")
+def dashboard(spark, sf_dir):
+    """Five views of one scan: the trend by day, bars by version, outcomes stacked by day, a histogram, outcomes by version."""
+    s = load(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("user_id") % 3).alias("version"), F.col("event_type").alias("outcome"), F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("good"),
+        "value", F.least(F.floor(F.col("value") / 20), F.lit(9)).alias("bucket"),
+    )
+    of = lambda *names: [F.col(n) for n in names]
+    g = s.groupingSets([of("day"), of("version"), of("day", "outcome"), of("bucket"), of("version", "outcome")], *of("day", "version", "outcome", "bucket"))
+    has = lambda c: F.grouping(c) == 0
+    view = F.when(has("day") & ~has("outcome"), "trend").when(has("version") & ~has("outcome"), "by version").when(has("day"), "outcome stack").when(has("bucket"), "histogram").otherwise("outcomes by version")
+    g = g.agg(view.alias("view"), F.count(F.lit(1)).alias("n"), F.round(F.avg("good"), 6).alias("consistency"), F.round(F.sum("value"), 4).alias("cost"))
+    return g.select("view", F.coalesce("day", F.lit("")).alias("day"), F.coalesce("version", F.lit(-1)).alias("version"), F.coalesce("outcome", F.lit("")).alias("outcome"), F.coalesce("bucket", F.lit(-1)).alias("bucket"), "n", "consistency", "cost")
