@@ -39,13 +39,18 @@ def count_tokens(text: str) -> int:
     return len(_UNIT.findall(text))
 
 
+def fence_mark(line: str) -> str:
+    """The mark of a line that begins or ends a fence, else empty."""
+    m = _FENCE.match(line)
+    return m[1] if m else ""
+
+
 def fences(lines: list[str]) -> list[tuple[str, bool]]:
     """For each line the mark of the fence it belongs to (its own lines included, else empty), and whether it opens one."""
 
     def step(state: tuple[str, bool, str], line: str) -> tuple[str, bool, str]:
         _, _, inside = state  # the mark that is open before this line
-        m = _FENCE.match(line)
-        mark = m[1] if m else ""
+        mark = fence_mark(line)
         if not inside:
             return mark, bool(mark), mark
         return inside, False, "" if mark == inside else inside

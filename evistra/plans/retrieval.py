@@ -13,8 +13,9 @@ from evistra.operators import analysis as A
 from evistra.operators import index as I
 from evistra.operators import retrieval as R
 from evistra.registry import query
+from evistra.sources import collection
 from evistra.sources.facades import load
-from evistra.sources.shared import kept
+from evistra.sources.shared import folder, kept
 
 DAY = "2024-01-01"
 CHUNKS_SQL = """
@@ -96,6 +97,14 @@ def asof_policy_filter(spark, sf_dir):
     return live_chunks(spark, sf_dir).filter(F.col("layer").isin("law", "platform")).select("chunk_id", "layer", "effective_date", "expire_date")
 
 
+@query("A10 B1 A8", f"WITH {CHUNKS_SQL} SELECT chunk_id, doc, effective_date, expire_date FROM live WHERE layer = 'law'")
+def collection_filter(spark, sf_dir):
+    """Chunks of one layer in force on a day, from a collection kept by layer and year."""
+    where = folder(spark, "collection")
+    collection.write(chunks_view(spark, sf_dir), where)
+    return collection.read(spark, where, ["law"], DAY).select("chunk_id", "doc", "effective_date", "expire_date")
+
+
 _DENSE = """dense_scored AS (SELECT query_id, sub_id, layer, chunk_id, round(list_sum(list_transform(list_zip(e.embedding, v.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS score,
     CASE layer WHEN 'law' THEN k_law ELSE k_platform END AS k FROM live, sizes JOIN embeddings e ON live.chunk_id % sizes.n_vec = e.vec_id, routes JOIN embeddings v ON routes.vec_id = v.vec_id),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id, sub_id, layer ORDER BY score DESC, chunk_id) AS rank FROM dense_scored QUALIFY rank <= k)"""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evistra.functions import text as X
-from evistra.operators import chunking
+from evistra.operators import chunking, tables
 from evistra.registry import query
 from evistra.sources.facades import load
 from evistra.sources.shared import kept
@@ -190,3 +190,25 @@ def heading_islands(spark, sf_dir):
     same = F.coalesce(F.col("top") == F.lag("top").over(order), F.lit(False))
     p = s.withColumn("same", same).withColumn("parent_seq", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order) - 1)
     return p.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join("path", " > ").alias("path"), "parent_seq", (F.row_number().over(Window.partitionBy("doc_id", "parent_seq").orderBy("line")) - 1).cast("long").alias("idx"))
+
+
+@query("I3 L1", r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), chr(1)), '([。！？；!?;.])', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+SELECT doc_id, count(*) AS n, CAST(sum(length(regexp_replace(s, '[\s\x0b\x1c-\x1f]+', '', 'g'))) AS BIGINT) AS chars FROM s WHERE regexp_replace(s, '[\s\x0b\x1c-\x1f]+', '', 'g') <> '' GROUP BY 1""")
+def sentences_lateral(spark, sf_dir):
+    """Sentences by a table function in SQL, a row each."""
+    tables.register(spark)
+    docs = load(spark, sf_dir, "documents")
+    return spark.sql(r"""SELECT doc_id, count(*) AS n, sum(length(regexp_replace(sentence, r'(?U)[\s\x1c-\x1f]+', ''))) AS chars FROM {docs} AS d, LATERAL text_sentences(d.text, '。！？；!?;.')
+        WHERE regexp_replace(sentence, r'(?U)[\s\x1c-\x1f]+', '') <> '' GROUP BY doc_id""", docs=docs)
+
+
+@query("I2 H3", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+k AS (SELECT *, CASE WHEN trim(t, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '' THEN '' WHEN starts_with(ltrim(t), '|') THEN 'table' ELSE 'text' END AS kind FROM l),
+g AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id, kind ORDER BY line) AS island FROM k),
+b AS (SELECT doc_id, kind, min(line) AS first_line, count(*) AS n_lines FROM g WHERE kind <> '' GROUP BY doc_id, kind, island)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS block, kind, first_line, n_lines FROM b""")
+def blocks_partitioned(spark, sf_dir):
+    """Blocks of each document's lines by a table function that reads them in order, a partition a document."""
+    tables.register(spark)
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return spark.sql("SELECT * FROM line_blocks(TABLE(SELECT doc_id, line, text FROM {lines}) PARTITION BY doc_id ORDER BY line)", lines=lines)
