@@ -2,8 +2,8 @@
 
 A lexical transducer reads words as symbols: insults with a weight, threats, targets, negations, reporting verbs, or
 anything else. Insults are learnt from the training labels: words, stems and word pairs much likelier in toxic texts,
-weighed by their log odds. Over symbols stand four small transducers with weighted arcs (negation, reported speech, a
-target behind, a target ahead); the three that read from left to right are composed into one table, the last one reads
+weighed by their log odds. Over symbols stand five small transducers with weighted arcs (negation, reported speech, a
+target behind, an object before a threat, a target ahead); the four that read from left to right are composed into one table, the last one reads
 its output from right to left. A symbol's weight is the product of the arcs it passes; a clause's weight is the sum over
 its insults and threats; states run through the whole clause. A text's score is a logistic function of its clauses'
 weights, fitted on the training labels.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from evistra.llm._common import materialize, slices, text_column
 from evistra.llm.learning import labelled_sample, logistic, sigmoid
 
-#: Labelled rows that the lexicon and the weights are fitted on at most, and entries of the lexicon.
-SAMPLE_ROWS, LEXICON = 20_000, 1000
+#: Labelled rows that the lexicon and the weights are fitted on at most; with MIN_TEXTS they bound the lexicon, too.
+SAMPLE_ROWS = 20_000
 #: An entry is learnt with this log odds and so many standard errors of it (more for a pair, of which there are many),
 #: seen in so many toxic texts; a stem needs so many different words with it there, none of them in over half its texts.
 MIN_ODDS, MIN_SIGMA, PAIR_SIGMA, MIN_TEXTS, MIN_FORMS = 2.0, 4.0, 5.0, 5, 5
@@ -39,9 +39,11 @@ THREATS = frozenset(
     "erschießen tuer blesser frapper détruire brûler égorger matar herir golpear destruir quemar disparar".split()
 )
 TARGETS = frozenset(
-    "you your yours u ur he she they them him her his their everyone people these those du dich dir dein ihr euch euer sie er ihn ihm "
-    "tu te toi ton vous votre il elle ils elles lui leur tú ti usted ustedes vosotros él ella ellos ellas".split()
+    "you your yours u ur he she they them him her his their everyone people these those du dein ihr euer sie er ihn ihm "
+    "tu toi ton votre il elle ils elles lui leur tú ella él ellos ellas vosotros".split()
 )
+#: Persons as the object of a verb that may follow them, as it does in German, French and Spanish.
+OBJECTS = frozenset("dich dir euch te vous os ti usted ustedes".split())
 NEGATIONS = frozenset(
     "not never no without isn't aren't wasn't don't doesn't didn't won't can't neither nor nicht nie niemals kein keine keinen ohne weder "
     "ne pas jamais sans ni aucun aucune nunca jamás sin tampoco ningún ninguna".split()
@@ -50,9 +52,11 @@ REPORTS = frozenset(
     "said says wrote writes called calls quoted reported claimed alleged according condemned sagte sagt schrieb nannte zitierte behauptete laut "
     "dit écrit appelé cité affirmé selon dijo dice escribió llamó citó afirmó según".split()
 )
-OTHER, INSULT, AIMED, THREAT, TARGET, NEGATION, REPORT = "other", "insult", "aimed", "threat", "target", "negation", "report"
-SYMBOLS = (OTHER, INSULT, AIMED, THREAT, TARGET, NEGATION, REPORT)
-NEAR, SCOPE = 4, 3
+OTHER, INSULT, AIMED, THREAT, TARGET, OBJECT, NEGATION, REPORT = "other", "insult", "aimed", "threat", "target", "object", "negation", "report"
+SYMBOLS = (OTHER, INSULT, AIMED, THREAT, TARGET, OBJECT, NEGATION, REPORT)
+#: Words between an insult and its target, words that a negation reaches, words from an object to a threat behind it, and
+#: from a threat to its target ahead: "kill all of you", but not "kill the lights for you".
+NEAR, SCOPE, BEFORE, AFTER = 4, 3, 3, 3
 _RAISED, _NEGATED, _REPORTED, _THREAT = 1.3, 0.3, 0.4, 3.0
 _CUT = re.compile(r"[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -96,13 +100,13 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return out
 
 
-def countdown(trigger: str, reach: int, changes: dict[str, tuple[str, float]], otherwise: dict[str, tuple[str, float]] | None = None) -> Transducer:
-    """For `reach` words after the trigger, the symbols in changes are rewritten and weighed; at other times those in otherwise."""
+def countdown(triggers: tuple[str, ...], reach: int, changes: dict[str, tuple[str, float]], otherwise: dict[str, tuple[str, float]] | None = None) -> Transducer:
+    """For `reach` words after a trigger, the symbols in changes are rewritten and weighed; at other times those in otherwise."""
     out = Transducer()
     for state in range(reach + 1):
         for x in SYMBOLS:
             y, w = (changes if state else otherwise or {}).get(x, (x, 1.0))
-            out.arcs[state, x] = (reach if x == trigger else max(0, state - 1), y, w)
+            out.arcs[state, x] = (reach if x in triggers else max(0, state - 1), y, w)
     return out
 
 
@@ -115,11 +119,15 @@ def reported() -> Transducer:
     return out
 
 
-NEGATED = countdown(NEGATION, SCOPE, {INSULT: (INSULT, _NEGATED), THREAT: (THREAT, _NEGATED)})
-BEHIND = countdown(TARGET, NEAR, {INSULT: (AIMED, _RAISED)})
-#: From right to left: a threat counts only where a target follows.
-AHEAD = countdown(TARGET, NEAR, {INSULT: (AIMED, _RAISED)}, {THREAT: (OTHER, 0.0)})
-FORWARD = compose(compose(NEGATED, reported()), BEHIND)
+NEGATED = countdown((NEGATION,), SCOPE, {INSULT: (INSULT, _NEGATED), THREAT: (THREAT, _NEGATED)})
+BEHIND = countdown((TARGET, OBJECT), NEAR, {INSULT: (AIMED, _RAISED)})
+#: A threat behind its object is aimed at it.
+OBJECTED = countdown((OBJECT,), BEFORE, {THREAT: (AIMED, 1.0)})
+#: From right to left: a threat that isn't aimed yet counts only where a target follows.
+AHEAD = countdown((TARGET, OBJECT), NEAR, {INSULT: (AIMED, _RAISED)})
+FOLLOWED = countdown((TARGET, OBJECT), AFTER, {}, {THREAT: (OTHER, 0.0)})
+FORWARD = compose(compose(compose(NEGATED, reported()), BEHIND), OBJECTED)
+BACKWARD = compose(AHEAD, FOLLOWED)
 
 
 # --- the grammar -------------------------------------------------------------------------------------------------------
@@ -149,7 +157,7 @@ class Grammar:
         for k in self.sizes:
             if len(word) > k and word[:k] in self.stems:
                 return INSULT, self.stems[word[:k]]
-        for words, symbol in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for words, symbol in ((THREATS, THREAT), (TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             if word in words:
                 return symbol, _THREAT if symbol == THREAT else 1.0
         return OTHER, 0.0
@@ -170,7 +178,7 @@ class Grammar:
         if INSULT not in symbols and THREAT not in symbols:
             return 0.0
         symbols, weights = FORWARD.run(symbols, weights)
-        symbols, weights = AHEAD.run(symbols[::-1], weights[::-1])
+        symbols, weights = BACKWARD.run(symbols[::-1], weights[::-1])
         return sum(w for x, w in zip(symbols, weights) if x in (INSULT, AIMED, THREAT))
 
     def clauses(self, text: str) -> list[float]:
@@ -258,7 +266,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     sigma = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     both = both.withColumn("odds", odds).withColumn("z", F.col("odds") / sigma)
     both = both.filter((F.col("odds") >= MIN_ODDS) & (F.col("z") >= F.when(F.col("entry").contains(" "), PAIR_SIGMA).otherwise(MIN_SIGMA)))
-    found = {r.entry: float(r.odds) for r in both.orderBy(F.desc("z"), "entry").limit(2 * LEXICON).collect()}
+    found = {r.entry: float(r.odds) for r in both.orderBy(F.desc("z"), "entry").collect()}  # of the bounded sample
     # a pair adds nothing where one of its words is an entry itself, nor a word or stem where a shorter stem weighs as much
     plain = Grammar({e: w for e, w in found.items() if " " not in e})
     held = {}
@@ -269,7 +277,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         elif any(found.get(f"{e.rstrip('*')[:k]}*", 0.0) >= w for k in STEM if k < len(e.rstrip("*"))):
             continue
         held[e] = w
-    return dict(list(held.items())[:LEXICON])
+    return held
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
