@@ -2,9 +2,10 @@
 
 The base patterns (e-mail, IP address, card, phone) are found over the whole text. The field reads the regions that
 could hold something else: runs of key characters, of digits and their separators, account numbers, and values set
-to a password or the like. A region is a sequence of tokens; any of its segments of up to MAX_TOKENS tokens, however
-long in characters, is a candidate for each kind (one with spaces only in the shape of an account or phone number). Features of the whole segment and of what stands before it score
-it, transitions score neighbouring kinds, and dynamic programming picks the best cut, boundaries and kinds together.
+to a password or the like. A region is a sequence of tokens. Its segments between places where an entity can begin and end are candidates for
+each kind: those of up to MAX_TOKENS tokens, and whole stretches without a space however many tokens they have, so that
+a long password or key is never cut. Segments with spaces are candidates in the shape of an account number or of a
+telephone number of any country. Features of the whole segment and of what stands before it score it, transitions score neighbouring kinds, and dynamic programming picks the best cut, boundaries and kinds together.
 The weights maximise the conditional likelihood of the cuts of lines made from templates; the gradient comes from
 the forward-backward sums over all segmentations.
 """
@@ -29,8 +30,9 @@ from evistra.llm._common import slices, text_column
 #: Kinds in the order of ties; those of the base patterns first.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "ssn", "iban", "local_phone")
-#: Tokens of an entity, characters of a candidate at least, characters before it that are looked at for cues.
-MAX_TOKENS, LEAST, BEFORE = 9, 6, 40
+#: Tokens of an entity that begins or ends inside a stretch without spaces, or holds spaces; characters of a candidate at
+#: least; characters before it that are looked at for cues; marks that may stand around a whole stretch.
+MAX_TOKENS, LEAST, BEFORE, AROUND = 12, 4, 40, 2
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -86,7 +88,7 @@ CUES = {
     "secret": frozenset(("token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "bearer", "access_token", "auth", "passwort", "contraseña")),
     "ssn": frozenset(("ssn", "social", "security")),
     "iban": frozenset(("iban", "account", "konto", "compte", "cuenta")),
-    "local_phone": frozenset(("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")),
+    "local_phone": frozenset(("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "handy", "mobil", "ruf", "anruf", "téléphone", "portable", "appeler", "appelez", "teléfono", "móvil", "llame", "llamar", "tél")),
 }
 SHAPES = {
     "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,}"),
@@ -94,15 +96,24 @@ SHAPES = {
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     "local_phone": re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
 }
+#: Telephone numbers as they are written in groups: pairs after a trunk digit, an area code and a number, threes and pairs.
+PHONES = {
+    "pairs": re.compile(r"0[1-9](?:[ .-][0-9]{2}){4}"),
+    "area": re.compile(r"\(?0[1-9][0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,8}(?:[ -][0-9]{2,5}){0,3}"),
+    "threes": re.compile(r"[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}"),
+}
 ADDED = tuple(SHAPES)
 _OTHER, _KINDS = 0, len(ADDED) + 1  # type 0 is a single token outside of any entity
 _RUNS = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
-_NUMBERS = re.compile(r"(?<![0-9])\(?[0-9][0-9 ().-]{4,}[0-9]")
+_NUMBERS = re.compile(r"(?<![0-9])\(?[0-9][0-9 ()./-]{4,}[0-9]")
 _ACCOUNTS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9 ]{8,}")
-_SET = re.compile(r"""(?:password|passwd|pwd|passwort|secret|token|apikey|api_key)["']?[ \t]*[:=][ \t]*["']?([^\s"',;]{6,})""")
+_SET = re.compile(r"""(?:password|passwd|pwd|passwort|secret|token|apikey|api_key)["']?[ \t]*[:=][ \t]*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|["']?([^\s"',;]{4,}))""")
 _SET_WORDS = ("password", "passwd", "pwd", "passwort", "secret", "token", "apikey", "api_key")
-_SPACED = (SHAPES["iban"], SHAPES["local_phone"])  # kinds whose spans may hold a space
+_SPACED = (SHAPES["iban"], SHAPES["local_phone"], *PHONES.values())  # shapes that may hold a space
+_OPENERS = frozenset("=:")  # characters behind which an entity may begin, though a key could hold one of them
+_MORE = re.compile(r" [A-Z0-9]{1,4}(?![A-Za-z0-9])")
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-")
+_QUOTES = frozenset("\"'")
 _VOWELS = str.maketrans("", "", "aeiouyAEIOUY")
 _NO_DIGITS, _NO_LETTERS = str.maketrans("", "", "0123456789"), re.compile(r"[A-Za-z]")
 
@@ -114,7 +125,7 @@ def regions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]
         found += [m.span() for m in _NUMBERS.finditer(text)] + [m.span() for m in _ACCOUNTS.finditer(text)]
     low = text.lower() if len(text.lower()) == len(text) else text
     if any(w in low for w in _SET_WORDS):
-        found += [m.span(1) for m in _SET.finditer(low)]
+        found += [m.span(m.lastindex) for m in _SET.finditer(low)]
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a <= joined[-1][1]:
@@ -142,7 +153,7 @@ def regions(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]
 
 
 def features(span: str, before: str, after: str) -> list[str]:
-    """Features of a whole candidate; before: the characters in front of it, after: the one behind it."""
+    """Features of a whole candidate; before: the characters in front of it, after: a few behind it."""
     n = len(span)
     digits = n - len(span.translate(_NO_DIGITS))
     letters = n - len(_NO_LETTERS.sub("", span))
@@ -153,12 +164,18 @@ def features(span: str, before: str, after: str) -> list[str]:
     f = ["bias", f"long={min(n // 8, 5)}", f"share={digits * 4 // n}", f"letters={letters * 4 // n}", f"mixed={digits > 0 and letters > 0}"]
     f += [f"cue={k}" for k in ADDED if any(w in CUES[k] for w in words)] or ["cue=none"]
     f += [f"shape={k}" for k in ADDED if SHAPES[k].fullmatch(span)] or ["shape=none"]
+    if digits >= 7:
+        cued = any(w in CUES["local_phone"] for w in words)
+        f += [f"phone={k}{cued}" for k, p in PHONES.items() if p.fullmatch(span)]
     f += [f"entropy={int(2 * entropy)}", f"case={bool(upper and span != span.upper())}", f"space={' ' in span}", f"slash={'/' in span}"]
-    f += [f"upper={bool(letters) and span == span.upper()}", f"cut={before[-1:] in _KEY_CHARS}{after in _KEY_CHARS}"]
+    f += [f"upper={bool(letters) and span == span.upper()}", f"cut={before[-1:] in _KEY_CHARS}{after[:1] in _KEY_CHARS}"]
     f += [f"hyphens={min(counts.get('-', 0), 3)}", f"first={span[0].isalnum() or span[0] == '('}", f"last={span[-1].isalnum() or span[-1] == '='}"]
-    f += [f"vowels={(n - len(span.translate(_VOWELS))) * 8 // letters if letters else -1}", f"set={before.rstrip(' ')[-1:] in ('=', ':') or before[-2:] in ('="', ':"', ' "')}"]
+    f += [f"vowels={(n - len(span.translate(_VOWELS))) * 8 // letters if letters else -1}", f"set={before.rstrip(' ')[-1:] in ('=', ':') or (before[-1:] in _QUOTES and before[-2:-1] in ('=', ':', ' '))}"]
+    known = f[-1]
     if digits and letters:
-        f.append(f"set+mixed={f[-1]}")
+        f.append(f"set+mixed={known}")
+    f += [f"{known}+ends={not after[:1].strip() or after[:1] in _QUOTES}+{span.count('(') - span.count(')')}", f"brackets={span.count('(') - span.count(')')}"]
+    f += [f"more={k}" for k in ("iban",) if _MORE.match(after) and SHAPES[k].fullmatch(span)]
     return f
 
 
@@ -171,15 +188,38 @@ class Sequence:
 
 
 def sequence(text: str, a: int, b: int) -> Sequence:
+    """A region's tokens, and the candidates: segments between places where an entity can begin and end.
+
+    One can't begin or end inside a run of letters, digits and key characters, but for behind one of =: and at the ends
+    of the region.
+    """
     tokens = [(m.start() + a, m.end() + a) for m in _TOKEN.finditer(text[a:b])]
-    made = []
+    n, made = len(tokens), []
+    begins = [i == 0 or text[s - 1] not in _KEY_CHARS or text[s - 1] in _OPENERS for i, (s, _) in enumerate(tokens)]
+    ends = [j == n - 1 or text[e] not in _KEY_CHARS for j, (_, e) in enumerate(tokens)]
+    last = n - 1  # the last token of the stretch without a space that token i is in
+    whole = [0] * n
+    for i in range(n - 1, -1, -1):
+        if i < n - 1 and tokens[i][1] < tokens[i + 1][0]:
+            last = i
+        whole[i] = last
+    first = 0  # the first token of that stretch
     for i, (start, _) in enumerate(tokens):
-        before, glued = text[max(0, start - BEFORE) : start], start > 0 and text[start - 1].isalnum()
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+        if i and tokens[i - 1][1] < start:
+            first = i
+        if not begins[i] or (start > 0 and text[start - 1].isalnum()):
+            continue
+        before = text[max(0, start - BEFORE) : start]
+        upto = [j for j in range(i, min(i + MAX_TOKENS, n)) if ends[j]]
+        if i - first <= AROUND:
+            upto += [j for j in range(max(whole[i] - AROUND, i + MAX_TOKENS), whole[i] + 1) if ends[j] or j < whole[i]]
+        for j in upto:
             end = tokens[j][1]
+            if end - start < LEAST or text[end : end + 1].isalnum():
+                continue
             span = text[start:end]
-            if end - start >= LEAST and not glued and not text[end : end + 1].isalnum() and (" " not in span or any(p.fullmatch(span) for p in _SPACED)):
-                made.append((i, j + 1, start, end, features(span, before, text[end : end + 1])))
+            if j <= whole[i] or any(p.fullmatch(span) for p in _SPACED):
+                made.append((i, j + 1, start, end, features(span, before, text[end : end + 6])))
     return Sequence(tokens, made)
 
 
@@ -282,28 +322,37 @@ def _examples() -> list[tuple[str, list[tuple[int, int, str]]]]:
     hexa, num, lower = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz"
     upper, syllables = lower.upper(), ("en", "er", "ti", "on", "que", "sch", "ung", "ment", "re", "th", "and", "cion", "ado", "heit")
     alnum = upper + lower + num
+    account = lambda gap: gap.join(["", *(pick(num if r.random() < 0.8 else upper + num, 4) for _ in range(r.randint(3, 6))), *([pick(num, r.randint(1, 3))] if r.random() < 0.8 else [])])
     made = {
         "secret": lambda: r.choice((
             pick(hexa, r.choice((32, 40, 64))), pick(alnum, r.randint(20, 48)), "sk_live_" + pick(alnum, 24), "AKIA" + pick(upper + num, 16), "AKIA" + pick(upper, 16), pick(alnum + "+/", 43) + "=",
             "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), "ghp_" + pick(alnum, r.randint(30, 300)),
+            "-".join(pick(alnum, r.randint(4, 8)) for _ in range(r.randint(4, 9))), "/".join(pick(alnum + "+", r.randint(8, 30)) for _ in range(r.randint(2, 4))),
         )),
         "ssn": lambda: f"{pick(num, 3)}-{pick(num, 2)}-{pick(num, 4)}",
-        "iban": lambda: r.choice(("DE", "FR", "ES", "GB")) + pick(num, 2) + r.choice(("", " ")).join(["", *(pick(num, 4) for _ in range(4))]).strip() + pick(num, 2),
+        "iban": lambda: r.choice(("DE", "FR", "ES", "GB")) + pick(num, 2) + account(r.choice(("", " "))),
         "local_phone": lambda: r.choice((f"({pick(num, 3)}) {pick(num, 3)}-{pick(num, 4)}", f"{pick(num, 3)}-{pick(num, 3)}-{pick(num, 4)}", f"{pick(num, 3)}.{pick(num, 3)}.{pick(num, 4)}")),
     }
+    phone = lambda: r.choice((
+        "0" + r.choice("123456789") + "".join(r.choice((" ", " ", ".")) + pick(num, 2) for _ in range(4)), "0" + r.choice("234569") + pick(num, r.randint(1, 3)) + r.choice((" ", "/", "-")) + pick(num, r.randint(5, 8)),
+        r.choice("6789") + pick(num, 2) + " " + " ".join(pick(num, 2) for _ in range(3)), r.choice("6789") + pick(num, 2) + " " + pick(num, 3) + " " + pick(num, 3),
+    ))
     with_entity = {
         "secret": ('the token = "{}" of', "api_key: {} and", "password={} then", 'secret = "{}"', "bearer {} was", "key {} here", "of {} thion"),
         "ssn": ("ssn {} of", "social security {} is", "number {} there", "in {} the"),
         "iban": ("iban {} for", "account {} at", "konto: {} und", "an {} erth"),
         "local_phone": ("call {} now", "phone: {} or", "reach {} by", "tel {}", "the {} of"),
     }
-    short = ("password = {}", "pwd: {}", "passwort={} und")
+    short = ("password = {}", "pwd: {}", "passwort={} und", "password: {} .", "secret='{}'")
+    grouped = ("call {} now", "Tel. {}", "tél : {} ou", "teléfono {} o", "Telefon {} und", "llame al {}", "appelez le {}", "phone: {} or", "mobil {}", "fax {} the")
     plain = (
         "order {n5} of the {n2} rows", "in {n4} there were {n3}", "version {n1}.{n1}.{n2} from {n4}-{n2}-{n2}", "pages {n3}-{n3} and {n4}", "on {n4}-{n2}-{n2} {n2} of",
         "the key {n2} to room {n3}", "a token of {n4} thanks", "item a{n5}b and x{n2}", "account no {n6}", "call {n2} people", "{n9} and {n10}", "{n3} {n3} {n3} {n2}",
         "total {n3},{n3}.{n2} for {n2}", "internationalization{n1} of words", "{n16} here", "{s7} of {s6}", "the key {s7}", "password of {s6}", "=== {s6} ===",
         "see /{s2}/{s3}/{s2}-{s3}-{s2}.html", "http://{s2}.com/{s3}/{n3}-{s2}-{s3}", "a {s2}-{s2}-{s2}-{s2} one", "----------------------", "{s5}={s5}", "{s4}_{s4}_{s4}", "{S7} and {S6}",
         "({n4}) {n2} ({n3}) {n1}", "{n2}.{n2}.{n4} and {n2}.{n2}.{n2}", "{n4} {n4} {n4}", "ISO {n4} {n5} A4 {n3}", "AB{n2} {s4} {n4} {n4}",
+        "years {n4} {n4} {n4} {n4}", "0{n1} {n2} {n2} {n2} {n2} rows", "call {n3} {n2} times", "tel {n4} of {n4}", "sizes {n3} {n3} {n3} and {n2} {n2}", "0{n2} {n6} units", "{n3} {n2} {n2} {n2} points",
+        "total: {n3} {n3} {n3}", "{n2}/{n2}/{n4} and {n4}/{n2}", "rooms {n2}-{n2}-{n2}", "password of the {s4}", "the token: a {s4} of {s3}",
     )
 
     def word(m: re.Match) -> str:
@@ -314,7 +363,7 @@ def _examples() -> list[tuple[str, list[tuple[int, int, str]]]]:
         return w.capitalize() if kind == "S" else w
 
     out = []
-    for _ in range(7):
+    for _ in range(6):
         for kind, templates in with_entity.items():
             for t in templates:
                 left, right = t.split("{}")
@@ -322,8 +371,20 @@ def _examples() -> list[tuple[str, list[tuple[int, int, str]]]]:
                 out.append((left + value + right, [(len(left), len(left) + len(value), kind)]))
         for t in short:
             left, right = t.split("{}")
-            value = pick(alnum, r.randint(8, 14))
+            value = pick(alnum, r.randint(4, 14)) if r.random() < 0.5 else pick(alnum, 1) + pick(alnum + "!#$%&*@(^-+.", r.randint(2, 28)) + pick(r.choice((alnum, alnum, "!)*$")), 1)
             out.append((left + value + right, [(len(left), len(left) + len(value), "secret")]))
+        for t in grouped:
+            left, right = t.split("{}")
+            value = phone()
+            out.append((left + value + right, [(len(left), len(left) + len(value), "local_phone")]))
+        for _ in range(6):  # several on a line, some with nothing but a space between them
+            line, spans = "", []
+            for kind in r.sample(("secret", "ssn", "iban", "local_phone", "ssn", "local_phone"), r.randint(2, 3)):
+                left, value = r.choice(("", "", "and ", "; ")), made[kind]()
+                line += left
+                spans.append((len(line), len(line) + len(value), kind))
+                line += value + " "
+            out.append((line, spans))
         out += [(re.sub(r"\{([nsS])(\d+)\}", word, t), []) for t in plain]
     return out
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -351,6 +352,60 @@ def test_pii_long_dense_and_plain_texts():
     assert added("12 345 6789 " * 5000) == []
 
 
+PROBES = [
+    ("password = {} then", "a!b#c$d%e^f&g*h(i)"), ("key {} of", "/".join(["abcDEF1234567890abcDEF12345"] * 3) + "xyz1"), ("token: {} was", "ab12-cd34-ef56-gh78-ij90-kl12-mn34-op56"),
+    ("iban {} for", "FR14 2004 1010 0505 0001 3M02 606"), ("call {} now", "01 23 45 67 89"), ("Tel. {}", "030 1234567"), ("teléfono {} o", "612 34 56 78"), ("password={} and", "ab1!"), ("secret='{}'", "p@ss,w0rd"),
+]
+
+
+@pytest.mark.parametrize(("line", "value"), PROBES)
+def test_pii_spans_are_whole(line, value):
+    text = line.format(value)
+    a = text.index(value)
+    added = [s for s in pii.find_spans(text, pii.trained())[1] if s[2] in pii.ADDED]
+    assert [(x, y) for x, y, _ in added] == [(a, a + len(value))]
+
+
+def planted(seed):
+    """Lines with one entity each, of forms and words that no line of the training has, and lines with none."""
+    r = np.random.default_rng(seed)
+    some = lambda chars, n: "".join(r.choice(list(chars), n))
+    num, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    mixed = num + low + low.upper()
+    forms = [
+        lambda: ("signed with ", "eyJ" + some(mixed, 30) + "_" + some(mixed, 40)), lambda: ("the hook xoxb ", "xoxb-" + some(num, 11) + "-" + some(mixed, 24)),
+        lambda: ("passwd: ", some(low, 3) + "$" + some(mixed, 9) + "%^" + some(num, 2)), lambda: ("pipeline uses ", "glpat-" + some(mixed, 20)), lambda: ("token=", some(mixed, 22) + "/" + some(mixed, 22) + "=="),
+        lambda: ("konto ", "CH" + some(num, 2) + "".join(" " + some(num, 4) for _ in range(4)) + " " + some(num, 1)), lambda: ("compte ", "BE" + some(num, 14)), lambda: ("cuenta ", "NL" + some(num, 2) + " ABNA " + some(num, 4) + " " + some(num, 4) + " " + some(num, 2)),
+        lambda: ("telefon ", "0" + str(r.integers(2, 9)) + some(num, 2) + "/" + some(num, 7)), lambda: ("téléphone ", "0" + str(r.integers(1, 9)) + "".join("-" + some(num, 2) for _ in range(4))), lambda: ("social security no ", some(num, 3) + "-" + some(num, 2) + "-" + some(num, 4)),
+        lambda: ("mobile ", "(" + some(num, 3) + ") " + some(num, 3) + "-" + some(num, 4)),
+    ]
+    for _ in range(12):
+        for form in forms:
+            before, value = form()
+            yield f"und the {before}{value} of it", (len("und the " + before), len("und the " + before) + len(value))
+        w = lambda n: some(low, n)
+        for plain in (f"pages {some(num, 3)} to {some(num, 3)}", f"on {some(num, 4)}/{some(num, 2)}/{some(num, 2)} at {some(num, 2)}:{some(num, 2)}", f"the {w(12)}-{w(11)} and {w(9)}", f"in {some(num, 4)} {some(num, 4)} {some(num, 4)} rows", f"see {w(5)}.{w(3)}/{w(6)}/{w(8)}", f"a key of {w(8)}"):
+            yield plain, None
+
+
+def test_pii_recall_and_precision_on_planted_forms():
+    hit = total = wrong = 0
+    for text, span in planted(3):
+        added = {(a, b) for a, b, _ in pii.find_spans(text, pii.trained())[1]}
+        total += span is not None
+        hit += span in added
+        wrong += len(added - {span})
+    assert total == 144
+    assert hit / total >= 0.9 and hit / (hit + wrong) >= 0.9
+
+
+def test_pii_dense_keys_are_quick():
+    r = np.random.default_rng(0)
+    text = " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/-_"), 40)) for _ in range(6000))
+    began = time.process_time()
+    assert len(pii.find_spans(text, pii.trained())[1]) > 5000 and time.process_time() - began < 20
+
+
 # --- op5, op10 -----------------------------------------------------------------------------------------------------
 
 
@@ -403,7 +458,7 @@ def test_toxicity(spark):
     known = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
     assert sum(p == t for p, t in known) / len(known) >= 0.95
     bad = [p for p, t in known if t == 1]
-    assert not bad or sum(bad) / len(bad) >= 0.8
+    assert sum(bad) / len(bad) >= 0.925
 
 
 def test_toxicity_odd_rows(odd, empty, labels):
@@ -419,7 +474,9 @@ def test_clause_grammar():
     assert score("you are an idiot") > score("an idiot") > score("not an idiot") > 0
     assert score("an idiot like you") == score("you are an idiot") == score("du bist ein idiot")
     assert score("they said an idiot") < score("an idiot") and score("pas un idiot") == score("kein idiot") == score("not an idiot")
-    assert score("i will kill you") > 0 == score("kill the process")
+    assert score("i will kill you") > 0 == score("kill the process") == score("kill the lights for you") == score("you can kill the lights")
+    assert score("ich werde dich umbringen") == score("te voy a matar") == score("je vais te tuer") == score("we kill all of you") == score("i will kill you")
+    assert 0 < score("i will not kill you") < score("i will kill you") > score("he said i will kill you") > 0
     assert score("a dumb ox") == score("stupidly done") == score("an idiot") and score("stup") == score("dumb") == 0
 
 
@@ -434,7 +491,7 @@ def test_clause_state_runs_through_long_clauses():
 
 def test_composed_transducer_does_what_its_parts_do():
     r = np.random.default_rng(4)
-    parts = (toxicity.NEGATED, toxicity.reported(), toxicity.BEHIND)
+    parts = (toxicity.NEGATED, toxicity.reported(), toxicity.BEHIND, toxicity.OBJECTED)
     for _ in range(300):
         symbols = [toxicity.SYMBOLS[i] for i in r.integers(0, len(toxicity.SYMBOLS), r.integers(0, 14))]
         want = (symbols, [1.0] * len(symbols))
@@ -442,6 +499,9 @@ def test_composed_transducer_does_what_its_parts_do():
             want = part.run(*want)
         got = toxicity.FORWARD.run(symbols, [1.0] * len(symbols))
         assert got[0] == want[0] and got[1] == pytest.approx(want[1])
+        want = toxicity.FOLLOWED.run(*toxicity.AHEAD.run(symbols, [1.0] * len(symbols)))
+        got = toxicity.BACKWARD.run(symbols, [1.0] * len(symbols))
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1])
 
 
 # --- op6 -----------------------------------------------------------------------------------------------------------
