@@ -30,7 +30,7 @@ TABLE_KEYS, KEY_BYTES = 65_536, 32
 #: Different pieces that a task counts before it thins its summary; pieces in one generation of a worker's cache.
 COUNTED, CACHED = 200_000, 400_000
 #: Summaries that one task merges.
-FAN_IN = 64
+FAN_IN = 16
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
@@ -188,11 +188,10 @@ def frequent_pretokens(docs: DataFrame, pattern: str, keep: int = TABLE_KEYS) ->
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for b in batches:
-            for keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, c in zip(keys, n):
-                    total[k] += c
-                total = _thinned(total, 2 * keep)
+        for b in slices(batches, 1):
+            for k, c in zip(b.column(0).flatten().to_pylist(), b.column(1).flatten().to_pylist()):
+                total[k] += c
+            total = _thinned(total, 2 * keep)
         if total:
             yield _summary(total, keep)
 
