@@ -131,6 +131,31 @@ def judge_flip_rate(spark, sf_dir):
     return rounds.agg(F.count(F.lit(1)).alias("positions"), F.count_if(F.col("k") > 1).alias("flipped")).withColumn("flip_rate", F.round(F.col("flipped") / F.col("positions"), 6))
 
 
+_CUT_SQL = _VERDICTS_SQL.rstrip() + """,
+long AS (SELECT case_id, 'a' AS round, pos, quality AS hit FROM pos UNION ALL SELECT case_id, 'b', pos, second FROM pos WHERE pos % 5 <> 0 OR length(case_id) % 2 = 0 UNION ALL SELECT case_id, 'c', pos, quality FROM pos WHERE doc_id % 4 <> 1),
+placed AS (SELECT case_id, round, hit, row_number() OVER (PARTITION BY case_id, round ORDER BY pos) AS pos, count(*) OVER (PARTITION BY case_id, round) AS n FROM long),
+shortest AS (SELECT case_id, min(n) AS n, count(DISTINCT round) AS rounds FROM placed GROUP BY 1)"""
+
+
+@query("C19 D-18", _CUT_SQL + """ SELECT case_id, count(*) AS positions, count_if(k > 1) AS flipped FROM (SELECT p.case_id, pos, count(DISTINCT hit) AS k FROM placed p JOIN shortest s ON p.case_id = s.case_id AND pos <= s.n AND s.rounds = 3 GROUP BY 1, 2) GROUP BY 1""")
+def judge_flips_aligned(spark, sf_dir):
+    """Flips of cases whose rounds judged different numbers of units: aligned by position, cut to the shortest round."""
+    v = _verdicts(spark, sf_dir)
+    b = v.filter((F.col("pos") % 5 != 0) | (F.length("case_id") % 2 == 0))
+    rows = v.select("case_id", F.lit("a").alias("round"), "pos", F.col("quality").alias("hit")).union(b.select("case_id", F.lit("b"), "pos", "second")).union(v.filter("doc_id % 4 <> 1").select("case_id", F.lit("c"), "pos", "quality"))
+    return aligned_flips(rows, 3)
+
+
+def aligned_flips(rows, rounds: int):
+    """(case_id, positions, flipped) of (case_id, round, pos, hit): units by their order within a round, up to the length of
+    the case's shortest round; a case without all its rounds has none."""
+    by = Window.partitionBy("case_id", "round")
+    placed = rows.select("case_id", "round", "hit", F.row_number().over(by.orderBy("pos")).alias("pos"), F.count(F.lit(1)).over(by).alias("n"))
+    shortest = placed.groupBy("case_id").agg(F.min("n").alias("least"), F.count_distinct("round").alias("rounds")).filter(F.col("rounds") == rounds)
+    units = placed.join(shortest, "case_id").filter(F.col("pos") <= F.col("least")).groupBy("case_id", "pos").agg(F.count_distinct("hit").alias("k"))
+    return units.groupBy("case_id").agg(F.count(F.lit(1)).alias("positions"), F.count_if(F.col("k") > 1).alias("flipped"))
+
+
 def _rounds(spark, sf_dir):
     v = _verdicts(spark, sf_dir)
     return v.select("case_id", "pos", F.explode(F.create_map(F.lit("a"), "quality", F.lit("b"), "second")).alias("round", "hit"))

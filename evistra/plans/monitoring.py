@@ -70,11 +70,11 @@ def last_answer(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max_by(F.when(said, F.col("text")), F.when(said, F.col("turn"))), F.lit("")).alias("answer"))
 
 
-@query("ST2 H11", "SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS history_chars FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1")
+@query("ST2 H11", "SELECT conv_id, turn, role, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS history_chars FROM conversations")
 def history_growth(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").withColumn("len", F.length("text"))
-    h = c.withColumn("history_chars", F.sum("len").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
-    return h.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn"))).filter("k = 1").select("conv_id", "turn", "history_chars")
+    """Characters said by each turn of a conversation; turns of one number in the order of their roles and texts."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.sum(F.length("text")).over(order).alias("history_chars"))
 
 
 @query("I8", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]', '<id-card>', 'g'),

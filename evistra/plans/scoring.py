@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evistra.operators import scoring as S
 from evistra.registry import query
+from evistra.sources import readers
 from evistra.sources.evals import EVAL_SQL, cases_of, expectations_of, turns_of
+from evistra.sources.facades import load
+from evistra.sources.shared import folder
 
 _LEADS = "CASE verdict WHEN '通过' THEN 'approved' WHEN '不通过' THEN 'denied' WHEN '需补充' THEN 'clarify' END"
 _BARE = "regexp_replace(answer, '\\s+', '', 'g')"
@@ -72,6 +76,25 @@ def case_results(spark, sf_dir):
     return c.select("case_id", "case_pass", "idempotent_replay", F.array_join("failed", ",").alias("failed"), F.array_join("comments", "; ").alias("comments"), *S.HARD, *(F.round(m, 6).alias(m) for m in S.SOFT))
 
 
+@query("B6", _CASES_SQL + "SELECT case_id, case_pass FROM passed WHERE case_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def selected_cases(spark, sf_dir):
+    """The results of a given set of cases: scored for these only, the set being a table of ids."""
+    ids = load(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("case_id")).distinct()
+    scored = _scored(spark, sf_dir).join(ids, "case_id", "left_semi")
+    return S.case_scores(scored, cases_of(spark, sf_dir).join(ids, "case_id", "left_semi")).select("case_id", "case_pass")
+
+
+@query("A20 B14", _CASES_SQL + "SELECT case_id, case_pass, idempotent_replay, array_to_string(fails, ',') AS failed, count(*) OVER () AS n FROM passed")
+def results_kept(spark, sf_dir):
+    """A run's results as a JSON-lines sink writes them, with the run's own row beside them, read again and joined."""
+    where, c = folder(spark, "results"), _cases(spark, sf_dir).select("case_id", "case_pass", "idempotent_replay", "failed")
+    readers.write_json_lines(c.select(F.lit("run-1").alias("run"), "case_id", "case_pass", "idempotent_replay", "failed"), f"{where}/cases")
+    cases = readers.json_lines(spark, f"{where}/cases", StructType.fromDDL(f"run string, case_id {dict(c.dtypes)['case_id']}, case_pass {dict(c.dtypes)['case_pass']}, idempotent_replay {dict(c.dtypes)['idempotent_replay']}, failed array<string>"))
+    readers.write_json_lines(cases.groupBy("run").agg(F.count(F.lit(1)).alias("n")), f"{where}/run")
+    run = readers.json_lines(spark, f"{where}/run", StructType.fromDDL("run string, n long"))
+    return cases.join(F.broadcast(run), "run").select("case_id", "case_pass", "idempotent_replay", F.array_join("failed", ",").alias("failed"), "n")
+
+
 @query("D-13 B7 D-25", _CASES_SQL + f"""SELECT count(*) AS n, coalesce(round(avg(case_pass), 6), 0) AS overall_pass_rate, coalesce(round(avg(case_pass) FILTER (priority = 'P0'), 6), 0) AS p0_pass_rate,
   coalesce(round(avg(run_error), 6), 0) AS error_rate, {', '.join(f'coalesce(round(avg({m}), 6), 0) AS avg_{m}' for m in _NAMES)} FROM passed""")
 def case_run_summary(spark, sf_dir):

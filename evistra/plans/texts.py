@@ -212,3 +212,41 @@ def blocks_partitioned(spark, sf_dir):
     tables.register(spark)
     lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return spark.sql("SELECT * FROM line_blocks(TABLE(SELECT doc_id, line, text FROM {lines}) PARTITION BY doc_id ORDER BY line)", lines=lines)
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z]{{2,}}|[0-9]+'))"
+_CHUNKS_SQL = _POOL_SQL.split("pool AS")[0].rstrip().rstrip(",")
+
+
+@query("C18 F13 E9", _CHUNKS_SQL + f""",
+usable AS (SELECT doc_id, source, {_WORDS.format("body")} AS terms, {_WORDS.format("path")} AS path FROM chunks
+  WHERE length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) >= 30 AND NOT (length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) < 80 AND ends_with(trim(body, ' ' || chr(9) || chr(10) || chr(13)), '：')) AND trim(path) <> '' AND NOT starts_with(path, '相关文件')),
+names AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+sides AS (SELECT item_id, side, source, {_WORDS.format("CASE side WHEN 0 THEN left(text, 80) ELSE right(text, 80) END || ' ' || source || ' en'")} AS want
+  FROM benchmark, range(2) r(side), names WHERE k = CASE side WHEN 0 THEN item_id % n ELSE (item_id * 7 + 3) % n END),
+scored AS (SELECT item_id, side, doc_id, 3 * len(list_intersect(want, path)) + len(list_intersect(want, terms)) AS hit FROM sides JOIN usable USING (source)),
+best AS (SELECT item_id, side, max(hit) AS hit, max(hit * 1000000000 + doc_id) % 1000000000 AS doc_id FROM scored GROUP BY 1, 2)
+SELECT a.item_id AS topic, a.doc_id AS left_id, b.doc_id AS right_id, a.hit AS left_hit, b.hit AS right_hit FROM best a JOIN best b ON a.item_id = b.item_id AND a.side = 0 AND b.side = 1""")
+def topic_pairs(spark, sf_dir):
+    """For each topic the chunk of each of its two named documents that fits its keywords best, terms of the path three
+    times; ties by the larger id. A document without any fitting chunk gives its last usable one. Chunks meet keywords by
+    the terms they share, not by comparing each with each."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}|[0-9]+"), F.lit(0)))
+    d = load(spark, sf_dir, "documents")
+    c = d.select(
+        "doc_id", "source", F.when(F.col("doc_id") % 23 == 0, F.concat(F.substring("text", 1, 60), F.lit("："))).otherwise(F.col("text")).alias("body"),
+        F.when(F.col("doc_id") % 17 == 0, "").when(F.col("doc_id") % 19 == 0, "相关文件 > x").otherwise(F.concat_ws(" > ", "source", "lang")).alias("path"),
+    ).filter(usable(F.col("body"), F.col("path")))
+    names = d.select("source").filter("source is not null").distinct().withColumn("k", F.row_number().over(Window.orderBy("source")) - 1)  # documents' names, a short list
+    names = kept(names.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))), "names")
+    b = load(spark, sf_dir, "benchmark").crossJoin(F.broadcast(names.select("n").limit(1))).select("item_id", "text", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    at = F.when(F.col("side") == 0, F.col("item_id") % F.col("n")).otherwise((F.col("item_id") * 7 + 3) % F.col("n"))
+    sides = b.withColumn("k", at.cast("int")).join(names.select("source", "k"), "k")
+    part = F.when(F.col("side") == 0, F.left("text", F.lit(80))).otherwise(F.right("text", F.lit(80)))
+    want = kept(sides.select("item_id", "side", "source", F.explode(words(F.concat_ws(" ", part, "source", F.lit("en")))).alias("term")), "keywords")
+    terms = c.select("doc_id", "source", F.explode(words(F.col("body"))).alias("term"), F.lit(1).alias("weight")).union(c.select("doc_id", "source", F.explode(words(F.col("path"))).alias("term"), F.lit(3).alias("weight")))
+    hits = terms.join(F.broadcast(want) if want.count() <= 500_000 else want, ["source", "term"]).groupBy("item_id", "side", "doc_id").agg(F.sum("weight").alias("hit"))
+    last = c.groupBy("source").agg(F.max("doc_id").alias("doc_id")).join(sides.select("item_id", "side", "source"), "source").select("item_id", "side", "doc_id", F.lit(0).cast("long").alias("hit"))
+    best = hits.unionByName(last).groupBy("item_id", "side").agg(F.max(F.struct("hit", "doc_id")).alias("m"))
+    both = best.groupBy("item_id").agg(*(F.max(F.when(F.col("side") == i, F.col("m"))).alias(name) for i, name in enumerate(("l", "r")))).filter("l is not null and r is not null")
+    return both.select(F.col("item_id").alias("topic"), F.col("l.doc_id").alias("left_id"), F.col("r.doc_id").alias("right_id"), F.col("l.hit").alias("left_hit"), F.col("r.hit").alias("right_hit"))

@@ -22,13 +22,23 @@ def constraint_violations(spark, sf_dir):
     return o.union(violations(load(spark, sf_dir, "embeddings"), "vec_id", {"dimension": F.size("embedding") == 64}))
 
 
-@query("C12 C13", """SELECT 'orders' AS child, CAST(o_custkey AS VARCHAR) AS key, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 2
-UNION ALL SELECT 'events', CAST(user_id AS VARCHAR), count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 2
-UNION ALL SELECT 'labels', CAST(doc_id AS VARCHAR), count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY 2""")
+_REFS_SQL = """WITH o AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN -o_custkey ELSE o_custkey END AS k FROM orders), e AS (SELECT CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN user_id + 100000000 ELSE user_id END AS k FROM events),
+l AS (SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id + 100000000 ELSE doc_id END AS k FROM labels)
+"""
+
+
+@query("C12 C13", _REFS_SQL + """SELECT 'orders' AS child, CAST(k AS VARCHAR) AS key, count(*) AS n FROM o WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY 2
+UNION ALL SELECT 'events', CAST(k AS VARCHAR), count(*) FROM e WHERE k NOT IN (SELECT c_custkey FROM customer) GROUP BY 2
+UNION ALL SELECT 'labels', CAST(k AS VARCHAR), count(*) FROM l WHERE k NOT IN (SELECT doc_id FROM documents) GROUP BY 2""")
 def dangling_refs(spark, sf_dir):
-    t = lambda n: load(spark, sf_dir, n)
-    one = lambda child, key, target, tkey: dangling(t(child), key, t(target), tkey).withColumn("child", F.lit(child))
-    return union_all([one("orders", "o_custkey", "customer", "c_custkey"), one("events", "user_id", "customer", "c_custkey"), one("labels", "doc_id", "documents", "doc_id")])
+    """References to nothing, with how many rows make them: some of the orders', events' and labels' keys are broken here.
+    A null refers to nothing and breaks no rule."""
+    k = lambda n, c: load(spark, sf_dir, n).select(c.alias("k"))
+    orders = k("orders", F.when(F.col("o_orderkey") % 50 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")))
+    events = k("events", F.when(F.col("event_id") % 97 == 0, None).when(F.col("event_id") % 89 == 0, F.col("user_id") + 100000000).otherwise(F.col("user_id")))
+    labels = k("labels", F.when(F.col("doc_id") % 10 == 0, F.col("doc_id") + 100000000).otherwise(F.col("doc_id")))
+    one = lambda child, rows, target, key: dangling(rows.filter("k is not null"), "k", load(spark, sf_dir, target), key).withColumn("child", F.lit(child))
+    return union_all([one("orders", orders, "customer", "c_custkey"), one("events", events, "customer", "c_custkey"), one("labels", labels, "documents", "doc_id")])
 
 
 @query("G6", "SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -62,10 +72,14 @@ def duplicate_paragraphs(spark, sf_dir):
     return k.groupBy("doc_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum((F.col("n") - 1) * F.length("line")).alias("extra_chars"))
 
 
-@query("G2", _VERDICTS_SQL + """SELECT order_id, list_filter([CASE WHEN verdict = 'approve' AND refundable <= 0 THEN 'amount' END, CASE WHEN verdict <> 'approve' AND refundable > 0 THEN 'denied amount' END,
-  CASE WHEN rule_no = 10 AND order_id % 1000 = 0 THEN 'probe' END], lambda x: x IS NOT NULL)[1] AS problem FROM verdicts WHERE rule_no = 10 AND order_id % 1000 = 0 OR (verdict = 'approve') <> (refundable > 0)""")
+@query("G2", _VERDICTS_SQL + """, told AS (SELECT order_id, rule_no, CASE WHEN order_id % 71 = 0 AND verdict = 'approve' THEN 'deny' ELSE verdict END AS verdict, CASE WHEN order_id % 61 = 0 THEN 0 WHEN order_id % 67 = 0 THEN 5.0 ELSE refundable END AS refundable FROM verdicts)
+SELECT order_id, CASE WHEN verdict = 'approve' AND refundable <= 0 THEN 'amount' WHEN verdict <> 'approve' AND refundable > 0 THEN 'denied amount' WHEN rule_no = 10 AND order_id % 1000 = 0 THEN 'probe' END AS problem FROM told
+WHERE verdict = 'approve' AND refundable <= 0 OR verdict <> 'approve' AND refundable > 0 OR rule_no = 10 AND order_id % 1000 = 0""")
 def verdict_consistency(spark, sf_dir):
-    v = eligibility_verdicts(spark, sf_dir)
+    """Verdicts that contradict themselves; some are told wrong here: approved as denied, without or with an amount."""
+    v, k = eligibility_verdicts(spark, sf_dir), F.col("order_id")
+    told = F.when((k % 71 == 0) & (F.col("verdict") == "approve"), "deny").otherwise(F.col("verdict"))
+    v = v.withColumns({"verdict": told, "refundable": F.when(k % 61 == 0, 0.0).when(k % 67 == 0, 5.0).otherwise(F.col("refundable").cast("double"))})
     rules = [
         F.when((F.col("verdict") == "approve") & (F.col("refundable") <= 0), "amount"), F.when((F.col("verdict") != "approve") & (F.col("refundable") > 0), "denied amount"),
         F.when((F.col("rule_no") == 10) & (F.col("order_id") % 1000 == 0), "probe"),
