@@ -29,8 +29,9 @@ BOILERPLATE = (
 #: Words that only separate the entries of a navigation line, and what may end a sentence.
 SEPARATORS, TERMINAL = "|>›»·•/", ".!?…:;\"'”’»)。！？"
 #: A line fails with more symbols than words times this, with this share of its words ending in a run of ! or ?,
-#: with this share of separators among its words, or with so many words and no end of a sentence. A document is rejected
-#: below this share of its characters kept.
+#: with this share of separators among its words, or with so many words and no end of a sentence in a paragraph (lines
+#: up to a blank one) that has none at its end either: wrapped prose ends in the middle of sentences. A document is
+#: rejected below this share of its characters kept.
 MAX_SYMBOLS, MAX_SHOUTED, MAX_BARS, MIN_SENTENCE, MIN_KEPT = 0.5, 0.5, 0.2, 5, 0.3
 
 
@@ -69,16 +70,22 @@ def measured(docs: DataFrame) -> DataFrame:
     count = lambda x, p: F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0)))
     opening = "^(?iu:" + "|".join(BOILERPLATE) + ")"
 
-    def good(x):
+    def ended(x):
+        return F.instr(F.lit(TERMINAL), F.right(F.rtrim(F.translate(x, SPACES, " " * len(SPACES))), F.lit(1))) > 0
+
+    def good(x, whole):
+        """Whether a line passes, in a paragraph that ends a sentence (whole) or not."""
         n = size(x)
         symbols = F.length(x) - F.length(F.translate(x, SYMBOLS, ""))
-        shouted = count(x, r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")
+        shouted = F.when((F.instr(x, "!") > 0) | (F.instr(x, "?") > 0), count(x, r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")).otherwise(0)
         bars = F.when(x.rlike(f"[{SEPARATORS}]"), count(x, rf"(?<![^\x20\x09-\x0D])[{SEPARATORS}](?![^\x20\x09-\x0D])")).otherwise(0)
-        ended = F.instr(F.lit(TERMINAL), F.right(F.rtrim(F.translate(x, SPACES, " " * len(SPACES))), F.lit(1))) > 0
-        punctuation = (symbols > n * F.lit(MAX_SYMBOLS)) | (shouted > n * F.lit(MAX_SHOUTED)) | ((n >= MIN_SENTENCE) & ~ended)
+        punctuation = (symbols > n * F.lit(MAX_SYMBOLS)) | (shouted > n * F.lit(MAX_SHOUTED)) | ((n >= MIN_SENTENCE) & ~whole & ~ended(x))
         return (n == 0) | ~(punctuation | (bars > n * F.lit(MAX_BARS)) | F.ltrim(x).rlike(opening))
 
-    d = d.withColumn("clean_text", F.array_join(F.filter("_lines", good), "\n"))
+    # split in front of blank lines; joined by newlines the parts are the text
+    parts = F.split("_text", r"\n(?=[\x20\x09\x0B-\x0D]*(?:\n|$))")
+    passed = F.transform(parts, lambda p: F.element_at(F.transform(F.array(ended(p)), lambda whole: F.filter(F.split(p, "\n"), lambda x: good(x, whole))), 1))
+    d = d.withColumn("clean_text", F.array_join(F.flatten(passed), "\n"))
     left = F.length(F.translate("clean_text", SPACES, ""))
     d = d.withColumn("kept", ~F.col("base_failed") & (left >= F.col("word_chars") * F.lit(MIN_KEPT)))
     return d.drop("_text", "_words", "_lines", "_worded", "_hash", "_windows")

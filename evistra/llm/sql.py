@@ -25,13 +25,15 @@ w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS words, string_spl
 windows AS (SELECT r, p, hash({window_words}) AS h FROM (SELECT r, words, unnest(range(1, len(words) - {window - 2})) AS p FROM w)),
 twice AS (SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
 repeated AS (SELECT r, count(DISTINCT p + k) AS n FROM twice, range({window}) AS s(k) GROUP BY 1),
-parts AS (SELECT r, line, len(ws) AS n, {_count(_OTHER, 'line')} AS symbols, {_count(_SPACE, 'line')} AS chars,
+parts AS (SELECT r, i, line, len(ws) AS n, {_count(_OTHER, 'line')} AS symbols, {_count(_SPACE, 'line')} AS chars,
     len(list_filter(ws, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) AS shouted, len(list_filter(ws, lambda x: x IN ({bars}))) AS bars,
     contains('{terminal}', right(rtrim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), 1)) AS ended
-  FROM (SELECT r, line, regexp_extract_all(line, '{_WORD}') AS ws FROM (SELECT r, unnest(lines) AS line FROM w))),
-good AS (SELECT r, sum(chars) AS chars FROM parts
+  FROM (SELECT r, i, line, regexp_extract_all(line, '{_WORD}') AS ws FROM (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM w))),
+grouped AS (SELECT *, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS paragraph FROM parts),
+placed AS (SELECT *, coalesce(arg_max(ended, i) FILTER (n > 0) OVER (PARTITION BY r, paragraph), false) AS whole FROM grouped),
+good AS (SELECT r, sum(chars) AS chars FROM placed
   WHERE n = 0 OR NOT (symbols > n * CAST({MAX_SYMBOLS} AS DOUBLE) OR shouted > n * CAST({MAX_SHOUTED} AS DOUBLE)
-    OR n >= {MIN_SENTENCE} AND NOT ended OR bars > n * CAST({MAX_BARS} AS DOUBLE) OR regexp_matches(ltrim(line, ' '), '{opening}')) GROUP BY 1),
+    OR n >= {MIN_SENTENCE} AND NOT whole AND NOT ended OR bars > n * CAST({MAX_BARS} AS DOUBLE) OR regexp_matches(ltrim(line, ' '), '{opening}')) GROUP BY 1),
 base AS (SELECT w.r, doc_id, len(words) AS n_words, {_count(_SPACE, 't')} AS word_chars, {_count(_OTHER, 't')} AS n_symbols,
     len(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')))) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words
