@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evistra.plans.retrieval import _BM25_SQL, _texts
-from evistra.operators import retrieval as R
+from evistra.plans.retrieval import _BM25_SQL, nearest_texts
 from evistra.registry import query
 from evistra.sources.facades import load
 from evistra.sources.shared import kept
@@ -39,7 +38,7 @@ def _metrics(spark, sf_dir):
 
 
 def _cases(spark, sf_dir):
-    top = R.top_k(R.bm25_scores(_texts(spark, sf_dir), load(spark, sf_dir, "documents")), ["query_id"], 18, "doc_id")
+    top = nearest_texts(spark, sf_dir)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
     c = top.groupBy(F.col("query_id").alias("case_id")).agg(ids.alias("candidates"))
     source = F.filter("candidates", lambda d: d % 5 == F.col("case_id") % 5)

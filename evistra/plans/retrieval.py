@@ -154,6 +154,12 @@ def indexed_topk(spark, sf_dir):
     return found.withColumnRenamed("grp", "layer")
 
 
+def nearest_texts(spark, sf_dir):
+    """(query_id, doc_id, score, rank): the best chunks for each benchmark text, from the best of each layer."""
+    found = I.search(_index(spark, sf_dir), _texts(spark, sf_dir), R.MOST_K).rows
+    return R.top_k(found.select("query_id", "doc_id", "score"), ["query_id"], R.MOST_K, "doc_id")
+
+
 @query("A13", _INDEXED_SQL + f""",
 parts AS (SELECT query_id, layer, doc_id // {I.SEGMENT} AS segment, term, max(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS best
   FROM terms JOIN df USING (term) JOIN tf USING (term) JOIN law USING (doc_id), stats GROUP BY 1, 2, 3, 4),
@@ -355,7 +361,9 @@ def assemble_sections(spark, sf_dir):
 
 
 def _sections(spark, sf_dir, evidence):
-    kids = chunks_view(spark, sf_dir).select("doc", "parent_seq", F.col("chunk_index").cast("int").alias("chunk_index"), F.size(R.tokens(F.col("text"))).alias("n_tokens"), "text")
+    # only parents that evidence names: the others' texts are neither read further nor tokenised
+    named = evidence.select("doc", "parent_seq").distinct()
+    kids = chunks_view(spark, sf_dir).join(named, ["doc", "parent_seq"], "left_semi").select("doc", "parent_seq", F.col("chunk_index").cast("int").alias("chunk_index"), F.size(R.tokens(F.col("text"))).alias("n_tokens"), "text")
     path = F.format_string("§%d", "parent_seq").alias("path")
     return R.assemble(evidence.select("query_id", "place", "score", "doc", "parent_seq", F.col("chunk_index").cast("int").alias("chunk_index"), path, "why"), kids)
 
