@@ -29,8 +29,8 @@ from evistra.llm._common import materialize, slices, text_column
 Q, PREFIX = 2, 3
 #: Code points of a word and its occurrences at least; how many times as frequent a form is; deletions are one in SPOILT.
 MIN_LENGTH, MIN_COUNT, TIMES, SPOILT = 7, 2, 10, 31
-#: Different words a task counts before it passes them on.
-MEMO_WORDS = 150_000
+#: Different words a task counts before it passes them on; words whose keys one task makes.
+MEMO_WORDS, KEYED_WORDS = 150_000, 20_000
 
 #: Latin-1 characters by code: letters of the runs as they are, all others as spaces.
 _LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c >= 0xC0 else 0x20 for c in range(256))
@@ -153,7 +153,8 @@ def keyed(words: DataFrame, rank: dict[str, int]) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb): every two words that one edit apart, once, from (word, n) with different words."""
-    rows = keyed(words, bigram_ranks(words))
+    parts = max(1, -(-words.count() // KEYED_WORDS))
+    rows = keyed(words.select("word", "n").repartition(parts), bigram_ranks(words))
     left = rows.filter(~F.col("longer")).select("key", F.col("word").alias("a"), F.col("n").alias("na"))
     right = rows.select("key", F.col("longer"), F.col("word").alias("b"), F.col("n").alias("nb"))
     near = (F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
