@@ -163,7 +163,7 @@ def fuse(ranked: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(_order())).alias("hits"), F.count_distinct("sub_id").alias("n_subs"), F.min(_order()).alias("first_seen"), F.min_by("score", _order()).alias("first_score")
     )
     rrf = F.aggregate("hits", F.lit(0.0), lambda total, h: total + 1.0 / (RRF_K + h["rank"]))
-    return found.select("query_id", "chunk_id", rrf.alias("rrf"), F.transform("hits", _tag).alias("hits"), "n_subs", "first_seen", "first_score")
+    return found.select("query_id", "chunk_id", rrf.alias("rrf"), F.transform("hits", _tag).alias("hits"), "n_subs", "first_seen", "first_score", F.col("hits").alias("found"))
 
 
 def candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
@@ -176,29 +176,28 @@ def candidates(fused: DataFrame, cap: int = CAP) -> DataFrame:
 def routed_candidates(fused: DataFrame, plans: DataFrame, cap: int = CAP) -> DataFrame:
     """A query's fused rows, at most cap: each sub-query that found any, in turn, gives up to cap // n rows not yet taken, by
     its own fusion, n being the plan's sub-queries (plans: query_id, n_routes); the others follow in the order of
-    candidates(). `turn` is the sub-query that gave the row. A task holds one query's rows, a few from each list.
-    """
+    candidates(). `turn` is the sub-query that gave the row.
 
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank").reset_index(drop=True)
-        local: dict[str, dict[int, list]] = {}
-        for i, hits in enumerate(rows.hits):
-            for hit in hits:
-                sub, layer, found = hit.split("/", 2)
-                path, at = found.rsplit("#", 1)
-                seen = (layer == "law", path == "bm25", int(at))
-                own = local.setdefault(sub, {}).setdefault(i, [0.0, seen])
-                own[0], own[1] = own[0] + 1.0 / (RRF_K + int(at)), min(own[1], seen)
-        quota, turn = max(1, cap // int(rows.n_routes.max())), {}
-        for sub in sorted(local):
-            best = sorted(local[sub], key=lambda i: (-round(local[sub][i][0], 9), local[sub][i][1], rows.chunk_id[i]))
-            turn |= dict.fromkeys([i for i in best if i not in turn][:quota], sub)
-        order = list(dict.fromkeys([*turn, *rows.index]))[:cap]
-        return rows.loc[order].assign(rank=range(1, len(order) + 1), turn=[turn.get(i) for i in order])
-
-    every = candidates(fused, (1 << 31) - 1).select("query_id", "chunk_id", "rrf", "hits", "n_subs", "rank", F.lit(None).cast("string").alias("turn"))
-    every = every.join(plans.select("query_id", "n_routes").distinct(), "query_id")
-    return every.groupBy("query_id").applyInPandas(merged, every.schema)
+    No more than cap rows of a sub-query, and of all of them, can be taken, so the turns are a fold over short lists.
+    """
+    hit = fused.select("query_id", "chunk_id", F.explode("found").alias("h"))
+    own = hit.groupBy("query_id", F.col("h.sub_id").alias("sub_id"), "chunk_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    own = own.withColumn("own", F.round(F.aggregate("hs", F.lit(0.0), lambda total, h: total + 1.0 / (RRF_K + h["rank"])), 9))
+    place = F.row_number().over(Window.partitionBy("query_id", "sub_id").orderBy(F.desc("own"), F.get("hs", F.lit(0)), "chunk_id"))
+    best = own.withColumn("place", place).filter(F.col("place") <= cap)
+    in_order = lambda x, c: F.transform(F.array_sort(F.collect_list(x)), lambda r: r[c])
+    lists = best.groupBy("query_id", "sub_id").agg(in_order(F.struct("place", "chunk_id"), "chunk_id").alias("ids"))
+    lists = lists.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("sub_id", "ids"))).alias("lists")).join(plans.select("query_id", "n_routes").distinct(), "query_id")
+    quota = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("n_routes"))).cast("int")
+    taken = F.array().cast("array<struct<chunk_id:bigint,turn:string>>")
+    given = lambda done, x: F.slice(F.array_except(x["ids"], F.transform(done, lambda t: t["chunk_id"])), 1, F.col("quota"))
+    turns = F.aggregate("lists", taken, lambda done, x: F.concat(done, F.transform(given(done, x), lambda i: F.struct(i.alias("chunk_id"), x["sub_id"].alias("turn")))))
+    turns = lists.withColumn("quota", quota).select("query_id", "n_routes", F.posexplode(turns).alias("at", "t")).select("query_id", "n_routes", "at", "t.chunk_id", "t.turn")
+    rest = candidates(fused, cap).select("query_id", "chunk_id", F.col("rank").alias("g"))
+    both = rest.join(turns.drop("n_routes"), ["query_id", "chunk_id"], "full").join(lists.select("query_id", "n_routes"), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("at"), "g")
+    chosen = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
+    return chosen.join(fused.select("query_id", "chunk_id", "rrf", "hits", "n_subs"), ["query_id", "chunk_id"]).select("query_id", "chunk_id", "rrf", "hits", "n_subs", "rank", "turn", "n_routes")
 
 
 def rerank(cands: DataFrame, priors: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -224,19 +223,19 @@ def why(relevance: Column, prior: Column, score: Column, hits: Column) -> Column
 
 def routed_evidence(evidence: DataFrame) -> DataFrame:
     """evidence (with hits and n_routes, the plan's sub-queries) with each sub-query's best row that is not yet in front put
-    in front, in the sub-queries' order, where the plan has two or more; the others keep theirs. A task holds one
-    query's rows, at most CAP."""
-
-    def led(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place").reset_index(drop=True)
-        found = [{hit.split("/", 1)[0] for hit in hits} for hits in rows.hits]
-        first: list[int] = []
-        for sub in sorted(set().union(*found)) if rows.n_routes.max() > 1 else ():
-            first += [i for i in rows.index if i not in first and sub in found[i]][:1]
-        out = rows.loc[list(dict.fromkeys([*first, *rows.index]))]
-        return out.assign(place=range(1, len(out) + 1))
-
-    return evidence.groupBy("query_id").applyInPandas(led, evidence.schema)
+    in front, in the sub-queries' order, where the plan has two or more; the others keep theirs.
+
+    A query has at most CAP rows; who leads is a fold over its sub-queries.
+    """
+    subs = F.array_distinct(F.transform("hits", lambda h: F.substring_index(h, "/", 1)))
+    rows = evidence.filter("n_routes > 1").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", subs.alias("subs")))).alias("rows"))
+    every = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["subs"]))))
+    first = lambda done, sub: F.slice(F.filter("rows", lambda r: F.array_contains(r["subs"], sub) & ~F.array_contains(done, r["place"])), 1, 1)
+    leads = F.aggregate(every, F.array().cast("array<int>"), lambda done, sub: F.concat(done, F.transform(first(done, sub), lambda r: r["place"].cast("int"))))
+    led = rows.select("query_id", F.posexplode(leads).alias("_at", "place"))
+    e = evidence.join(led, ["query_id", "place"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("_at"), "place")
+    return e.withColumn("place", F.row_number().over(order)).select(*evidence.columns)
 
 
 def hit_window(parents: DataFrame) -> DataFrame:
