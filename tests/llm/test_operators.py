@@ -158,16 +158,6 @@ def test_quality_rules_cut_lines(spark):
     assert not rows[2].kept
 
 
-def test_quality_rules_keep_wrapped_prose(spark):
-    """Lines that break off in the middle of a sentence stay where their paragraph ends one; others go."""
-    prose = "the weather in the hills was fair for most of\nthe week and nobody in the village could remember\na summer in which so little rain had come down\nupon the fields before the end of the long harvest."
-    menu = "our new products of this season are here\nopening hours of all shops in the town\ncontact and directions for visitors by train"
-    rows = [(1, prose), (2, f"{menu}\n\n{prose}"), (3, menu), (4, prose.rstrip(".")), (5, f"{prose}\n \t\n{menu}\n")]
-    got = {r.doc_id: r for r in quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i for i, r in got.items() if r.kept} == {1, 2, 5}
-    assert got[1].clean_text == prose and got[2].clean_text == f"\n{prose}" and got[5].clean_text == f"{prose}\n \t\n" and got[3].clean_text == ""
-
-
 # --- op3 -----------------------------------------------------------------------------------------------------------
 
 
