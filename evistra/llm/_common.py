@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so once the driver has collected them.
+
+    Python's side lets go in a thread of its own, hence the waits.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+
+
 def text_column(docs: DataFrame) -> Column:
     """The text with null as the empty text."""
     return F.coalesce(docs["text"], F.lit(""))
@@ -51,28 +64,32 @@ def unpacked(row: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive groups of a stream that is clustered and sorted by keys; holds one group and one batch at a time."""
-    held: list[pa.Table] = []
-    last: tuple | None = None
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of the batches in which keys don't change; consecutive pieces may have the same key."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = pa.Table.from_batches([batch])
-        cols = [part.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
-        cut = np.zeros(part.num_rows, dtype=bool)
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.zeros(batch.num_rows, dtype=bool)
         for c in cols:
             cut[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(cut).tolist(), part.num_rows]
+        starts = [0, *np.flatnonzero(cut).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
-            key = tuple(c[a] for c in cols)
-            if last is not None and key != last:
-                yield last, pa.concat_tables(held)
-                held = []
-            held.append(part.slice(a, b - a))
-            last = key
+            yield tuple(c[a] for c in cols), batch.slice(a, b - a)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive groups of a stream that is clustered and sorted by keys; holds one group and one batch at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for key, part in runs(batches, keys):
+        if last is not None and key != last:
+            yield last, pa.Table.from_batches(held)
+            held = []
+        held.append(part)
+        last = key
     if held:
-        yield last, pa.concat_tables(held)
+        yield last, pa.Table.from_batches(held)
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

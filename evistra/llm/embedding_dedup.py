@@ -1,35 +1,39 @@
 """Near-duplicate vectors by a dual traversal of cover trees.
 
-Equal vectors of a label become one class with a count. The classes of a large label are dealt to cells, each
-around a pivot, two pivots for CELL classes up to PIVOTS in all; a class also visits every cell that could hold a partner
-by the triangle inequality, and oversized cells are split into pairs of blocks, so that every pair of classes within
-reach meets in exactly one task, whatever the number of pivots. In a
-task a cover tree (nested levels, radii halving) is built over each block, and pairs of nodes are visited together:
-dropped when their covering radii prove them apart, taken whole when the radii prove them linked, opened otherwise.
-Distances come from products and are uncertain by about the root of the double precision near zero, so the radii only
-decide beyond a margin far above that, and what lies within it is decided by the product itself.
+Equal vectors of a label become one class with a count. The classes of a large label are dealt to blocks of bounded
+size; a task holds one block and streams half of the label's other blocks past it, so that every pair of classes meets
+in exactly one task and a class is sent to half as many tasks as there are blocks. More than two blocks past each go in
+rounds, and a round's shuffle is dropped before the next, so that the disk holds three copies of the classes, however
+many blocks there are. In a task a cover tree (nested levels, radii halving) is built over the block and over each run of
+the stream, and pairs of nodes are visited together: dropped when their covering radii prove them apart, taken whole when
+the radii prove them linked, opened otherwise. Leaves are compared by an upper bound first: the product of half of the
+rotated components in single precision, plus what the rest could add at most (Cauchy and Schwarz).
+Distances come from products and are uncertain by about the root of the precision near zero, so radii and bound only
+decide beyond a margin far above that, and what lies within it is decided by the product in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from evistra.llm._common import block_pairs, components, groups, materialize, merge_labels
+from evistra.llm._common import components, drop_shuffles, materialize, merge_labels, runs
 
 THRESHOLD = 0.93
-#: Classes of a cell aimed at and held by a task at most (a pair of blocks), pivots of all labels, points of a leaf.
-CELL, BLOCK, PIVOTS, LEAF, CHILDREN = 2048, 2048, 1 << 16, 32, 64
-#: Distances to pivots that a task holds at a time.
-HELD = 1 << 22
-#: Margin of distances sqrt(2 - 2 cos): an error of 1e-16 in a product near 1 makes one of 1.5e-8 in the distance.
-_SLACK = 1e-6
+#: Classes of a label from which it is divided, into up to SPREAD blocks; classes of a block at most, for vectors of up to
+#: BLOCK_BYTES bytes (longer ones: fewer); classes of the stream compared at a time; points of a leaf, children of a node.
+CELL, SPREAD, BLOCK, BLOCK_BYTES, STEP, LEAF, CHILDREN = 2048, 3, 1 << 18, 256, 8192, 32, 64
+#: Blocks that pass a block in a round; rows and columns of a tile; linked pairs that a task holds at a time.
+PASSING, TILE, HELD = 1, (256, 1024), 1 << 20
+#: Margin of distances sqrt(2 - 2 cos): an error of 1e-16 in a product near 1 makes one of 1.5e-8 in the distance; the
+#: same and that of products in single precision; components beyond which no rotation is made.
+_SLACK, _SLACK_SINGLE, _MARGIN_SINGLE, _ROTATED = 1e-6, 2e-2, 1e-4, 2048
 
 
 @dataclass
@@ -69,27 +73,72 @@ def cover_tree(x: np.ndarray, at: np.ndarray | None = None, level: int = 1) -> N
     return node
 
 
-def linked(x: np.ndarray, a: Node | None, b: Node | None, weight: np.ndarray, count: np.ndarray, labels: np.ndarray, threshold: float) -> None:
-    """Add each point's linked weight to count, and join the classes of linked points in labels, for pairs a x b."""
+class Pairs:
+    """Pairs of linked points, which join the classes in labels HELD at a time."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels, self.held, self.size = labels, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.size += len(a)
+        if self.size > HELD:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            merge_labels(self.labels, *(np.concatenate(x) for x in zip(*self.held)))
+        self.held, self.size = [], 0
+
+
+@dataclass
+class Bounds:
+    """For points i and j, head[i] @ head[j] is no less than their product; unit gives exact unit vectors of points."""
+
+    head: np.ndarray
+    unit: Callable[[np.ndarray], np.ndarray]
+
+    def hits(self, rows: np.ndarray, columns: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places in rows and columns of those of the pairs `at` (of their grid) that have a product of threshold or more."""
+        p, q = np.divmod(at, len(columns))
+        some, others = (np.flatnonzero(np.bincount(z)) for z in (p, q))
+        i, j = np.searchsorted(some, p), np.searchsorted(others, q)
+        x, y = self.unit(rows[some]), self.unit(columns[others])
+        if 8 * len(at) >= len(some) * len(others):
+            sure = (x @ y.T)[i, j] >= threshold
+        else:
+            sure = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+        return p[sure], q[sure]
+
+
+def linked(
+    x: np.ndarray, a: Node | None, b: Node | None, weight: np.ndarray, count: np.ndarray, labels: np.ndarray, threshold: float,
+    bounds: Bounds | None = None, slack: float = _SLACK,
+) -> None:
+    """Add each point's linked weight to count, and join the classes of linked points in labels, for pairs a x b.
+
+    With bounds, x may be rough, by what slack says at most.
+    """
     if a is None or b is None:
         return
+    bounds = bounds or Bounds(x, lambda at: x[at])
     reach = float(np.sqrt(2 - 2 * threshold))
-    todo = [(a, b)]
+    todo, pairs, low = [(a, b)], Pairs(labels), np.float32(threshold - _MARGIN_SINGLE)
     while todo:
         a, b = todo.pop()
         same = a is b
         d = 0.0 if same else float(np.sqrt(max(0.0, 2 - 2 * float(x[a.at[0]] @ x[b.at[0]]))))
-        if d - a.radius - b.radius > reach + _SLACK:
+        if d - a.radius - b.radius > reach + slack:
             continue
-        if d + a.radius + b.radius <= reach - _SLACK:
+        if d + a.radius + b.radius <= reach - slack:
             if same:
                 count[a.at] += weight[a.at].sum() - weight[a.at]
-                merge_labels(labels, a.at[1:], np.full(len(a.at) - 1, a.at[0]))
+                pairs.add(a.at[1:], np.full(len(a.at) - 1, a.at[0]))
             else:
                 count[a.at] += weight[b.at].sum()
                 count[b.at] += weight[a.at].sum()
                 both = np.concatenate((a.at[1:], b.at))
-                merge_labels(labels, both, np.full(len(both), a.at[0]))
+                pairs.add(both, np.full(len(both), a.at[0]))
             continue
         if same and a.children:
             todo += [(p, q) for i, p in enumerate(a.children) for q in a.children[i:]]
@@ -99,17 +148,38 @@ def linked(x: np.ndarray, a: Node | None, b: Node | None, weight: np.ndarray, co
             else:
                 todo += [(a, q) for q in b.children]
         else:
-            for i in range(0, len(a.at), 512):
-                rows = a.at[i : i + 512]
-                hit = x[rows] @ x[b.at].T >= threshold
-                if same:
-                    hit &= rows[:, None] < b.at[None] if len(rows) else hit
-                if not hit.any():
-                    continue
-                count[rows] += hit @ weight[b.at]
-                count[b.at] += hit.T @ weight[rows]
-                p, q = np.nonzero(hit)
-                merge_labels(labels, rows[p], b.at[q])
+            # by the bound, then by the product
+            for k in range(0, len(b.at), TILE[1]):
+                columns = b.at[k : k + TILE[1]]
+                right = bounds.head[columns].T
+                for i in range(0, len(a.at), TILE[0]):
+                    rows = a.at[i : i + TILE[0]]
+                    if same and i >= k + len(columns):
+                        break
+                    at = np.flatnonzero(bounds.head[rows] @ right >= low)
+                    if 8 * len(at) >= len(rows) * len(columns):
+                        hit = bounds.unit(rows) @ bounds.unit(columns).T >= threshold
+                        if same:
+                            hit &= np.arange(i, i + len(rows))[:, None] < np.arange(k, k + len(columns))
+                        count[rows] += hit @ weight[columns]
+                        count[columns] += hit.T @ weight[rows]
+                        # each with its first one, then what is still apart
+                        some, others = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+                        pairs.add(np.concatenate((rows[some], rows[hit.argmax(axis=0)[others]])), np.concatenate((columns[hit.argmax(axis=1)[some]], columns[others])))
+                        pairs.flush()
+                        p, q = np.nonzero(hit & (labels[rows][:, None] != labels[columns]))
+                        pairs.add(rows[p], columns[q])
+                    elif len(at):
+                        p, q = bounds.hits(rows, columns, at, threshold)
+                        if same:
+                            ahead = i + p < k + q
+                            p, q = p[ahead], q[ahead]
+                        p, q = rows[p], columns[q]
+                        # a point may be in many of the pairs
+                        np.add.at(count, p, weight[q])
+                        np.add.at(count, q, weight[p])
+                        pairs.add(p, q)
+    pairs.flush()
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -129,80 +199,136 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label", "dim", "h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times"))
 
 
-def in_cells(classes: DataFrame, threshold: float) -> DataFrame:
-    """classes with cell and home: one home cell each, and a visit to every later cell that may hold a partner."""
-    spark = classes.sparkSession
-    big = classes.groupBy("label", "dim").count().filter(F.col("count") > CELL)
-    sizes = {(r["label"], r["dim"]): r["count"] for r in big.orderBy(F.desc("count"), "label", "dim").limit(PIVOTS // 2).collect()}
-    pivots: dict[tuple[str, int], np.ndarray] = {}
-    total = sum(sizes.values())
-    if sizes:
-        # about 2 pivots for each CELL classes, PIVOTS in all: a hash's share of each large label
-        share = min(1.0, 2 / CELL, PIVOTS / total)
-        some = classes.filter(F.pmod(F.xxhash64(F.lit("pivot"), "h1", "h2"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        some = some.join(F.broadcast(spark.createDataFrame(list(sizes), "label string, dim int")), ["label", "dim"])
-        for r in some.orderBy("label", "dim", "h1", "h2").limit(2 * PIVOTS).select("label", "dim", "embedding").collect():
-            pivots.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
-        pivots = {k: unit(np.array(v)) for k, v in pivots.items()}
-    shared = spark.sparkContext.broadcast(pivots)
-    reach = float(np.sqrt(2 - 2 * threshold))
-    cols = ["label", "dim", "h1", "h2", "embedding", "id", "times"]
+def in_blocks(classes: DataFrame) -> DataFrame:
+    """classes with parts (blocks of their label) and own, the block they are in."""
+    width = 8 if classes.schema["embedding"].dataType.elementType == DoubleType() else 4
+    most = F.greatest(F.lit(1), F.floor(F.lit(BLOCK * BLOCK_BYTES) / F.greatest(F.lit(BLOCK_BYTES), width * F.col("dim"))))
+    big = classes.groupBy("label", "dim").count().filter(F.col("count") > F.least(F.lit(CELL), most))
+    big = big.select("label", "dim", F.greatest(F.ceil(F.col("count") / most), F.least(F.lit(SPREAD), F.ceil(F.col("count") / CELL))).cast("int").alias("parts"))
+    # a label of it has CELL classes at least: a join would send all vectors once more, a label's to one task
+    out = classes.join(F.broadcast(big), ["label", "dim"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return out.withColumn("own", F.pmod(F.xxhash64("h1", "h2", F.lit("block")), F.col("parts")).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            label, dim = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
-            at, cell = [np.arange(b.num_rows)], [np.zeros(b.num_rows, dtype=np.int64)]
-            home = [np.ones(b.num_rows, dtype=bool)]
-            for (l, k), p in shared.value.items():
-                own = np.flatnonzero((label == l) & (dim == k))
-                if not len(own):
-                    continue
-                step = max(1, HELD // len(p))
-                for own in (own[k : k + step] for k in range(0, len(own), step)):
-                    x = unit(vectors(b.column(4).take(pa.array(own))))
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
-                    best = d.argmin(axis=1)
-                    cell[0][own] = best
-                    # a point of cell j is no farther from pivot j than from any other, so no nearer to x than half the gap
-                    gap = (d - d[np.arange(len(own)), best][:, None]) / 2
-                    i, j = np.nonzero((gap <= reach + _SLACK) & (np.arange(len(p))[None] > best[:, None]))
-                    at.append(own[i])
-                    cell.append(j)
-                    home.append(np.zeros(len(i), dtype=bool))
-            out = b.take(pa.array(np.concatenate(at)))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(home))], names=[*cols, "cell", "home"])
-
-    kinds = f"label string, dim int, h1 long, h2 int, embedding {classes.schema['embedding'].dataType.simpleString()}, id long, times long, cell int, home boolean"
-    return classes.select(*cols).mapInArrow(run, kinds)
 
+def passing(blocks: DataFrame, offsets: range) -> DataFrame:
+    """Rows of a round: every block at home, and as a guest of the blocks that lie the offsets before it.
+
+    Blocks stand in a ring; those at an offset of up to half of it meet there, those right across at the first of the two.
+    """
+    o, n = F.col("offset"), F.col("parts")
+    meets = (2 * o < n) | ((2 * o == n) & (F.col("own") >= o))
+    sent = blocks.select("*", F.explode(F.array(F.lit(0), *(F.lit(k) for k in offsets))).alias("offset"))
+    # a later round needs none of the labels whose blocks have all met
+    sent = sent.filter((o == 0) & (2 * offsets[0] <= n) | (o > 0) & meets) if offsets[0] > 1 else sent.filter((o == 0) | meets)
+    return sent.select("label", "dim", F.pmod(F.col("own") - o, n).cast("int").alias("block"), (o > 0).alias("guest"), (n > 1).alias("visited"), "embedding", "id", "times")
 
-def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, links, other): rows that add up to each class's linked vectors, and edges (other is null or a linked id)."""
-    where = ["label", "dim", "cell", "pair_a", "pair_b"]
-    rows = block_pairs(in_cells(classes, threshold), ["label", "dim", "cell"], F.struct("h1", "h2"), BLOCK)
+
+class Block:
+    """A block's classes, and room for those of the stream behind them."""
+
+    def __init__(self, held: list[pa.RecordBatch], room: int):
+        n, first = sum(g.num_rows for g in held), vectors(held[0].column("embedding"))
+        dim = first.shape[1]
+        self.n, self.half = n, (dim + 1) // 2
+        self.turn = rotation(dim)
+        self.raw = np.empty((n + room, dim), dtype=first.dtype)
+        self.x = np.empty((n + room, dim), dtype=np.float32)
+        self.head = np.empty((n + room, self.half + 1), dtype=np.float32)
+        self.ids, self.weight = (np.empty(n + room, dtype=np.int64) for _ in range(2))
+        self.count, self.labels = np.zeros(n + room, dtype=np.int64), np.arange(n + room)
+        while held:  # lets go of what has been copied
+            n -= held[-1].num_rows
+            self.put(n, held.pop())
+        self.bounds = Bounds(self.head, lambda at: unit(self.raw[at]))
+        self.tree = cover_tree(self.x, np.arange(self.n))
+
+    def put(self, at: int, g: pa.RecordBatch) -> None:
+        for k in range(0, g.num_rows, STEP):
+            self._put(at + k, g.slice(k, STEP))
+
+    def _put(self, at: int, g: pa.RecordBatch) -> None:
+        raw, to = vectors(g.column("embedding")), slice(at, at + g.num_rows)
+        y = unit(raw) @ self.turn if self.turn is not None else unit(raw)
+        self.raw[to], self.x[to], self.ids[to], self.weight[to] = raw, y, g.column("id").to_numpy(), g.column("times").to_numpy()
+        self.head[to, :-1] = y[:, : self.half]
+        self.head[to, -1] = np.sqrt(np.maximum(0.0, 1 - (y[:, : self.half] ** 2).sum(axis=1)))
+
+    def among(self, threshold: float) -> None:
+        linked(self.x, self.tree, self.tree, self.weight, self.count, self.labels, threshold, self.bounds, _SLACK_SINGLE)
+
+    def meet(self, g: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
+        """What the stream's classes link with here."""
+        for k in range(0, g.num_rows, STEP):
+            part = g.slice(k, STEP)
+            at = np.arange(self.n, self.n + part.num_rows)
+            self.put(self.n, part)
+            self.count[at], self.labels[at] = 0, at
+            linked(self.x, cover_tree(self.x, at), self.tree, self.weight, self.count, self.labels, threshold, self.bounds, _SLACK_SINGLE)
+            yield from self.found(at)
+
+    def found(self, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = at[self.count[at] > 0]
+        if len(at):
+            ids, other = self.ids[at], self.ids[self.labels[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.count[at]), pa.array(other, mask=other == ids)], names=["id", "links", "other"])
+
+
+def rotation(dim: int) -> np.ndarray | None:
+    """An orthogonal matrix, so that no components weigh more than others by their place."""
+    if dim not in _TURNS:
+        _TURNS.clear()
+        _TURNS[dim] = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))[0] if dim <= _ROTATED else None
+    return _TURNS[dim]
+
+
+_TURNS: dict[int, np.ndarray | None] = {}
+
+
+def round_links(sent: DataFrame, threshold: float, first: bool) -> DataFrame:
+    """(id, links, other) of the pairs that meet in a round; the first one has the pairs inside blocks, too."""
+    where = ["label", "dim", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, i, j), g in groups(batches, where):
-            if g.num_rows < 2:
+        last, held, block = None, [], None
+        for key, g in runs(batches, [*where, "guest"]):
+            if key[:-1] != last:
+                yield from done(held, block)
+                last, held, block = key[:-1], [], None
+            if not key[-1]:
+                held.append(g)
                 continue
-            x, weight = unit(vectors(g.column("embedding"))), g.column("times").to_numpy()
-            ids, first, home = g.column("id").to_numpy(), g.column("block").to_numpy() == i, g.column("home").to_numpy()
-            count, labels = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-            tree = lambda m: cover_tree(x, np.flatnonzero(m))
-            homes, guests = tree(first & home), tree(first & ~home)
-            if i == j:
-                linked(x, homes, homes, weight, count, labels, threshold)
-                linked(x, guests, homes, weight, count, labels, threshold)
-            else:
-                homes2, guests2 = tree(~first & home), tree(~first & ~home)
-                for a, b in ((homes, homes2), (guests, homes2), (guests2, homes)):
-                    linked(x, a, b, weight, count, labels, threshold)
-            some = np.flatnonzero(count)
-            if len(some):
-                other = ids[labels[some]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(other, mask=other == ids[some])], names=["id", "links", "other"])
+            if block is None:
+                if not held:  # a block of a few classes may be empty
+                    continue
+                block = opened(held)
+            yield from block.meet(g, threshold)
+        yield from done(held, block)
+
+    def opened(held: list[pa.RecordBatch]) -> Block:
+        block = Block(held, STEP if held[0].column("visited")[0].as_py() else 0)
+        if first:
+            block.among(threshold)
+        return block
 
-    return rows.repartition(*where).sortWithinPartitions(*where).mapInArrow(run, "id long, links long, other long")
+    def done(held: list[pa.RecordBatch], block: Block | None) -> Iterator[pa.RecordBatch]:
+        if block is None and first and sum(g.num_rows for g in held) > 1:
+            block = opened(held)
+        if block is not None:
+            yield from block.found(np.arange(block.n))
+
+    return sent.repartition(*where).sortWithinPartitions(*where, "guest").mapInArrow(run, "id long, links long, other long")
+
+
+def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, links, other): rows that add up to each class's linked vectors, and edges (other is null or a linked id)."""
+    blocks = in_blocks(classes)
+    parts = blocks.agg(F.max("parts")).first()[0] or 1
+    found = None
+    for k in range(1, max(2, parts // 2 + 1), PASSING):
+        drop_shuffles(classes.sparkSession)
+        links = materialize(round_links(passing(blocks, range(k, k + PASSING)), threshold, k == 1), "links")
+        found = links if found is None else found.union(links)
+    return found
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,7 +353,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     good = e.filter("sound")
     key = ["label", "dim", "h1", "h2"]
     classes = materialize(classes_of(good), "classes")
-    found = materialize(class_links(classes, threshold), "links")
+    found = class_links(classes, threshold)
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
     comp = components(edges)

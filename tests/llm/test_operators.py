@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -207,6 +208,45 @@ def test_embedding_cells_and_blocks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()} == brute_vectors(rows)
 
 
+def test_embedding_rounds_send_a_class_to_few_tasks(spark, monkeypatch):
+    """Vectors without clusters: none is sent more than twice a round, however many blocks a label has; every pair meets once."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(500, 64))
+    v[::7] = v[0] + 0.2 * r.normal(size=v[::7].shape)  # in every block
+    v[1::50] = v[1] + 0.3 * r.normal(size=v[1::50].shape)
+    rows = [(i, [float(c) for c in x], 7 if i % 5 else 8) for i, x in enumerate(v.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    sent, own = [], embedding_dedup.round_links
+
+    def round_links(rows, *more):
+        sent.append(rows.groupBy("id").count().agg(F.sum("count"), F.max("count")).first())
+        return own(rows, *more)
+
+    monkeypatch.setattr(embedding_dedup, "round_links", round_links)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()} == brute_vectors(rows)
+    assert len(sent) == 5 and all(n <= 1000 and most <= 2 for n, most in sent)
+
+
+@pytest.mark.parametrize("step", [0.0, 1e-7, 0.1, 0.25])
+def test_embedding_bound_loses_no_pair(step):
+    """Leaves by the bound in single precision against all products, near the threshold, with few and with many links."""
+    r = np.random.default_rng(int(step * 100) + 9)
+    for dim in (1, 2, 7, 64):
+        base = r.normal(size=(5, dim))
+        v = (base[r.integers(0, 5, 300)] + step * r.normal(size=(300, dim))).astype(np.float32)
+        v = v[np.abs(v).max(axis=1) > 0]
+        held = [pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), pa.array(np.arange(len(x)) + k), pa.array(np.ones(len(x), dtype=np.int64))], names=["embedding", "id", "times"]) for k, x in ((0, v[:100]), (100, v[100:200]))]
+        x = embedding_dedup.unit(v)
+        block = embedding_dedup.Block(held, embedding_dedup.STEP)
+        block.among(0.93)
+        assert block.count[:200].tolist() == ((x[:200] @ x[:200].T >= 0.93).sum(axis=1) - 1).tolist()
+        more = pa.RecordBatch.from_arrays([pa.array(list(v[200:]), pa.list_(pa.float32())), pa.array(np.arange(200, len(v))), pa.array(np.ones(len(v) - 200, dtype=np.int64))], names=["embedding", "id", "times"])
+        got = {i: n for b in block.meet(more, 0.93) for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        assert got == {i: n for i, n in zip(range(200, len(v)), (x[200:] @ x[:200].T >= 0.93).sum(axis=1).tolist()) if n}
+
+
 @pytest.mark.parametrize("spread", [3e-9, 6e-8, 1e-4])
 def test_embedding_tight_clusters_at_the_threshold(spread):
     """Clusters whose distances are all rounding: what the radii can't tell, the product decides."""
