@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import gc
 import re
-import struct
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,10 +29,10 @@ from evistra.llm._common import materialize, packed, slices, text_column, unpack
 
 #: Keys that are broadcast, distinct words a task counts or remembers before it starts anew, words in one generation of
 #: a worker's memo of ids.
-HEAD_KEYS, MEMO_WORDS, MEMO_IDS = 700_000, 120_000, 300_000
+HEAD_KEYS, MEMO_WORDS, MEMO_IDS = 700_000, 120_000, 500_000
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ONE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -61,7 +61,7 @@ def words_of(text: str) -> list[str]:
         low = text.lower()
         if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
             text = low
-    if _SEPARATORS.search(text):  # str.split() takes these for white space, the tokenizer doesn't
+    if any(map(text.__contains__, _SEPARATORS)):  # str.split() takes these for white space, the tokenizer doesn't
         return [w for w in _SPACE.split(text) if w]
     return text.split()
 
@@ -91,22 +91,24 @@ def no_cycle_search() -> Iterator[None]:
 
 
 class WordIds(dict):
-    """word -> its ids as unsigned 32-bit little-endian.
+    """word or key -> its ids as unsigned 32-bit little-endian; the ids of a string don't depend on which of both it is.
 
-    Holds up to MEMO_IDS words of the present and as many of the generation before, so that frequent words stay.
+    Holds up to MEMO_IDS of the present and as many of the generation before, so that frequent ones stay.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.keys = tokenizer(path), {}
-        self.model = self.tokenizer.model
+        self.tokenizer = tokenizer(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
-        self.old_keys: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
-            keys = [word] if word.isascii() and word.isalpha() else keys_of(word)
-            got = self.of_key(keys[0]) if len(keys) == 1 else b"".join(map(self.of_key, keys))
+            if word.isascii() and word.isalpha() and word.islower():  # one piece
+                got = array("I", [x.id for x in self.tokenize(word)]).tobytes()
+            else:
+                keys = keys_of(word)
+                got = self.encoded(keys[0]) if len(keys) == 1 else b"".join(map(self.of_key, keys))
         if len(self) >= MEMO_IDS:
             self.old = dict(self)
             self.clear()
@@ -114,22 +116,21 @@ class WordIds(dict):
         return got
 
     def of_key(self, key: str) -> bytes:
-        got = self.keys.get(key)
+        """The same for what isn't parted again."""
+        got = self.get(key)
         if got is None:
-            got = self.old_keys.get(key)
+            got = self.old.get(key)
             if got is None:
                 got = self.encoded(key)
-            if len(self.keys) >= MEMO_IDS:
-                self.old_keys, self.keys = self.keys, {}
-            self.keys[key] = got
+            self[key] = got  # a word follows, which sees to the size
         return got
 
     def encoded(self, key: str) -> bytes:
         if "<|" in key or not _ONE_PIECE.fullmatch(key):
             ids = self.tokenizer.encode(key, add_special_tokens=False).ids
         else:  # one piece, which the model takes as it is, its bytes written as characters
-            ids = [x.id for x in self.model.tokenize(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            ids = [x.id for x in self.tokenize(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
+        return array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=2)

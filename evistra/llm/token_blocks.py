@@ -34,33 +34,42 @@ _LOW, _MASK, _WORD = np.uint64(1 << 31), np.uint64((1 << BITS) - 1), np.uint64(0
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of whole texts with END_ID after each; ids are packed for the disk and the shuffle."""
+    """(doc_id, n_tokens, ids, counts) of whole texts with END_ID after each; ids are packed for the disk and the shuffle.
+
+    Each task adds a row of its own with the counts of its ids, packed, which is null for documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = word_ids(path).__getitem__
+        def rows(doc_id: pa.Array, *cols: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc_id, *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.binary())))], names=["doc_id", "n_tokens", "ids", "counts"])
+
+        of_word, total = word_ids(path).__getitem__, np.zeros(1, dtype=np.int64)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in slices(batches):
             with no_cycle_search():
                 out = [b"".join(map(of_word, words_of(text))) + end for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) >> 2 for x in out], pa.int64()), pa.array([packed(np.frombuffer(x, dtype="<u4")) for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            n = np.bincount(np.frombuffer(b"".join(out), dtype="<u4"))
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total[: len(n)] += n
+            yield rows(b.column(0), [len(x) >> 2 for x in out], [packed(np.frombuffer(x, dtype="<u4")) for x in out], [None] * len(out))
+        if total.any():
+            yield rows(pa.array([None], pa.int64()), [None], [None], [packed(total, "<u8")])
 
-    return docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
     """The shared table: each id's share of 2 ** BITS, at least 1 where it occurs; and the number of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
-        for b in slices(batches):
-            n = np.bincount(np.concatenate([unpacked(x) for x in b.column(0).to_pylist()]))
-            if len(n) > len(total):
-                total = np.pad(total, (0, len(n) - len(total)))
-            total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total = unpacked(x, "<u8").astype(np.int64)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
     if not len(ids):
         return np.zeros(1, dtype=np.uint64), 0
@@ -181,7 +190,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         if ids:
             yield block()
 
-    own = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("mark"))  # a doc_id that repeats may fill more than a shard
+    own = tokens.filter("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("mark"))  # a doc_id that repeats may fill more than a shard
     ordered = own.repartitionByRange(max(1, -(-total // SHARD_SYMBOLS)), "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "ids")
     ordered.select("doc_id", "ids").mapInArrow(run, "shard int, block long, start long, first_doc long, n_tokens long, payload binary").write.parquet(f"{folder}/blocks")
 

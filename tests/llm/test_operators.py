@@ -446,6 +446,35 @@ def test_pii_dense_keys_are_quick():
     assert len(pii.find_spans(text, pii.trained())[1]) > 5000 and time.process_time() - began < 20
 
 
+# --- op8: a word is encoded once ---------------------------------------------------------------------------------------
+
+
+def test_memo_encodes_a_key_once(monkeypatch):
+    """A word and the same word before punctuation are one entry, and a small memo gives the same ids."""
+    path = bpe.default_path()
+    t, calls, own = Tokenizer.from_file(path), [], bpe.WordIds.encoded
+    monkeypatch.setattr(bpe.WordIds, "encoded", lambda self, key: calls.append(key) or own(self, key))
+    words = ["zebraic", "zebraic,", "zebraic.", "straße", "straße!", "don't", "don", "it's--'s", "''s", "a<|b", "ABC", "Σa"] * 3
+    for size in (500_000, 2):
+        monkeypatch.setattr(bpe, "MEMO_IDS", size)
+        memo = bpe.WordIds(path)
+        for w in words:
+            assert np.frombuffer(memo[w], dtype="<u4").tolist() == t.encode(w, add_special_tokens=False).ids, w
+        if size > 2:
+            assert Counter(calls).most_common(1)[0][1] == 1 and "zebraic" not in calls
+
+
+def test_token_counts_come_with_the_ids(spark, odd):
+    """The frequency table needs no second pass over the ids, and counts no row twice."""
+    rows = token_blocks.token_ids(odd.repartition(3), bpe.default_path()).collect()
+    docs, counts = [r for r in rows if r.counts is None], [token_blocks.unpacked(r.counts, "<u8") for r in rows if r.counts is not None]
+    want = Counter(np.concatenate([token_blocks.unpacked(r.ids) for r in docs]).tolist())
+    got: Counter = Counter()
+    for c in counts:
+        got.update({int(i): int(c[i]) for i in np.flatnonzero(c)})
+    assert len(docs) == len(ODD) and got == want
+
+
 # --- op5, op10 -----------------------------------------------------------------------------------------------------
 
 
