@@ -2,9 +2,9 @@
 
 Equal vectors of a label become one class with a count. The classes of a large label are dealt to blocks of bounded
 size; a task holds one block and streams half of the label's other blocks past it, so that every pair of classes meets
-in exactly one task and a class is sent to half as many tasks as there are blocks. More than two blocks past each go in
-rounds, and a round's shuffle is dropped before the next, so that the disk holds three copies of the classes, however
-many blocks there are. In a task a cover tree (nested levels, radii halving) is built over the block and over each run of
+in exactly one task and a class is sent to half as many tasks as there are blocks. A round
+takes one block past each, and its shuffle is dropped before the next, so that the disk holds three copies of the
+classes, however many blocks there are. In a task a cover tree (nested levels, radii halving) is built over the block and over each run of
 the stream, and pairs of nodes are visited together: dropped when their covering radii prove them apart, taken whole when
 the radii prove them linked, opened otherwise. Leaves are compared by an upper bound first: the product of half of the
 rotated components in single precision, plus what the rest could add at most (Cauchy and Schwarz).
