@@ -190,23 +190,58 @@ def frequent(counts: DataFrame, limit: int) -> int:
     return 1 << 62 if least is None else int(np.ceil(2 ** (least / 16) - 1e-9))
 
 
+class Head:
+    """The most frequent keys, found by their hashes in sorted order: some 30 bytes a key, a dict of strings takes six times that."""
+
+    def __init__(self, keys: pa.StringArray):
+        self.keys = keys
+        hashes = np.fromiter((hash(k) for at in range(0, len(keys), 4096) for k in keys.slice(at, 4096).to_pylist()), np.int64, len(keys))
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        self.clashes = {keys[p].as_py(): p for p in self.order[np.union1d(same, same + 1)].tolist()}
+
+    def __reduce__(self) -> tuple:  # strings hash otherwise in another process
+        return Head, (self.keys,)
+
+    def find(self, keys: list[str]) -> list[int]:
+        """The place of each key, -1 for those that are not here."""
+        if not len(self.keys):
+            return [-1] * len(keys)
+        hashes = np.fromiter(map(hash, keys), np.int64, len(keys))
+        place = self.order[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)]
+        same = pa.compute.equal(self.keys.take(pa.array(place)), pa.array(keys, pa.string()))
+        found = np.where(same.to_numpy(zero_copy_only=False), place, -1).tolist()
+        return [self.clashes.get(k, p) for k, p in zip(keys, found)] if self.clashes else found
+
+
 class _Memo(dict):
-    """word -> places in the head table, or the word's keys where some are not in it."""
+    """word -> places in the head table, or a list of these and of the word's keys that are not in it.
 
-    def __init__(self, head: dict[str, bytes]):
+    New words get a list that is empty until settle(), which looks all of them up at once.
+    """
+
+    def __init__(self, head: Head):
         self.head = head
+        self.new: list[tuple[str, list[bytes | str]]] = []
 
-    def __missing__(self, word: str) -> bytes | list[str]:
+    def __missing__(self, word: str) -> list[bytes | str]:
         if len(self) > MEMO_WORDS:
             self.clear()
-        keys = keys_of(word)
-        try:
-            got: bytes | list[str] = b"".join([self.head[k] for k in keys])
-        except KeyError:
-            got = keys
+        got: list[bytes | str] = []
+        self.new.append((word, got))
         self[word] = got
         return got
 
+    def settle(self) -> None:
+        keys = [keys_of(word) for word, _ in self.new]
+        places = iter(self.head.find([k for own in keys for k in own]))
+        for (word, got), own in zip(self.new, keys):
+            got += [k if (p := next(places)) < 0 else p.to_bytes(4, "little") for k in own]
+            if word in self and str not in map(type, got):
+                self[word] = b"".join(got)
+        self.new = []
+
 
 class Pieces:
     """The id-to-piece table, fixed by the vocabulary file; joins the pieces of ids as the tokenizer does it."""
@@ -232,27 +267,30 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     least = frequent(table, HEAD_KEYS)
     # the most frequent first: small places, which compress well
     head_rows = table.filter(F.col("n") >= least).orderBy(F.desc("n"), "key").select("key", "ids").toArrow()
-    head = spark.sparkContext.broadcast({k: i.to_bytes(4, "little") for i, k in enumerate(head_rows.column(0).to_pylist())})
-    head_ids = spark.sparkContext.broadcast(head_rows.column(1).to_pylist())
+    head = spark.sparkContext.broadcast(Head(pa.array(head_rows.column(0).combine_chunks(), pa.string())))
+    sizes = np.array([len(i) >> 2 for i in head_rows.column(1).to_pylist()], dtype=np.int32)
+    head_ids = spark.sparkContext.broadcast((sizes, np.frombuffer(b"".join(head_rows.column(1).to_pylist()), dtype="<u4")))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(head.value)
         for b in slices(batches):
             known, places, missing = [], [], []
-            for text in b.column(2).to_pylist():
+            rows = [list(map(memo.__getitem__, words_of(text))) for text in b.column(2).to_pylist()]
+            memo.settle()
+            for row in rows:
                 parts, at, holes, keys = [], 0, [], []
-                for got in map(memo.__getitem__, words_of(text)):
+                for got in row:
                     if type(got) is bytes:
                         parts.append(got)
                         at += len(got)
                         continue
                     for k in got:
-                        if (place := memo.head.get(k)) is None:
+                        if type(k) is str:
                             holes.append(at >> 2)
                             keys.append(k)
                         else:
-                            parts.append(place)
-                            at += len(place)
+                            parts.append(k)
+                            at += 4
                 known.append(np.frombuffer(b"".join(parts), dtype="<u4"))
                 places.append(holes)
                 missing.append(keys)
@@ -277,20 +315,23 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path) if decoded else None
-        of_place = head_ids.value.__getitem__
+        sizes, flat = head_ids.value
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
         for b in slices(batches):
             out = []
             for row, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
-                parts = list(map(of_place, unpacked(row).tolist()))
+                at = unpacked(row)
+                n = sizes[at]
+                ends = np.cumsum(n, dtype=np.int64)
+                whole = flat[np.repeat(starts[at] - ends + n, n) + np.arange(n.sum())].tobytes()
                 if got:
                     ids = {x["at"]: x["ids"] for x in got}  # a set: rows that repeat give each place again
-                    known, parts, last = parts, [], 0
-                    for i, place in enumerate(places):
-                        parts += known[last:place]
-                        parts.append(ids[i])
-                        last = place
-                    parts += known[last:]
-                out.append(b"".join(parts))
+                    parts, last = [], 0
+                    for i, end in enumerate((np.concatenate(([0], ends))[places] * 4).tolist()):
+                        parts += [whole[last:end], ids[i]]
+                        last = end
+                    whole = b"".join([*parts, whole[last:]])
+                out.append(whole)
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
             if pieces:
                 cols["decoded"] = pa.array(map(pieces.text, out), pa.string())

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -686,6 +690,28 @@ def test_bpe_rare_words_are_joined(spark, sf, texts, plain, monkeypatch):
     check_bpe(queries.op7_bpe(spark, sf).collect(), {i: t for i, t, _ in texts}, plain)
 
 
+def test_bpe_broadcasts_take_little_of_a_worker(spark, texts, monkeypatch):
+    """A worker's copies of the head table and of its ids, by key."""
+    sent, own = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or own(self, value))
+    many = [(i, " ".join("abcd"[i] + a + b + c + "q" for a in ascii_lowercase for b in ascii_lowercase for c in ascii_lowercase)) for i in range(4)]
+    bpe.encode(spark.createDataFrame(many, "doc_id long, text string"))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    copies = [pickle.loads(x) for x in sent]
+    took = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(copies) == 2 and took < 60 * 4 * 26**3
+
+
+def test_bpe_head_finds_keys_whose_hashes_clash(monkeypatch):
+    monkeypatch.setattr(bpe, "hash", len, raising=False)
+    keys = ["a", "bc", "de", "fgh", "éé", "ij"]
+    head = pickle.loads(pickle.dumps(bpe.Head(pa.array(keys))))
+    assert head.find([*reversed(keys), "b", "xy", "", "abcdefg"]) == [5, 4, 3, 2, 1, 0, -1, -1, -1, -1]
+    assert bpe.Head(pa.array([], pa.string())).find(["a"]) == [-1]
+
+
 def test_bpe_decode_of_encoded(odd, plain):
     for r in bpe.decode(bpe.encode(odd)).collect():
         assert r.decoded == plain.decode(np.frombuffer(r.ids, dtype="<u4").tolist(), skip_special_tokens=False)
