@@ -8,6 +8,7 @@ looks every id up in the id-to-piece table, whose size the vocabulary file fixes
 
 from __future__ import annotations
 
+import codecs
 import gc
 import re
 import unicodedata
@@ -36,6 +37,9 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ONE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_BYTE_TABLE = "".join(chr(_BYTE_CHARS.get(b, b)) for b in range(256))
+_LETTERS = re.compile(r"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
+_ENDS = ".,;:!?"  # marks that are one piece in a row and no part of a special token or a contraction
 _TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
@@ -104,8 +108,9 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
-            if word.isascii() and word.isalpha() and word.islower():  # one piece
-                got = array("I", [x.id for x in self.tokenize(word)]).tobytes()
+            base = word.rstrip(_ENDS)
+            if (base.isalpha() and base.islower()) if word.isascii() else _LETTERS.fullmatch(base):
+                got = self.piece(word) if base == word else self.of_letters(base) + self.of_key(word[len(base) :])
             else:
                 keys = keys_of(word)
                 got = self.encoded(keys[0]) if len(keys) == 1 else b"".join(map(self.of_key, keys))
@@ -125,12 +130,21 @@ class WordIds(dict):
             self[key] = got  # a word follows, which sees to the size
         return got
 
+    def of_letters(self, base: str) -> bytes:
+        got = self.get(base) or self.old.get(base) or self.piece(base)
+        self[base] = got
+        return got
+
     def encoded(self, key: str) -> bytes:
         if "<|" in key or not _ONE_PIECE.fullmatch(key):
-            ids = self.tokenizer.encode(key, add_special_tokens=False).ids
-        else:  # one piece, which the model takes as it is, its bytes written as characters
-            ids = [x.id for x in self.tokenize(key if key.isascii() else key.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
-        return array("I", ids).tobytes()
+            return array("I", self.tokenizer.encode(key, add_special_tokens=False).ids).tobytes()
+        return self.piece(key)
+
+    def piece(self, key: str) -> bytes:
+        """Ids of one piece, which the model takes as it is, its bytes written as characters."""
+        if not key.isascii():
+            key = codecs.charmap_decode(key.lower().encode(), "strict", _BYTE_TABLE)[0]
+        return array("I", [x.id for x in self.tokenize(key)]).tobytes()
 
 
 @lru_cache(maxsize=2)

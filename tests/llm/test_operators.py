@@ -468,6 +468,18 @@ def test_memo_encodes_a_key_once(monkeypatch):
             assert Counter(calls).most_common(1)[0][1] == 1 and "zebraic" not in calls
 
 
+def test_memo_parts_letters_and_end_marks_without_patterns(monkeypatch):
+    """Most new words are letters with or without end marks; they need no search for keys, and none is asked for twice."""
+    path = bpe.default_path()
+    t, calls, own = Tokenizer.from_file(path), [], bpe.WordIds.piece
+    monkeypatch.setattr(bpe, "keys_of", lambda word: pytest.fail(word))
+    monkeypatch.setattr(bpe.WordIds, "piece", lambda self, key: calls.append(key) or own(self, key))
+    memo = bpe.WordIds(path)
+    for w in ["zebraic.", "zebraic", "zebraic?!", "straße", "straße,", "évêqueÀ:", "évêqueÀ", "ñ;", "ªµº!!", "ĳdijk"]:
+        assert np.frombuffer(memo[w], dtype="<u4").tolist() == t.encode(w, add_special_tokens=False).ids, w
+    assert calls.count("zebraic") == 1
+
+
 def test_token_counts_come_with_the_ids(spark, odd):
     """The frequency table needs no second pass over the ids, and counts no row twice."""
     rows = token_blocks.token_ids(odd.repartition(3), bpe.default_path()).collect()
