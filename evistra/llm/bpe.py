@@ -13,10 +13,10 @@ import gc
 import re
 import unicodedata
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,11 @@ from tokenizers import Tokenizer
 
 from evistra.llm._common import materialize, packed, slices, text_column, unpacked
 
-#: Keys that are broadcast, distinct words a task counts or remembers before it starts anew, words in one generation of
-#: a worker's memo of ids.
-HEAD_KEYS, MEMO_WORDS, MEMO_IDS = 700_000, 120_000, 500_000
+#: Keys that are broadcast, words in one generation of a worker's memo of ids, bytes of text whose words are made distinct together.
+HEAD_KEYS, MEMO_IDS, CHUNK = 700_000, 500_000, 16 << 20
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_SPACE_RE2 = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ONE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
@@ -40,6 +40,8 @@ _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PR
 _BYTE_TABLE = "".join(chr(_BYTE_CHARS.get(b, b)) for b in range(256))
 _LETTERS = re.compile(r"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
 _ENDS = ".,;:!?"  # marks that are one piece in a row and no part of a special token or a contraction
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII's without the apostrophe: in a row they are one piece
+_LOWER = "".join(c for c in map(chr, range(0x250)) if _LETTERS.fullmatch(c) and c == c.lower())
 _TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
@@ -70,6 +72,16 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def folded(word: str) -> str:
+    """A word, lower-cased where that can't change what the tokenizer's own folding gives."""
+    if "<|" in word:  # may hold a special token, which is one in lower case only
+        return word
+    low = word.lower()
+    if low == word or word.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low):
+        return low
+    return word
+
+
 def keys_of(word: str) -> list[str]:
     """Parts of a word that are encoded on their own; their ids in a row are the word's ids."""
     if "<|" in word:  # may hold a special token
@@ -77,11 +89,63 @@ def keys_of(word: str) -> list[str]:
     if word.isascii():
         return _ASCII_KEY.findall(word.lower())
     m = _TAIL.fullmatch(word)
-    if m and m[1][-1] < "\u0250":  # a Latin letter ends a run of letters before ASCII punctuation
+    if m and m[1][-1] < "\u0250" and m[1][-1] != "\u0130":  # a Latin letter that stays one ends a run of letters before ASCII punctuation
         return [m[1], *_ASCII_KEY.findall(m[2])]
     return [word]
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about CHUNK bytes of that column of texts."""
+    for b in batches:
+        sizes = pa.compute.binary_length(b.column(column)).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CHUNK)) + 1
+        for at, end in pairwise([0, *cuts.tolist(), b.num_rows]):
+            yield b.slice(at, end - at)
+
+
+def distinct_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the place of each word of the texts among them, and the number of each text's words.
+
+    Words are parted by white space; white space at an end of a text leaves an empty word there.
+    """
+    if pa.compute.any(pa.compute.match_substring_regex(texts, f"[{_SEPARATORS}]")).as_py():  # Arrow takes these for white space, the tokenizer doesn't
+        lists = pa.compute.split_pattern_regex(texts, _SPACE_RE2)
+    else:
+        lists = pa.compute.utf8_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), pa.compute.list_value_length(lists).to_numpy()
+
+
+def keys_in(words: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The keys of all words one after another, and the number of each word's keys.
+
+    Most words are letters with or without marks, which are parted all at once; keys_of() parts the others.
+    """
+    low = pa.compute.ascii_lower(words)
+    tails = pa.compute.utf8_ltrim(low, _LOWER)
+    size, tail, rest = (pa.compute.binary_length(x).to_numpy() for x in (low, tails, pa.compute.utf8_ltrim(tails, _MARKS)))
+    plain = (rest == 0) & (tail < size)
+    marked = plain & (tail > 0)
+    others = [keys_of(folded(w)) for w in words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False)]
+    n = np.ones(len(words), dtype=np.int64)
+    n[marked] = 2
+    n[~plain] = list(map(len, others))
+    starts = np.cumsum(n) - n
+    found = pa.concat_arrays([pa.compute.utf8_rtrim(low.filter(pa.array(plain)), _MARKS), tails.filter(pa.array(marked)), pa.array(list(chain.from_iterable(others)), pa.string())])
+    place = np.concatenate([starts[plain], starts[marked] + 1, rows_of(n, starts, np.flatnonzero(~plain))[0]])
+    coded = found.dictionary_encode()
+    keys = np.empty(len(place), dtype=np.int32)
+    keys[place] = coded.indices.to_numpy()
+    return pa.DictionaryArray.from_arrays(pa.array(keys), coded.dictionary), n
+
+
+def rows_of(sizes: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of the rows `at` lie, one row after another, in a flat array of rows; and where each row ends among them."""
+    n = sizes[at]
+    ends = np.cumsum(n, dtype=np.int64)
+    return np.repeat(starts[at] - ends + n, n) + np.arange(n.sum()), ends
+
+
 @contextmanager
 def no_cycle_search() -> Iterator[None]:
     """Millions of small objects come and go in such a pass, none of them in a cycle: don't search them for cycles."""
@@ -154,25 +218,16 @@ def word_ids(path: str) -> WordIds:
 
 
 def key_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): the distinct keys of all texts, summed per worker before they are shuffled."""
+    """(key, n): the distinct keys of all texts, summed in tasks before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(words: Counter) -> pa.RecordBatch:
-            keys: Counter = Counter()
-            for w, n in words.items():
-                for k in keys_of(w):
-                    keys[k] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.int64())], names=["key", "n"])
-
-        seen: Counter = Counter()
-        for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > MEMO_WORDS:
-                    yield flush(seen)
-                    seen = Counter()
-        if seen:
-            yield flush(seen)
+        for b in by_size(batches, 0):
+            with no_cycle_search():
+                words, at, _ = distinct_words(b.column(0))
+                keys, n_keys = keys_in(words)
+            n = np.zeros(len(keys.dictionary), dtype=np.int64)
+            np.add.at(n, keys.indices.to_numpy(), np.repeat(np.bincount(at, minlength=len(words)), n_keys))
+            yield pa.RecordBatch.from_arrays([keys.dictionary, pa.array(n)], names=["key", "n"])
 
     parts = docs.select(text_column(docs).alias("text")).mapInArrow(run, "key string, n long")
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
@@ -182,12 +237,10 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     """(key, n, ids): every distinct key, encoded once; ids are unsigned 32-bit little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                ids = [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["key", "n", "ids"])
+        encoded = WordIds(path).encoded
+        for b in slices(batches, 4096):
+            ids = list(map(encoded, b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["key", "n", "ids"])
 
     return materialize(key_counts(docs).mapInArrow(run, "key string, n long, ids binary"), "words")
 
@@ -229,34 +282,6 @@ class Head:
         return [self.clashes.get(k, p) for k, p in zip(keys, found)] if self.clashes else found
 
 
-class _Memo(dict):
-    """word -> places in the head table, or a list of these and of the word's keys that are not in it.
-
-    New words get a list that is empty until settle(), which looks all of them up at once.
-    """
-
-    def __init__(self, head: Head):
-        self.head = head
-        self.new: list[tuple[str, list[bytes | str]]] = []
-
-    def __missing__(self, word: str) -> list[bytes | str]:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        got: list[bytes | str] = []
-        self.new.append((word, got))
-        self[word] = got
-        return got
-
-    def settle(self) -> None:
-        keys = [keys_of(word) for word, _ in self.new]
-        places = iter(self.head.find([k for own in keys for k in own]))
-        for (word, got), own in zip(self.new, keys):
-            got += [k if (p := next(places)) < 0 else p.to_bytes(4, "little") for k in own]
-            if word in self and str not in map(type, got):
-                self[word] = b"".join(got)
-        self.new = []
-
-
 class Pieces:
     """The id-to-piece table, fixed by the vocabulary file; joins the pieces of ids as the tokenizer does it."""
 
@@ -286,30 +311,28 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     head_ids = spark.sparkContext.broadcast((sizes, np.frombuffer(b"".join(head_rows.column(1).to_pylist()), dtype="<u4")))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(head.value)
-        for b in slices(batches):
-            known, places, missing = [], [], []
-            rows = [list(map(memo.__getitem__, words_of(text))) for text in b.column(2).to_pylist()]
-            memo.settle()
-            for row in rows:
-                parts, at, holes, keys = [], 0, [], []
-                for got in row:
-                    if type(got) is bytes:
-                        parts.append(got)
-                        at += len(got)
-                        continue
-                    for k in got:
-                        if type(k) is str:
-                            holes.append(at >> 2)
-                            keys.append(k)
-                        else:
-                            parts.append(k)
-                            at += 4
-                known.append(np.frombuffer(b"".join(parts), dtype="<u4"))
-                places.append(holes)
-                missing.append(keys)
-            rows = [packed(x) for x in known]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(missing, pa.list_(pa.string()))], names=["doc_id", "mark", "known", "places", "missing"])
+        for b in by_size(batches, 2):
+            with no_cycle_search():
+                words, at, n_words = distinct_words(b.column(2))
+                keys, n_keys = keys_in(words)
+                place = np.array(head.value.find(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), dtype=np.int32)
+            key = keys.indices.to_numpy()
+            starts, end = np.cumsum(n_keys) - n_keys, 0
+            for part, n in zip(slices(iter([b])), np.split(n_words, range(128, len(n_words), 128))):
+                begin, end = end, end + int(n.sum())
+                own, ends = rows_of(n_keys, starts, at[begin:end])
+                own = key[own]  # every key of these texts in turn
+                bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))]  # each text's among them
+                here = place[own]
+                hole = here < 0
+                before = np.concatenate(([0], np.cumsum(~hole)))  # keys of the head table before each
+                known = here[~hole]
+                rows = [packed(known[i:j]) for i, j in pairwise(before[bounds].tolist())]
+                at_hole = (before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds)))[hole]
+                offsets = pa.array((bounds - before[bounds]).astype(np.int32))
+                places = pa.ListArray.from_arrays(offsets, pa.array(at_hole.astype(np.int32)))
+                missing = pa.ListArray.from_arrays(offsets, keys.dictionary.take(pa.array(own[hole])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary()), places, missing], names=["doc_id", "mark", "known", "places", "missing"])
 
     text = text_column(docs)
     halves = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(first, "doc_id long, mark long, known binary, places array<int>, missing array<string>")
@@ -335,9 +358,8 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
             out = []
             for row, places, got in zip(*(b.column(c).to_pylist() for c in ("known", "places", "found"))):
                 at = unpacked(row)
-                n = sizes[at]
-                ends = np.cumsum(n, dtype=np.int64)
-                whole = flat[np.repeat(starts[at] - ends + n, n) + np.arange(n.sum())].tobytes()
+                own, ends = rows_of(sizes, starts, at)
+                whole = flat[own].tobytes()
                 if got:
                     ids = {x["at"]: x["ids"] for x in got}  # a set: rows that repeat give each place again
                     parts, last = [], 0

@@ -724,6 +724,39 @@ def test_bpe_head_finds_keys_whose_hashes_clash(monkeypatch):
     assert bpe.Head(pa.array([], pa.string())).find(["a"]) == [-1]
 
 
+def test_words_are_made_distinct_and_parted_in_bulk(plain, monkeypatch):
+    """A word that comes again costs nothing in Python; letters with marks aren't parted by patterns; ids are the tokenizer's."""
+    monkeypatch.setattr(bpe, "folded", lambda w, own=bpe.folded: w if w not in ("zebraic", "Zebraic,", "straße!") else pytest.fail(w))
+    odd = ["a", "B", "I", "J", "É", "'s", "'", "n't", " ", "\n", "1", "²", "!", "###", "<|ENDOFTEXT|>", "<|endoftext|>", "<|", "中", "\x1c", "\x85", "\xa0", "\0", "\u0301", "\u030c"]
+    odd += ["😀", "ſ", "\u3000", "\u200b", "Σ", "İ", "\u212b", "ẞ", "ǅ", "\u1112\u1161", "ª", "Ⅷ", ".", "\u2003"]
+    r = np.random.default_rng(9)
+    for i in range(60):
+        texts = ["".join(r.choice(odd, r.integers(0, 14))) for _ in range(30)] + ["zebraic Zebraic, straße! zebraic"] * (i % 2)
+        words, at, n_words = bpe.distinct_words(pa.array(texts))
+        keys, n_keys = bpe.keys_in(words)
+        assert len(at) == n_words.sum() and len(set(words.to_pylist())) == len(words) and len(keys) == n_keys.sum()
+        own = np.split(np.array(keys.to_pylist(), dtype=object), np.cumsum(n_keys)[:-1])
+        for text, places in zip(texts, np.split(at, np.cumsum(n_words)[:-1])):
+            ids = [x for p in places for k in own[p] for x in plain.encode(k, add_special_tokens=False).ids]
+            assert ids == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_texts_in_pieces_by_size(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 10)
+    texts = ["", "abcd", "efgh", "i" * 35, "", "j", "k"]
+    pieces = list(bpe.by_size(iter([pa.RecordBatch.from_pydict({"t": pa.array(x, pa.string())}) for x in (texts, [])]), 0))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == texts
+    assert len(pieces) > 2 and all(sum(map(len, p.column(0).to_pylist()[:-1])) <= 10 for p in pieces)
+
+
+SPECIAL = [(1, "<|ENDOFTEXT|> a<|endoftext|>b <|StartOfText|>, x"), (2, "ΑΣ\u0301Jİ. ΣİX!? fin"), (3, "un \x1d deux\x1f trois")]
+
+
+def test_special_tokens_are_such_in_lower_case_only(spark, plain):
+    docs = spark.createDataFrame(SPECIAL, "doc_id long, text string")
+    check_bpe(bpe.bpe_report(docs).collect(), dict(SPECIAL), plain)
+
+
 def test_bpe_decode_of_encoded(odd, plain):
     for r in bpe.decode(bpe.encode(odd)).collect():
         assert r.decoded == plain.decode(np.frombuffer(r.ids, dtype="<u4").tolist(), skip_special_tokens=False)
