@@ -31,7 +31,6 @@ from evistra.llm._common import materialize, packed, slices, text_column, unpack
 #: Keys that are broadcast, words in one generation of a worker's memo of ids, bytes of text whose words are made distinct together.
 HEAD_KEYS, MEMO_IDS, CHUNK = 700_000, 500_000, 16 << 20
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
-_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SPACE_RE2 = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ONE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -59,19 +58,6 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-def words_of(text: str) -> list[str]:
-    """White-space separated words, lower-cased where that can't change what the tokenizer's own folding gives."""
-    if text.isascii():
-        text = text.lower()
-    else:
-        low = text.lower()
-        if "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
-            text = low
-    if any(map(text.__contains__, _SEPARATORS)):  # str.split() takes these for white space, the tokenizer doesn't
-        return [w for w in _SPACE.split(text) if w]
-    return text.split()
-
-
 def folded(word: str) -> str:
     """A word, lower-cased where that can't change what the tokenizer's own folding gives."""
     if "<|" in word:  # may hold a special token, which is one in lower case only

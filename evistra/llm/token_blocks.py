@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evistra.llm._common import materialize, packed, shared_folder, slices, text_column, unpacked
-from evistra.llm.bpe import default_path, no_cycle_search, word_ids, words_of
+from evistra.llm.bpe import by_size, default_path, distinct_words, keys_in, no_cycle_search, rows_of, word_ids
 
 END_ID = 2
 LANES, CHECKPOINT, BLOCK_SYMBOLS, SHARD_SYMBOLS, BITS = 512, 128, 1 << 18, 1 << 23, 20
@@ -43,16 +44,29 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
         def rows(doc_id: pa.Array, *cols: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([doc_id, *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.binary())))], names=["doc_id", "n_tokens", "ids", "counts"])
 
-        of_word, total = word_ids(path).__getitem__, np.zeros(1, dtype=np.int64)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in slices(batches):
+        of_key, total = word_ids(path).__getitem__, np.zeros(1, dtype=np.int64)
+        for b in by_size(batches, 1):
             with no_cycle_search():
-                out = [b"".join(map(of_word, words_of(text))) + end for text in b.column(1).to_pylist()]
-            n = np.bincount(np.frombuffer(b"".join(out), dtype="<u4"))
-            if len(n) > len(total):
-                total = np.pad(total, (0, len(n) - len(total)))
-            total[: len(n)] += n
-            yield rows(b.column(0), [len(x) >> 2 for x in out], [packed(np.frombuffer(x, dtype="<u4")) for x in out], [None] * len(out))
+                words, at, n_words = distinct_words(b.column(1))
+                keys, n_keys = keys_in(words)
+                ids = list(map(of_key, keys.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+            own, ends = rows_of(sizes, np.cumsum(sizes) - sizes, keys.indices.to_numpy())
+            flat = np.append(np.frombuffer(b"".join(ids), dtype="<u4")[own], np.uint32(END_ID))  # the words' ids, then the end id
+            bounds = np.append(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_keys)))], len(flat))
+            starts, sizes = bounds[:-1], np.diff(bounds)
+            at = np.insert(at, np.cumsum(n_words), len(words))  # the end id after each text
+            n_words, stop = n_words + 1, 0
+            for part, n in zip(slices(iter([b])), np.split(n_words, range(128, len(n_words), 128))):
+                begin, stop = stop, stop + int(n.sum())
+                own, ends = rows_of(sizes, starts, at[begin:stop])
+                own = flat[own]
+                counts = np.bincount(own)
+                if len(counts) > len(total):
+                    total = np.pad(total, (0, len(counts) - len(total)))
+                total[: len(counts)] += counts
+                bounds = [0, *ends[np.cumsum(n) - 1].tolist()]
+                yield rows(part.column(0), np.diff(bounds).tolist(), [packed(own[i:j]) for i, j in pairwise(bounds)], [None] * len(n))
         if total.any():
             yield rows(pa.array([None], pa.int64()), [None], [None], [packed(total, "<u8")])
 
@@ -138,9 +152,12 @@ def decode_block(block: bytes, freq: np.ndarray, cum: np.ndarray, slots: np.ndar
         for a in range(0, len(got), lanes):
             y = x[: min(lanes, len(got) - a)]
             slot = y & _MASK
-            sym = slots[slot]
+            sym = slots.take(slot.view(np.int64)).astype(np.intp)
             got[a : a + lanes] = sym
-            y[:] = freq[sym] * (y >> np.uint64(BITS)) + slot - cum[sym]
+            y >>= np.uint64(BITS)
+            y *= freq.take(sym)
+            y += slot
+            y -= cum.take(sym)
             low = np.flatnonzero(y < _LOW)
             if len(low):
                 y[low] = (y[low] << np.uint64(32)) | words[pos : pos + len(low)]

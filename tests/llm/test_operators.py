@@ -755,6 +755,7 @@ SPECIAL = [(1, "<|ENDOFTEXT|> a<|endoftext|>b <|StartOfText|>, x"), (2, "ΑΣ\u0
 def test_special_tokens_are_such_in_lower_case_only(spark, plain):
     docs = spark.createDataFrame(SPECIAL, "doc_id long, text string")
     check_bpe(bpe.bpe_report(docs).collect(), dict(SPECIAL), plain)
+    check_blocks(token_blocks.blocks_report(docs).collect(), SPECIAL, plain)
 
 
 def test_bpe_decode_of_encoded(odd, plain):
