@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from evistra.llm._common import materialize, packed, slices, text_column, unpacked
 
 #: Keys that are broadcast, words in one generation of a worker's memo of ids, bytes of text whose words are made distinct together.
-HEAD_KEYS, MEMO_IDS, CHUNK = 700_000, 500_000, 16 << 20
+HEAD_KEYS, MEMO_IDS, CHUNK = 700_000, 500_000, 4 << 20
 _ASCII_KEY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 _SPACE_RE2 = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -87,6 +87,7 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // CHUNK)) + 1
         for at, end in pairwise([0, *cuts.tolist(), b.num_rows]):
             yield b.slice(at, end - at)
+        pa.default_memory_pool().release_unused()  # workers stay for later stages, what they hold would stay with them
 
 
 def distinct_words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
