@@ -37,6 +37,15 @@ def test_dense_search_is_exact_in_blocks(spark, monkeypatch, block):
     assert got == sorted(want)
 
 
+def test_dense_search_holds_few_scores_and_shuffles_no_vector(spark, monkeypatch):
+    assert R.QUERY_BLOCK * R.ROW_SLICE * 8 <= 16 << 20  # bytes of scores that a task holds at once
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    c = spark.createDataFrame([(i, "law", [1.0, float(i)]) for i in range(20)], "chunk_id long, layer string, vec array<float>")
+    s = spark.createDataFrame([(q, "q1", [1.0, 0.5], 3, 5) for q in range(8)], "query_id long, sub_id string, qvec array<float>, k_platform int, k_law int")
+    plan = R.dense_topk(s, c)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+
+
 def test_markdown_with_frontmatter(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     head = "---\ndoc_id: d1\ntitle: 'A: b'\nlayer: law\neffective_date: 2024-01-01\nexpire_date: 9999-12-31\ntags: [x, , y ]\n---\n"
