@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from evistra.operators import analysis as A
 from evistra.operators import index as I
 from evistra.operators import retrieval as R
+from evistra.sources import shared as S
 
 WORDS = [("退货", 60), ("货物", 20), ("退", 5), ("物流", 30), ("流程", 25), ("七天", 40), ("无理由", 35), ("无", 4), ("理由", 30), ("商品", 50), ("完好", 20), ("的", 90)]
 
@@ -73,6 +75,45 @@ def test_index_gives_the_rows_of_a_full_scan(spark, monkeypatch, segment):
     assert 0 < heads["read"] <= heads["n"] and (segment > 2 or heads["read"] < heads["n"])
 
 
+def rows_written(folder):
+    return sum(pq.read_metadata(f).num_rows for f in folder.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize(("equal", "most"), [(False, 8_000), (True, 500)])
+def test_search_writes_no_pairs_of_texts_and_segments(spark, tmp_path, monkeypatch, equal, most):
+    """Every text meets every segment; what is kept on the way follows the texts, those that are equal counting once."""
+    docs = spark.range(3200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b"), F.concat(F.lit("w"), F.col("id") % 97)).alias("text"))
+    own = F.lit(0) if equal else F.col("id") % 97
+    asked = spark.range(400).select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("a"), F.concat(F.lit("w"), own), F.lit("q") if equal else F.concat(F.lit("q"), "id")).alias("text"))
+    index = I.build(docs)
+    monkeypatch.setattr(S, "shared_dir", lambda spark: str(tmp_path))
+    found = I.search(index, asked, 3).rows.collect()
+    assert len(found) == 1200 and {(r.query_id, r["rank"], r.doc_id) for r in found if r.query_id == 0} == {(0, 1, 0), (0, 2, 97), (0, 3, 194)}
+    assert rows_written(tmp_path) < most
+
+
+def test_postings_are_not_shuffled(spark):
+    """The only exchange of a search's last step comes after each task's best rows were taken."""
+    docs = spark.createDataFrame([(i, f"a w{i % 5}") for i in range(200)], "doc_id long, text string")
+    found = I.search(I.build(docs), spark.createDataFrame([(1, "a w1")], "query_id long, text string"), 3)
+    for df in (found.rows, found.heads):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[plan.index("MapInArrow") :].split("BroadcastExchange")[0]
+
+
+@pytest.mark.parametrize("turns", ["TEXTS", "TERM_ROWS"])
+def test_texts_in_turns_give_the_same_rows(spark, monkeypatch, turns):
+    pick = random.Random(3)
+    text = lambda n: " ".join(f"w{min(pick.randrange(30), pick.randrange(30))}" for _ in range(n))
+    docs = spark.createDataFrame([(i, text(9)) for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, text(3)) for q in range(12)], "query_id long, text string")
+    index = I.build(docs)
+    got = lambda s: (sorted(map(tuple, s.rows.collect())), sorted(map(tuple, s.heads.collect())))
+    once = got(I.search(index, asked, 4))
+    monkeypatch.setattr(*((I, "TEXTS", 5) if turns == "TEXTS" else (R, "TERM_ROWS", 15)))
+    assert got(I.search(index, asked, 4)) == once
+
+
 def test_index_of_no_texts(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
