@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from evistra import registry
+from evistra.plans import retrieval
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -55,6 +56,18 @@ def test_query(spark, sf, duck, name):
     assert got == rows_of(names, want.fetchall())
 
 
+def test_texts_of_parents_without_evidence_are_not_shuffled(spark, sf):
+    evidence = spark.createDataFrame([("D0", 3), ("D1", 0), ("D1", 0)], "doc string, parent_seq long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kids = retrieval._children(spark, sf, evidence)
+        assert sorted((r.doc, r.parent_seq, r.chunk_index) for r in kids.collect()) == [(d, s, i) for d, s in (("D0", 3), ("D1", 0)) for i in range(4)]
+        assert "hashpartitioning" not in kids._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_entry_imports_and_names_everything():
     import __spark_entry__ as entry
 
