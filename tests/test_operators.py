@@ -44,6 +44,7 @@ def test_dense_search_holds_few_scores_and_shuffles_no_vector(spark, monkeypatch
     s = spark.createDataFrame([(q, "q1", [1.0, 0.5], 3, 5) for q in range(8)], "query_id long, sub_id string, qvec array<float>, k_platform int, k_law int")
     plan = R.dense_topk(s, c)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "MapInArrow" in plan
+    assert plan.index("Join") < plan.index("WindowGroupLimit")  # only the best rows of all tasks meet their sub-queries
 
 
 def test_markdown_with_frontmatter(spark, tmp_path):
